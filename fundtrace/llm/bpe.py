@@ -233,11 +233,12 @@ def compile_automaton(vocabulary: str) -> Automaton:
     return Automaton(labels | {i: s.encode() for s, i in specials.items()}, merges, specials)
 
 
-def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Encode every text and decode the ids again.
 
     Returns ``id_col``, ``ids`` (binary: little-endian unsigned 32-bit ids) and ``decoded`` (string), a row for
-    each row of ``df``; repeated rows stay repeated. Null text is taken as empty and gives no ids.
+    each row of ``df``; repeated rows stay repeated. Null text is taken as empty and gives no ids. With
+    ``keep_text`` the text comes too.
     """
     shared = df.sparkSession.sparkContext.broadcast(compile_automaton(vocabulary))
     kept = df.schema[id_col].dataType.simpleString()
@@ -246,10 +247,12 @@ def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
         automaton = shared.value
         for b in batches:
             ids = [automaton.encode(t or "") for t in b["t"]]
-            yield pd.DataFrame({"k": b["k"], "ids": ids, "decoded": [automaton.decode(x) for x in ids]})
+            out = pd.DataFrame({"k": b["k"], "ids": ids, "decoded": [automaton.decode(x) for x in ids]})
+            yield out.assign(t=b["t"]) if keep_text else out
 
     rows = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-    return rows.mapInPandas(run, f"k {kept}, ids binary, decoded string").withColumnRenamed("k", id_col)
+    out = rows.mapInPandas(run, f"k {kept}, ids binary, decoded string" + ", t string" * keep_text)
+    return out.withColumnsRenamed({"k": id_col, "t": text_col})
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +42,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crc_of(column: str):
     """crc32 of a column as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def fit_logistic(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope (above 0) and shift of the logistic curve of y (0 or 1) on z, each with weight n; weakly pulled to 1, 0."""
+    m, a = np.column_stack([z, np.ones_like(z)]), np.array([1.0, 0.0])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(m @ a, -50, 50)))
+        gradient = m.T @ (n * (y - p)) - np.array([a[0] - 1.0, a[1]])
+        step = np.linalg.solve((m * (n * p * (1 - p))[:, None]).T @ m + np.eye(2), gradient)
+        a = a + np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(max(a[0], 1e-3)), float(a[1])

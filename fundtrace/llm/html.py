@@ -45,6 +45,8 @@ UNLIKELY = frozenset(
 )
 WEIGHT = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "li": -3.0, "dl": -3.0, "th": -5.0}
 KEPT = {"html", "body", "article", "main"}
+#: How far up a block passes points, so that deep pages stay linear.
+LEVELS = 12
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -205,7 +207,7 @@ def extract(html: str | None) -> str:
         length = own[n] + sum(sizes[x][0] for x in n.parts if type(x) is Node and x.tag in INLINE)
         points = 1 + sizes[n][2] + min(length / 100, 3)
         up, level = n.parent if n.tag in ("p", "pre", "td", "th", "li", "dt", "dd", "blockquote", "figcaption") or n.tag[0] == "h" else n, 0
-        while up is not None:
+        while up is not None and level < LEVELS:
             level += 1
             if up.tag not in INLINE:
                 up.score += points / level
@@ -222,7 +224,7 @@ def extract(html: str | None) -> str:
     for x in best.parent.parts:
         if x is best:
             out.append(text_of(x))
-        elif type(x) is Node and best.tag != "article":
+        elif type(x) is Node and best.tag not in ("article", "main"):
             long = x.tag == "p" and (sizes[x][0] > 80 and density[x] < 0.25 or sizes[x][0] and density[x] == 0)
             if x in scored and x.score >= max(least, 1) and density[x] < 0.5 or long:
                 out.append(text_of(x))
