@@ -52,6 +52,12 @@ def _entry(length: Column, h: Column, at: Column, size: int | Column, side: int)
     )
 
 
+def _whole(n: int) -> Column:
+    """All grams of n words."""
+    each = F.transform("h", lambda x, i: _entry(F.lit(n), F.xxhash64(x, *[F.get("h", i + d) for d in range(1, n)]), i, n, 0))
+    return F.filter(each, lambda e: F.size(e["gram"]) == n)
+
+
 def fingerprints(df: DataFrame, short: list[int]) -> Column:
     """Array of kept grams: length (0: kept by winnowing), h, at, gram, before (nearest first) and after."""
     kept = F.filter(
@@ -59,9 +65,7 @@ def fingerprints(df: DataFrame, short: list[int]) -> Column:
         lambda i: i.isNotNull(),
     )
     found = [F.transform(kept, lambda i: _entry(F.lit(0), F.get("k", i), i, GRAM, SIDE))]
-    for n in short:
-        whole = F.transform("h", lambda x, i, n=n: _entry(F.lit(n), F.xxhash64(x, *[F.get("h", i + d) for d in range(1, n)]), i, n, 0))
-        found.append(F.filter(whole, lambda e, n=n: F.size(e["gram"]) == n))
+    found += [_whole(n) for n in short]
     return found[0] if len(found) == 1 else F.concat(*found)
 
 
