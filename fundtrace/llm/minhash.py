@@ -5,9 +5,9 @@ classes that share a band are candidates. A candidate's signatures are compared
 probability of a similarity at or above the threshold, given the matches so far (uniform prior), falls below the
 chosen miss probability, the pair is dropped. The rest are verified on their full shingle sets.
 
-No bucket is expanded into all its pairs. Members are first compared with one member that stands for the bucket
-(another one in each band), first for a few bands, then for all. Only what is then still in different components
-within a bucket is compared pair by pair, so no link between components is lost.
+No bucket is expanded into all its pairs. Its members are compared with the most central one: the member that meets most
+others over all bands. Only members that are then still in different components are compared with each other, where one
+bit of each hash already lets a link seem possible, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -101,15 +101,17 @@ def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
             for i, text in zip(b["id"], b["text"], strict=True):
                 words = words_of(text)
                 if not words:
-                    out.append((i, b"", 0, b"", []))
+                    out.append((i, b"", 0, b"", [], []))
                     continue
                 s = _signature(hashes := _shingle_hashes(words, shingle), bands * rows)
+                bits = np.packbits((s & 1).astype(np.uint8), bitorder="little")
+                bits = np.frombuffer(bits.tobytes() + bytes(-len(bits) % 8), np.int64)
                 keys = [xxhash.xxh64_intdigest(s[k * rows : (k + 1) * rows].tobytes(), seed=k) - (1 << 63) for k in range(bands)]
-                out.append((i, hashlib.md5(b" ".join(words)).digest(), len(hashes), s.tobytes(), keys))
-            yield pd.DataFrame(out, columns=["id", "key", "n_shingles", "signature", "bands"])
+                out.append((i, hashlib.md5(b" ".join(words)).digest(), len(hashes), s.tobytes(), keys, bits))
+            yield pd.DataFrame(out, columns=["id", "key", "n_shingles", "signature", "bands", "sketch"])
 
     given = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return given.mapInPandas(run, "id long, key binary, n_shingles long, signature binary, bands array<long>")
+    return given.mapInPandas(run, "id long, key binary, n_shingles long, signature binary, bands array<long>, sketch array<long>")
 
 
 def fewest_matches(n: int, threshold: float, miss: float) -> int:
@@ -121,6 +123,16 @@ def fewest_matches(n: int, threshold: float, miss: float) -> int:
     return n + 1
 
 
+def fewest_alike_bits(n: int, threshold: float, miss: float) -> int:
+    """Fewest of n one-bit hashes alike that a pair at the threshold has but for a probability of ``miss``."""
+    p, below = (1 + threshold) / 2, 0.0
+    for m in range(n + 1):
+        below += comb(n, m) * p**m * (1 - p) ** (n - m)
+        if below > miss:
+            return m
+    return n
+
+
 def bayes_prune(pairs: DataFrame, threshold: float, miss: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Candidates (a, b, signature_a, signature_b) that sequential comparison of their signatures leaves: a, b."""
     ends = [*range(BATCH, bands * rows + 1, BATCH)]
@@ -183,16 +195,18 @@ def near_duplicates(
     classes = full.groupBy("key").agg(F.min("id").alias("rep"))
     # an id with several texts ties its classes together
     ties = full.join(classes, "key").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    reps = full.join(classes.withColumnRenamed("rep", "id"), ["key", "id"], "left_semi").select("id", "signature", "bands")
+    reps = full.join(classes.withColumnRenamed("rep", "id"), ["key", "id"], "left_semi").select("id", "signature", "bands", "sketch")
     banded = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
-    stars = (
-        banded.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.min(F.col("id").bitwiseXOR(F.col("bucket"))).alias("pick"))
-        .where("n > 1")
-        .select("bucket", F.col("pick").bitwiseXOR(F.col("bucket")).alias("leader"))
-    )
-    members = materialise(banded.join(stars, "bucket"), "members")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = materialise(banded.join(shared, "bucket"), "crowded")
+    # the most central member stands for a bucket: an original is in the large bucket of every band, an edited copy is not
+    central = crowded.groupBy("id").agg(F.sum("n").alias("weight"))
+    crowded = crowded.select("id", "bucket").join(central, "id")
+    leaders = crowded.groupBy("bucket").agg(F.max(F.struct("weight", F.negative("id").alias("id"))).alias("top"))
+    members = materialise(crowded.join(leaders.select("bucket", F.negative("top.id").alias("leader")), "bucket"), "members")
     involved = members.select("id").distinct()
+    sketches = reps.select("id", "sketch")
+    most = bands * rows - fewest_alike_bits(bands * rows, percent / 100, miss)
     signs = reps.select("id", "signature").join(involved, "id", "left_semi")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = materialise(texts.join(involved, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).join(signs, "id"), "texts")
@@ -211,23 +225,16 @@ def near_duplicates(
         return rows_.where(f"{a} != {b}").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
     links = ties.where("a != b")
-    links = materialise(links.union(confirm(pairs_of("id", "leader", members.where("band < 4")))), "links")
+    links = materialise(links.union(confirm(pairs_of("id", "leader", members))), "links")
     components = materialise(connected_components(links), "components")
-    for every in (False, True):
-        named = members.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-        rest = named.join(mixed.select("bucket"), "bucket", "left_semi")
-        if every:
-            one, two = (rest.select("bucket", F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
-            left = one.join(two, "bucket").where("of_a < of_b")
-            found = pairs_of("a", "b", left)
-        else:
-            lead = components.select(F.col("id").alias("leader"), F.col("component").alias("of_leader"))
-            left = rest.join(lead, "leader", "left").where("component != coalesce(of_leader, leader)")
-            found = pairs_of("id", "leader", left)
-        more = materialise(confirm(found), "links")
-        if more.isEmpty():
-            continue
+    named = members.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    rest = named.join(mixed.select("bucket"), "bucket", "left_semi").join(sketches, "id")
+    one, two = (rest.select("bucket", "leader", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "sketch")]) for x in "ab")
+    apart = sum(F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(-(-bands * rows // 64)))
+    left = one.join(two.drop("leader"), "bucket").where("component_a < component_b AND id_a != leader AND id_b != leader").where(apart <= most)
+    more = materialise(confirm(pairs_of("id_a", "id_b", left)), "links")
+    if not more.isEmpty():
         merged = components.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
         components = materialise(connected_components(merged), "components")
 
