@@ -84,7 +84,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
                 n[""] += 1
                 seen = set(TERM.findall((text or "").lower()))
                 n.update(t for t in words if t in seen)
-        yield pd.DataFrame({"term": list(n), "n": list(n.values())})
+        if n:
+            yield pd.DataFrame({"term": list(n), "n": list(n.values())})
 
     rows = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     counts = {r["term"]: r["n"] for r in rows.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
