@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("timeseries",)
+FAMILIES = ("timeseries", "joins")
 
 
 def _registry():
