@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("timeseries", "joins")
+FAMILIES = ("timeseries", "joins", "scores", "levels")
 
 
 def _registry():

@@ -68,7 +68,7 @@ VIEWS = {
               FROM {fx_allocation} a JOIN {fx_port_month} m ON a.portfolio = m.portfolio AND a.report_dt = m.caldt) AS e
         WINDOW w AS (PARTITION BY portfolio ORDER BY report_dt)""",
     "fx_scores": """
-        SELECT l.doc_id, l.quality AS y, ((l.doc_id * 7919 + 13) % 1000 + 0.5) / 1000 AS p, d.lang, d.source
+        SELECT l.doc_id, l.quality AS y, CAST((l.doc_id * 7919 + 13) % 1000 + 0.5 AS DOUBLE) / 1000 AS p, d.lang, d.source
         FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
     "fx_docs": """
         SELECT doc_id, text, source, lang,
