@@ -5,9 +5,9 @@ classes that share a band are candidates. A candidate's signatures are compared
 probability of a similarity at or above the threshold, given the matches so far (uniform prior), falls below the
 chosen miss probability, the pair is dropped. The rest are verified on their full shingle sets.
 
-No bucket is expanded into all its pairs. Its members are compared with the most central one: the member that meets most
-others over all bands. Only members that are then still in different components are compared with each other, where one
-bit of each hash already lets a link seem possible, so no link between components is lost.
+No bucket is expanded into all its pairs. Its members are compared with the most central one, its leader: the member
+that meets most others over all bands. Documents that share a leader but are then still in different components are
+compared in tiles of blocks, of which only links come out, so none between components is lost.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ BATCH = 16
 #: Highest posterior probability of a link at which a candidate is dropped.
 MISS = 1e-9
 WORD_HASHES = 300_000
+#: Documents of a block in a tile.
+BLOCK = 128
 _word_hash: dict[bytes, int] = {}
 
 
@@ -101,17 +103,15 @@ def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
             for i, text in zip(b["id"], b["text"], strict=True):
                 words = words_of(text)
                 if not words:
-                    out.append((i, b"", 0, b"", [], []))
+                    out.append((i, b"", 0, b"", []))
                     continue
                 s = _signature(hashes := _shingle_hashes(words, shingle), bands * rows)
-                bits = np.packbits((s & 1).astype(np.uint8), bitorder="little")
-                bits = np.frombuffer(bits.tobytes() + bytes(-len(bits) % 8), np.int64)
                 keys = [xxhash.xxh64_intdigest(s[k * rows : (k + 1) * rows].tobytes(), seed=k) - (1 << 63) for k in range(bands)]
-                out.append((i, hashlib.md5(b" ".join(words)).digest(), len(hashes), s.tobytes(), keys, bits))
-            yield pd.DataFrame(out, columns=["id", "key", "n_shingles", "signature", "bands", "sketch"])
+                out.append((i, hashlib.md5(b" ".join(words)).digest(), len(hashes), s.tobytes(), keys))
+            yield pd.DataFrame(out, columns=["id", "key", "n_shingles", "signature", "bands"])
 
     given = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return given.mapInPandas(run, "id long, key binary, n_shingles long, signature binary, bands array<long>, sketch array<long>")
+    return given.mapInPandas(run, "id long, key binary, n_shingles long, signature binary, bands array<long>")
 
 
 def fewest_matches(n: int, threshold: float, miss: float) -> int:
@@ -123,16 +123,6 @@ def fewest_matches(n: int, threshold: float, miss: float) -> int:
     return n + 1
 
 
-def fewest_alike_bits(n: int, threshold: float, miss: float) -> int:
-    """Fewest of n one-bit hashes alike that a pair at the threshold has but for a probability of ``miss``."""
-    p, below = (1 + threshold) / 2, 0.0
-    for m in range(n + 1):
-        below += comb(n, m) * p**m * (1 - p) ** (n - m)
-        if below > miss:
-            return m
-    return n
-
-
 def bayes_prune(pairs: DataFrame, threshold: float, miss: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Candidates (a, b, signature_a, signature_b) that sequential comparison of their signatures leaves: a, b."""
     ends = [*range(BATCH, bands * rows + 1, BATCH)]
@@ -172,6 +162,68 @@ def verify(pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return pairs.mapInPandas(run, "a long, b long")
 
 
+def tiled_links(members: DataFrame, components: DataFrame, texts: DataFrame, shingle: int, percent: int, miss: float, bands: int, rows: int) -> DataFrame:
+    """Links between components of documents that share a leader: a, b; one for each document and component at least.
+
+    Documents with one leader that aren't in the leader's component are dealt into blocks, and so are those that are. Each
+    block of the former meets every block as one tile, in which signatures are compared batch after batch and what is
+    left is verified. Tiles are dealt out on their own, so a large group is the work of many tasks.
+    """
+    ends = [*range(BATCH, bands * rows + 1, BATCH)]
+    least = [fewest_matches(n, percent / 100, miss) for n in ends]
+    own = components.select("id", "component")
+    of_leader = own.select(F.col("id").alias("leader"), F.col("component").alias("of_leader"))
+    named = members.select("id", "leader").distinct().join(own, "id", "left").join(of_leader, "leader", "left")
+    named = named.select("id", "leader", F.coalesce("component", "id").alias("component"), F.coalesce("of_leader", "leader").alias("of_leader"))
+    named = named.withColumn("other", F.col("component") != F.col("of_leader"))
+    sizes = named.groupBy("leader").agg(F.count_if("other").alias("others"), F.count_if(~F.col("other")).alias("mains")).where("others > 0")
+    sizes = sizes.select("leader", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("others", "mains")])
+    dealt = named.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("other"), F.col("others")).otherwise(F.col("mains"))).cast("int"))
+    dealt = dealt.join(texts, "id")
+    packed = dealt.groupBy("leader", "other", "block").agg(F.collect_list(F.struct("id", "component", "signature", "text")).alias("docs"))
+    packed = materialise(packed, "blocks")
+    first = packed.where("other").select("leader", F.col("block").alias("block_a"))
+    tiles = first.join(packed.select("leader", "other", F.col("block").alias("block_b")), "leader").where("NOT other OR block_a <= block_b")
+    tiles = tiles.repartition("leader", "block_a", "block_b")
+    one = packed.where("other").select("leader", F.col("block").alias("block_a"), F.col("docs").alias("docs_a"))
+    two = packed.select("leader", "other", F.col("block").alias("block_b"), F.col("docs").alias("docs_b"))
+    met = tiles.join(one, ["leader", "block_a"]).join(two, ["leader", "other", "block_b"]).select("docs_a", "docs_b")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for docs_a, docs_b in zip(b["docs_a"], b["docs_b"], strict=True):
+                x, y = (np.frombuffer(b"".join(d["signature"] for d in docs), np.uint32).reshape(len(docs), -1) for docs in (docs_a, docs_b))
+                of_a, of_b = (np.array([d["component"] for d in docs]) for docs in (docs_a, docs_b))
+                i, j = np.nonzero(of_a[:, None] != of_b[None, :])
+                done = np.zeros(len(i), dtype=np.int64)
+                for end, fewest in zip(ends, least, strict=True):
+                    at = slice(end - BATCH, end)
+                    done = done + (x[i, at] == y[j, at]).sum(axis=1)
+                    keep = done >= fewest
+                    i, j, done = i[keep], j[keep], done[keep]
+                    if not len(i):
+                        break
+                found, linked = [], set()
+                sets: dict[int, set] = {}
+                for k in np.argsort(-done, kind="stable"):
+                    a, c = int(i[k]), int(j[k])
+                    if (a, of_b[c]) in linked:
+                        continue  # this document has its link to that component
+                    both = []
+                    for docs, n, key in ((docs_a, a, a), (docs_b, c, ~c)):
+                        if key not in sets:
+                            sets[key] = shingle_set(words_of(docs[n]["text"]), shingle)
+                        both.append(sets[key])
+                    common = len(both[0] & both[1])
+                    if 100 * common >= percent * (len(both[0]) + len(both[1]) - common):
+                        linked.add((a, of_b[c]))
+                        found.append((docs_a[a]["id"], docs_b[c]["id"]))
+                if found:
+                    yield pd.DataFrame(found, columns=["a", "b"])
+
+    return met.mapInPandas(run, "a long, b long")
+
+
 def near_duplicates(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -195,7 +247,7 @@ def near_duplicates(
     classes = full.groupBy("key").agg(F.min("id").alias("rep"))
     # an id with several texts ties its classes together
     ties = full.join(classes, "key").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    reps = full.join(classes.withColumnRenamed("rep", "id"), ["key", "id"], "left_semi").select("id", "signature", "bands", "sketch")
+    reps = full.join(classes.withColumnRenamed("rep", "id"), ["key", "id"], "left_semi").select("id", "signature", "bands")
     banded = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     crowded = materialise(banded.join(shared, "bucket"), "crowded")
@@ -205,8 +257,6 @@ def near_duplicates(
     leaders = crowded.groupBy("bucket").agg(F.max(F.struct("weight", F.negative("id").alias("id"))).alias("top"))
     members = materialise(crowded.join(leaders.select("bucket", F.negative("top.id").alias("leader")), "bucket"), "members")
     involved = members.select("id").distinct()
-    sketches = reps.select("id", "sketch")
-    most = bands * rows - fewest_alike_bits(bands * rows, percent / 100, miss)
     signs = reps.select("id", "signature").join(involved, "id", "left_semi")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = materialise(texts.join(involved, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).join(signs, "id"), "texts")
@@ -227,13 +277,7 @@ def near_duplicates(
     links = ties.where("a != b")
     links = materialise(links.union(confirm(pairs_of("id", "leader", members))), "links")
     components = materialise(connected_components(links), "components")
-    named = members.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    rest = named.join(mixed.select("bucket"), "bucket", "left_semi").join(sketches, "id")
-    one, two = (rest.select("bucket", "leader", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "sketch")]) for x in "ab")
-    apart = sum(F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(-(-bands * rows // 64)))
-    left = one.join(two.drop("leader"), "bucket").where("component_a < component_b AND id_a != leader AND id_b != leader").where(apart <= most)
-    more = materialise(confirm(pairs_of("id_a", "id_b", left)), "links")
+    more = materialise(tiled_links(members, components, texts, shingle, percent, miss, bands, rows), "links")
     if not more.isEmpty():
         merged = components.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
         components = materialise(connected_components(merged), "components")
