@@ -55,7 +55,7 @@ def trailing_deviation(events: DataFrame, entity: str, date: str, values: list[s
         mean = F.aggregate(f"_x_{v}", F.lit(0.0), lambda a, e: a + e) / F.nullif(n, F.lit(0))
         out = out.withColumn(f"mean_{v}", mean)
         square = F.aggregate(F.zip_with(f"_x_{v}", F.array_repeat(F.col(f"mean_{v}"), n), lambda e, m: (e - m) * (e - m)), F.lit(0.0), lambda a, e: a + e)
-        out = out.withColumn(f"std_{v}", F.when(n >= 2, F.sqrt(square / (n - 1))))
+        out = out.withColumn(f"std_{v}", F.when(n < 2, None).when(F.array_min(f"_x_{v}") == F.array_max(f"_x_{v}"), 0.0).when(n >= 2, F.sqrt(square / (n - 1))))
         scores.append(F.when((F.col("n") >= least) & (F.col(f"std_{v}") > 0), F.abs(F.col(v) - F.col(f"mean_{v}")) / F.col(f"std_{v}")))
     known = F.array_compact(F.array(*scores))
     deviation = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, e: a + e) / F.size(known))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("timeseries", "joins", "scores", "levels")
+FAMILIES = ("timeseries", "joins", "scores", "levels", "evaluation")
 
 
 def _registry():

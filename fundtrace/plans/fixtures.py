@@ -33,8 +33,8 @@ VIEWS = {
         SELECT year(o_orderdate) * 12 + month(o_orderdate) AS month_idx, round(avg(o_totalprice) / 100000, 9) AS rate
         FROM {orders} GROUP BY 1""",
     "fx_port_month": """
-        SELECT portfolio, caldt, month_idx, round(avg(mret), 9) AS mret, round(avg(exp_ratio), 9) AS exp_ratio,
-               round(avg(turn_ratio), 9) AS turn_ratio, round(sum(new_sls - redemp), 4) AS flow, round(sum(mtna), 4) AS mtna,
+        SELECT portfolio, caldt, month_idx, round(avg(mret), 12) AS mret, round(avg(exp_ratio), 12) AS exp_ratio,
+               round(avg(turn_ratio), 12) AS turn_ratio, round(sum(new_sls - redemp), 4) AS flow, round(sum(mtna), 4) AS mtna,
                min_by(manager, fund) AS manager, min_by(family, fund) AS family
         FROM {fx_fund_month} GROUP BY portfolio, caldt, month_idx""",
     "fx_holdings": """

@@ -10,9 +10,9 @@ from fundtrace.operators import levels as lv
 from fundtrace.plans.registry import Views, query
 
 
-@query("a01_portfolio_month", "SELECT portfolio, caldt, round(avg(mret), 5) AS mret, round(avg(exp_ratio), 5) AS exp_ratio, round(sum(new_sls - redemp), 2) AS flow, min_by(manager, fund) AS manager FROM {fx_fund_month} GROUP BY 1, 2")
+@query("a01_portfolio_month", "SELECT portfolio, caldt, round(avg(mret), 4) AS mret, round(sum(mtna), 2) AS mtna, round(sum(new_sls - redemp), 2) AS flow, min_by(manager, fund) AS manager FROM {fx_fund_month} GROUP BY 1, 2")
 def portfolio_month(v: Views):
-    return v.fx_fund_month.groupBy("portfolio", "caldt").agg(F.round(F.avg("mret"), 5).alias("mret"), F.round(F.avg("exp_ratio"), 5).alias("exp_ratio"), F.round(F.sum(F.col("new_sls") - F.col("redemp")), 2).alias("flow"), F.min_by("manager", "fund").alias("manager"))
+    return v.fx_fund_month.groupBy("portfolio", "caldt").agg(F.round(F.avg("mret"), 4).alias("mret"), F.round(F.sum("mtna"), 2).alias("mtna"), F.round(F.sum(F.col("new_sls") - F.col("redemp")), 2).alias("flow"), F.min_by("manager", "fund").alias("manager"))
 
 
 BETAS = "SELECT ticker, round(covar_samp(ret, bret) / var_samp(bret), 9) AS beta FROM {fx_brand_month} JOIN {fx_benchmark} USING (month_idx) WHERE ticker <> 'Brand#4' GROUP BY 1"
