@@ -88,8 +88,8 @@ class Automaton:
 
     def _gadget(self, rank: int, a: int, b: int, c: int) -> None:
         """Split the state after ``a``, drop its arc ``b``, add the arc ``c`` to the state after ``b``."""
-        if not self._work_out(a, b):
-            return  # the pair can't stand any more, so this merge never applies
+        if any(len(self.labels[t]) > 1 and t not in self.born for t in (a, b)) or not self._work_out(a, b):
+            return  # the pair can't stand, so this merge never applies
         self.lost[a, b] = rank
         if c not in self.born:
             self.born[c], self.parts[c] = rank, (a, b)
