@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fundtrace.operators.evaluation import direction_metrics, roc_auc
+from fundtrace.operators.scores import number_rows
 
 
 def infer_features(df: DataFrame, columns: list[str], least: int = 20) -> DataFrame:
@@ -91,16 +92,9 @@ def fit_magnitude(rows: DataFrame, columns: list[str], target: str, split: str =
 
 
 def shuffled(df: DataFrame, key: str, column: str, seed: int) -> DataFrame:
-    """The column's values dealt anew: the n-th by key gets the value of the n-th by hash. Ranks come from sorted partitions."""
-    def numbered(d: DataFrame, order: list) -> DataFrame:
-        s = d.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-        s = s.persist()
-        first = s.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_lo"))
-        offset = first.select("_part", "_lo", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
-        return s.join(F.broadcast(offset), "_part").withColumn("_nth", F.col("_before") + F.col("_at") - F.col("_lo")).drop("_part", "_at", "_lo", "_before")
-
-    a = numbered(df.drop(column), [F.col(key)])
-    b = numbered(df.select(key, column), [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]).select("_nth", column)
+    """The column's values dealt anew: the n-th by key gets the value of the n-th by hash."""
+    a = number_rows(df.drop(column), [F.col(key)], "_nth")
+    b = number_rows(df.select(key, column), [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], "_nth").select("_nth", column)
     return a.join(b, "_nth").select(df.columns)
 
 

@@ -22,6 +22,25 @@ def share_at_or_below(value: str, by: list[str], null_score: float | None = 0.5)
     return F.when(F.col(value).isNotNull(), F.cume_dist().over(w)).otherwise(F.lit(null_score))
 
 
+def number_rows(df: DataFrame, order: list, name: str = "nth") -> DataFrame:
+    """Number all rows from 0 in a total order: sorted partitions and one offset for each, no single-task window."""
+    s = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).persist()
+    first = s.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_lo"))
+    offset = first.select("_part", "_lo", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
+    return s.join(F.broadcast(offset), "_part").withColumn(name, F.col("_before") + F.col("_at") - F.col("_lo")).drop("_part", "_at", "_lo", "_before")
+
+
+def share_at_or_below_all(df: DataFrame, value: str, name: str, null_score: float = 0.5) -> DataFrame:
+    """Add the share of all rows' non-null values at or below; for tables too large for one window."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
+    s = counts.orderBy(value).withColumn("_part", F.spark_partition_id()).persist()
+    parts = s.groupBy("_part").agg(F.sum("_c").alias("_n"))
+    offset = parts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy()).alias("_all"))  # a row for each partition
+    upto = F.col("_before") + F.sum("_c").over(W.partitionBy("_part").orderBy(value))
+    shares = s.join(F.broadcast(offset), "_part").select(F.col(value).alias("_v"), (upto / F.col("_all")).alias(name))
+    return df.join(shares, F.col(value) == F.col("_v"), "left").drop("_v").withColumn(name, F.coalesce(name, F.lit(null_score)))
+
+
 def expanding_scores(events: DataFrame, entity: str, date: str, value: str, least: int = 3) -> DataFrame:
     """Point-in-time score of each entity at each event date: history before it, Sharpe-like ratio, reliability, rank.
 

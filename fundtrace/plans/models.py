@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fundtrace import contract
 from fundtrace.operators import evaluation as ev
 from fundtrace.operators import models as md
 from fundtrace.operators.joins import first_by
+from fundtrace.operators.scores import number_rows
 from fundtrace.plans.registry import Views, query
 from fundtrace.sources import tables as st
 
@@ -160,8 +160,9 @@ def regime_matrix(v: Views):
 @query("a34_signal_quintiles", """
 WITH q AS (SELECT least(4, floor((row_number() OVER (ORDER BY p, doc_id) - 1) * 5.0 / count(*) OVER ()))::INTEGER AS bucket, y FROM {fx_scores}) SELECT bucket, count(*) AS n, round(avg(y), 6) AS hit_rate FROM q GROUP BY 1""")
 def signal_quintiles(v: Views):
-    q = F.least(F.lit(4), F.floor((F.row_number().over(W.orderBy("p", "doc_id")) - 1) * 5.0 / F.count("*").over(W.partitionBy()))).cast("int")
-    return v.fx_scores.select(q.alias("bucket"), "y").groupBy("bucket").agg(F.count("*").alias("n"), F.avg("y").alias("hit_rate"))
+    n = F.broadcast(v.fx_scores.agg(F.count("*").alias("n")))
+    ranked = number_rows(v.fx_scores.select("doc_id", "p", "y"), ["p", "doc_id"]).join(n, F.lit(True))
+    return ranked.select(F.least(F.lit(4), F.floor(F.col("nth") * 5.0 / F.col("n"))).cast("int").alias("bucket"), "y").groupBy("bucket").agg(F.count("*").alias("n"), F.avg("y").alias("hit_rate"))
 
 
 @query("j21_trailing_self_join", """

@@ -176,8 +176,7 @@ WITH r AS (SELECT portfolio, report_dt, cume_dist() OVER (ORDER BY CAST(round(ab
 SELECT portfolio, report_dt, round(0.6 * a + 0.4 * b, 6) AS score, CASE WHEN a >= 0.9 AND b >= 0.9 THEN 'large bond change; high turnover' WHEN a >= 0.9 THEN 'large bond change' WHEN b >= 0.9 THEN 'high turnover' ELSE '' END AS reason FROM r""")
 def unusual_score(v: Views):
     r = v.fx_events.withColumn("c", F.round(F.abs(F.coalesce("d_bond", F.lit(0.0))) * 1e9).cast("long"))
-    a, b = sc.share_at_or_below("c", []), sc.share_at_or_below("turn_ratio", [])
-    r = r.select("portfolio", "report_dt", a.alias("a"), b.alias("b"))
+    r = sc.share_at_or_below_all(sc.share_at_or_below_all(r, "c", "a"), "turn_ratio", "b")
     reason = F.array_join(F.array_compact(F.array(F.when(F.col("a") >= 0.9, F.lit("large bond change")), F.when(F.col("b") >= 0.9, F.lit("high turnover")))), "; ")
     return r.select("portfolio", "report_dt", (0.6 * F.col("a") + 0.4 * F.col("b")).alias("score"), reason.alias("reason"))
 
