@@ -16,9 +16,7 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the nearest labelled examples call toxic. Labels: those of the teaching rows."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scores = toxicity.score_documents(docs, labels, "toxic", toxicity.TRAIN)
-    toxic = scores.where(F.col("score") >= toxicity.REJECT).select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
+    return toxicity.without_toxic(docs, labels, "toxic", toxicity.TRAIN, toxicity.REJECT)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,30 +78,38 @@ def choose_vocabulary(examples: DataFrame) -> list[str]:
     return [r["term"] for r in found.select("term").collect()]
 
 
+def term_counter(place: dict[str, int]):
+    """Function from a text to its vocabulary places (sorted) and their counts."""
+    known: dict[str, tuple[int, ...]] = {}
+
+    def count(text: str | None) -> tuple[list[int], list[int]]:
+        n: Counter = Counter()
+        for w in words_of(text):
+            own = known.get(w)
+            if own is None:
+                own = tuple(place[t] for t in terms_of(w) if t in place)
+                if len(known) > KNOWN:
+                    known.clear()
+                if len(w) <= 40:
+                    known[w] = own
+            if own:
+                n.update(own)
+        terms = sorted(n)
+        return terms, [n[t] for t in terms]
+
+    return count
+
+
 def vectors(df: DataFrame, vocabulary: list[str]) -> DataFrame:
     """id, terms (sorted places in the vocabulary) and tf (counts) of each row (id, text)."""
     shared = df.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
     kind = df.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place, known = shared.value, {}
+        count = term_counter(shared.value)
         for b in batches:
-            terms, tf = [], []
-            for text in b["text"]:
-                n: Counter = Counter()
-                for w in words_of(text):
-                    own = known.get(w)
-                    if own is None:
-                        own = tuple(place[t] for t in terms_of(w) if t in place)
-                        if len(known) > KNOWN:
-                            known.clear()
-                        if len(w) <= 40:
-                            known[w] = own
-                    if own:
-                        n.update(own)
-                terms.append(sorted(n))
-                tf.append([n[t] for t in terms[-1]])
-            yield pd.DataFrame({"id": b["id"], "terms": terms, "tf": tf})
+            found = [count(text) for text in b["text"]]
+            yield pd.DataFrame({"id": b["id"], "terms": [f[0] for f in found], "tf": [f[1] for f in found]})
 
     return df.select("id", "text").mapInPandas(run, f"id {kind}, terms array<int>, tf array<int>")
 
@@ -183,15 +191,35 @@ class BlockMaxIndex:
         return 1 / (1 + math.exp(-min(50.0, max(-50.0, self.slope * _logit(self.vote(near, share)) + self.shift))))
 
 
-def score_documents(df: DataFrame, labels: DataFrame, label_col: str, train: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Score every row: ``id_col``, score (0 to 1) and evidence (nearest examples: id of one, rows alike, toxic ones
-    among them, cosine; nearest first).
+class Classifier:
+    """Vocabulary, index and shares: all that a task needs to score a text."""
 
-    ``labels`` has ``id_col`` and ``label_col`` (0 or 1; others are no labels). Only rows for which the SQL expression
-    ``train`` (over a column named id) holds are examples; at most about ``MAX_EXAMPLES``, chosen by hash. A document
-    without any vocabulary term, an empty or null one included, gets the share of toxic ones among examples without
-    any. Without examples of both classes every score is their share, starting from one row of each class.
-    """
+    def __init__(self, vocabulary: list[str], index: BlockMaxIndex, share: float, without: float):
+        self.place = {t: i for i, t in enumerate(vocabulary)}
+        self.index, self.share, self.without = index, share, without
+
+    def scorer(self):
+        """Function from terms and tf to score and evidence, which remembers vectors it has seen."""
+        known: dict[tuple, tuple[float, list]] = {}
+
+        def score(terms, tf) -> tuple[float, list[dict]]:
+            key = (tuple(terms), tuple(tf))
+            got = known.get(key)
+            if got is None:
+                near = self.index.nearest(*key, NEIGHBOURS) if key[0] else []
+                p = self.index.probability(near, self.share) if near else self.without
+                i = self.index
+                got = (p, [{"id": i.ids[at], "n": int(i.rows[at]), "toxic": int(i.toxic[at]), "cosine": s} for s, at in near])
+                if len(known) > FLUSH:
+                    known.clear()
+                known[key] = got
+            return got
+
+        return score
+
+
+def train(df: DataFrame, labels: DataFrame, label_col: str, train: str, id_col: str, text_col: str) -> tuple[Classifier, DataFrame]:
+    """The classifier, and the vectors of all rows (id, terms, tf) over which its document frequencies are counted."""
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(F.expr(train))
     n = y.count()
     if n > MAX_EXAMPLES:
@@ -214,32 +242,44 @@ def score_documents(df: DataFrame, labels: DataFrame, label_col: str, train: str
     index = BlockMaxIndex(idf, [(tuple(r["terms"]), tuple(r["tf"]), r["n"], r["toxic"], r["one"]) for r in alike if r["terms"]])
     index.calibrate(share)
     index.examples = []
-    shared = df.sparkSession.sparkContext.broadcast((index, share, without))
+    return Classifier(vocabulary, index, share, without), base
+
+
+def score_documents(df: DataFrame, labels: DataFrame, label_col: str, teach: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Score every row: ``id_col``, score (0 to 1) and evidence (nearest examples: id of one, rows alike, toxic ones
+    among them, cosine; nearest first).
+
+    ``labels`` has ``id_col`` and ``label_col`` (0 or 1; others are no labels). Only rows for which the SQL expression
+    ``teach`` (over a column named id) holds are examples; at most about ``MAX_EXAMPLES``, chosen by hash. A document
+    without any vocabulary term, an empty or null one included, gets the share of toxic ones among examples without
+    any. Without examples of both classes every score is their share, starting from one row of each class.
+    """
+    classifier, base = train(df, labels, label_col, teach, id_col, text_col)
+    shared = df.sparkSession.sparkContext.broadcast(classifier)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, share, without = shared.value
-        known: dict[tuple, tuple[float, list]] = {}
+        score = shared.value.scorer()
         for b in batches:
-            out = []
-            for i, terms, tf in zip(b["id"], b["terms"], b["tf"], strict=True):
-                key = (terms.tobytes(), tf.tobytes())
-                got = known.get(key)
-                if got is None:
-                    near = index.nearest(terms, tf, NEIGHBOURS) if len(terms) else []
-                    score = index.probability(near, share) if near else without
-                    evidence = [{"id": index.ids[at], "n": int(index.rows[at]), "toxic": int(index.toxic[at]), "cosine": s} for s, at in near]
-                    got = (score, evidence)
-                    if len(known) > FLUSH:
-                        known.clear()
-                    known[key] = got
-                out.append((i, *got))
-            yield pd.DataFrame(out, columns=["id", "score", "evidence"])
+            got = [score(terms, tf) for terms, tf in zip(b["terms"], b["tf"], strict=True)]
+            yield pd.DataFrame({"id": b["id"], "score": [g[0] for g in got], "evidence": [g[1] for g in got]})
 
     out = base.mapInPandas(run, f"id {kind}, score double, evidence array<struct<id: {kind}, n: long, toxic: long, cosine: double>>")
     return out.withColumnRenamed("id", id_col)
 
 
+def without_toxic(df: DataFrame, labels: DataFrame, label_col: str, teach: str, reject: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that score below ``reject``, as they are. Each is scored where it is read, so no text is shuffled."""
+    shared = df.sparkSession.sparkContext.broadcast(train(df, labels, label_col, teach, id_col, text_col)[0])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count, score = term_counter(shared.value.place), shared.value.scorer()
+        for b in batches:
+            yield b[np.array([score(*count(t))[0] < reject for t in b[text_col]], dtype=bool)]
+
+    return df.mapInPandas(run, df.schema)
+
+
 def _logit(p: float) -> float:
     p = min(max(p, 1e-4), 1 - 1e-4)
     return math.log(p / (1 - p))
