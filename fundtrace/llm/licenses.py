@@ -1,7 +1,8 @@
 """Operator 5: licence scan by sparse TF-IDF cosine to templates, with inheritance from the nearest directory above.
 
-Each line of a file and its whole text are compared with the templates. A term's document frequency is counted over all
-files; terms that no template has only lengthen a vector, as terms that one file has. Files without a licence of their own take
+Each line of a file and its whole text are compared with the templates. The document frequency of every term is counted
+over all files. Words that no template has only lengthen a vector, so lines that miss the bar even where these have the
+least weight are left out early; the rest are joined with the frequencies of their terms. Files without a licence of their own take
 that of the nearest directory above them that holds a licence file. Directories are joined by path, once each.
 """
 
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundtrace.llm.common import documents
+from fundtrace.llm.common import documents, materialise
 
 #: Short texts by which licences are named in headers.
 TEMPLATES = {
@@ -35,6 +36,7 @@ TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 THRESHOLD = 0.7
 #: Licence words of which a line or text must have one to be compared.
 MARKS = frozenset("license licensed licence licenced permission redistribution gnu copyright".split())
+FLUSH, PART = 150_000, 20_000
 
 
 def terms_of(text: str) -> Counter:
@@ -42,26 +44,31 @@ def terms_of(text: str) -> Counter:
 
 
 class Templates:
-    """Normalised template vectors."""
+    """Normalised template vectors. ``df`` has the files of each template word, ``files`` is their number."""
 
     def __init__(self, df: dict[str, int], files: int):
-        self.idf = {t: math.log((1 + files) / (1 + df.get(t, 0))) + 1 for t in vocabulary()}
-        self.other = math.log((1 + files) / 2) + 1
+        self.files = files
+        self.idf = {t: self.weight(df.get(t, 0)) for t in vocabulary()}
         self.vectors = []
         for name, texts in sorted(TEMPLATES.items()):
             for text in texts:
                 w = {t: (1 + math.log(n)) * self.idf[t] for t, n in terms_of(text).items()}
-                size = math.sqrt(sum(x * x for x in w.values()))
+                size = math.sqrt(math.fsum(x * x for x in w.values()))
                 self.vectors.append((name, {t: x / size for t, x in w.items()}))
 
-    def best(self, text: str) -> tuple[float, str | None]:
-        """Highest cosine and its licence; the earlier name on a tie."""
-        terms = terms_of(text)
+    def weight(self, df: int) -> float:
+        return math.log((1 + self.files) / (1 + df)) + 1
+
+    def best(self, terms: dict[str, int], df: dict[str, int] | None = None) -> tuple[float, str | None]:
+        """Highest cosine and its licence; the earlier name on a tie. ``df``: files of each word that no template has.
+
+        Without ``df`` these words weigh what a word of every file does, the least there is: no cosine is higher than that.
+        """
         if not any(t in MARKS for t in terms):
             return 0.0, None
-        w = {t: (1 + math.log(n)) * self.idf.get(t, self.other) for t, n in terms.items()}
-        size = math.sqrt(sum(x * x for x in w.values()))
-        found = [(sum(x * w.get(t, 0.0) for t, x in v.items()) / size, name) for name, v in self.vectors]
+        w = {t: (1 + math.log(n)) * (self.idf[t] if t in self.idf else 1.0 if df is None else self.weight(df[t])) for t, n in terms.items()}
+        size = math.sqrt(math.fsum(x * x for x in w.values()))
+        found = [(math.fsum(x * w.get(t, 0.0) for t, x in v.items()) / size, name) for name, v in self.vectors]
         cosine = max(c for c, _ in found)
         return cosine, next(name for c, name in found if c >= cosine - 1e-12)
 
@@ -70,11 +77,8 @@ def vocabulary() -> list[str]:
     return sorted({t for texts in TEMPLATES.values() for text in texts for t in terms_of(text)})
 
 
-def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Licence of each file's own text: path, license (null: none), cosine, line (from 1; 0: whole text) and n_words.
-
-    The best line or the whole text counts, the earlier one on a tie. Null or empty text has no licence.
-    """
+def document_frequencies(rows: DataFrame) -> DataFrame:
+    """term, df: in how many rows (text) each term is that more than one row has, or a template; '' has their number."""
     words = vocabulary()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,35 +86,64 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
         for b in batches:
             for text in b["text"]:
                 n[""] += 1
-                seen = set(TERM.findall((text or "").lower()))
-                n.update(t for t in words if t in seen)
-        if n:
-            yield pd.DataFrame({"term": list(n), "n": list(n.values())})
+                n.update(set(TERM.findall((text or "").lower())))
+                if len(n) > FLUSH:  # part counts go out early, so memory stays bounded
+                    yield from parts(n)
+                    n = Counter()
+        yield from parts(n)
+
+    def parts(n: Counter) -> Iterator[pd.DataFrame]:
+        names = list(n)
+        for i in range(0, len(names), PART):
+            yield pd.DataFrame({"term": names[i : i + PART], "n": [n[t] for t in names[i : i + PART]]})
+
+    counts = rows.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    return materialise(counts.where((F.col("df") > 1) | F.col("term").isin("", *words)), "terms")
 
+
+def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Licence of each file's own text: path, license (null: none), cosine, line (from 1; 0: whole text) and n_words.
+
+    The best line or the whole text counts, the earlier one on a tie. Null or empty text has no licence.
+    """
     rows = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    counts = {r["term"]: r["n"] for r in rows.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    shared = files.sparkSession.sparkContext.broadcast(Templates(counts, counts.get("", 0)))
+    frequencies = document_frequencies(rows)
+    counts = {r["term"]: r["df"] for r in frequencies.where(F.col("term").isin("", *vocabulary())).collect()}
+    templates = Templates(counts, counts.get("", 0))
+    shared = files.sparkSession.sparkContext.broadcast(templates)
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         templates = shared.value
         for b in batches:
             out = []
             for path, text in zip(b["path"], b["text"], strict=True):
-                best, text = (0.0, None, 0), text or ""
+                found, text = [], text or ""
                 if any(m in (low := text.lower()) for m in ("licen", "permission", "redistrib", "gnu", "copyright")):
-                    for i, line in enumerate(low.split("\n"), 1):
-                        cosine, name = templates.best(line)
-                        if cosine > best[0]:
-                            best = (cosine, name, i)
-                    cosine, name = templates.best(low)
-                    if cosine > best[0]:
-                        best = (cosine, name, 0)
-                hit = best[0] >= threshold
-                out.append((path, best[1] if hit else None, best[0] if hit else None, best[2] if hit else None, len(text.split())))
-            frame = pd.DataFrame(out, columns=["path", "license", "cosine", "line", "n_words"])
-            yield frame.astype({"cosine": "float64", "line": "Int32"})
-
-    return rows.mapInPandas(match, "path string, license string, cosine double, line int, n_words long")
+                    lines = low.split("\n")
+                    for i, line in [*enumerate(lines, 1), *([(0, low)] if len(lines) > 1 else [])]:
+                        terms = terms_of(line)
+                        if templates.best(terms)[0] >= threshold - 1e-9:
+                            found.append({"line": i, "bag": " ".join(f"{t}:{n}" for t, n in sorted(terms.items()))})
+                out.append((path, found, len(text.split())))
+            yield pd.DataFrame(out, columns=["path", "found", "n_words"])
+
+    # lines and texts that reach the bar if every other word has the least weight; equal ones are compared once
+    given = rows.mapInPandas(find, "path string, found array<struct<line: int, bag: string>>, n_words long")
+    given = materialise(given.withColumn("row", F.monotonically_increasing_id()), "lines")
+    each = given.select("row", F.explode("found").alias("c")).select("row", "c.*")
+    terms = each.select("bag").distinct().select("bag", F.explode(F.split("bag", " ")).alias("t")).select("bag", F.split("t", ":")[0].alias("term"))
+    known = terms.join(frequencies, "term", "left").groupBy("bag").agg(F.map_from_entries(F.collect_list(F.struct("term", F.coalesce("df", F.lit(1)).alias("df")))).alias("df"))
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        templates = shared.value
+        for b in batches:
+            got = [templates.best({t: int(n) for t, n in (x.split(":") for x in bag.split(" "))}, dict(df)) for bag, df in zip(b["bag"], b["df"], strict=True)]
+            yield pd.DataFrame({"bag": b["bag"], "cosine": [g[0] for g in got], "license": [g[1] for g in got]})
+
+    hits = known.mapInPandas(match, "bag string, cosine double, license string").where(F.col("cosine") >= threshold)
+    first = F.struct(F.negative("cosine"), F.col("line") == 0, "line")
+    best = each.join(hits, "bag").groupBy("row").agg(F.min_by(F.struct("license", "cosine", "line"), first).alias("best"))
+    return given.join(best, "row", "left").select("path", "best.license", "best.cosine", "best.line", "n_words")
 
 
 def inherit(scanned: DataFrame, is_license_file: Column) -> DataFrame:

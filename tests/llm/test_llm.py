@@ -208,6 +208,20 @@ def test_licenses(spark):
     assert licenses.inherit(licenses.scan(files.where("false")), F.lit(True)).count() == 0
 
 
+def test_licenses_weigh_all_words(spark):
+    """Ordinary words weigh little however many files there are: cosines are those of a plain TF-IDF over all terms."""
+    line = "This work is licensed under the GNU General Public License, version 3."
+    texts = ["this work is the one under review"] * 4000 + ["unlicensed text, a licence of no kind is named here", line, "code\n" + line + "\n" + "this work is the one " * 50]
+    files = spark.range(len(texts), numPartitions=4).withColumn("text", F.when(F.col("id") < 4000, texts[0]).when(F.col("id") == 4000, texts[4000]).when(F.col("id") == 4001, texts[4001]).otherwise(texts[4002]))
+    got = licenses.scan(files.withColumn("path", F.col("id").cast("string"))).where("license is not null").toPandas().set_index("path")
+    terms = lambda t: re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", t.lower())
+    df = pd.Series([t for text in texts for t in set(terms(text))]).value_counts()
+    weigh = lambda t: {x: (1 + np.log(n)) * (np.log((1 + len(texts)) / (1 + df.get(x, 0))) + 1) for x, n in pd.Series(terms(t)).value_counts().items()}
+    a, b = weigh(line), weigh("GNU General Public License, version 3.")
+    cosine = sum(a[x] * b.get(x, 0) for x in a) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    assert set(got.index) == {"4001", "4002"} and (got.license == "GPL-3.0").all() and list(got.line.sort_index()) == [1, 2] and np.allclose(got.cosine, cosine)
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------
 
 
