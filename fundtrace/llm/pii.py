@@ -1,10 +1,11 @@
 """Operator 3: personal data by bootstrapped contextual extraction.
 
 Identifiers of fixed form (the base) are seeds. The words around them are lexical patterns: the two words before, or the
-word before with the word after. Every other token that looks somewhat like an identifier is a candidate of its kind, and
-has patterns too. Spark scores the graph of patterns and instances in rounds: a pattern is as good as the share of its
-instances that are known, given enough different known ones; a candidate is as good as its patterns together, and a
-candidate above the bar counts as known in the next round. Candidates that patterns of high confidence reach are added.
+word before with the word after. Every other token or run of digits, spaces within it included, that looks somewhat like an
+identifier is a candidate of each kind it looks like, and has patterns too. Spark scores the graph of patterns and instances
+in rounds until nothing changes: a pattern is as good as the share of its instances that are known, given enough different
+known ones; a candidate is as good as its patterns together, and a candidate above the bar counts as known in the next
+round. Candidates that patterns of high confidence reach are added.
 """
 
 from __future__ import annotations
@@ -34,9 +35,13 @@ LOOSE = (
     ("card", re.compile(r"[0-9][0-9\x20-]{10,24}[0-9]")),
     ("phone", re.compile(r"[+(]?[0-9][0-9()./\x20-]{5,20}[0-9]")),
 )
+#: Whole runs of the loose forms that may have spaces; matches are held against LOOSE. None is tried again from its inside.
+RUNS = (
+    ("card", re.compile(r"(?<!\w)[0-9](?:[\x20-]*+[0-9])*+")),
+    ("phone", re.compile(r"(?<!\w)[+(]?[0-9](?:[()./\x20-]*+[0-9])*+")),
+)
 #: A pattern needs so many different known instances and this confidence; a candidate this score.
 SUPPORT, CONFIDENCE, KNOWN = 4, 0.8, 0.9
-ROUNDS = 3
 
 
 def luhn(digits: str) -> bool:
@@ -93,8 +98,8 @@ def mentions(text: str, base: dict[str, list[tuple[int, int]]]) -> list[dict]:
     """Base identifiers and candidates, with the patterns around them."""
     spans = [(s, e, k, True) for k in KINDS for s, e in base[k]]
     taken = sorted((s, e) for s, e, _, _ in spans)
-    at = 0
-    for m in TOKEN.finditer(text) if "@" in text or any(d in text for d in "0123456789") else ():
+    at, found, loose, digits = 0, set(), dict(LOOSE), any(d in text for d in "0123456789")
+    for m in TOKEN.finditer(text) if "@" in text or digits else ():
         s, e = m.span()
         token = m[0]
         cut = len(token) - len(token.lstrip(EDGE))
@@ -104,9 +109,16 @@ def mentions(text: str, base: dict[str, list[tuple[int, int]]]) -> list[dict]:
             at += 1
         if not token or any(a < e for a, b in taken[at : at + 4] if b > s):
             continue
-        kind = next((k for k, p in LOOSE if p.fullmatch(token)), None)
-        if kind:
-            spans.append((s, e, kind, False))
+        found.update((s, e, k) for k, p in LOOSE if p.fullmatch(token))
+    begin = 0
+    for a, b in [*taken, (len(text), len(text))] if digits else ():  # what lies between base identifiers
+        for kind, run in RUNS if a > begin else ():
+            for m in run.finditer(text, begin, a):
+                s, e = m.span()
+                if not text[e : e + 1].isalnum() and loose[kind].fullmatch(m[0]):
+                    found.add((s, e, kind))
+        begin = max(begin, b)
+    spans += [(*x, False) for x in sorted(found)]
     out = []
     for s, e, kind, seed in spans:
         before = text[max(0, s - 120) : s].split()[-2:]
@@ -148,16 +160,22 @@ def discover(found: DataFrame) -> DataFrame:
     pairs = each.select("kind", "instance", "seed", F.explode("patterns").alias("pattern"))
     edges = pairs.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"))
     # only patterns with enough different instances can ever be sure of anything
-    able = edges.groupBy("kind", "pattern").agg(F.count_if("seed").alias("n"), F.count("*").alias("of")).where((F.col("n") > 0) & (F.col("of") >= SUPPORT))
-    edges = materialise(edges.join(able.select("kind", "pattern"), ["kind", "pattern"], "left_semi").withColumn("known", F.col("seed").cast("double")), "patterns")
-    sure = None
-    for _ in range(ROUNDS):
-        share = edges.groupBy("kind", "pattern").agg(F.count_if(F.col("known") >= KNOWN).alias("n"), F.avg("known").alias("confidence"))
-        sure = share.where((F.col("n") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("kind", "pattern", "confidence")
-        scored = edges.join(sure, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("score"))
-        edges = edges.join(scored, ["kind", "instance"], "left").withColumn("known", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))).drop("score")
-        edges = materialise(edges, "patterns")
-    sure = materialise(sure, "sure")
+    able = edges.groupBy("kind", "pattern").agg(F.count("*").alias("of")).where(F.col("of") >= SUPPORT)
+    edges = materialise(edges.join(able.select("kind", "pattern"), ["kind", "pattern"], "left_semi"), "patterns")
+    scores, before = None, -1
+    while True:  # scores only rise, on a grid of 1e-6
+        known = F.col("seed").cast("double")
+        if scores is not None:
+            known = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
+        rated = (edges if scores is None else edges.join(scores, ["kind", "instance"], "left")).withColumn("known", known)
+        share = rated.groupBy("kind", "pattern").agg(F.count_if(F.col("known") >= KNOWN).alias("n"), F.avg("known").alias("confidence"))
+        sure = materialise(share.where((F.col("n") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("kind", "pattern", "confidence"), "sure")
+        score = F.round(1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))), 6)
+        scores = materialise(edges.where("not seed").join(sure, ["kind", "pattern"]).groupBy("kind", "instance").agg(score.alias("score")), "scores")
+        total = scores.agg(F.coalesce(F.sum(F.round(F.col("score") * 1e6).cast("long")), F.lit(0))).first()[0]
+        if total <= before or not total:
+            break
+        before = total
     new = each.where("not seed").select("row", "kind", "start", "end", F.explode("patterns").alias("pattern"))
     return new.join(sure, ["kind", "pattern"]).groupBy("row", "kind", "start", "end").agg(F.max("confidence").alias("score"))
 
