@@ -2,8 +2,9 @@
 
 Every block with text passes points to its ancestors: one, one for each comma, and up to three for its length; the full
 sum to its parent, a half to the grandparent, a third and so on above. A container's sum is discounted by the share of
-its text that stands in links. The best container is kept, with those siblings that score at least a fifth of it or
-are long paragraphs with few links. Menus, headers, footers, sidebars, notices, adverts, forms, comments and code are
+its text that stands in links. If the best container lies in an article or main, that is kept; else it grows to ancestors
+that add next to no links, and is kept with those siblings that score at least a fifth of it or are text, headings,
+paragraphs, lists, tables or quotes with few links. Menus, headers, footers, sidebars, notices, adverts, forms, comments and code are
 taken out of the tree first, by tag, role, class or id.
 """
 
@@ -47,6 +48,9 @@ WEIGHT = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 5.0, "pre": 3.0,
 KEPT = {"html", "body", "article", "main"}
 #: How far up a block passes points, so that deep pages stay linear.
 LEVELS = 12
+#: Siblings of the best container that are kept whatever they score; and the share of links up to which an ancestor is taken.
+BESIDE = INLINE | {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "p", "ul", "ol", "dl", "table", "blockquote", "pre", "figure", "details", "address"}
+FEW_LINKS = 0.1
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -218,17 +222,31 @@ def extract(html: str | None) -> str:
     for n in scored:
         n.score = (n.score + WEIGHT.get(n.tag, 0.0)) * (1 - density[n])
     best = max((n for n in nodes if n in scored), key=lambda n: (n.score, n.depth))
-    if best.parent is None:
-        return text_of(best)
-    least, out = best.score / 5, []
-    for x in best.parent.parts:
-        if x is best:
-            out.append(text_of(x))
-        elif type(x) is Node and best.tag not in ("article", "main"):
-            long = x.tag == "p" and (sizes[x][0] > 80 and density[x] < 0.25 or sizes[x][0] and density[x] == 0)
-            if x in scored and x.score >= max(least, 1) and density[x] < 0.5 or long:
-                out.append(text_of(x))
-    return " ".join(t for t in out if t)
+    around = [n for n in _up(best) if n.tag in ("article", "main")]
+    if around:  # the outermost article, or main if there is none
+        return text_of(next((n for n in reversed(around) if n.tag == "article"), around[-1]))
+    top = best
+    for n in _up(best):
+        if n.parent is None or sizes[n][1] - sizes[top][1] > FEW_LINKS * (sizes[n][0] - sizes[top][0]):
+            break
+        top = n
+    if top.parent is None:
+        return text_of(top)
+    least, kept = best.score / 5, Node("div", None)
+    for x in top.parent.parts:
+        if type(x) is str or x is top or x in scored and x.score >= max(least, 1) and density[x] < 0.5:
+            kept.parts.append(x)
+        else:
+            kept.parts.append(x if x.tag in BESIDE and density[x] < 0.25 else " ")
+    return text_of(kept)
+
+
+def _up(node: Node) -> Iterator[Node]:
+    """The element and those it is in, from the inside."""
+    at: Node | None = node
+    while at is not None:
+        yield at
+        at = at.parent
 
 
 def main_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -197,6 +197,18 @@ def test_html_cases(source, text):
     assert html.extract(source) == text
 
 
+@pytest.mark.parametrize("n", [1, 5, 40])
+def test_html_keeps_whole_articles(n):
+    """Headings, lists, quotes, tables, bare text and small sections stay, however long the page is."""
+    beside = "<h1>Head</h1>bare <i>text</i>s<ul><li>item</ul><blockquote>said</blockquote><table><tr><td>cell</table>"
+    body, small = f"<div class=body>{f'<p>{P}</p>' * n}</div>", "<section><h2>Small</h2><p>part</p></section>"
+    said = " ".join(["Head bare texts item said cell", *[P] * n, "Small part"])
+    menu = "<div><a href=a>one</a> <a href=b>two</a></div>"
+    for tag in ("article", "main", "div"):
+        assert html.extract(f"{menu}<{tag}>{beside}{body}{small}</{tag}>") == said
+    assert html.extract(f"{menu}{beside}{body}") == said.removesuffix(" Small part")
+
+
 def test_html_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "clash"), (1, "u", "<p>a", "clash"), (1, "u", "<p>a", "clash")], "page_id long, url string, html string, text string")
     assert sorted(r["text"] for r in html.main_text(pages).collect()) == ["", "a", "a"]
