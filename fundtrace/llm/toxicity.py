@@ -1,7 +1,7 @@
 """Operator 10: toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and the beginnings of words. Those whose use differs between toxic and other examples make up a bounded
-vocabulary; their document frequencies are counted over all documents. The examples (a bounded sample of labelled rows;
+Terms are words and the beginnings of words. Those whose use differs between toxic and other examples make up the
+vocabulary, which the bounded sample of examples bounds; their document frequencies are counted over all documents. The examples (a bounded sample of labelled rows;
 those with equal vectors are one, with counts) form an inverted index in blocks with the largest weight of each term in
 each block. A document visits blocks in order of their bound and stops when no other block can reach its k-th best,
 so the neighbours are exact. Their votes count by similarity, with a little weight for the overall share. A logistic curve,
@@ -26,7 +26,6 @@ WORD = re.compile(r"[^\W\d_]+")
 STARTS = (4, 5, 6, 7, 8)
 #: Labelled rows that teach at most, chosen by a hash of their id.
 MAX_EXAMPLES = 20_000
-MAX_TERMS = 2_000
 #: A term enters the vocabulary by a deviation of this many standard deviations, in at least so many examples.
 DEVIATION, LEAST_EXAMPLES = 5.0, 4
 NEIGHBOURS, PRIOR_WEIGHT, BLOCK = 15, 0.3, 64
@@ -43,7 +42,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def choose_vocabulary(examples: DataFrame) -> list[str]:
-    """Terms that tell toxic examples (text, y) from others; at most ``MAX_TERMS``, ties by name."""
+    """Terms that tell toxic examples (text, y) from others: all of them, the surest first, ties by name."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
@@ -74,7 +73,7 @@ def choose_vocabulary(examples: DataFrame) -> list[str]:
     share = total["toxic"] / total["n"]
     expected = F.col("n") * share
     deviation = (F.col("toxic") - expected) / F.sqrt(expected * (1 - share))
-    found = counts.where("term != ''").withColumn("d", deviation).where(F.col("d") >= DEVIATION).orderBy(F.desc("d"), "term").limit(MAX_TERMS)
+    found = counts.where("term != ''").withColumn("d", deviation).where(F.col("d") >= DEVIATION).orderBy(F.desc("d"), "term")
     return [r["term"] for r in found.select("term").collect()]
 
 
@@ -230,7 +229,7 @@ def train(df: DataFrame, labels: DataFrame, label_col: str, train: str, id_col:
     base = materialise(vectors(rows, vocabulary), "vectors")
 
     total = base.count()
-    places = base.select(F.explode("terms").alias("t")).groupBy("t").count().collect()  # at most MAX_TERMS
+    places = base.select(F.explode("terms").alias("t")).groupBy("t").count().collect()  # a row for each term of the vocabulary
     idf = np.zeros(max(1, len(vocabulary)))
     for r in places:
         idf[r["t"]] = math.log((1 + total) / (1 + r["count"])) + 1

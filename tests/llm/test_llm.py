@@ -425,6 +425,13 @@ def test_toxicity_neighbours_are_exact():
         assert np.allclose([s for s, _ in got], [-c for c, _ in expected]) and {i for _, i in got} == {i for _, i in expected}
 
 
+def test_toxicity_keeps_all_telling_terms(spark):
+    words = ["".join("abcdefghij"[int(c)] for c in f"{i:03d}") for i in range(450)]
+    rows = [(" ".join(f"{w}{kind}" for w in words for kind in "vwxyz") + f" own{i}", 1) for i in range(5)] + [("plain words of no kind", 0)] * 100
+    found = toxicity.choose_vocabulary(spark.createDataFrame(rows, "text string, y int"))
+    assert {f"{w}{kind}" for w in words for kind in "vwxyz"} <= set(found)
+
+
 def test_toxicity_held_out(spark):
     out = toxicity.op10_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
     assert (out.held_out == out.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 3 == 1)).all()
