@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fundtrace.llm.common import materialise
+from fundtrace.llm.common import materialise, release
 
 
 def _towards_minimum(edges: DataFrame) -> DataFrame:
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         linked = small.select(F.col("lo").alias("a"), F.col("m").alias("b")).union(
             least.select(F.col("hi").alias("a"), F.col("m").alias("b"))
         )
-        now = materialise(_towards_minimum(linked), "edges")
+        last, now = now, materialise(_towards_minimum(linked), "edges")
+        release(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -198,26 +199,31 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def mask(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Replace the spans of each document by [KIND]; spans that overlap become one. ``spans``: ``id_col``, spans."""
+    """Replace the spans of each document by [KIND]; spans that overlap become one. ``spans``: ``id_col``, spans.
+
+    Null texts stay null. Rows that repeat an id are masked by the spans of all of them. Other columns pass through as Arrow.
+    """
     some = spans.where(F.size("spans") > 0).groupBy(id_col).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans_of_row"))
     rows = df.join(some, id_col, "left")
+    at = df.columns.index(text_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            for text, spans_ in zip(b[text_col], b["spans_of_row"], strict=True):
-                if text is not None and spans_ is not None:
-                    out, done = [], 0
-                    for s in sorted(spans_, key=lambda s: (s["start"], -s["end"])):
-                        if s["start"] >= done:
-                            out += [text[done : s["start"]], f"[{s['kind'].upper()}]"]
-                        done = max(done, s["end"])
-                    text = "".join([*out, text[done:]])
-                texts.append(text)
-            b[text_col] = texts
-            yield b.drop(columns=["spans_of_row"])
-
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns], "spans_of_row").mapInPandas(run, df.schema)
+            texts = [_masked(t, s) if t and s else t for t, s in zip(b.column(at).to_pylist(), b.column(len(df_columns)).to_pylist(), strict=True)]
+            arrays = [pa.array(texts, b.schema.field(at).type) if i == at else b.column(i) for i in range(len(df_columns))]
+            yield pa.RecordBatch.from_arrays(arrays, names=df_columns)
+
+    df_columns = df.columns
+    return rows.select(*[F.col(f"`{c}`") for c in df_columns], "spans_of_row").mapInArrow(run, df.schema)
+
+
+def _masked(text: str, spans: list[dict]) -> str:
+    out, done = [], 0
+    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+        if s["start"] >= done:
+            out += [text[done : s["start"]], f"[{s['kind'].upper()}]"]
+        done = max(done, s["end"])
+    return "".join([*out, text[done:]])
 
 
 def _listed(column: str):

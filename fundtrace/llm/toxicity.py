@@ -1,166 +1,176 @@
 """Operator 10: toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and the beginnings of words. Those whose use differs between toxic and other examples make up the
-vocabulary, which the bounded sample of examples bounds; their document frequencies are counted over all documents. The examples (a bounded sample of labelled rows;
-those with equal vectors are one, with counts) form an inverted index in blocks with the largest weight of each term in
-each block. A document visits blocks in order of their bound and stops when no other block can reach its k-th best,
-so the neighbours are exact. Their votes count by similarity, with a little weight for the overall share. A logistic curve,
-fitted to the votes that examples get without themselves, makes them probabilities.
+The vector of a text has all its words: (1 + ln tf) * idf * relevance. The idf is over all documents. The relevance
+frequency log2(2 + a / max(1, c)), for a toxic and c other examples with the word, tells words that set toxic texts apart
+from words of every text; it is 1 at least, so no word is left out. Examples are a bounded sample of labelled rows, those
+with equal words are one, with counts, and each counts once in a, c. They form an inverted index in blocks with the largest
+weight of each word in each block. Texts visit blocks in order of their bound and stop when no other block can reach their
+k-th best, so the neighbours are exact. Votes weigh by similarity over distance, so a copy of an example outweighs all else,
+with a little weight for the overall share. A logistic curve, fitted to the votes that examples get without themselves,
+makes them probabilities.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundtrace.llm.common import crc_of, documents, fit_logistic, materialise
 
-WORD = re.compile(r"[^\W\d_]+")
-STARTS = (4, 5, 6, 7, 8)
-#: Labelled rows that teach at most, chosen by a hash of their id.
-MAX_EXAMPLES = 20_000
-#: A term enters the vocabulary by a deviation of this many standard deviations, in at least so many examples.
-DEVIATION, LEAST_EXAMPLES = 5.0, 4
-NEIGHBOURS, PRIOR_WEIGHT, BLOCK = 15, 0.3, 64
-FLUSH, PART, KNOWN = 150_000, 20_000, 200_000
-
-
-def terms_of(word: str) -> list[str]:
-    """A word and its beginnings, which end in a mark that no word has."""
-    return [word, *(word[:n] + "*" for n in STARTS if len(word) >= n)]
-
-
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
-
-
-def choose_vocabulary(examples: DataFrame) -> list[str]:
-    """Terms that tell toxic examples (text, y) from others: all of them, the surest first, ties by name."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter = Counter()
-        toxic: Counter = Counter()
-
-        def rows() -> Iterator[pd.DataFrame]:
-            names = list(n)
-            for i in range(0, len(names), PART):
-                part = names[i : i + PART]
-                yield pd.DataFrame({"term": part, "n": [n[t] for t in part], "toxic": [toxic[t] for t in part]})
-
-        for b in batches:
-            for text, y in zip(b["text"], b["y"], strict=True):
-                own = {t for w in set(words_of(text)) for t in terms_of(w)} | {""}
-                n.update(own)
-                if y:
-                    toxic.update(own)
-                if len(n) > FLUSH:  # part counts go out early, so memory stays bounded
-                    yield from rows()
-                    n, toxic = Counter(), Counter()
-        yield from rows()
-
-    counts = examples.mapInPandas(count, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    counts = materialise(counts.where(F.col("n") >= LEAST_EXAMPLES), "terms")
-    total = counts.where("term = ''").first()
-    if total is None or not 0 < total["toxic"] < total["n"]:
-        return []
-    share = total["toxic"] / total["n"]
-    expected = F.col("n") * share
-    deviation = (F.col("toxic") - expected) / F.sqrt(expected * (1 - share))
-    found = counts.where("term != ''").withColumn("d", deviation).where(F.col("d") >= DEVIATION).orderBy(F.desc("d"), "term")
-    return [r["term"] for r in found.select("term").collect()]
-
-
-def term_counter(place: dict[str, int]):
-    """Function from a text to its vocabulary places (sorted) and their counts."""
-    known: dict[str, tuple[int, ...]] = {}
-
-    def count(text: str | None) -> tuple[list[int], list[int]]:
-        n: Counter = Counter()
-        for w in words_of(text):
-            own = known.get(w)
-            if own is None:
-                own = tuple(place[t] for t in terms_of(w) if t in place)
-                if len(known) > KNOWN:
-                    known.clear()
-                if len(w) <= 40:
-                    known[w] = own
-            if own:
-                n.update(own)
-        terms = sorted(n)
-        return terms, [n[t] for t in terms]
-
-    return count
-
-
-def vectors(df: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """id, terms (sorted places in the vocabulary) and tf (counts) of each row (id, text)."""
-    shared = df.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
-    kind = df.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = term_counter(shared.value)
-        for b in batches:
-            found = [count(text) for text in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "terms": [f[0] for f in found], "tf": [f[1] for f in found]})
-
-    return df.select("id", "text").mapInPandas(run, f"id {kind}, terms array<int>, tf array<int>")
+LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
+#: Labelled rows that teach at most, about; chosen by a hash of their id.
+MAX_EXAMPLES = 4_000
+NEIGHBOURS, PRIOR_WEIGHT, NEAR = 31, 0.05, 0.02
+#: Examples of a block; texts that visit blocks together; share of examples from which a word is kept as a dense row.
+BLOCK, TOGETHER, DENSE = 512, 128, 1 / 12
+
+
+def words_of(text: str | None) -> Counter:
+    """Words, in lower case and as UTF-8, and their counts: runs of ASCII letters and of characters beyond ASCII."""
+    return Counter((text or "").lower().encode("utf-8", "surrogatepass").translate(LETTERS).split())
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges after each other, and the size of each."""
+    size = end - begin
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum()), size
+
+
+def _highest(found: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest of each row, ties to the earlier one, in any order."""
+    if found.shape[1] <= k:
+        return np.broadcast_to(np.arange(found.shape[1]), found.shape)
+    keep = np.argpartition(-found, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(found, keep, 1).min(axis=1)
+    tied = np.flatnonzero((least > 0) & ((found >= least[:, None]).sum(axis=1) > k))
+    keep[tied] = np.argsort(-found[tied], axis=1, kind="stable")[:, :k]
+    return keep
+
+
+class Block:
+    """Examples of one block: words that many examples have as dense rows, the postings of the others by word."""
+
+    def __init__(self, size: int, words: np.ndarray, rows: np.ndarray, weights: np.ndarray, dense: np.ndarray):
+        at = dense[words]
+        self.size, self.common = size, np.zeros((int(dense.max(initial=-1)) + 1, size))
+        self.common[at[at >= 0], rows[at >= 0]] = weights[at >= 0]
+        words, rows, weights = words[at < 0], rows[at < 0], weights[at < 0]
+        order = np.argsort(words, kind="stable")
+        self.rows, self.weights = rows[order], weights[order]
+        self.words, begin = np.unique(words[order], return_index=True)
+        self.begin = np.append(begin, len(order))
+
+    def cosines(self, texts: int, common: np.ndarray, of: np.ndarray, words: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Of each text with each example. ``of``: the text of each of the words that are not ``common``."""
+        found = common @ self.common
+        if len(self.words) and len(words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            hit = np.flatnonzero(self.words[at] == words)
+            place, size = _ranges(self.begin[at[hit]], self.begin[at[hit] + 1])
+            cell = np.repeat(of[hit] * self.size, size) + self.rows[place]
+            found += np.bincount(cell, np.repeat(weights[hit], size) * self.weights[place], found.size).reshape(found.shape)
+        return found
 
 
 class BlockMaxIndex:
-    """Inverted index of normalised example vectors, in blocks with the largest weight of each term."""
-
-    def __init__(self, idf: np.ndarray, examples: list[tuple[tuple[int, ...], tuple[int, ...], int, int, int]]):
-        """examples: terms, tf, number of rows alike, toxic ones among them, smallest id."""
-        examples = sorted(examples)
-        self.idf, self.n, self.examples = idf, len(examples), examples
-        self.rows = np.array([e[2] for e in examples], float)
-        self.toxic = np.array([e[3] for e in examples], float)
-        self.ids = [e[4] for e in examples]
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for at, (terms, tf, *_) in enumerate(examples):
-            for t, w in zip(terms, self.weigh(terms, tf), strict=True):
-                postings.setdefault(t, []).append((at, w))
-        self.blocks = -(-self.n // BLOCK)
-        self.at = {t: np.array([p[0] for p in x]) for t, x in postings.items()}
-        self.weight = {t: np.array([p[1] for p in x]) for t, x in postings.items()}
-        self.most, self.begin = {}, {}
-        for t, at in self.at.items():
-            most = np.zeros(self.blocks)
-            np.maximum.at(most, at // BLOCK, self.weight[t])
-            self.most[t] = most
-            self.begin[t] = np.searchsorted(at, np.arange(self.blocks + 1) * BLOCK)
-
-    def weigh(self, terms, tf) -> np.ndarray:
-        """Normalised (1 + log tf) * idf."""
-        w = (1 + np.log(np.asarray(tf, float))) * self.idf[np.asarray(terms, int)]
+    """Inverted index of normalised example vectors, in blocks with the largest weight of each word."""
+
+    def __init__(self, df: dict[bytes, int], total: int, examples: list[tuple[dict[bytes, int], int, int, int]]):
+        """``df``: documents of each word of the examples, of ``total``. An example: words, rows alike, toxic ones, an id."""
+        self.total = total
+        self.place = {w: i for i, w in enumerate(sorted({w for e in examples for w in e[0]}))}
+        coded = [(np.fromiter((self.place[w] for w in e[0]), int, len(e[0])), np.fromiter(e[0].values(), float, len(e[0]))) for e in examples]
+        toxic, other = np.zeros(len(self.place)), np.zeros(len(self.place))
+        for (at, _), e in zip(coded, examples, strict=True):
+            (toxic if 2 * e[2] > e[1] else other)[at] += 1
+        seen = np.array([df.get(w, 0) for w in self.place], float)
+        self.weight = (np.log((1 + total) / (1 + seen)) + 1) * np.log2(2 + toxic / np.maximum(other, 1))
+        use = toxic + other
+        often = np.argsort(-use, kind="stable")
+        often = often[use[often] > max(1, len(examples) * DENSE)]
+        self.dense = np.full(len(self.place), -1)
+        self.dense[often] = np.arange(len(often))
+        # alike examples side by side: by class, then by which of the most common words they have
+        bit = np.zeros(len(self.place), dtype=object)
+        bit[often[:24]] = [1 << (23 - i) for i in range(len(often[:24]))]
+        order = sorted(range(len(examples)), key=lambda i: (2 * examples[i][2] > examples[i][1], int(bit[coded[i][0]].sum()), examples[i][3]))
+        self.examples = [examples[i] for i in order]
+        self.rows = np.array([e[1] for e in self.examples], float)
+        self.toxic = np.array([e[2] for e in self.examples], float)
+        self.ids = [e[3] for e in self.examples]
+        self.blocks, most = [], []
+        for first in range(0, len(order), BLOCK):
+            part = [coded[i] for i in order[first : first + BLOCK]]
+            words = np.concatenate([p[0] for p in part])
+            rows = np.repeat(np.arange(len(part)), [len(p[0]) for p in part])
+            weights = np.concatenate([self._unit((1 + np.log(tf)) * self.weight[at]) for at, tf in part])
+            self.blocks.append(Block(len(part), words, rows, weights, self.dense))
+            best = np.zeros(len(self.place))
+            np.maximum.at(best, words, weights)
+            most.append(best)
+        most = np.array(most).reshape(len(self.blocks), len(self.place))
+        word, block = np.nonzero(most.T)
+        self.most, self.most_block, self.most_begin = most.T[word, block], block, np.searchsorted(word, np.arange(len(self.place) + 1))
+
+    @staticmethod
+    def _unit(w: np.ndarray) -> np.ndarray:
         size = math.sqrt(float(w @ w))
         return w / size if size else w
 
-    def nearest(self, terms, tf, k: int) -> list[tuple[float, int]]:
-        """The k examples of highest cosine (above 0), ties to the earlier one: (cosine, place)."""
-        query = [(t, w) for t, w in zip(terms, self.weigh(terms, tf), strict=True) if t in self.at and w > 0]
-        if not query:
-            return []
-        bound = sum(w * self.most[t] for t, w in query)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) >= k and bound[b] < -best[k - 1][0] - 1e-12:
+    def vector(self, words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words that examples have, and their weights in the unit vector of all words.
+
+        Words that no example has weigh as words of this document alone; they only lengthen the vector.
+        """
+        get = self.place.get
+        at = np.array([get(w, -1) for w in words], int)
+        tf = 1 + np.log(np.fromiter(words.values(), float, len(words)))
+        unknown = math.log((1 + self.total) / 2) + 1 if self.total else 1.0
+        w = self._unit(tf * np.where(at < 0, unknown, self.weight[at] if len(self.weight) else unknown))
+        return at[at >= 0], w[at >= 0]
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """For each vector the k examples of highest cosine (above 0), ties to the earlier one: (cosine, place)."""
+        n, b = len(vectors), len(self.blocks)
+        if not b or not n:
+            return [[] for _ in vectors]
+        of = np.repeat(np.arange(n), [len(v[0]) for v in vectors])
+        words, weights = np.concatenate([v[0] for v in vectors]), np.concatenate([v[1] for v in vectors])
+        place, size = _ranges(self.most_begin[words], self.most_begin[words + 1])
+        cell = np.repeat(of * b, size) + self.most_block[place]
+        bound = np.bincount(cell, np.repeat(weights, size) * self.most[place], n * b).reshape(n, b)
+        dense = self.dense[words]
+        common = np.zeros((n, len(self.blocks[0].common)))
+        common[of[dense >= 0], dense[dense >= 0]] = weights[dense >= 0]
+        of, words, weights = of[dense < 0], words[dense < 0], weights[dense < 0]
+        begin = np.searchsorted(of, np.arange(n + 1))
+        turn = np.argsort(-bound, axis=1, kind="stable")
+        best, who, least = np.zeros((n, 0)), np.zeros((n, 0), int), np.zeros(n)
+        for step in range(b):
+            at = turn[:, step]
+            alive = np.flatnonzero((bound[np.arange(n), at] > 0) & (bound[np.arange(n), at] >= least - 1e-12))
+            if not len(alive):
                 break
-            got = np.zeros(BLOCK)
-            for t, w in query:
-                i, j = self.begin[t][b], self.begin[t][b + 1]
-                if i < j:
-                    got[self.at[t][i:j] - b * BLOCK] += w * self.weight[t][i:j]
-            best.extend((-round(float(got[x]), 12), int(b) * BLOCK + int(x)) for x in np.flatnonzero(got > 0))
-            best = sorted(best)[:k]
-        return [(-s, at) for s, at in best]
+            new, names = np.zeros((n, k)), np.full((n, k), -1)
+            for block in np.unique(at[alive]):
+                mine = alive[at[alive] == block]
+                pick, count = _ranges(begin[mine], begin[mine + 1])
+                found = np.round(self.blocks[block].cosines(len(mine), common[mine], np.repeat(np.arange(len(mine)), count), words[pick], weights[pick]), 12)
+                keep = _highest(found, k)
+                new[mine, : keep.shape[1]] = np.take_along_axis(found, keep, 1)
+                names[mine, : keep.shape[1]] = keep + block * BLOCK
+            best, who = np.hstack([best, new]), np.hstack([who, names])
+            keep = np.lexsort((who, -best), axis=1)[:, :k]
+            best, who = np.take_along_axis(best, keep, 1), np.take_along_axis(who, keep, 1)
+            least = best[:, -1] if best.shape[1] == k else np.zeros(n)
+        return [[(float(s), int(x)) for s, x in zip(*row, strict=True) if s > 0] for row in zip(best, who, strict=True)]
 
     def vote(self, near: list[tuple[float, int]], share: float, own: int = -1, y: int = 0) -> float:
         """Weighted share of toxic rows among neighbours. ``own``, ``y``: leave out one row of this place and label."""
@@ -168,7 +178,7 @@ class BlockMaxIndex:
         for s, at in near:
             n, toxic = self.rows[at] - (at == own), self.toxic[at] - (at == own) * y
             if n > 0:
-                w = s * math.log1p(n)
+                w = s / (1 + NEAR - min(s, 1.0))
                 up, down = up + w * toxic / n, down + w
         return up / down
 
@@ -176,13 +186,16 @@ class BlockMaxIndex:
         """Fit the curve from votes to probabilities to what each example's neighbours say of it without itself."""
         self.slope, self.shift = 1.0, 0.0
         z, y, n = [], [], []
-        for at, (terms, tf, rows, toxic, _) in enumerate(self.examples):
-            near = self.nearest(terms, tf, NEIGHBOURS)
-            for label, count in ((1, toxic), (0, rows - toxic)):
-                if count:
-                    z.append(_logit(self.vote(near, share, at, label)))
-                    y.append(float(label))
-                    n.append(float(count))
+        for first in range(0, len(self.examples), TOGETHER):
+            some = self.examples[first : first + TOGETHER]
+            for at, near in enumerate(self.nearest([self.vector(e[0]) for e in some], NEIGHBOURS + 1), first):
+                toxic = self.toxic[at]
+                for label, count in ((1, toxic), (0, self.rows[at] - toxic)):
+                    if count:
+                        without = near if self.rows[at] > 1 else [x for x in near if x[1] != at]
+                        z.append(_logit(self.vote(without[:NEIGHBOURS], share, at, label)))
+                        y.append(float(label))
+                        n.append(1.0 if count else 0.0)
         if z:
             self.slope, self.shift = fit_logistic(np.array(z), np.array(y), np.array(n))
 
@@ -191,92 +204,112 @@ class BlockMaxIndex:
 
 
 class Classifier:
-    """Vocabulary, index and shares: all that a task needs to score a text."""
-
-    def __init__(self, vocabulary: list[str], index: BlockMaxIndex, share: float, without: float):
-        self.place = {t: i for i, t in enumerate(vocabulary)}
-        self.index, self.share, self.without = index, share, without
-
-    def scorer(self):
-        """Function from terms and tf to score and evidence, which remembers vectors it has seen."""
-        known: dict[tuple, tuple[float, list]] = {}
-
-        def score(terms, tf) -> tuple[float, list[dict]]:
-            key = (tuple(terms), tuple(tf))
-            got = known.get(key)
-            if got is None:
-                near = self.index.nearest(*key, NEIGHBOURS) if key[0] else []
-                p = self.index.probability(near, self.share) if near else self.without
-                i = self.index
-                got = (p, [{"id": i.ids[at], "n": int(i.rows[at]), "toxic": int(i.toxic[at]), "cosine": s} for s, at in near])
-                if len(known) > FLUSH:
-                    known.clear()
-                known[key] = got
-            return got
-
-        return score
-
-
-def train(df: DataFrame, labels: DataFrame, label_col: str, train: str, id_col: str, text_col: str) -> tuple[Classifier, DataFrame]:
-    """The classifier, and the vectors of all rows (id, terms, tf) over which its document frequencies are counted."""
-    y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(F.expr(train))
+    """The index and the share of toxic examples: all that a task needs to score texts."""
+
+    def __init__(self, index: BlockMaxIndex, share: float):
+        self.index, self.share = index, share
+
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """Score and neighbours of each text; one without a word that examples have gets the share of toxic examples."""
+        out: list[tuple[float, list[tuple[float, int]]]] = []
+        for first in range(0, len(texts), TOGETHER):
+            near = self.index.nearest([self.index.vector(words_of(t)) for t in texts[first : first + TOGETHER]], NEIGHBOURS)
+            out += [(self.index.probability(x, self.share) if x else self.share, x) for x in near]
+        return out
+
+
+def choose_examples(df: DataFrame, labels: DataFrame, label_col: str, teach: str, id_col: str, text_col: str) -> list[tuple[dict[bytes, int], int, int, int]]:
+    """Labelled rows, a bounded sample by hash: words, rows alike, toxic ones among them, smallest id."""
+    y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(F.expr(teach)).distinct()
     n = y.count()
     if n > MAX_EXAMPLES:
         y = y.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * MAX_EXAMPLES / n))
-    y = F.broadcast(y)  # about MAX_EXAMPLES rows at most
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    vocabulary = choose_vocabulary(rows.join(y, "id").select("text", "y"))
-    base = materialise(vectors(rows, vocabulary), "vectors")
-
-    total = base.count()
-    places = base.select(F.explode("terms").alias("t")).groupBy("t").count().collect()  # a row for each term of the vocabulary
-    idf = np.zeros(max(1, len(vocabulary)))
-    for r in places:
-        idf[r["t"]] = math.log((1 + total) / (1 + r["count"])) + 1
-    alike = base.join(y, "id").groupBy("terms", "tf").agg(F.count("*").alias("n"), F.sum("y").alias("toxic"), F.min("id").alias("one")).collect()
-    plain = next(((r["n"], r["toxic"]) for r in alike if not r["terms"]), (0, 0))
-    every = (sum(r["n"] for r in alike), sum(r["toxic"] for r in alike))
-    share = (every[1] + 1) / (every[0] + 2)
-    without = (plain[1] + share) / (plain[0] + 1)
-    index = BlockMaxIndex(idf, [(tuple(r["terms"]), tuple(r["tf"]), r["n"], r["toxic"], r["one"]) for r in alike if r["terms"]])
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(y), "id")  # about MAX_EXAMPLES labels at most
+    alike = materialise(rows.groupBy("text").agg(F.count("*").alias("n"), F.sum("y").alias("toxic"), F.min("id").alias("one")), "examples")
+    n = alike.count()
+    if n > 2 * MAX_EXAMPLES:  # ids that stand for many texts
+        alike = alike.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * MAX_EXAMPLES / n))
+    found: dict[tuple, list] = {}
+    for r in alike.orderBy("one", "text").toLocalIterator():
+        words = words_of(r["text"])
+        own = found.setdefault(tuple(sorted(words.items())), [dict(words), 0, 0, r["one"]])
+        own[1] += r["n"]
+        own[2] += r["toxic"]
+    return [tuple(e) for e in found.values()]
+
+
+def document_frequencies(df: DataFrame, text_col: str, place: dict[bytes, int]) -> tuple[dict[bytes, int], int]:
+    """In how many rows each word of ``place`` is, and the number of rows."""
+    shared = df.sparkSession.sparkContext.broadcast(place)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        n, rows = np.zeros(len(known), np.int64), 0
+        for b in batches:
+            rows += len(b)
+            for text in b["text"]:
+                n[[known[w] for w in words_of(text) if w in known]] += 1
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"word": np.append(at, -1).astype(np.int32), "n": np.append(n[at], rows)})
+
+    counts = df.select(F.col(text_col).alias("text")).mapInPandas(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    by_place = {r["word"]: r["n"] for r in counts.collect()}  # a row for each word of the examples
+    return {w: by_place.get(i, 0) for w, i in place.items()}, by_place.get(-1, 0)
+
+
+def train(df: DataFrame, labels: DataFrame, label_col: str, teach: str, id_col: str, text_col: str) -> Classifier:
+    """The classifier. What reaches the driver is bounded by the number of examples."""
+    examples = choose_examples(df, labels, label_col, teach, id_col, text_col)
+    share = (sum(e[2] for e in examples) + 1) / (sum(e[1] for e in examples) + 2)
+    examples = [e for e in examples if e[0]]
+    place = {w: i for i, w in enumerate(sorted({w for e in examples for w in e[0]}))}
+    df_of, total = document_frequencies(df, text_col, place)
+    index = BlockMaxIndex(df_of, total, examples)
     index.calibrate(share)
     index.examples = []
-    return Classifier(vocabulary, index, share, without), base
+    return Classifier(index, share)
 
 
 def score_documents(df: DataFrame, labels: DataFrame, label_col: str, teach: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every row: ``id_col``, score (0 to 1) and evidence (nearest examples: id of one, rows alike, toxic ones
     among them, cosine; nearest first).
 
-    ``labels`` has ``id_col`` and ``label_col`` (0 or 1; others are no labels). Only rows for which the SQL expression
-    ``teach`` (over a column named id) holds are examples; at most about ``MAX_EXAMPLES``, chosen by hash. A document
-    without any vocabulary term, an empty or null one included, gets the share of toxic ones among examples without
-    any. Without examples of both classes every score is their share, starting from one row of each class.
+    ``labels`` has ``id_col`` and ``label_col`` (0 or 1; others are no labels; repeats count once). Only rows for which the
+    SQL expression ``teach`` (over a column named id) holds are examples; about ``MAX_EXAMPLES`` at most, chosen by hash. A
+    document without any word that an example has, an empty or null one included, gets the share of toxic examples. Without
+    examples of both classes every score is near their share, starting from one row of each class. Repeated rows stay and
+    score alike. Very long texts are taken whole. Other columns play no part, whatever their names.
     """
-    classifier, base = train(df, labels, label_col, teach, id_col, text_col)
-    shared = df.sparkSession.sparkContext.broadcast(classifier)
+    shared = df.sparkSession.sparkContext.broadcast(train(df, labels, label_col, teach, id_col, text_col))
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = shared.value.scorer()
+        c = shared.value
+        i = c.index
         for b in batches:
-            got = [score(terms, tf) for terms, tf in zip(b["terms"], b["tf"], strict=True)]
-            yield pd.DataFrame({"id": b["id"], "score": [g[0] for g in got], "evidence": [g[1] for g in got]})
+            got = c.score(list(b["text"]))
+            evidence = [[{"id": i.ids[at], "n": int(i.rows[at]), "toxic": int(i.toxic[at]), "cosine": s} for s, at in near] for _, near in got]
+            yield pd.DataFrame({"id": b["id"], "score": [g[0] for g in got], "evidence": evidence})
 
-    out = base.mapInPandas(run, f"id {kind}, score double, evidence array<struct<id: {kind}, n: long, toxic: long, cosine: double>>")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = rows.mapInPandas(run, f"id {kind}, score double, evidence array<struct<id: {kind}, n: long, toxic: long, cosine: double>>")
     return out.withColumnRenamed("id", id_col)
 
 
 def without_toxic(df: DataFrame, labels: DataFrame, label_col: str, teach: str, reject: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that score below ``reject``, as they are. Each is scored where it is read, so no text is shuffled."""
-    shared = df.sparkSession.sparkContext.broadcast(train(df, labels, label_col, teach, id_col, text_col)[0])
+    """The rows of ``df`` that score below ``reject``, as they are. Each is scored where it is read, so no text is shuffled.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count, score = term_counter(shared.value.place), shared.value.scorer()
+    Rows are as in :func:`score_documents`; all columns pass through as Arrow, unchanged.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(train(df, labels, label_col, teach, id_col, text_col))
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score: Callable = shared.value.score
         for b in batches:
-            yield b[np.array([score(*count(t))[0] < reject for t in b[text_col]], dtype=bool)]
+            yield b.filter(pa.array([s < reject for s, _ in score(b.column(at).to_pylist())], pa.bool_()))
 
-    return df.mapInPandas(run, df.schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def _logit(p: float) -> float:

@@ -406,30 +406,86 @@ def test_bpe_odd_rows(spark):
 # 10 -----------------------------------------------------------------------------------------------------------------
 
 
-def test_toxicity_neighbours_are_exact():
+def test_toxicity_neighbours_are_exact(monkeypatch):
+    """Blocks, dense words and bounds change nothing: neighbours are those of plain cosines over all words."""
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
+    monkeypatch.setattr(toxicity, "TOGETHER", 7)
     rng = random.Random(6)
-    idf = np.array([rng.uniform(1, 5) for _ in range(40)])
-    vector = lambda: (t := tuple(sorted(rng.sample(range(40), rng.randint(1, 8)))), tuple(rng.randint(1, 4) for _ in t))
-    examples = list({v: (*v, rng.randint(1, 3), 1, i) for i, v in enumerate(vector() for _ in range(700))}.values())
-    index = toxicity.BlockMaxIndex(idf, examples)
-    dense = np.zeros((len(examples), 40))
-    for i, e in enumerate(index.examples):
-        dense[i, list(e[0])] = index.weigh(e[0], e[1])
-    for _ in range(60):
-        q = vector()
-        w = np.zeros(40)
-        w[list(q[0])] = index.weigh(*q)
-        cosines = np.round(dense @ w, 12)
-        expected = sorted(((-c, i) for i, c in enumerate(cosines) if c > 0))[:9]
-        got = index.nearest(*q, 9)
-        assert np.allclose([s for s, _ in got], [-c for c, _ in expected]) and {i for _, i in got} == {i for _, i in expected}
-
-
-def test_toxicity_keeps_all_telling_terms(spark):
-    words = ["".join("abcdefghij"[int(c)] for c in f"{i:03d}") for i in range(450)]
-    rows = [(" ".join(f"{w}{kind}" for w in words for kind in "vwxyz") + f" own{i}", 1) for i in range(5)] + [("plain words of no kind", 0)] * 100
-    found = toxicity.choose_vocabulary(spark.createDataFrame(rows, "text string, y int"))
-    assert {f"{w}{kind}" for w in words for kind in "vwxyz"} <= set(found)
+    names = [b"w%d" % i for i in range(40)]
+    some = lambda: {w: rng.randint(1, 4) for w in rng.sample(names, rng.randint(1, 8))}
+    texts = list({tuple(sorted(v.items())): v for v in (some() for _ in range(700))}.values())
+    examples = [(v, rng.randint(1, 3), rng.randint(0, 1), i) for i, v in enumerate(texts)]
+    df = {w: rng.randint(1, 500) for w in names}
+    index = toxicity.BlockMaxIndex(df, 1000, examples)
+    toxic = {w: sum(w in e[0] and 2 * e[2] > e[1] for e in examples) for w in names}
+    other = {w: sum(w in e[0] and 2 * e[2] <= e[1] for e in examples) for w in names}
+    weight = {w: (np.log(1001 / (1 + df[w])) + 1) * np.log2(2 + toxic[w] / max(1, other[w])) for w in names}
+
+    def dense(words):
+        v = np.array([(1 + np.log(words[w])) * weight[w] if w in words else 0 for w in names])
+        unknown = [(1 + np.log(n)) * (np.log(1001 / 2) + 1) for w, n in words.items() if w not in weight]
+        return v / np.sqrt(v @ v + sum(x * x for x in unknown))
+
+    rows = np.array([dense(e[0]) for e in index.examples])
+    queries = [some() | ({b"new": 2} if rng.random() < 0.3 else {}) for _ in range(60)] + [{b"new": 1}, {}]
+    for q, got in zip(queries, index.nearest([index.vector(q) for q in queries], 9), strict=True):
+        cosines = np.round(rows @ dense(q), 12) if set(q) & set(names) else np.zeros(len(rows))
+        expected = sorted((-c, i) for i, c in enumerate(cosines) if c > 0)[:9]
+        assert [i for _, i in got] == [i for _, i in expected] and np.allclose([c for c, _ in got], [-c for c, _ in expected])
+
+
+def plain_toxicity(texts, labels, teaching):
+    """Scores by the formulas of the docstrings over whole vectors, without an index."""
+    words = [toxicity.words_of(t) for t in texts]
+    df = pd.Series([w for v in words for w in v]).value_counts().to_dict()
+    alike = {}
+    for i in teaching:
+        alike.setdefault(tuple(sorted(words[i].items())), []).append(labels[i])
+    share = (sum(map(sum, alike.values())) + 1) / (sum(map(len, alike.values())) + 2)
+    examples = [(dict(k), len(v), sum(v)) for k, v in alike.items() if k]
+    names = sorted({w for e in examples for w in e[0]})
+    place = {w: i for i, w in enumerate(names)}
+    toxic, other = np.zeros(len(names)), np.zeros(len(names))
+    for e in examples:
+        (toxic if 2 * e[2] > e[1] else other)[[place[w] for w in e[0]]] += 1
+    weight = (np.log((1 + len(texts)) / (1 + np.array([df[w] for w in names]))) + 1) * np.log2(2 + toxic / np.maximum(other, 1))
+
+    def vector(v):
+        out, size = np.zeros(len(names)), 0.0
+        for w, n in v.items():
+            x = (1 + np.log(n)) * (weight[place[w]] if w in place else np.log((1 + len(texts)) / 2) + 1)
+            size += x * x
+            if w in place:
+                out[place[w]] = x
+        return out / np.sqrt(size) if size else out
+
+    rows = np.array([vector(e[0]) for e in examples])
+
+    def vote(v, own=None, y=0):
+        s = np.round(rows @ vector(v), 12)
+        up, down, left = 0.05 * share, 0.05, 31
+        for i in np.argsort(-s, kind="stable"):
+            n, t = examples[i][1] - (i == own), examples[i][2] - (i == own) * y
+            if s[i] > 0 and n > 0 and left:
+                w = s[i] / (1.02 - min(s[i], 1))
+                up, down, left = up + w * t / n, down + w, left - 1
+        return np.log(np.clip(up / down, 1e-4, 1 - 1e-4) / (1 - np.clip(up / down, 1e-4, 1 - 1e-4)))
+
+    cases = [(vote(e[0], i, y), y) for i, e in enumerate(examples) for y, n in ((1, e[2]), (0, e[1] - e[2])) if n]
+    slope, shift = toxicity.fit_logistic(*np.array([(z, y, 1) for z, y in cases], float).T)
+    return [1 / (1 + np.exp(-(slope * vote(v) + shift))) if set(v) & set(names) else share for v in words]
+
+
+def test_toxicity_against_plain_formula(spark):
+    """The whole score, on rows of a given table; texts that share words with an example have neighbours."""
+    given = table(spark, "documents").toPandas()
+    labels = table(spark, "labels").toPandas().set_index("doc_id").toxic.to_dict()
+    teach = [i for i, d in enumerate(given.doc_id) if d in labels and zlib.crc32(str(d).encode()) % 3 != 1]
+    expected = plain_toxicity(given.text.tolist(), [labels.get(d, 0) for d in given.doc_id], teach)
+    got = toxicity.score_documents(table(spark, "documents"), table(spark, "labels"), "toxic", toxicity.TRAIN).toPandas().set_index("doc_id")
+    assert np.abs(got.score[given.doc_id].to_numpy() - np.array(expected)).max() < 2e-3
+    known = {w for i in teach for w in toxicity.words_of(given.text[i])}
+    assert all(len(got.evidence[d]) for d, t in zip(given.doc_id, given.text, strict=True) if known & set(toxicity.words_of(t)))
 
 
 def test_toxicity_held_out(spark):
@@ -445,6 +501,10 @@ def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(i, int("vile" in (texts[i] or ""))) for i in range(4, 28)] + [(0, None)], "doc_id long, toxic int")
     out = toxicity.score_documents(given, labels, "toxic", "true").toPandas().set_index("doc_id")
     assert len(out) == 28 and out.score.between(0, 1).all() and out.score[2] == out.score[3]
+    long = docs(spark, [LONG + "vile slur", LONG]).unionAll(given.select("doc_id", "text", "lang", "source", "n_chars"))
+    assert toxicity.score_documents(long, labels, "toxic", "true").count() == 30
+    kept = toxicity.without_toxic(given.withColumn("big", F.when(F.col("doc_id") != 1, F.lit(2**53 + 1))), labels.unionAll(labels), "toxic", "true", 0.7).collect()
+    assert {r["big"] for r in kept} == {2**53 + 1} and {r["doc_id"] for r in kept} == {0, 2, 3, *range(5, 28, 2)}
     for none in (labels.where("false"), labels.where("toxic = 0")):
         assert toxicity.score_documents(given, none, "toxic", "true").count() == 28
     assert toxicity.score_documents(given.where("false"), labels, "toxic", "true").count() == 0
