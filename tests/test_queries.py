@@ -1,5 +1,11 @@
 """Every query of the library itself against its SQL, on the smallest tables."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from fundtrace import plans
@@ -23,3 +29,18 @@ def test_entry_has_all():
 
     assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("hidden", [["fundtrace/llm", "tests/llm"], ["fundtrace/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_entry_without_the_training_data_operators(tmp_path, hidden):
+    root = Path(__file__).resolve().parent.parent
+    for name in ("fundtrace", "tests", "__spark_entry__.py", "corpus_pipeline.py"):
+        (shutil.copytree if (root / name).is_dir() else shutil.copy)(root / name, tmp_path / name)
+    for name in hidden:
+        at = tmp_path / name
+        shutil.rmtree(at) if at.is_dir() else at.unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), sum(n.startswith('op') or n == 'pipeline' for n in e.queries()))"
+    path = os.pathsep.join([str(tmp_path), *(p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and Path(p).resolve() != root)])
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": path}, capture_output=True, text=True, check=True)
+    n, sql, llm = map(int, out.stdout.split())
+    assert n - llm == len(QUERIES) and sql >= len(SQL) and (llm == 0) == ("fundtrace/llm" in hidden)
