@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundtrace.llm.common import crc_of, documents, fit_logistic, materialise
+from fundtrace.llm.common import crc_of, documents, fit_logistic, materialise, release
 
 LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 #: Labelled rows that teach at most, about; chosen by a hash of their id.
@@ -31,6 +31,9 @@ NEIGHBOURS, PRIOR_WEIGHT, NEAR = 31, 0.05, 0.02
 #: Examples of a block; texts that visit blocks together; share of examples from which a word is kept as a dense row.
 BLOCK, TOGETHER, DENSE = 512, 128, 1 / 12
 
+#: Numbers of its words, in order, their counts, rows alike, toxic ones among them, and the smallest id.
+Example = tuple[np.ndarray, np.ndarray, int, int, int]
+
 
 def words_of(text: str | None) -> Counter:
     """Words, in lower case and as UTF-8, and their counts: runs of ASCII letters and of characters beyond ASCII."""
@@ -82,16 +85,13 @@ class Block:
 class BlockMaxIndex:
     """Inverted index of normalised example vectors, in blocks with the largest weight of each word."""
 
-    def __init__(self, df: dict[bytes, int], total: int, examples: list[tuple[dict[bytes, int], int, int, int]]):
-        """``df``: documents of each word of the examples, of ``total``. An example: words, rows alike, toxic ones, an id."""
-        self.total = total
-        self.place = {w: i for i, w in enumerate(sorted({w for e in examples for w in e[0]}))}
-        coded = [(np.fromiter((self.place[w] for w in e[0]), int, len(e[0])), np.fromiter(e[0].values(), float, len(e[0]))) for e in examples]
-        toxic, other = np.zeros(len(self.place)), np.zeros(len(self.place))
-        for (at, _), e in zip(coded, examples, strict=True):
-            (toxic if 2 * e[2] > e[1] else other)[at] += 1
-        seen = np.array([df.get(w, 0) for w in self.place], float)
-        self.weight = (np.log((1 + total) / (1 + seen)) + 1) * np.log2(2 + toxic / np.maximum(other, 1))
+    def __init__(self, place: dict[bytes, int], df: np.ndarray, total: int, examples: list[Example]):
+        """``place``: number of each word of the examples; ``df``: how many of ``total`` documents have it, by number."""
+        self.place, self.total = place, total
+        toxic, other = np.zeros(len(place)), np.zeros(len(place))
+        for at, _, n, t, _ in examples:
+            (toxic if 2 * t > n else other)[at] += 1
+        self.weight = (np.log((1 + total) / (1 + df)) + 1) * np.log2(2 + toxic / np.maximum(other, 1))
         use = toxic + other
         often = np.argsort(-use, kind="stable")
         often = often[use[often] > max(1, len(examples) * DENSE)]
@@ -100,14 +100,13 @@ class BlockMaxIndex:
         # alike examples side by side: by class, then by which of the most common words they have
         bit = np.zeros(len(self.place), dtype=object)
         bit[often[:24]] = [1 << (23 - i) for i in range(len(often[:24]))]
-        order = sorted(range(len(examples)), key=lambda i: (2 * examples[i][2] > examples[i][1], int(bit[coded[i][0]].sum()), examples[i][3]))
-        self.examples = [examples[i] for i in order]
-        self.rows = np.array([e[1] for e in self.examples], float)
-        self.toxic = np.array([e[2] for e in self.examples], float)
-        self.ids = [e[3] for e in self.examples]
+        self.examples = sorted(examples, key=lambda e: (2 * e[3] > e[2], int(bit[e[0]].sum()), e[4]))
+        self.rows = np.array([e[2] for e in self.examples], float)
+        self.toxic = np.array([e[3] for e in self.examples], float)
+        self.ids = [e[4] for e in self.examples]
         self.blocks, most = [], []
-        for first in range(0, len(order), BLOCK):
-            part = [coded[i] for i in order[first : first + BLOCK]]
+        for first in range(0, len(examples), BLOCK):
+            part = [e[:2] for e in self.examples[first : first + BLOCK]]
             words = np.concatenate([p[0] for p in part])
             rows = np.repeat(np.arange(len(part)), [len(p[0]) for p in part])
             weights = np.concatenate([self._unit((1 + np.log(tf)) * self.weight[at]) for at, tf in part])
@@ -131,9 +130,11 @@ class BlockMaxIndex:
         """
         get = self.place.get
         at = np.array([get(w, -1) for w in words], int)
-        tf = 1 + np.log(np.fromiter(words.values(), float, len(words)))
+        return self.weighed(at, np.fromiter(words.values(), float, len(words)))
+
+    def weighed(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         unknown = math.log((1 + self.total) / 2) + 1 if self.total else 1.0
-        w = self._unit(tf * np.where(at < 0, unknown, self.weight[at] if len(self.weight) else unknown))
+        w = self._unit((1 + np.log(tf)) * np.where(at < 0, unknown, self.weight[at] if len(self.weight) else unknown))
         return at[at >= 0], w[at >= 0]
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
@@ -188,14 +189,14 @@ class BlockMaxIndex:
         z, y, n = [], [], []
         for first in range(0, len(self.examples), TOGETHER):
             some = self.examples[first : first + TOGETHER]
-            for at, near in enumerate(self.nearest([self.vector(e[0]) for e in some], NEIGHBOURS + 1), first):
+            for at, near in enumerate(self.nearest([self.weighed(*e[:2]) for e in some], NEIGHBOURS + 1), first):
                 toxic = self.toxic[at]
                 for label, count in ((1, toxic), (0, self.rows[at] - toxic)):
                     if count:
                         without = near if self.rows[at] > 1 else [x for x in near if x[1] != at]
                         z.append(_logit(self.vote(without[:NEIGHBOURS], share, at, label)))
                         y.append(float(label))
-                        n.append(1.0 if count else 0.0)
+                        n.append(1.0)
         if z:
             self.slope, self.shift = fit_logistic(np.array(z), np.array(y), np.array(n))
 
@@ -218,8 +219,8 @@ class Classifier:
         return out
 
 
-def choose_examples(df: DataFrame, labels: DataFrame, label_col: str, teach: str, id_col: str, text_col: str) -> list[tuple[dict[bytes, int], int, int, int]]:
-    """Labelled rows, a bounded sample by hash: words, rows alike, toxic ones among them, smallest id."""
+def choose_examples(df: DataFrame, labels: DataFrame, label_col: str, teach: str, id_col: str, text_col: str) -> tuple[dict[bytes, int], list[Example]]:
+    """The words of the labelled rows, numbered, and these rows, a bounded sample by hash."""
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(F.expr(teach)).distinct()
     n = y.count()
     if n > MAX_EXAMPLES:
@@ -229,17 +230,20 @@ def choose_examples(df: DataFrame, labels: DataFrame, label_col: str, teach: str
     n = alike.count()
     if n > 2 * MAX_EXAMPLES:  # ids that stand for many texts
         alike = alike.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * MAX_EXAMPLES / n))
-    found: dict[tuple, list] = {}
+    place: dict[bytes, int] = {}
+    found: dict[bytes, list] = {}
     for r in alike.orderBy("one", "text").toLocalIterator():
-        words = words_of(r["text"])
-        own = found.setdefault(tuple(sorted(words.items())), [dict(words), 0, 0, r["one"]])
-        own[1] += r["n"]
-        own[2] += r["toxic"]
-    return [tuple(e) for e in found.values()]
+        coded = sorted((place.setdefault(w, len(place)), n) for w, n in words_of(r["text"]).items())
+        at, tf = np.array(coded, np.int32).reshape(-1, 2).T.copy()
+        own = found.setdefault(at.tobytes() + tf.tobytes(), [at, tf, 0, 0, r["one"]])
+        own[2] += r["n"]
+        own[3] += r["toxic"]
+    release(alike)
+    return place, [tuple(e) for e in found.values()]
 
 
-def document_frequencies(df: DataFrame, text_col: str, place: dict[bytes, int]) -> tuple[dict[bytes, int], int]:
-    """In how many rows each word of ``place`` is, and the number of rows."""
+def document_frequencies(df: DataFrame, text_col: str, place: dict[bytes, int]) -> tuple[np.ndarray, int]:
+    """In how many rows each word of ``place`` is, by number, and the number of rows."""
     shared = df.sparkSession.sparkContext.broadcast(place)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,18 +257,18 @@ def document_frequencies(df: DataFrame, text_col: str, place: dict[bytes, int])
         yield pd.DataFrame({"word": np.append(at, -1).astype(np.int32), "n": np.append(n[at], rows)})
 
     counts = df.select(F.col(text_col).alias("text")).mapInPandas(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    by_place = {r["word"]: r["n"] for r in counts.collect()}  # a row for each word of the examples
-    return {w: by_place.get(i, 0) for w, i in place.items()}, by_place.get(-1, 0)
+    found = counts.toPandas()  # a row for each word of the examples
+    out = np.zeros(len(place))
+    out[found["word"][found["word"] >= 0]] = found["n"][found["word"] >= 0]
+    return out, int(found["n"][found["word"] < 0].sum())
 
 
 def train(df: DataFrame, labels: DataFrame, label_col: str, teach: str, id_col: str, text_col: str) -> Classifier:
     """The classifier. What reaches the driver is bounded by the number of examples."""
-    examples = choose_examples(df, labels, label_col, teach, id_col, text_col)
-    share = (sum(e[2] for e in examples) + 1) / (sum(e[1] for e in examples) + 2)
-    examples = [e for e in examples if e[0]]
-    place = {w: i for i, w in enumerate(sorted({w for e in examples for w in e[0]}))}
-    df_of, total = document_frequencies(df, text_col, place)
-    index = BlockMaxIndex(df_of, total, examples)
+    place, examples = choose_examples(df, labels, label_col, teach, id_col, text_col)
+    share = (sum(e[3] for e in examples) + 1) / (sum(e[2] for e in examples) + 2)
+    seen, total = document_frequencies(df, text_col, place)
+    index = BlockMaxIndex(place, seen, total, [e for e in examples if len(e[0])])
     index.calibrate(share)
     index.examples = []
     return Classifier(index, share)

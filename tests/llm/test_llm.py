@@ -416,7 +416,9 @@ def test_toxicity_neighbours_are_exact(monkeypatch):
     texts = list({tuple(sorted(v.items())): v for v in (some() for _ in range(700))}.values())
     examples = [(v, rng.randint(1, 3), rng.randint(0, 1), i) for i, v in enumerate(texts)]
     df = {w: rng.randint(1, 500) for w in names}
-    index = toxicity.BlockMaxIndex(df, 1000, examples)
+    place = {w: i for i, w in enumerate(names)}
+    coded = [(np.array([place[w] for w in v]), np.array(list(v.values())), n, t, i) for v, n, t, i in examples]
+    index = toxicity.BlockMaxIndex(place, np.array([df[w] for w in names], float), 1000, coded)
     toxic = {w: sum(w in e[0] and 2 * e[2] > e[1] for e in examples) for w in names}
     other = {w: sum(w in e[0] and 2 * e[2] <= e[1] for e in examples) for w in names}
     weight = {w: (np.log(1001 / (1 + df[w])) + 1) * np.log2(2 + toxic[w] / max(1, other[w])) for w in names}
@@ -426,7 +428,7 @@ def test_toxicity_neighbours_are_exact(monkeypatch):
         unknown = [(1 + np.log(n)) * (np.log(1001 / 2) + 1) for w, n in words.items() if w not in weight]
         return v / np.sqrt(v @ v + sum(x * x for x in unknown))
 
-    rows = np.array([dense(e[0]) for e in index.examples])
+    rows = np.array([dense(texts[e[4]]) for e in index.examples])
     queries = [some() | ({b"new": 2} if rng.random() < 0.3 else {}) for _ in range(60)] + [{b"new": 1}, {}]
     for q, got in zip(queries, index.nearest([index.vector(q) for q in queries], 9), strict=True):
         cosines = np.round(rows @ dense(q), 12) if set(q) & set(names) else np.zeros(len(rows))
