@@ -20,10 +20,10 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundtrace.llm.common import documents, materialise
+from fundtrace.llm.common import documents, materialise, release
 from fundtrace.llm.graph import connected_components
 
 BANDS, ROWS = 32, 5
@@ -32,7 +32,9 @@ BATCH = 16
 MISS = 1e-9
 WORD_HASHES = 300_000
 #: Documents of a block in a tile.
-BLOCK = 128
+BLOCK, BLOCK_BYTES = 128, 4 << 20
+#: Parts of a large group in a join by leader.
+SALTS = 16
 _word_hash: dict[bytes, int] = {}
 
 
@@ -95,23 +97,26 @@ def _signature(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, class key, number of distinct shingles, packed signature and band hashes of each row."""
+    """id, mark (hash of the text), class key, number of distinct shingles, packed signature and band hashes of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, text in zip(b["id"], b["text"], strict=True):
+            for i, mark, text in zip(b["id"], b["mark"], b["text"], strict=True):
                 words = words_of(text)
                 if not words:
-                    out.append((i, b"", 0, b"", []))
+                    out.append((i, mark, b"", 0, b"", []))
                     continue
                 s = _signature(hashes := _shingle_hashes(words, shingle), bands * rows)
                 keys = [xxhash.xxh64_intdigest(s[k * rows : (k + 1) * rows].tobytes(), seed=k) - (1 << 63) for k in range(bands)]
-                out.append((i, hashlib.md5(b" ".join(words)).digest(), len(hashes), s.tobytes(), keys))
-            yield pd.DataFrame(out, columns=["id", "key", "n_shingles", "signature", "bands"])
+                out.append((i, mark, hashlib.md5(b" ".join(words)).digest(), len(hashes), s.tobytes(), keys))
+            yield pd.DataFrame(out, columns=["id", "mark", "key", "n_shingles", "signature", "bands"])
 
-    given = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return given.mapInPandas(run, "id long, key binary, n_shingles long, signature binary, bands array<long>")
+    return _marked(df, id_col, text_col).mapInPandas(run, "id long, mark long, key binary, n_shingles long, signature binary, bands array<long>")
+
+
+def _marked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
 
 
 def fewest_matches(n: int, threshold: float, miss: float) -> int:
@@ -142,11 +147,11 @@ def bayes_prune(pairs: DataFrame, threshold: float, miss: float, bands: int = BA
                 alive, done = alive[keep], done[keep]
             yield alive[["a", "b"]]
 
-    return pairs.mapInPandas(run, "a long, b long")
+    return pairs.mapInPandas(run, pairs.select("a", "b").schema)
 
 
 def verify(pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs (a, b, text_a, text_b) with 100 * intersection >= percent * union of their shingle sets: a, b."""
+    """Pairs (a, b, id_a, id_b, text_a, text_b) with 100 * intersection >= percent * union of their shingle sets: a, b (ids)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -157,7 +162,7 @@ def verify(pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 two = shingle_set(words_of(tb), shingle)
                 both = len(one & two)
                 keep.append(100 * both >= percent * (len(one) + len(two) - both))
-            yield b.loc[np.array(keep, dtype=bool), ["a", "b"]]
+            yield b.loc[np.array(keep, dtype=bool), ["id_a", "id_b"]].set_axis(["a", "b"], axis=1)
 
     return pairs.mapInPandas(run, "a long, b long")
 
@@ -167,19 +172,27 @@ def tiled_links(members: DataFrame, components: DataFrame, texts: DataFrame, shi
 
     Documents with one leader that aren't in the leader's component are dealt into blocks, and so are those that are. Each
     block of the former meets every block as one tile, in which signatures are compared batch after batch and what is
-    left is verified. Tiles are dealt out on their own, so a large group is the work of many tasks.
+    left is verified. Tiles are dealt out on their own, so a large group is the work of many tasks; a block has about
+    ``BLOCK`` documents and ``BLOCK_BYTES`` of text at most, beyond a single longer one. Joins by leader are salted.
     """
     ends = [*range(BATCH, bands * rows + 1, BATCH)]
     least = [fewest_matches(n, percent / 100, miss) for n in ends]
     own = components.select("id", "component")
-    of_leader = own.select(F.col("id").alias("leader"), F.col("component").alias("of_leader"))
-    named = members.select("id", "leader").distinct().join(own, "id", "left").join(of_leader, "leader", "left")
-    named = named.select("id", "leader", F.coalesce("component", "id").alias("component"), F.coalesce("of_leader", "leader").alias("of_leader"))
-    named = named.withColumn("other", F.col("component") != F.col("of_leader"))
-    sizes = named.groupBy("leader").agg(F.count_if("other").alias("others"), F.count_if(~F.col("other")).alias("mains")).where("others > 0")
-    sizes = sizes.select("leader", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("others", "mains")])
-    dealt = named.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("other"), F.col("others")).otherwise(F.col("mains"))).cast("int"))
-    dealt = dealt.join(texts, "id")
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    of_leader = own.select(F.col("id").alias("leader"), F.col("component").alias("of_leader")).join(members.select("leader").distinct(), "leader", "left_semi")
+    named = members.select("key", "id", "leader").distinct().join(own, "id", "left").withColumn("salt", salt)
+    named = named.join(of_leader.withColumn("salt", salts), ["leader", "salt"], "left")
+    named = named.select("key", "id", "leader", "salt", F.coalesce("component", "id").alias("component"), F.coalesce("of_leader", "leader").alias("of_leader"))
+    named = materialise(named.withColumn("other", F.col("component") != F.col("of_leader")).join(texts.select("key", "bytes"), "key"), "named")
+
+    def blocks(part: Column) -> Column:
+        return F.ceil(F.greatest(F.count_if(part) / BLOCK, F.sum(F.when(part, F.col("bytes"))) / BLOCK_BYTES)).cast("int")
+
+    sizes = named.groupBy("leader").agg(blocks(F.col("other")).alias("others"), blocks(~F.col("other")).alias("mains")).where("others > 0")
+    dealt = named.join(sizes.withColumn("salt", salts), ["leader", "salt"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key", "leader"), F.when(F.col("other"), F.col("others")).otherwise(F.col("mains"))).cast("int"))
+    dealt = dealt.select("key", "leader", "component", "other", "block").join(texts.drop("bytes"), "key")
     packed = dealt.groupBy("leader", "other", "block").agg(F.collect_list(F.struct("id", "component", "signature", "text")).alias("docs"))
     packed = materialise(packed, "blocks")
     first = packed.where("other").select("leader", F.col("block").alias("block_a"))
@@ -244,47 +257,47 @@ def near_duplicates(
     """
     base = materialise(signatures(df, id_col, text_col, shingle, bands, rows), "signatures")
     full = base.where("n_shingles > 0")
-    classes = full.groupBy("key").agg(F.min("id").alias("rep"))
+    classes = materialise(full.groupBy("key").agg(F.min(F.struct("id", "mark")).alias("rep")).select("key", "rep.id", "rep.mark"), "classes")
     # an id with several texts ties its classes together
-    ties = full.join(classes, "key").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    reps = full.join(classes.withColumnRenamed("rep", "id"), ["key", "id"], "left_semi").select("id", "signature", "bands")
-    banded = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
+    ties = full.select("key", F.col("id").alias("a")).join(classes.select("key", F.col("id").alias("b")), "key").where("a != b").select("a", "b").distinct()
+    reps = full.join(classes, ["key", "id", "mark"], "left_semi").dropDuplicates(["key"]).select("key", "id", "mark", "signature", "bands")
+    banded = reps.select("key", "id", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     crowded = materialise(banded.join(shared, "bucket"), "crowded")
     # the most central member stands for a bucket: an original is in the large bucket of every band, an edited copy is not
-    central = crowded.groupBy("id").agg(F.sum("n").alias("weight"))
-    crowded = crowded.select("id", "bucket").join(central, "id")
-    leaders = crowded.groupBy("bucket").agg(F.max(F.struct("weight", F.negative("id").alias("id"))).alias("top"))
-    members = materialise(crowded.join(leaders.select("bucket", F.negative("top.id").alias("leader")), "bucket"), "members")
-    involved = members.select("id").distinct()
-    signs = reps.select("id", "signature").join(involved, "id", "left_semi")
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = materialise(texts.join(involved, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).join(signs, "id"), "texts")
+    central = crowded.groupBy("key").agg(F.sum("n").alias("weight"))
+    crowded_by = crowded.select("key", "id", "bucket").join(central, "key")
+    leaders = crowded_by.groupBy("bucket").agg(F.max(F.struct("weight", F.negative("id").alias("id"), "key")).alias("top"))
+    leaders = leaders.select("bucket", F.negative("top.id").alias("leader"), F.col("top.key").alias("leader_key"))
+    members = materialise(crowded_by.join(leaders, "bucket").select("key", "id", "leader", "leader_key").distinct(), "members")
+    involved = members.select("key").distinct()
+    signs = reps.select("key", "id", "mark", "signature").join(involved, "key", "left_semi")
+    # a text for each class: rows that repeat it are one
+    texts = _marked(df, id_col, text_col).join(signs, ["id", "mark"]).groupBy("key", "id", "signature").agg(F.min("text").alias("text"))
+    texts = materialise(texts.withColumn("bytes", F.octet_length("text")), "texts")
 
     def confirm(candidates: DataFrame) -> DataFrame:
-        def ends(pairs: DataFrame, column: str) -> DataFrame:
+        def ends(pairs: DataFrame, *columns: str) -> DataFrame:
             for side in ("a", "b"):
-                pairs = pairs.join(texts.select(F.col("id").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+                pairs = pairs.join(texts.select(F.col("key").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
             return pairs
 
-        # a pair with the same key in every shingle is a link already by its class
+        # classes of one id are one node already
         left = bayes_prune(ends(candidates, "signature"), percent / 100, miss, bands, rows)
-        return verify(ends(left, "text"), shingle, percent)
-
-    def pairs_of(a: str, b: str, rows_: DataFrame) -> DataFrame:
-        return rows_.where(f"{a} != {b}").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+        return verify(ends(left, "id", "text"), shingle, percent)
 
-    links = ties.where("a != b")
-    links = materialise(links.union(confirm(pairs_of("id", "leader", members))), "links")
+    met = members.where("key != leader_key AND id != leader").select(F.least("key", "leader_key").alias("a"), F.greatest("key", "leader_key").alias("b")).distinct()
+    links = materialise(ties.union(confirm(met)), "links")
     components = materialise(connected_components(links), "components")
     more = materialise(tiled_links(members, components, texts, shingle, percent, miss, bands, rows), "links")
     if not more.isEmpty():
         merged = components.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
         components = materialise(connected_components(merged), "components")
+    release(crowded, members, texts, links, more)
 
     named = (
-        classes.join(components.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("key", F.coalesce("component", "rep").alias("component"))
+        classes.join(components, "id", "left")
+        .select("key", F.coalesce("component", "id").alias("component"))
     )
     out = base.select("id", "key", "n_shingles").join(named, "key", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component"))

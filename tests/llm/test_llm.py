@@ -291,6 +291,17 @@ def test_minhash_odd_rows(spark):
     assert minhash.near_duplicates(twice.where("false")).count() == 0
 
 
+def test_minhash_ids_with_several_texts(spark):
+    """An id with two texts has the links of both, whichever text is smaller, in leaders and in tiles."""
+    rng = random.Random(9)
+    a, b = ([f"{x}{rng.randrange(900)}" for _ in range(60)] for x in "ab")
+    near = lambda w: " ".join([*w[:-1], "end"])
+    for texts in ([(5, a), (5, b), (7, near(a)), (9, near(b))], [(5, b), (5, a), (9, near(b)), (7, near(a)), (5, a), (3, "own words only")]):
+        rows = [(i, t if isinstance(t, str) else " ".join(t), "en", "s", None) for i, t in texts]
+        got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), shingle=2).collect()
+        assert len(got) == len(texts) and {(r["doc_id"], r["component"]) for r in got} == {(5, 5), (7, 5), (9, 5)} | ({(3, 3)} if len(texts) > 4 else set())
+
+
 def test_bayes_bound():
     for n in (16, 64, 160):
         m = minhash.fewest_matches(n, 0.8, 1e-6)
