@@ -351,12 +351,30 @@ def test_backoff_of_three(spark):
 
     given = docs(spark, texts).withColumn("block", F.lit("clash"))
     for chars, grams in ((10**6, 10**6), (10, 5)):
-        got = ngrams.stupid_backoff(given, order=3, block_chars=chars, part_grams=grams).orderBy("doc_id").collect()
+        got = ngrams.stupid_backoff(given, order=3, min_count=2, block_chars=chars, part_grams=grams).orderBy("doc_id").collect()
         assert np.allclose([r["log_score"] for r in got], [sum(score(w, i) for i in range(len(w))) for w in words])
+    twice = ngrams.stupid_backoff(given.unionAll(given), order=3, block_chars=10).collect()
+    assert len(twice) == 2 * len(texts) and len({(r["doc_id"], round(r["log_score"], 9)) for r in twice}) == len(texts)
+    assert ngrams.stupid_backoff(docs(spark, [LONG])).first()["n_words"] == 60_000
     assert ngrams.stupid_backoff(given.where("false")).count() == 0
     assert ngrams.stupid_backoff(docs(spark, [None, ""])).count() == 2
 
 
+def test_backoff_to_another_corpus(spark):
+    """Texts that the counts are not from: unseen n-grams back off, an unseen word counts once."""
+    corpus = docs(spark, ["a b c", "a b d", None]).select("text")
+    got = {r["doc_id"]: r["log_score"] for r in ngrams.stupid_backoff(docs(spark, ["a b", "b a", "z", ""]), corpus=corpus, block_chars=3).collect()}
+    assert np.allclose([got[i] for i in range(4)], [np.log(2 / 6) + np.log(2 / 2), np.log(2 / 6) + np.log(0.4 * 2 / 6), np.log(1 / 6), 0])
+
+
+def test_backoff_counts_of_64_bits():
+    n = np.array([1, 254, 255, 256, 2**32, 2**60], dtype=np.uint64)
+    assert (ngrams.unpack_counts(ngrams.pack_counts(n), 6) == n).all()
+    grams = np.array([7, 2**63 + 1, 9], "<u8")
+    sums = ngrams.add_counts([grams.tobytes(), grams[1:].tobytes(), b""], [ngrams.pack_counts(np.array(x, np.uint64)) for x in ([2**32, 5, 2**40], [2**33, 1], [])])
+    assert ngrams.unpack_counts(sums[0], 3).tolist() == [2**32, 2**33 + 5, 2**40 + 1] and ngrams.unpack_counts(sums[1], 2).tolist() == [2**33 + 5, 2**40 + 1]
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
