@@ -1,11 +1,12 @@
 """Operator 4: main text of web pages by tree scoring.
 
 Every block with text passes points to its ancestors: one, one for each comma, and up to three for its length; the full
-sum to its parent, a half to the grandparent, a third and so on above. A container's sum is discounted by the share of
-its text that stands in links. If the best container lies in an article or main, that is kept; else it grows to ancestors
+sum to its parent, a half to the grandparent, a quarter above and so on. A container's sum is discounted by the share of
+its text that stands in links; of equal ones the deepest is best, then the first. If the best container lies in an article or main, that is kept; else it grows to ancestors
 that add next to no links, and is kept with those siblings that score at least a fifth of it or are text, headings,
 paragraphs, lists, tables or quotes with few links. Menus, headers, footers, sidebars, notices, adverts, forms, comments and code are
-taken out of the tree first, by tag, role, class or id.
+taken out of the tree first, by tag, role, class or id. A part that only its class, id or role speaks against stays if it holds
+most of the page's text and no article or main stands beside it; a header inside an article stays.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: A name, and its value if it has one; values are taken whole, so names inside them are none.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 DROPPED = RAW | {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "svg", "math", "canvas", "object", "dialog", "menu", "audio", "video", "map", "label", "fieldset"}
@@ -44,10 +46,11 @@ UNLIKELY = frozenset(
     "remark replies reply respond search share sharing shoutbox sidebar sidebox signup skip social sponsor sponsored subscribe "
     "taboola toolbar tooltip trending widget widgets".split()
 )
+#: Of these, words of parts that are never the article, however long they are; and words that make a class speak of the page around it.
+NEVER = frozenset("ad ads advert adverts advertisement advertising comment comments commentlist cookie cookies discussion disqus footer footnav menu menubar nav navbar navigation remark replies reply respond shoutbox sponsor sponsored".split())
+AROUND = frozenset("has have with without no not hide show".split())
 WEIGHT = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "li": -3.0, "dl": -3.0, "th": -5.0}
 KEPT = {"html", "body", "article", "main"}
-#: How far up a block passes points, so that deep pages stay linear.
-LEVELS = 12
 #: Siblings of the best container that are kept whatever they score; and the share of links up to which an ancestor is taken.
 BESIDE = INLINE | {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "p", "ul", "ol", "dl", "table", "blockquote", "pre", "figure", "details", "address"}
 FEW_LINKS = 0.1
@@ -57,25 +60,32 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 class Node:
     """An element: its parent, its depth, and its children, which are elements and pieces of text in page order."""
 
-    __slots__ = ("tag", "parent", "depth", "parts", "score")
+    __slots__ = ("tag", "parent", "depth", "parts", "score", "doubtful")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.parts, self.score = tag, parent, [], 0.0
+    def __init__(self, tag: str, parent: Node | None, doubtful: bool = False):
+        self.tag, self.parent, self.parts, self.score, self.doubtful = tag, parent, [], 0.0, doubtful
         self.depth = parent.depth + 1 if parent else 0
 
 
-def _unlikely(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
-        return True
+def _unlikely(tag: str, attributes: str, at: Node) -> str:
+    """Whether an element is no part of the article: "yes", "maybe" or empty. ``at``: the element around it."""
+    if tag in DROPPED and not (tag == "header" and any(n.tag == "article" for n in _up(at))):
+        return "yes"
     if not attributes or tag in KEPT:
-        return False
+        return ""
+    found = ""
     for name, value in ATTRIBUTE.findall(attributes):
         name = name.lower()
-        if name == "hidden" or name == "aria-hidden" and "true" in value or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id", "role") and any(w.lower() in UNLIKELY for w in WORDS.findall(value)):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and "true" in value.lower() or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return "yes"
+        if name in ("class", "id", "role"):
+            for token in value.strip("\"'").split():
+                words = [w.lower() for w in WORDS.findall(token)]
+                if AROUND.isdisjoint(words) and not UNLIKELY.isdisjoint(words):
+                    if not NEVER.isdisjoint(words):
+                        return "yes"
+                    found = "maybe"
+    return found
 
 
 def parse(html: str) -> Node:
@@ -124,7 +134,8 @@ def parse(html: str) -> Node:
             if tag in ("br", "hr"):
                 at.parts.append(" ")
             continue
-        if _unlikely(tag, attributes):
+        unlikely = _unlikely(tag, attributes, at)
+        if unlikely == "yes":
             if tag not in INLINE:
                 at.parts.append(" ")
             if tag in RAW:
@@ -132,9 +143,32 @@ def parse(html: str) -> Node:
             else:
                 skipped.append(tag)
             continue
-        node = Node(tag, at)
+        node = Node(tag, at, unlikely == "maybe")
         at.parts.append(node)
         at = node
+    return _without_doubtful(root)
+
+
+def _without_doubtful(root: Node) -> Node:
+    """The tree without its doubtful parts, but for those with most of its text and no article or main beside them."""
+    nodes = _walk(root)
+    if not any(n.doubtful for n in nodes):
+        return root
+    size = {n: sum(len(x.strip()) for x in n.parts if type(x) is str) for n in nodes}
+    bodies = {n: int(n.tag in ("article", "main")) for n in nodes}
+    for n in reversed(nodes):
+        if n.parent is not None:
+            size[n.parent] += size[n]
+            bodies[n.parent] += bodies[n]
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        for i, x in enumerate(n.parts):
+            if type(x) is Node:
+                if x.doubtful and (2 * size[x] <= size[root] or bodies[x] < bodies[root]):
+                    n.parts[i] = "" if x.tag in INLINE else " "
+                else:
+                    todo.append(x)
     return root
 
 
@@ -204,19 +238,20 @@ def extract(html: str | None) -> str:
                 up[2] += commas
                 own[n.parent] = own.get(n.parent, 0)
     density = {n: sizes[n][1] / sizes[n][0] if sizes[n][0] else 0.0 for n in nodes}
-    scored = set()
     for n in nodes:
         if n.tag in INLINE or not (own[n] or any(type(x) is Node and x.tag in INLINE and sizes[x][0] for x in n.parts)):
             continue
         length = own[n] + sum(sizes[x][0] for x in n.parts if type(x) is Node and x.tag in INLINE)
         points = 1 + sizes[n][2] + min(length / 100, 3)
-        up, level = n.parent if n.tag in ("p", "pre", "td", "th", "li", "dt", "dd", "blockquote", "figcaption") or n.tag[0] == "h" else n, 0
-        while up is not None and level < LEVELS:
-            level += 1
-            if up.tag not in INLINE:
-                up.score += points / level
-                scored.add(up)
+        up = n.parent if n.tag in ("p", "pre", "td", "th", "li", "dt", "dd", "blockquote", "figcaption") or n.tag[0] == "h" else n
+        while up is not None and up.tag in INLINE:
             up = up.parent
+        if up is not None:
+            up.score += points
+    for n in reversed(nodes):  # half of what an element has goes on to the one around it
+        if n.parent is not None:
+            n.parent.score += n.score if n.tag in INLINE else n.score / 2
+    scored = {n for n in nodes if n.score and n.tag not in INLINE}
     if not scored:
         return text_of(root)
     for n in scored:
@@ -252,7 +287,8 @@ def _up(node: Node) -> Iterator[Node]:
 def main_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """Add the main text of each page as ``text_col``, which replaces a column of that name.
 
-    Null, empty or unreadable html gives the empty string. Rows are handled on their own; repeats stay.
+    Null, empty or unreadable html gives the empty string. Rows are handled on their own; repeats stay. Long and deep pages
+    are taken whole, in time linear in their size.
     """
     name = "main_text_of_page"
     kept = [c for c in pages.columns if c not in (html_col, text_col)]

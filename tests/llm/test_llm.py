@@ -191,6 +191,12 @@ P = "A long sentence, with commas, and enough words in it that it counts as a pa
         (f"<div><a href=x>l1</a> <a href=y>l2</a></div><div>{P}</div>", P),
         ("<div>" * 3000 + "deep", "deep"),
         ("<p", ""),
+        (f"<article><p title='hidden costs'>{P}</p><p data-role='share'>{P}</p><p>see <a href='/page?id=menu'>this</a></p></article>", f"{P} {P} see this"),
+        (f"<div class='content has-sidebar'><p>{P}</p><p>{P}</p></div><div class=sidebar>side</div>", f"{P} {P}"),
+        (f"<div class=banner-page><p>{P}</p><p>{P}</p></div><div class=promo>buy</div>", f"{P} {P}"),
+        (f"<div class=comments><p>{P}</p><p>{P}</p><p>{P}</p></div><div><p>short story, it is</p></div>", "short story, it is"),
+        (f"<header>site</header><article><header><h1>Title</h1></header><p>{P}</p></article>", f"Title {P}"),
+        (f"<div hidden>{P}</div><div STYLE='display: NONE'>{P}</div><div><p>seen, all of it</p></div>", "seen, all of it"),
     ],
 )
 def test_html_cases(source, text):
@@ -209,6 +215,26 @@ def test_html_keeps_whole_articles(n):
     assert html.extract(f"{menu}{beside}{body}") == said.removesuffix(" Small part")
 
 
+def test_html_scores_by_plain_sums():
+    """The best container, on pages without an article, has the highest discounted sum over all blocks below it."""
+    rng = random.Random(11)
+    for _ in range(200):
+        sizes = [rng.randint(0, 6) for _ in range(4)]
+        parts = [[f"Part {i} line {j}{', and' * rng.randint(0, 3)} {'word ' * rng.randint(1, 60)}".strip() for j in range(n)] for i, n in enumerate(sizes)]
+        page = "<div id=top>" + "".join(f"<div class=b{i}>{''.join(f'<p>{t}</p>' for t in p)}<a href=x>{'link ' * 9}</a></div>" for i, p in enumerate(parts)) + "</div>"
+        points = []
+        for p in parts:
+            words, link = sum(map(len, p)), len(("link " * 9).strip())
+            own = 1 + min(link / 100, 3)  # the bare link is a block of its own
+            points.append((sum(1 + t.count(",") + min(len(t) / 100, 3) for t in p) + own + 5) * (1 - link / (words + link)))
+        nodes = html._walk(html.parse(page))
+        html.extract(page)
+        assert len([n for n in nodes if n.tag == "div"]) == 5
+        best = max(range(4), key=lambda i: points[i])
+        if sizes[best] and sorted(points)[-1] > sorted(points)[-2] + 1e-9:
+            assert all(t in html.extract(page) for t in parts[best])
+
+
 def test_html_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "clash"), (1, "u", "<p>a", "clash"), (1, "u", "<p>a", "clash")], "page_id long, url string, html string, text string")
     assert sorted(r["text"] for r in html.main_text(pages).collect()) == ["", "a", "a"]
