@@ -1,8 +1,10 @@
 """Operator 5: licence scan by sparse TF-IDF cosine to templates, with inheritance from the nearest directory above.
 
 Each line of a file and its whole text are compared with the templates. The document frequency of every term is counted
-over all files. Words that no template has only lengthen a vector, so lines that miss the bar even where these have the
-least weight are left out early; the rest are joined with the frequencies of their terms. Files without a licence of their own take
+over all files. A unit vector that has none of the words which carry more than 1 - bar^2 of a template's square sum can't
+reach the bar, so a line or text without any such word is not compared. Words that no template has only lengthen a vector, so
+lines that miss the bar even where these have the least weight are left out too; the rest are joined with the frequencies of
+their terms. Files without a licence of their own take
 that of the nearest directory above them that holds a licence file. Directories are joined by path, once each.
 """
 
@@ -19,24 +21,53 @@ from pyspark.sql import functions as F
 
 from fundtrace.llm.common import documents, materialise
 
-#: Short texts by which licences are named in headers.
+#: Whole licence texts, without their copyright lines.
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies
+or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT
+OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE
+AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO
+EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION
+WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+BSD_TERMS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_ENDORSE = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission."""
+BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: Short texts by which licences are named in headers, and whole ones.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
+    "BSD-2-Clause": [f"{BSD_TERMS} {BSD_DISCLAIMER}"],
+    "BSD-3-Clause": [f"{BSD_TERMS} {BSD_ENDORSE} {BSD_DISCLAIMER}", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "Licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
     "GPL-2.0": ["GNU General Public License, version 2."],
     "GPL-3.0": ["GNU General Public License, version 3.", "This program is free software: you can redistribute it under the terms of the GNU General Public License, version 3."],
+    "ISC": [ISC],
     "LGPL-3.0": ["GNU Lesser General Public License, version 3."],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."],
+    "MIT": [MIT, "Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
 TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 THRESHOLD = 0.7
-#: Licence words of which a line or text must have one to be compared.
-MARKS = frozenset("license licensed licence licenced permission redistribution gnu copyright".split())
 FLUSH, PART = 150_000, 20_000
+#: Parts of a large directory in a join.
+SALTS = 16
 
 
 def terms_of(text: str) -> Counter:
@@ -46,15 +77,23 @@ def terms_of(text: str) -> Counter:
 class Templates:
     """Normalised template vectors. ``df`` has the files of each template word, ``files`` is their number."""
 
-    def __init__(self, df: dict[str, int], files: int):
-        self.files = files
+    def __init__(self, df: dict[str, int], files: int, threshold: float):
+        self.files, self.needed = files, set()
         self.idf = {t: self.weight(df.get(t, 0)) for t in vocabulary()}
         self.vectors = []
         for name, texts in sorted(TEMPLATES.items()):
             for text in texts:
                 w = {t: (1 + math.log(n)) * self.idf[t] for t, n in terms_of(text).items()}
                 size = math.sqrt(math.fsum(x * x for x in w.values()))
-                self.vectors.append((name, {t: x / size for t, x in w.items()}))
+                unit = {t: x / size for t, x in w.items()}
+                self.vectors.append((name, unit))
+                left = 1.0
+                for t in sorted(unit, key=lambda t: (-unit[t], t)):  # without these words no unit vector reaches the bar
+                    if left < (threshold - 1e-9) ** 2:
+                        break
+                    self.needed.add(t)
+                    left -= unit[t] ** 2
+        self.parts = [t for t in sorted(self.needed, key=len) if not any(p != t and p in t for p in self.needed)]
 
     def weight(self, df: int) -> float:
         return math.log((1 + self.files) / (1 + df)) + 1
@@ -64,7 +103,7 @@ class Templates:
 
         Without ``df`` these words weigh what a word of every file does, the least there is: no cosine is higher than that.
         """
-        if not any(t in MARKS for t in terms):
+        if self.needed.isdisjoint(terms):
             return 0.0, None
         w = {t: (1 + math.log(n)) * (self.idf[t] if t in self.idf else 1.0 if df is None else self.weight(df[t])) for t, n in terms.items()}
         size = math.sqrt(math.fsum(x * x for x in w.values()))
@@ -104,12 +143,13 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Licence of each file's own text: path, license (null: none), cosine, line (from 1; 0: whole text) and n_words.
 
-    The best line or the whole text counts, the earlier one on a tie. Null or empty text has no licence.
+    The best line or the whole text counts, the earlier one on a tie. Null or empty text has no licence. Repeated rows stay
+    and are handled alike; long texts are taken whole; other columns play no part, whatever their names.
     """
     rows = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     frequencies = document_frequencies(rows)
     counts = {r["term"]: r["df"] for r in frequencies.where(F.col("term").isin("", *vocabulary())).collect()}
-    templates = Templates(counts, counts.get("", 0))
+    templates = Templates(counts, counts.get("", 0), threshold)
     shared = files.sparkSession.sparkContext.broadcast(templates)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,9 +158,12 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
             out = []
             for path, text in zip(b["path"], b["text"], strict=True):
                 found, text = [], text or ""
-                if any(m in (low := text.lower()) for m in ("licen", "permission", "redistrib", "gnu", "copyright")):
+                low = text.lower()
+                if any(p in low for p in templates.parts):
                     lines = low.split("\n")
                     for i, line in [*enumerate(lines, 1), *([(0, low)] if len(lines) > 1 else [])]:
+                        if not any(p in line for p in templates.parts):
+                            continue
                         terms = terms_of(line)
                         if templates.best(terms)[0] >= threshold - 1e-9:
                             found.append({"line": i, "bag": " ".join(f"{t}:{n}" for t, n in sorted(terms.items()))})
@@ -143,14 +186,15 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
     hits = known.mapInPandas(match, "bag string, cosine double, license string").where(F.col("cosine") >= threshold)
     first = F.struct(F.negative("cosine"), F.col("line") == 0, "line")
     best = each.join(hits, "bag").groupBy("row").agg(F.min_by(F.struct("license", "cosine", "line"), first).alias("best"))
-    return given.join(best, "row", "left").select("path", "best.license", "best.cosine", "best.line", "n_words")
+    return materialise(given.join(best, "row", "left").select("path", "best.license", "best.cosine", "best.line", "n_words"), "scanned")
 
 
 def inherit(scanned: DataFrame, is_license_file: Column) -> DataFrame:
     """Add origin (own, inherited or null) and from_dir, and fill license from the nearest directory above.
 
     A directory's licence is that of the licence file in it with the highest cosine, then the smallest path. A path
-    without a slash is in the top directory, named by the empty string.
+    without a slash is in the top directory, named by the empty string. Files join the distinct directories by directory and a
+    salt, so that one with a great part of all files is the work of many tasks. An empty table gives an empty one.
     """
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     files = scanned.withColumn("dir", F.coalesce(folder, F.lit("")))
@@ -159,7 +203,9 @@ def inherit(scanned: DataFrame, is_license_file: Column) -> DataFrame:
     above = files.select("dir").distinct().select("dir", F.explode(F.sequence(F.lit(0), F.size(steps))).alias("depth"))
     above = above.withColumn("at", F.array_join(F.slice(F.split("dir", "/"), F.lit(1), F.col("depth")), "/"))
     nearest = above.join(given.withColumnRenamed("dir", "at"), "at").groupBy("dir").agg(F.max_by(F.struct("dir_license", F.col("at").alias("from_dir")), "depth").alias("up"))
-    out = files.join(nearest, "dir", "left")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = files.withColumn("salt", F.pmod(F.xxhash64("path", "n_words"), F.lit(SALTS)).cast("int"))
+    out = salted.join(nearest.withColumn("salt", salts), ["dir", "salt"], "left")
     own = F.col("license").isNotNull()
     return out.select(
         "path", F.coalesce("license", "up.dir_license").alias("license"), F.when(own, "own").when(F.col("up").isNotNull(), "inherited").alias("origin"),

@@ -155,6 +155,57 @@ def test_pii_spaces_and_chains(spark):
     assert not out.text.str.contains("555").any() and out.text.str.contains("[PHONE]", regex=False).all()
 
 
+def test_pii_words_around():
+    """Words around a mention are whole, however long or far; those that touch other mentions end there."""
+    far, long = " " * 500, "w" * 300
+    for text, expected in (
+        (f"{long} mail:{far}a@b.co{far}thanks", ([long, "mail:"], "thanks")),
+        ("x mail:a@b.co;b@c.de end", (["x", "mail:"], ";")),
+        ("a@b.co", ([], "")),
+        ("to a@b.co", (["to"], "")),
+    ):
+        base = pii.base_spans(text)["email"]
+        assert next(pii._neighbours(text, base)) == expected
+    assert [m["instance"] for m in pii.mentions("z" * 900 + "@b.co", pii.base_spans("z" * 900 + "@b.co"))] == ["z" * 900 + "@b.co"]
+    for t in ("1.2.3.4," * 20_000, "a@b.co;" * 20_000, "1-" * 50_000, " 1234 5678" * 20_000):
+        pii.mentions(t, pii.base_spans(t))
+
+
+def test_pii_rounds_against_plain_graph(spark):
+    """Scores of the rounds are those of the formulas over dictionaries, on random graphs."""
+    rng = random.Random(12)
+    for _ in range(3):
+        rows = []
+        for i in range(60):
+            seed = rng.random() < 0.5
+            kind = "phone"
+            rows.append((i, [{"kind": kind, "start": 0, "end": 1, "instance": f"{'s' if seed else 'c'}{rng.randrange(12)}", "seed": seed, "patterns": [f"p{rng.randrange(5)}" for _ in range(2)]}]))
+        edges = {}
+        for _, m in rows:
+            for p in m[0]["patterns"]:
+                edges[p, m[0]["instance"]] = m[0]["seed"]
+        edges = {k: v for k, v in edges.items() if sum(p == k[0] for p, _ in edges) >= pii.SUPPORT}
+        score = {}
+        for _ in range(50):
+            known = {(p, i): 1.0 if s else score.get(i, 0.0) for (p, i), s in edges.items()}
+            sure = {}
+            for p in {p for p, _ in edges}:
+                own = [v for (q, _), v in known.items() if q == p]
+                if sum(v >= pii.KNOWN for v in own) >= pii.SUPPORT and np.mean(own) >= pii.CONFIDENCE:
+                    sure[p] = float(np.mean(own))
+            new = {}
+            for (p, i), s in edges.items():
+                if not s and p in sure:
+                    new[i] = new.get(i, 1.0) * max(1 - sure[p], 1e-9)
+            new = {i: round(1 - v, 6) for i, v in new.items()}
+            if new == score:
+                break
+            score = new
+        expected = {(r, max(sure[p] for p in m[0]["patterns"] if p in sure)) for r, m in rows if not m[0]["seed"] and any(p in sure for p in m[0]["patterns"])}
+        got = {(r["row"], r["score"]) for r in pii.discover(spark.createDataFrame(rows, f"row long, mentions array<{pii.MENTION}>")).collect()}
+        assert {r for r, _ in got} == {r for r, _ in expected} and np.allclose(sorted(s for _, s in got), sorted(s for _, s in expected), atol=1e-5)
+
+
 def test_pii_query(spark):
     out = pii.op3_pii(spark, SF).toPandas()
     text = table(spark, "documents").toPandas().set_index("doc_id").text
@@ -273,6 +324,42 @@ def test_licenses_weigh_all_words(spark):
     assert set(got.index) == {"4001", "4002"} and (got.license == "GPL-3.0").all() and list(got.line.sort_index()) == [1, 2] and np.allclose(got.cosine, cosine)
 
 
+def test_licenses_against_plain_cosines(spark):
+    """Own licences of random files, by plain cosines of every line and text with every template."""
+    rng = random.Random(13)
+    pool = [t for texts in licenses.TEMPLATES.values() for t in texts]
+    words = "the code of this file is under a to and version work program any".split()
+
+    def line():
+        t = rng.choice(pool).split() if rng.random() < 0.6 else []
+        t = [w for w in t if rng.random() > rng.choice((0, 0.1, 0.4))]
+        return " ".join([*(rng.choice(words) for _ in range(rng.randint(0, 6))), *t, *(rng.choice(words) for _ in range(rng.randint(0, 6)))])
+
+    texts = ["\n".join(line() for _ in range(rng.randint(1, 3))) for _ in range(150)] + [None, "", "This Source Code Form is subject to the terms of the Mozilla Public, v. 2.0."]
+    got = licenses.scan(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")).toPandas().set_index("path")
+    terms = lambda t: pd.Series(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", (t or "").lower()), dtype=object).value_counts().to_dict()
+    df = pd.Series([t for text in texts for t in terms(text)]).value_counts().to_dict()
+    idf = lambda t: np.log((1 + len(texts)) / (1 + df.get(t, 0))) + 1
+
+    def unit(counts):
+        w = {t: (1 + np.log(n)) * idf(t) for t, n in counts.items()}
+        size = np.sqrt(sum(x * x for x in w.values()))
+        return {t: x / size for t, x in w.items()}
+
+    templates = [(name, unit(terms(t))) for name, ts in sorted(licenses.TEMPLATES.items()) for t in ts]
+    for i, text in enumerate(texts):
+        lines = (text or "").split("\n")
+        cosines = [max((sum(x * own.get(t, 0) for t, x in v.items()), name) for name, v in templates) for part in [*lines, *([text] if len(lines) > 1 else [])] for own in [unit(terms(part))]]
+        best = max(c for c, _ in cosines)
+        r = got.loc[str(i)]
+        if best >= licenses.THRESHOLD + 1e-9:
+            assert abs(r.cosine - best) < 1e-9 and r.license in licenses.TEMPLATES
+        else:
+            assert r.license is None or best > licenses.THRESHOLD - 1e-9
+    assert got.license.notna().sum() > 30 and got.license["152"] == "MPL-2.0"
+    assert licenses.scan(spark.createDataFrame([("a/LICENSE", f"The MIT License\n\nCopyright (c) 2020 X\n\n{licenses.MIT}"), ("b", "x")], "path string, text string")).where("license = 'MIT'").count() == 1
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------
 
 
