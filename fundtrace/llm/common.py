@@ -52,7 +52,13 @@ def _hadoop(spark: SparkSession, path: str):
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table of one input folder."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it has fewer partitions than there are cores, as a single small file has; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def crc_of(column: str):

@@ -64,6 +64,7 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
 TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+PIECES = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 THRESHOLD = 0.7
 FLUSH, PART = 150_000, 20_000
 #: Parts of a large directory in a join.
@@ -74,6 +75,11 @@ def terms_of(text: str) -> Counter:
     return Counter(TERM.findall(text.lower()))
 
 
+def pieces_of(low: str) -> list[bytes]:
+    """Runs of letters and digits of a lower-case text: terms, cut at their points."""
+    return low.encode("utf-8", "surrogatepass").translate(PIECES).split()
+
+
 class Templates:
     """Normalised template vectors. ``df`` has the files of each template word, ``files`` is their number."""
 
@@ -93,7 +99,20 @@ class Templates:
                         break
                     self.needed.add(t)
                     left -= unit[t] ** 2
-        self.parts = [t for t in sorted(self.needed, key=len) if not any(p != t and p in t for p in self.needed)]
+        self.pieces = {p.encode() for t in self.needed for p in t.split(".")[:1]}
+        self.of: dict[str, list[tuple[int, float]]] = {}
+        for i, (_, v) in enumerate(self.vectors):
+            for t, x in v.items():
+                self.of.setdefault(t, []).append((i, x * x))
+        self.least = (threshold - 1e-9) ** 2
+
+    def possible(self, terms: dict[str, int]) -> bool:
+        """Whether a unit vector of these terms can reach the bar: it is at most the root of a template's squares at them."""
+        shared = [0.0] * len(self.vectors)
+        for t in terms:
+            for i, x in self.of.get(t, ()):
+                shared[i] += x
+        return max(shared) >= self.least
 
     def weight(self, df: int) -> float:
         return math.log((1 + self.files) / (1 + df)) + 1
@@ -103,7 +122,7 @@ class Templates:
 
         Without ``df`` these words weigh what a word of every file does, the least there is: no cosine is higher than that.
         """
-        if self.needed.isdisjoint(terms):
+        if not self.possible(terms):
             return 0.0, None
         w = {t: (1 + math.log(n)) * (self.idf[t] if t in self.idf else 1.0 if df is None else self.weight(df[t])) for t, n in terms.items()}
         size = math.sqrt(math.fsum(x * x for x in w.values()))
@@ -159,10 +178,10 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
             for path, text in zip(b["path"], b["text"], strict=True):
                 found, text = [], text or ""
                 low = text.lower()
-                if any(p in low for p in templates.parts):
+                if not templates.pieces.isdisjoint(pieces_of(low)):
                     lines = low.split("\n")
                     for i, line in [*enumerate(lines, 1), *([(0, low)] if len(lines) > 1 else [])]:
-                        if not any(p in line for p in templates.parts):
+                        if templates.pieces.isdisjoint(pieces_of(line)):
                             continue
                         terms = terms_of(line)
                         if templates.best(terms)[0] >= threshold - 1e-9:

@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,39 +184,32 @@ class BlockMaxIndex:
                 up, down = up + w * toxic / n, down + w
         return up / down
 
-    def calibrate(self, share: float) -> None:
-        """Fit the curve from votes to probabilities to what each example's neighbours say of it without itself."""
-        self.slope, self.shift = 1.0, 0.0
-        z, y, n = [], [], []
-        for first in range(0, len(self.examples), TOGETHER):
-            some = self.examples[first : first + TOGETHER]
-            for at, near in enumerate(self.nearest([self.weighed(*e[:2]) for e in some], NEIGHBOURS + 1), first):
-                toxic = self.toxic[at]
-                for label, count in ((1, toxic), (0, self.rows[at] - toxic)):
-                    if count:
-                        without = near if self.rows[at] > 1 else [x for x in near if x[1] != at]
-                        z.append(_logit(self.vote(without[:NEIGHBOURS], share, at, label)))
-                        y.append(float(label))
-                        n.append(1.0)
-        if z:
-            self.slope, self.shift = fit_logistic(np.array(z), np.array(y), np.array(n))
-
-    def probability(self, near: list[tuple[float, int]], share: float) -> float:
-        return 1 / (1 + math.exp(-min(50.0, max(-50.0, self.slope * _logit(self.vote(near, share)) + self.shift))))
+    def votes_without_themselves(self, first: int, end: int, share: float) -> list[tuple[float, float]]:
+        """What the neighbours of these examples say of each label that they have: the vote, as a logit, and the label."""
+        out = []
+        near_of = self.nearest([self.weighed(*e[:2]) for e in self.examples[first:end]], NEIGHBOURS + 1)
+        for at, near in enumerate(near_of, first):
+            near = near if self.rows[at] > 1 else [x for x in near if x[1] != at]
+            for label, count in ((1, self.toxic[at]), (0, self.rows[at] - self.toxic[at])):
+                if count:
+                    out.append((_logit(self.vote(near[:NEIGHBOURS], share, at, label)), float(label)))
+        return out
 
 
 class Classifier:
-    """The index and the share of toxic examples: all that a task needs to score texts."""
+    """A shared index, the share of toxic examples and the curve: all that a task needs to score texts."""
 
-    def __init__(self, index: BlockMaxIndex, share: float):
-        self.index, self.share = index, share
+    def __init__(self, shared: Broadcast, share: float, slope: float, shift: float):
+        self.shared, self.share, self.slope, self.shift = shared, share, slope, shift
 
     def score(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
         """Score and neighbours of each text; one without a word that examples have gets the share of toxic examples."""
         out: list[tuple[float, list[tuple[float, int]]]] = []
+        index = self.shared.value
         for first in range(0, len(texts), TOGETHER):
-            near = self.index.nearest([self.index.vector(words_of(t)) for t in texts[first : first + TOGETHER]], NEIGHBOURS)
-            out += [(self.index.probability(x, self.share) if x else self.share, x) for x in near]
+            for near in index.nearest([index.vector(words_of(t)) for t in texts[first : first + TOGETHER]], NEIGHBOURS):
+                z = self.slope * _logit(index.vote(near, self.share)) + self.shift
+                out.append((1 / (1 + math.exp(-min(50.0, max(-50.0, z)))) if near else self.share, near))
         return out
 
 
@@ -269,9 +263,18 @@ def train(df: DataFrame, labels: DataFrame, label_col: str, teach: str, id_col:
     share = (sum(e[3] for e in examples) + 1) / (sum(e[2] for e in examples) + 2)
     seen, total = document_frequencies(df, text_col, place)
     index = BlockMaxIndex(place, seen, total, [e for e in examples if len(e[0])])
-    index.calibrate(share)
-    index.examples = []
-    return Classifier(index, share)
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(index)  # bounded by MAX_EXAMPLES texts
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for first in b["id"]:
+                yield pd.DataFrame(shared.value.votes_without_themselves(first, first + TOGETHER, share), columns=["z", "y"])
+
+    starts = spark.range(0, len(index.examples), TOGETHER)
+    found = starts.mapInPandas(votes, "z double, y double").orderBy("z", "y").toPandas()  # two rows for each example at most
+    slope, shift = fit_logistic(found["z"].to_numpy(), found["y"].to_numpy(), np.ones(len(found))) if len(found) else (1.0, 0.0)
+    return Classifier(shared, share, slope, shift)
 
 
 def score_documents(df: DataFrame, labels: DataFrame, label_col: str, teach: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,14 +287,13 @@ def score_documents(df: DataFrame, labels: DataFrame, label_col: str, teach: str
     examples of both classes every score is near their share, starting from one row of each class. Repeated rows stay and
     score alike. Very long texts are taken whole. Other columns play no part, whatever their names.
     """
-    shared = df.sparkSession.sparkContext.broadcast(train(df, labels, label_col, teach, id_col, text_col))
+    classifier = train(df, labels, label_col, teach, id_col, text_col)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value
-        i = c.index
+        i = classifier.shared.value
         for b in batches:
-            got = c.score(list(b["text"]))
+            got = classifier.score(list(b["text"]))
             evidence = [[{"id": i.ids[at], "n": int(i.rows[at]), "toxic": int(i.toxic[at]), "cosine": s} for s, at in near] for _, near in got]
             yield pd.DataFrame({"id": b["id"], "score": [g[0] for g in got], "evidence": evidence})
 
@@ -305,13 +307,12 @@ def without_toxic(df: DataFrame, labels: DataFrame, label_col: str, teach: str,
 
     Rows are as in :func:`score_documents`; all columns pass through as Arrow, unchanged.
     """
-    shared = df.sparkSession.sparkContext.broadcast(train(df, labels, label_col, teach, id_col, text_col))
+    classifier = train(df, labels, label_col, teach, id_col, text_col)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score: Callable = shared.value.score
         for b in batches:
-            yield b.filter(pa.array([s < reject for s, _ in score(b.column(at).to_pylist())], pa.bool_()))
+            yield b.filter(pa.array([s < reject for s, _ in classifier.score(b.column(at).to_pylist())], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
