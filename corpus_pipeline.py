@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundtrace.llm import bpe, decontaminate, minhash, pii, toxicity
-from fundtrace.llm.common import materialise
+from fundtrace.llm.common import documents, materialise
 
 #: No SQL expresses the learned and iterative stages; tests hold them against brute-force versions.
 ORACLE_SQL = None
@@ -56,7 +56,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the documents table; each is written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
