@@ -86,10 +86,14 @@ def benchmark_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     entries = items.select("item", F.size("words").alias("n"), F.explode(fingerprints(items, short)).alias("e"))
     entries = entries.where("(e.length = 0 AND n >= 10) OR (e.length = n AND e.at = 0)".replace("10", str(WINDOW)))
     entries = entries.select("item", *[F.col(f"e.{c}").alias(f"item_{c}") for c in ("length", "h", "gram", "before", "after")]).distinct()
-    if entries.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
-        entries = F.broadcast(entries)
-
-    rows = _hashes(df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("of_text"), words_of(text_col).alias("words")))
+    few = entries.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+    whole = _hashes(df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("of_text"), words_of(text_col).alias("words")))
+    if few:
+        entries, rows = F.broadcast(entries), whole
+    else:  # shuffle bare hashes first, then the words of those documents alone that share one
+        bare = whole.select("id", "of_text", F.explode(fingerprints(whole, short)).alias("e")).select("id", "of_text", "e.h", "e.length").distinct()
+        known = entries.select(F.col("item_h").alias("h"), F.col("item_length").alias("length")).distinct()
+        rows = whole.join(bare.join(known, ["h", "length"], "left_semi").select("id", "of_text").distinct(), ["id", "of_text"], "left_semi")
     each = rows.select("id", "of_text", F.size("words").alias("n_words"), F.posexplode_outer(fingerprints(rows, short)).alias("nth", "e"))
     each = each.select("id", "of_text", "n_words", "nth", "e.*")
     joined = each.join(entries, (F.col("h") == F.col("item_h")) & (F.col("length") == F.col("item_length")) & (F.col("gram") == F.col("item_gram")), "left")
@@ -99,6 +103,11 @@ def benchmark_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     marked = joined.select("id", "of_text", "n_words", "nth", F.when(hit, F.col("item")).alias("item"), F.when(hit, span).alias("span"))
     marked = marked.where("item is not null or coalesce(nth, 0) = 0")
     out = marked.groupBy("id", "of_text", "n_words").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    if not few:
+        every = whole.select("id", "of_text", F.size("words").alias("n_words")).distinct()
+        out = every.join(out.drop("n_words"), ["id", "of_text"], "left")
+        none = {c: F.array().cast(out.schema[c].dataType) for c in ("spans", "items")}
+        out = out.withColumns({c: F.coalesce(c, none[c]) for c in none})
     union = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto")),

@@ -58,8 +58,8 @@ def exact_top_k(
         out = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(ok)
         return out.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"), F.size("v").alias("dim"))
 
-    def packed(df: DataFrame, rows: int, name: str) -> DataFrame:
-        """Rows gathered into parts of about ``rows``: part, dim, ids and values as bytes."""
+    def packed(df: DataFrame, rows: int, name: str) -> tuple[DataFrame, int]:
+        """Rows gathered into parts of about ``rows``: part, dim, ids and values as bytes. And the number of parts."""
         parts = max(1, math.ceil(df.count() / rows))
 
         def pack(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
@@ -69,12 +69,14 @@ def exact_top_k(
 
         part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
         out = df.withColumn("part", part).groupBy("part", "dim").applyInPandas(pack, "part int, dim int, ids binary, m binary")
-        return materialise(out, name)
-
-    shards = packed(clean(vectors), shard_rows, "shards").withColumnsRenamed({"ids": "ids_s", "m": "m_s"})
-    blocks = packed(clean(queries).distinct(), block_rows, "blocks").withColumnsRenamed({"ids": "ids_q", "m": "m_q", "part": "block"})
-    met = shards.select("part", "dim").join(blocks.select("block", "dim"), "dim")  # a row for each tile
-    tiles = met.repartition("part", "block").join(shards, ["part", "dim"]).join(blocks, ["block", "dim"])
+        return materialise(out, name), parts
+
+    shards, n_shards = packed(clean(vectors), shard_rows, "shards")
+    blocks, n_blocks = packed(clean(queries).distinct(), block_rows, "blocks")
+    # each shard goes to the tiles of all blocks and each block to those of all shards: one shuffle of either, by tile
+    shards = shards.withColumnsRenamed({"ids": "ids_s", "m": "m_s"}).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    blocks = blocks.withColumnsRenamed({"ids": "ids_q", "m": "m_q", "part": "block"}).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+    tiles = shards.join(blocks, ["part", "block", "dim"])
 
     def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -39,7 +39,9 @@ def test_against_sql(spark, name):
 # 1 ------------------------------------------------------------------------------------------------------------------
 
 
-def test_decontaminate_odd_rows(spark):
+@pytest.mark.parametrize("grams", [100_000, 0])
+def test_decontaminate_odd_rows(spark, monkeypatch, grams):
+    monkeypatch.setattr(decontaminate, "BROADCAST_GRAMS", grams)  # 0: the way of a large benchmark
     rng = random.Random(3)
     text = lambda n: " ".join(rng.choice(["a", "b", "C", "d", "é", "zz"]) + rng.choice(["", "!", ", "]) for _ in range(n))
     items = pd.DataFrame({"item_id": [5, 10, 7, 9, 11, 12], "text": ["a b c d zz a b c d a b", "ZZ é zz a", "a", "d d d d d d d", "", None]})
@@ -442,6 +444,18 @@ def test_top_k_odd_rows(spark):
     assert topk.exact_top_k(df, df.where("false"), 3).count() == 0
 
 
+def test_top_k_merges_in_levels(spark, monkeypatch):
+    """Many shards, lists merged in twos, several blocks of queries and ties: the result is that of all products."""
+    monkeypatch.setattr(topk, "MERGE", 2)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-3, 4, (300, 4)) / 4
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = topk.exact_top_k(df, df.where("vec_id % 30 = 0"), 5, shard_rows=4, block_rows=3).orderBy("query_id", "rank").collect()
+    scores = (np.floor(x * 1024) @ np.floor(x * 1024).T).astype(int)
+    expected = [(q, r + 1, i, scores[q, i]) for q in range(0, 300, 30) for r, i in enumerate(sorted((i for i in range(300) if i != q), key=lambda i: (-scores[q, i], i))[:5])]
+    assert [tuple(r) for r in got] == expected
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 
