@@ -6,31 +6,53 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def market_regime(rate: Column, market: Column, low: float, high: float) -> Column:
-    """Rate bucket and market bucket."""
-    by_rate = F.when(rate.isNull(), "rate_unknown").when(rate < low, "low_rate").when(rate < high, "mid_rate").otherwise("high_rate")
-    by_market = F.when(market.isNull(), "market_unknown").when(market >= 0.05, "bull").when(market <= -0.05, "bear").otherwise("flat")
+def market_regime(rate: Column, market: Column) -> Column:
+    """Rate bucket (percent) and market bucket (trailing return)."""
+    by_rate = F.when(rate.isNull(), "unknown_rate").when(rate >= 4.0, "high_rate").when(rate <= 2.0, "low_rate").otherwise("mid_rate")
+    by_market = F.when(market.isNull(), "unknown_market").when(market >= 0.08, "strong_equity_market").when(market <= 0.0, "weak_equity_market").otherwise("moderate_equity_market")
     return F.concat_ws("__", by_rate, by_market)
 
 
-def style_label(defensive: Column, flow: Column, growth: Column) -> Column:
-    """First style whose score passes its bar."""
-    return F.when(defensive >= 0.66, "defensive").when(growth >= 0.66, "growth").when(flow >= 0.66, "flow_driven").when(growth >= 0.55, "growth_tilt").otherwise("balanced")
+#: The five manager styles.
+STYLES = ("Defensive / risk-control style", "High-return / high-flow style", "Equity-tilted / growth style", "Flow-supported core style", "Balanced core style")
 
 
-def action_type(d_stock: Column, d_bond: Column, d_cash: Column) -> Column:
-    """What a report changed, by ordered thresholds."""
+def style_label(defensive: Column, flow: Column, growth: Column) -> Column:
+    """First style whose scores pass its bars; a missing score passes none."""
+    grows = growth >= 0.66
     return (
-        F.when(d_stock.isNull() & d_bond.isNull() & d_cash.isNull(), "no_previous_report")
-        .when((d_stock >= 0.03) & (d_bond <= -0.03), "bond_to_stock")
-        .when((d_stock <= -0.03) & (d_bond >= 0.03), "stock_to_bond")
-        .when(d_stock >= 0.03, "add_stock")
-        .when(d_stock <= -0.03, "cut_stock")
-        .when(d_cash >= 0.05, "raise_cash")
-        .when(d_cash <= -0.05, "use_cash")
-        .when(F.greatest(F.abs(d_stock), F.abs(d_bond), F.abs(d_cash)) <= 0.01, "hold")
-        .otherwise("small_change")
-    )
+        F.when((defensive >= 0.66) & (growth < 0.66), STYLES[0]).when(grows & (flow >= 0.55), STYLES[1]).when(grows, STYLES[2])
+        .when(flow >= 0.66, STYLES[3]).otherwise(STYLES[4])
+    )
+
+
+#: What a report did, in order of precedence, and how it was carried out.
+ACTIONS = {
+    "increase_equity_plus_technology": "direct_equity_growth_tilt",
+    "increase_stock_allocation": "direct_equity_risk_on",
+    "reduce_stock_increase_bond_money": "risk_off_bond_money_rotation",
+    "reduce_portfolio_beta": "beta_reduction_defensive",
+    "increase_technology_exposure": "sector_rotation_technology",
+    "increase_bond_money_exposure": "bond_money_defensive_execution",
+    "increase_indirect_equity_exposure": "indirect_equity_execution",
+    "minor_allocation_rotation": "minor_cross_asset_rotation",
+    "stable_or_no_clear_action": "stable_or_minor_rebalance",
+}
+
+
+def action_type(stock: Column, beta: Column, technology: Column, bond_money: Column, indirect: Column) -> Column:
+    """The first action whose changes reach their thresholds (stock 0.03, beta 0.05, exposures 0.01); missing ones reach none."""
+    bars = [
+        (stock >= 0.03) & (technology >= 0.01), stock >= 0.03, (stock <= -0.03) & (bond_money >= 0.01), beta <= -0.05, technology >= 0.01, bond_money >= 0.01, indirect >= 0.01,
+        action_strength(stock, beta, technology, bond_money, indirect) >= 0.01,
+    ]
+    *named, quiet = ACTIONS
+    return F.coalesce(*[F.when(bar, F.lit(name)) for bar, name in zip(bars, named, strict=True)], F.lit(quiet))
+
+
+def execution_type(action: Column) -> Column:
+    """How an action was carried out."""
+    return F.coalesce(*[F.when(action == a, F.lit(e)) for a, e in ACTIONS.items()])
 
 
 def action_strength(*deltas: Column) -> Column:
@@ -39,8 +61,11 @@ def action_strength(*deltas: Column) -> Column:
 
 
 def outcome_label(excess: Column, drawdown: Column) -> Column:
-    """Outcome with a deep fall first."""
-    return F.when(excess.isNull(), "unknown").when(drawdown <= -0.2, "high_drawdown").when(excess > 0.005, "positive").when(excess < -0.005, "negative").otherwise("neutral")
+    """Outcome; a deep fall is told apart only where the excess is positive."""
+    return (
+        F.when(excess.isNull(), "missing_future_outcome").when((excess > 0) & (drawdown <= -0.20), "positive_excess_high_drawdown")
+        .when(excess > 0, "positive_excess").when(excess < 0, "negative_excess").otherwise("neutral")
+    )
 
 
 def direction(excess: Column, band: float = 0.005) -> Column:
@@ -64,10 +89,27 @@ def quality_flags(flags: dict[str, Column]) -> Column:
     return F.when(F.size(found) == 0, "ok").otherwise(F.array_join(found, ";"))
 
 
-def prediction_class(p: Column, expected: Column, band_p: float = 0.05, band: float = 0.005, large: float = 0.03) -> Column:
-    """Neutral near even odds or near zero, else up or down by size."""
-    side = F.when(expected > 0, "up").otherwise("down")
-    return F.when(p.isNull() | expected.isNull(), "unknown").when((F.abs(p - 0.5) < band_p) | (F.abs(expected) < band), "neutral").otherwise(F.concat_ws("_", F.when(F.abs(expected) >= large, "large").otherwise("small"), side))
+def prediction_class(p: Column, expected: Column, large: Column, low: float = 0.4, high: float = 0.6, band: float = 0.005) -> Column:
+    """Neutral if the probability is within [low, high] or the expected excess within the band, else win or loss by size; unknown without both."""
+    size = F.when(F.abs(expected) >= large, "large").otherwise("small")
+    side = F.when(expected > 0, "win").otherwise("loss")
+    return F.when(p.isNull() | expected.isNull(), "unknown").when(((p >= low) & (p <= high)) | (F.abs(expected) < band), "neutral").otherwise(F.concat_ws("_", size, side))
+
+
+def actual_class(excess: Column, large: Column, band: float = 0.005) -> Column:
+    """Class of what came, at the size that counts as large."""
+    size = F.when(F.abs(excess) >= large, "large").otherwise("small")
+    return F.when(excess.isNull(), "unknown").when(F.abs(excess) < band, "neutral").otherwise(F.concat_ws("_", size, F.when(excess > 0, "win").otherwise("loss")))
+
+
+def cluster_name(top_features: Column) -> Column:
+    """Name of a cluster by the first theme that its top features (an array of names) speak of."""
+    text = F.lower(F.array_join(top_features, " "))
+    return (
+        F.when(text.contains("technology"), "Technology Allocation Logic").when(text.rlike("turn|rotation|action_strength"), "High-Rotation Direction Logic")
+        .when(text.rlike("bond|cash|defensive"), "Cross-Asset Defensive Direction Logic").when(text.contains("style_deviation"), "Style-Drift Direction Logic")
+        .when(text.contains("flow"), "Flow-Sensitive Direction Logic").otherwise("Mixed Direction Logic")
+    )
 
 
 def readiness(warnings: Column, hard: list[str]) -> Column:

@@ -30,17 +30,66 @@ def number_rows(df: DataFrame, order: list, name: str = "nth") -> DataFrame:
     return s.join(F.broadcast(offset), "_part").withColumn(name, F.col("_before") + F.col("_at") - F.col("_lo")).drop("_part", "_at", "_lo", "_before")
 
 
+BUCKETS = 64
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` worked out once: checkpointed where the session names a folder, else kept in memory and on disk."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def _bounds(df: DataFrame, values: list[str]) -> list[list]:
+    """Bounds of buckets for each column, near its quantiles, in one pass."""
+    row = df.agg(*[F.percentile_approx(v, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias(f"b{i}") for i, v in enumerate(values)]).first()
+    return [sorted({b for b in x or [] if b is not None and b == b}) for x in row]
+
+
+def _ordered_counts(df: DataFrame, value: str, bounds: list | None = None) -> DataFrame:
+    """Distinct values of all rows with _c (rows), _upto (rows at or below) and _all.
+
+    Values are dealt by fixed bounds into buckets in order, so sums run within a bucket and one offset for each is added.
+    The bounds are near quantiles; the result does not depend on them.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    bounds = _bounds(df, [value])[0] if bounds is None else bounds
+    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("_v"))) if bounds else F.lit(0)
+    s = counts.withColumn("_b", bucket)
+    parts = s.groupBy("_b").agg(F.sum("_c").alias("_n"))
+    offset = parts.select("_b", (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy()).alias("_all"))  # a row for each bucket
+    upto = F.col("_before") + F.sum("_c").over(W.partitionBy("_b").orderBy("_v"))
+    return s.join(F.broadcast(offset), "_b").select("_v", "_c", upto.alias("_upto"), "_all")
+
+
 def share_at_or_below_all(df: DataFrame, value: str, name: str, null_score: float = 0.5) -> DataFrame:
     """Add the share of all rows' non-null values at or below; for tables too large for one window."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
-    s = counts.orderBy(value).withColumn("_part", F.spark_partition_id()).persist()
-    parts = s.groupBy("_part").agg(F.sum("_c").alias("_n"))
-    offset = parts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy()).alias("_all"))  # a row for each partition
-    upto = F.col("_before") + F.sum("_c").over(W.partitionBy("_part").orderBy(value))
-    shares = s.join(F.broadcast(offset), "_part").select(F.col(value).alias("_v"), (upto / F.col("_all")).alias(name))
+    shares = _ordered_counts(df, value).select("_v", (F.col("_upto") / F.col("_all")).alias(name))
     return df.join(shares, F.col(value) == F.col("_v"), "left").drop("_v").withColumn(name, F.coalesce(name, F.lit(null_score)))
 
 
+def average_ranks_all(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """For each column (key) add the average rank of all rows' non-null values by their number, under its name; 0 for nulls,
+    and for all if fewer than two are known. ``df`` is read once for each column: settle it before if it is costly."""
+    rank = (F.col("_upto") - (F.col("_c") - 1) / 2) / F.col("_all")
+    out = df
+    for (value, name), bounds in zip(names.items(), _bounds(df, list(names)), strict=True):
+        ranks = _ordered_counts(df, value, bounds).select("_v", F.when(F.col("_all") > 1, rank).alias(name))
+        out = out.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    return out
+
+
+def percentiles_all(df: DataFrame, value: str, shares: list[float]) -> list[float | None]:
+    """Exact, linearly interpolated percentiles of all rows' non-null values; few values reach the driver."""
+    counts = _ordered_counts(df, value)
+    n = df.where(F.col(value).isNotNull()).count()
+    if not n:
+        return [None] * len(shares)
+    at = [s * (n - 1) for s in shares]
+    wanted = sorted({int(x) for x in at} | {min(n - 1, int(x) + 1) for x in at})
+    hit = F.filter(F.array(*map(F.lit, wanted)), lambda k: (k < F.col("_upto")) & (k >= F.col("_upto") - F.col("_c")))
+    got = {k: r["_v"] for r in counts.select("_v", hit.alias("k")).where(F.size("k") > 0).collect() for k in r["k"]}
+    return [float(got[int(x)]) + (float(got[min(n - 1, int(x) + 1)]) - float(got[int(x)])) * (x - int(x)) for x in at]
+
+
 def expanding_scores(events: DataFrame, entity: str, date: str, value: str, least: int = 3) -> DataFrame:
     """Point-in-time score of each entity at each event date: history before it, Sharpe-like ratio, reliability, rank.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("timeseries", "joins", "scores", "levels", "evaluation", "models")
+FAMILIES = ("timeseries", "joins", "scores", "levels", "evaluation", "models", "actions")
 
 
 def _registry():

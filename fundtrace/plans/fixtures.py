@@ -67,6 +67,29 @@ VIEWS = {
         FROM (SELECT a.portfolio, a.report_dt, m.manager, m.family, a.stock, a.bond, a.cash, m.mret, m.exp_ratio, m.turn_ratio, m.flow, m.month_idx
               FROM {fx_allocation} a JOIN {fx_port_month} m ON a.portfolio = m.portfolio AND a.report_dt = m.caldt) AS e
         WINDOW w AS (PARTITION BY portfolio ORDER BY report_dt)""",
+    "fx_exposure": """
+        SELECT portfolio, report_dt, round(sum(CASE WHEN p_type = 'LARGE' THEN l_extendedprice ELSE 0 END) / sum(l_extendedprice), 9) AS tech,
+               round(sum(CASE WHEN p_type = 'PROMO' THEN l_extendedprice ELSE 0 END) / sum(l_extendedprice), 9) AS indirect,
+               round(sum(l_extendedprice * p_size) / sum(l_extendedprice) / 25, 9) AS beta
+        FROM {fx_line} JOIN {part} ON l_partkey = p_partkey GROUP BY portfolio, report_dt""",
+    "fx_market": """
+        SELECT b.month_idx, round(30 * sum(bret) OVER (ORDER BY b.month_idx ROWS BETWEEN 36 PRECEDING AND 1 PRECEDING), 9) AS market,
+               round(3 + 6 * (rate - 2.5), 9) AS yield10
+        FROM {fx_benchmark} b LEFT JOIN {fx_rate} r ON b.month_idx = r.month_idx""",
+    "fx_outcome": """
+        SELECT a.portfolio, a.report_dt, round(exp(sum(ln(1 + m.mret))) - exp(sum(ln(1 + b.bret))), 9) AS excess, round(8 * min(m.mret), 9) AS drawdown
+        FROM {fx_allocation} a JOIN {fx_port_month} m ON a.portfolio = m.portfolio AND m.month_idx > year(a.report_dt) * 12 + month(a.report_dt)
+             AND m.month_idx <= year(a.report_dt) * 12 + month(a.report_dt) + 12 JOIN {fx_benchmark} b ON b.month_idx = m.month_idx
+        GROUP BY a.portfolio, a.report_dt HAVING count(*) >= 9""",
+    "fx_actions": """
+        SELECT s.*, round(s.stock - lag(s.stock) OVER w, 9) AS d_stock, round(beta - lag(beta) OVER w, 9) AS d_beta, round(tech - lag(tech) OVER w, 9) AS d_tech,
+               round(bond_money - lag(bond_money) OVER w, 9) AS d_bond_money, round(indirect - lag(indirect) OVER w, 9) AS d_indirect
+        FROM (SELECT e.portfolio, e.report_dt, e.manager, e.family, e.stock, CASE WHEN bond IS NULL AND cash IS NULL THEN NULL ELSE coalesce(bond, 0) + coalesce(cash, 0) END AS bond_money,
+                     tech, indirect, beta, excess, drawdown, market, yield10, mret, exp_ratio, turn_ratio, flow,
+                     round(10 * abs(turn_ratio - avg(turn_ratio) OVER (PARTITION BY e.manager)), 9) AS deviation
+              FROM {fx_events} e JOIN {fx_exposure} x ON e.portfolio = x.portfolio AND e.report_dt = x.report_dt
+                   LEFT JOIN {fx_outcome} o ON e.portfolio = o.portfolio AND e.report_dt = o.report_dt LEFT JOIN {fx_market} k ON e.month_idx = k.month_idx) AS s
+        WINDOW w AS (PARTITION BY s.portfolio ORDER BY s.report_dt)""",
     "fx_scores": """
         SELECT l.doc_id, l.quality AS y, CAST((l.doc_id * 7919 + 13) % 1000 + 0.5 AS DOUBLE) / 1000 AS p, d.lang, d.source
         FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
@@ -87,11 +110,27 @@ def spark_sql(spark: SparkSession, sf_dir: str, sql: str, **own: DataFrame) -> D
     return spark.sql(sql, **given)
 
 
+#: Panels that most queries read: far smaller than the lines they sum up, and kept by Spark once read in a session.
+PANELS = ("fx_fund_month", "fx_port_month", "fx_events", "fx_actions", "fx_holdings")
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or view as a DataFrame."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark_sql(spark, sf_dir, VIEWS[name])
+    if name not in PANELS:
+        return spark_sql(spark, sf_dir, VIEWS[name])
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = spark_sql(spark, sf_dir, VIEWS[name]).persist()
+    return _kept[key]
+
+
+def release_panels() -> None:
+    """Free the panels that are kept."""
+    while _kept:
+        _kept.popitem()[1].unpersist()
 
 
 def duck_sql(sql: str) -> str:

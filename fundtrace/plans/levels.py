@@ -154,15 +154,6 @@ def action_fingerprint(v: Views):
     return v.fx_events.groupBy("manager").agg(F.count_if(d > 0).alias("ups"), F.count_if(d < 0).alias("downs"), F.sum(d).alias("net"), F.sum(F.abs(d)).alias("gross"), F.datediff(F.max("report_dt"), F.min("report_dt")).cast("long").alias("span"))
 
 
-@query("a24_manager_candidates", """
-WITH m AS (SELECT manager, count(*) AS n, avg(CASE WHEN d_bond IS NULL THEN 0.0 ELSE 1 END) AS coverage, count(DISTINCT portfolio) AS p FROM {fx_events} GROUP BY 1)
-SELECT manager, n, round(coverage, 6) AS coverage, round(0.5 * n / max(n) OVER () + 0.3 * coverage + 0.2 * p / max(p) OVER (), 6) AS recommendation FROM m""")
-def manager_candidates(v: Views):
-    m = v.fx_events.groupBy("manager").agg(F.count("*").alias("n"), F.avg(F.col("d_bond").isNotNull().cast("double")).alias("coverage"), F.countDistinct("portfolio").alias("p"))
-    w = W.partitionBy()
-    return m.select("manager", "n", "coverage", (0.5 * F.col("n") / F.max("n").over(w) + 0.3 * F.col("coverage") + 0.2 * F.col("p") / F.max("p").over(w)).alias("recommendation"))
-
-
 @query("a25_timeline", "SELECT manager, report_dt, round(avg(stock), 6) AS stock, round(avg(bond), 6) AS bond, round(avg(cash), 6) AS cash, round(avg(mret), 6) AS mret FROM {fx_events} GROUP BY 1, 2")
 def timeline(v: Views):
     return v.fx_events.groupBy("manager", "report_dt").agg(*[F.avg(c).alias(c) for c in ("stock", "bond", "cash", "mret")])
@@ -178,20 +169,6 @@ def qc_summary(v: Views):
     return long.groupBy("measure").agg(F.count("x").alias("n"), F.avg(F.col("x").isNull().cast("double")).alias("null_rate"), F.avg("x").alias("mean"), p(0.01).alias("p01"), p(0.5).alias("p50"), p(0.99).alias("p99"))
 
 
-@query("a27_outcome_by_action", "SELECT family, count(*) AS n, round(avg(d_bond), 6) AS mean, round(avg(CASE WHEN d_bond > 0 THEN 1.0 ELSE 0 END), 6) AS positive FROM {fx_events} WHERE d_bond IS NOT NULL GROUP BY 1 HAVING count(*) >= 30")
-def outcome_by_action(v: Views):
-    return v.fx_events.where("d_bond is not null").groupBy("family").agg(F.count("*").alias("n"), F.avg("d_bond").alias("mean"), F.avg((F.col("d_bond") > 0).cast("double")).alias("positive")).where("n >= 30")
-
-
-@query("a28_style_action_matrix", """
-WITH c AS (SELECT family, CASE WHEN d_stock > 0 THEN 'up' ELSE 'down' END AS side, avg(CASE WHEN d_bond > 0 THEN 1.0 ELSE 0 END) AS rate FROM {fx_events} WHERE d_stock IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 20)
-SELECT family, round(max(CASE WHEN side = 'up' THEN rate END), 6) AS up, round(max(CASE WHEN side = 'down' THEN rate END), 6) AS down FROM c GROUP BY 1""")
-def style_action_matrix(v: Views):
-    e = v.fx_events.where("d_stock is not null").withColumn("side", F.when(F.col("d_stock") > 0, "up").otherwise("down"))
-    c = e.groupBy("family", "side").agg(F.count("*").alias("n"), F.avg((F.col("d_bond") > 0).cast("double")).alias("rate")).where("n >= 20")
-    return c.groupBy("family").pivot("side", ["up", "down"]).agg(F.max("rate"))
-
-
 @query("a30_value_quintiles", """
 WITH q AS (SELECT list_sort(list_distinct(quantile_cont(turn_ratio, [0.2, 0.4, 0.6, 0.8]))) AS e FROM {fx_events})
 SELECT (1 + len(list_filter(e, lambda x: x < turn_ratio)))::INTEGER AS bucket, count(*) AS n, round(avg(mret), 6) AS mret FROM {fx_events}, q GROUP BY 1""")

@@ -137,34 +137,6 @@ def greedy_groups(v: Views):
     return md.greedy_groups(scores, "manager", "v")
 
 
-@query("a22_attribution_rollup", """
-SELECT lang AS feature, round(sum(abs(p - 0.5)), 6) AS total, round(avg(p - 0.5), 6) AS mean, round(sum(greatest(p - 0.5, 0)), 6) AS up, round(sum(least(p - 0.5, 0)), 6) AS down FROM {fx_scores} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 14""")
-def attribution_rollup(v: Views):
-    c = F.col("p") - 0.5
-    return v.fx_scores.groupBy(F.col("lang").alias("feature")).agg(F.sum(F.abs(c)).alias("total"), F.avg(c).alias("mean"), F.sum(F.greatest(c, F.lit(0.0))).alias("up"), F.sum(F.least(c, F.lit(0.0))).alias("down")).orderBy(F.desc("total"), "feature").limit(14)
-
-
-@query("a23_horizon_summary", "SELECT doc_id % 4 AS horizon, count(*) FILTER (p > 0.5) AS up, count(*) FILTER (p <= 0.5) AS down, round(avg(p), 6) AS mean_p FROM {fx_scores} GROUP BY 1")
-def horizon_summary(v: Views):
-    return v.fx_scores.groupBy((F.col("doc_id") % 4).alias("horizon")).agg(F.count_if(F.col("p") > 0.5).alias("up"), F.count_if(F.col("p") <= 0.5).alias("down"), F.avg("p").alias("mean_p"))
-
-
-@query("a29_regime_matrix", """
-WITH c AS (SELECT family, CASE WHEN rate < 2.5 THEN 'low' ELSE 'high' END AS regime, avg(d_bond) AS m FROM {fx_events} JOIN {fx_rate} USING (month_idx) GROUP BY 1, 2 HAVING count(*) >= 20)
-SELECT family, round(max(CASE WHEN regime = 'low' THEN m END), 6) AS low, round(max(CASE WHEN regime = 'high' THEN m END), 6) AS high FROM c GROUP BY 1""")
-def regime_matrix(v: Views):
-    e = v.fx_events.join(v.fx_rate, "month_idx").withColumn("regime", F.when(F.col("rate") < 2.5, "low").otherwise("high"))
-    return e.groupBy("family", "regime").agg(F.count("*").alias("n"), F.avg("d_bond").alias("m")).where("n >= 20").groupBy("family").pivot("regime", ["low", "high"]).agg(F.max("m"))
-
-
-@query("a34_signal_quintiles", """
-WITH q AS (SELECT least(4, floor((row_number() OVER (ORDER BY p, doc_id) - 1) * 5.0 / count(*) OVER ()))::INTEGER AS bucket, y FROM {fx_scores}) SELECT bucket, count(*) AS n, round(avg(y), 6) AS hit_rate FROM q GROUP BY 1""")
-def signal_quintiles(v: Views):
-    n = F.broadcast(v.fx_scores.agg(F.count("*").alias("n")))
-    ranked = number_rows(v.fx_scores.select("doc_id", "p", "y"), ["p", "doc_id"]).join(n, F.lit(True))
-    return ranked.select(F.least(F.lit(4), F.floor(F.col("nth") * 5.0 / F.col("n"))).cast("int").alias("bucket"), "y").groupBy("bucket").agg(F.count("*").alias("n"), F.avg("y").alias("hit_rate"))
-
-
 @query("j21_trailing_self_join", """
 WITH d AS (SELECT DISTINCT manager, report_dt FROM {fx_events}) SELECT a.manager, a.report_dt, count(b.report_dt) AS n FROM d a LEFT JOIN d b ON a.manager = b.manager AND b.report_dt < a.report_dt AND b.report_dt >= a.report_dt - INTERVAL 36 MONTH GROUP BY 1, 2""")
 def trailing_self_join(v: Views):
@@ -229,12 +201,6 @@ def scope_filter(v: Views):
     return v.documents.where(F.lower("text").rlike("license|trash")).select("doc_id")
 
 
-@query("p25_horizon_view", "SELECT doc_id, round(p, 6) AS positive, round(1 - p, 6) AS negative FROM {fx_scores} WHERE doc_id % 4 = 1")
-def horizon_view(v: Views):
-    long = v.fx_scores.select("doc_id", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.when(F.col("doc_id") % 4 == i, F.col("p")).alias("positive")) for i, h in enumerate((3, 6, 9, 12))])).alias("x")).select("doc_id", "x.*")
-    return long.where("horizon = 6 and positive is not null").select("doc_id", "positive", (1 - F.col("positive")).alias("negative"))
-
-
 @query("k03_newest_rows", "SELECT doc_id, doc_date FROM {fx_docs} WHERE doc_date IS NOT NULL ORDER BY doc_date DESC, doc_id LIMIT 50")
 def newest_rows(v: Views):
     return v.fx_docs.where("doc_date is not null").orderBy(F.desc("doc_date"), "doc_id").limit(50).select("doc_id", "doc_date")

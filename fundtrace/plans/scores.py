@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fundtrace.functions import labels as lb
 from fundtrace.operators import scores as sc
 from fundtrace.plans.registry import Views, query
 
@@ -134,54 +133,3 @@ def performance_composite(v: Views):
 @query("a37_manager_date_votes", "SELECT report_dt, manager, round(avg(bond), 6) AS bond, count(*) AS portfolios FROM {fx_events} GROUP BY 1, 2")
 def manager_date_votes(v: Views):
     return v.fx_events.groupBy("report_dt", "manager").agg(F.avg("bond").alias("bond"), F.count("*").alias("portfolios"))
-
-
-EVENT_LABELS = """
-SELECT e.portfolio, e.report_dt, CASE WHEN rate IS NULL THEN 'rate_unknown' WHEN rate < 2.4 THEN 'low_rate' WHEN rate < 2.6 THEN 'mid_rate' ELSE 'high_rate' END || '__' || CASE WHEN mret IS NULL THEN 'market_unknown' WHEN mret >= 0.05 THEN 'bull' WHEN mret <= -0.05 THEN 'bear' ELSE 'flat' END AS regime,
-  CASE WHEN d_stock IS NULL AND d_bond IS NULL AND d_cash IS NULL THEN 'no_previous_report' WHEN d_stock >= 0.03 AND d_bond <= -0.03 THEN 'bond_to_stock' WHEN d_stock <= -0.03 AND d_bond >= 0.03 THEN 'stock_to_bond' WHEN d_stock >= 0.03 THEN 'add_stock'
-       WHEN d_stock <= -0.03 THEN 'cut_stock' WHEN d_cash >= 0.05 THEN 'raise_cash' WHEN d_cash <= -0.05 THEN 'use_cash' WHEN greatest(abs(d_stock), abs(d_bond), abs(d_cash)) <= 0.01 THEN 'hold' ELSE 'small_change' END AS action,
-  round(greatest(abs(d_stock), abs(d_bond), abs(d_cash)), 6) AS strength,
-  CASE WHEN d_bond > 0 THEN CASE WHEN d_bond >= 0.005 THEN 1 ELSE 0 END WHEN d_bond <= -0.005 THEN -1 WHEN d_bond IS NOT NULL THEN 0 END AS direction,
-  CASE WHEN d_bond >= 0.03 THEN 'large_win' WHEN d_bond >= 0.005 THEN 'small_win' WHEN d_bond <= -0.03 THEN 'large_loss' WHEN d_bond < -0.005 THEN 'small_loss' WHEN d_bond IS NOT NULL THEN 'neutral' END AS five,
-  CASE WHEN d_bond IS NULL THEN 'unknown' WHEN mret <= -0.2 THEN 'high_drawdown' WHEN d_bond > 0.005 THEN 'positive' WHEN d_bond < -0.005 THEN 'negative' ELSE 'neutral' END AS outcome,
-  CASE WHEN stock IS NULL AND cash IS NULL THEN 'no_stock;no_cash' WHEN stock IS NULL THEN 'no_stock' WHEN cash IS NULL THEN 'no_cash' ELSE 'ok' END AS flags,
-  CASE WHEN stock IS NULL THEN 'blocked' WHEN cash IS NULL THEN 'review' ELSE 'ready' END AS readiness,
-  CAST(date_trunc('month', e.report_dt) + INTERVAL 1 MONTH AS DATE) AS label_start, CAST(date_trunc('month', e.report_dt) + INTERVAL 7 MONTH - INTERVAL 1 DAY AS DATE) AS label_end
-FROM {fx_events} e LEFT JOIN {fx_rate} r ON r.month_idx = e.month_idx"""
-
-
-@query("l03_event_labels", EVENT_LABELS)
-def event_labels(v: Views):
-    e = v.fx_events.join(v.fx_rate, "month_idx", "left")
-    d = [F.col(c) for c in ("d_stock", "d_bond", "d_cash")]
-    start, end = lb.label_window(F.col("report_dt"), 6)
-    warnings = F.array_compact(F.array(F.when(F.col("stock").isNull(), F.lit("no_stock")), F.when(F.col("cash").isNull(), F.lit("no_cash"))))
-    return e.select(
-        "portfolio", "report_dt", lb.market_regime(F.col("rate"), F.col("mret"), 2.4, 2.6).alias("regime"), lb.action_type(*d).alias("action"), lb.action_strength(*d).alias("strength"),
-        lb.direction(F.col("d_bond")).alias("direction"), lb.five_classes(F.col("d_bond")).alias("five"), lb.outcome_label(F.col("d_bond"), F.col("mret")).alias("outcome"),
-        lb.quality_flags({"no_stock": F.col("stock").isNull(), "no_cash": F.col("cash").isNull()}).alias("flags"), lb.readiness(warnings, ["no_stock"]).alias("readiness"), start.alias("label_start"), end.alias("label_end"),
-    )
-
-
-@query("l04_style_label", """
-WITH b AS (SELECT manager, avg(exp_ratio) AS a, avg(turn_ratio) AS b, avg(flow) AS c FROM {fx_port_month} GROUP BY 1), s AS (SELECT manager, cume_dist() OVER (ORDER BY a) AS a, cume_dist() OVER (ORDER BY b) AS b, cume_dist() OVER (ORDER BY c) AS c FROM b)
-SELECT manager, CASE WHEN a >= 0.66 THEN 'defensive' WHEN c >= 0.66 THEN 'growth' WHEN b >= 0.66 THEN 'flow_driven' WHEN c >= 0.55 THEN 'growth_tilt' ELSE 'balanced' END AS style FROM s""")
-def style_label(v: Views):
-    b = v.fx_port_month.groupBy("manager").agg(F.avg("exp_ratio").alias("a"), F.avg("turn_ratio").alias("b"), F.avg("flow").alias("c"))
-    return b.select("manager", lb.style_label(*[sc.share_at_or_below(c, []) for c in "abc"]).alias("style"))
-
-
-@query("l10_unusual_score", """
-WITH r AS (SELECT portfolio, report_dt, cume_dist() OVER (ORDER BY CAST(round(abs(coalesce(d_bond, 0)) * 1e9) AS BIGINT)) AS a, cume_dist() OVER (ORDER BY turn_ratio) AS b FROM {fx_events})
-SELECT portfolio, report_dt, round(0.6 * a + 0.4 * b, 6) AS score, CASE WHEN a >= 0.9 AND b >= 0.9 THEN 'large bond change; high turnover' WHEN a >= 0.9 THEN 'large bond change' WHEN b >= 0.9 THEN 'high turnover' ELSE '' END AS reason FROM r""")
-def unusual_score(v: Views):
-    r = v.fx_events.withColumn("c", F.round(F.abs(F.coalesce("d_bond", F.lit(0.0))) * 1e9).cast("long"))
-    r = sc.share_at_or_below_all(sc.share_at_or_below_all(r, "c", "a"), "turn_ratio", "b")
-    reason = F.array_join(F.array_compact(F.array(F.when(F.col("a") >= 0.9, F.lit("large bond change")), F.when(F.col("b") >= 0.9, F.lit("high turnover")))), "; ")
-    return r.select("portfolio", "report_dt", (0.6 * F.col("a") + 0.4 * F.col("b")).alias("score"), reason.alias("reason"))
-
-
-@query("l12_prediction_class", """
-SELECT doc_id, CASE WHEN abs(p - 0.5) < 0.05 OR abs((p - 0.5) / 10) < 0.005 THEN 'neutral' ELSE CASE WHEN abs((p - 0.5) / 10) >= 0.03 THEN 'large' ELSE 'small' END || '_' || CASE WHEN p > 0.5 THEN 'up' ELSE 'down' END END AS class FROM {fx_scores}""")
-def prediction_class(v: Views):
-    return v.fx_scores.select("doc_id", lb.prediction_class(F.col("p"), (F.col("p") - 0.5) / 10).alias("class"))
