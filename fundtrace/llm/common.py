@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -22,14 +24,31 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared scratch folder and read it back, which cuts its lineage.
+#: Rows that go to a Python worker at once, at most: texts may be long, and a worker holds a batch several times over.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within this block, Python workers get ``rows`` rows at once, or as few as the session allows if that is less."""
+    before = spark.conf.get(_BATCH, "10000")
+    spark.conf.set(_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def materialise(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """Write ``df`` once to the shared scratch folder and read it back, which cuts its lineage. ``rows``: of a Python batch.
 
     The folder is deleted by :func:`release`, at the latest when the application ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with batches_of(spark, rows):
+        df.write.parquet(path)
     at, files = _hadoop(spark, path)
     files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)

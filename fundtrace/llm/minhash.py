@@ -30,11 +30,13 @@ BANDS, ROWS = 32, 5
 BATCH = 16
 #: Highest posterior probability of a link at which a candidate is dropped.
 MISS = 1e-9
-WORD_HASHES = 300_000
+WORD_HASHES = 100_000
 #: Documents of a block in a tile.
 BLOCK, BLOCK_BYTES = 128, 4 << 20
 #: Parts of a large group in a join by leader.
 SALTS = 16
+#: Tiles that a Python worker gets at once.
+TILES = 8
 _word_hash: dict[bytes, int] = {}
 
 
@@ -289,7 +291,7 @@ def near_duplicates(
     met = members.where("key != leader_key AND id != leader").select(F.least("key", "leader_key").alias("a"), F.greatest("key", "leader_key").alias("b")).distinct()
     links = materialise(ties.union(confirm(met)), "links")
     components = materialise(connected_components(links), "components")
-    more = materialise(tiled_links(members, components, texts, shingle, percent, miss, bands, rows), "links")
+    more = materialise(tiled_links(members, components, texts, shingle, percent, miss, bands, rows), "links", TILES)
     if not more.isEmpty():
         merged = components.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
         components = materialise(connected_components(merged), "components")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundtrace.llm.common import documents, materialise
+from fundtrace.llm.common import BATCH_ROWS, documents, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -232,7 +232,7 @@ def mask(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (w.slice(first, BATCH_ROWS) for w in batches for first in range(0, w.num_rows, BATCH_ROWS)):
             texts = [_masked(t, s) if t and s else t for t, s in zip(b.column(at).to_pylist(), b.column(len(df_columns)).to_pylist(), strict=True)]
             arrays = [pa.array(texts, b.schema.field(at).type) if i == at else b.column(i) for i in range(len(df_columns))]
             yield pa.RecordBatch.from_arrays(arrays, names=df_columns)

@@ -252,6 +252,7 @@ def document_frequencies(df: DataFrame, text_col: str, place: dict[bytes, int])
 
     counts = df.select(F.col(text_col).alias("text")).mapInPandas(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
     found = counts.toPandas()  # a row for each word of the examples
+    shared.unpersist()
     out = np.zeros(len(place))
     out[found["word"][found["word"] >= 0]] = found["n"][found["word"] >= 0]
     return out, int(found["n"][found["word"] < 0].sum())
@@ -292,7 +293,7 @@ def score_documents(df: DataFrame, labels: DataFrame, label_col: str, teach: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         i = classifier.shared.value
-        for b in batches:
+        for b in (w[first : first + 8 * TOGETHER] for w in batches for first in range(0, len(w), 8 * TOGETHER)):
             got = classifier.score(list(b["text"]))
             evidence = [[{"id": i.ids[at], "n": int(i.rows[at]), "toxic": int(i.toxic[at]), "cosine": s} for s, at in near] for _, near in got]
             yield pd.DataFrame({"id": b["id"], "score": [g[0] for g in got], "evidence": evidence})
@@ -311,8 +312,10 @@ def without_toxic(df: DataFrame, labels: DataFrame, label_col: str, teach: str,
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([s < reject for s, _ in classifier.score(b.column(at).to_pylist())], pa.bool_()))
+        for whole in batches:
+            for first in range(0, whole.num_rows, TOGETHER):
+                b = whole.slice(first, TOGETHER)
+                yield b.filter(pa.array([s < reject for s, _ in classifier.score(b.column(at).to_pylist())], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
