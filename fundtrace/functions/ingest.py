@@ -78,3 +78,18 @@ def typed(df: DataFrame, rules: dict[str, tuple[str, object]]) -> DataFrame:
 def rejects(df: DataFrame) -> DataFrame:
     """How often each column was rejected."""
     return df.select(F.explode("reject_reason").alias("column")).groupBy("column").agg(F.count("*").alias("n"))
+
+
+def calendar_parts(date: str, first: str) -> list[Column]:
+    """Year, month and both as one number of a date and of a first date; age in fractional and in whole years."""
+    d, f = F.col(date), F.col(first)
+    part = lambda c: F.month(c) * 100 + F.dayofmonth(c)
+    numbers = {"year": F.year, "month": F.month, "time": lambda c: F.year(c) * 100 + F.month(c)}
+    out = [g(c).cast("int").alias(prefix + n) for prefix, c in (("", d), ("first_", f)) for n, g in numbers.items()]
+    return [*out, (F.datediff(d, f) / 365.25).alias("age_exact"), (F.year(d) - F.year(f) - (part(d) < part(f)).cast("int")).alias("age")]
+
+
+def horizon_aliases(df: DataFrame, years: int, measures: list[str], keep: list[str]) -> DataFrame:
+    """Columns ``<measure>_<years>y`` under the measure's plain name, null where the table has none, with the window's length."""
+    plain = [(F.col(f"{m}_{years}y") if f"{m}_{years}y" in df.columns else F.lit(None).cast("double")).alias(m) for m in measures]
+    return df.select(*keep, F.lit(years).alias("training_window_years"), F.lit(12 * years).alias("training_window_months"), *plain)

@@ -46,3 +46,9 @@ def normal_sector(sector: str) -> Column:
     """Sector by the table of names; others stay."""
     table = F.create_map(*[F.lit(x) for kv in SECTOR_NAMES.items() for x in kv])
     return F.coalesce(F.element_at(table, F.lower(F.trim(sector))), F.trim(sector))
+
+
+def excluded_audit(rows: DataFrame, keys: list[str], date: str, portfolio: str) -> DataFrame:
+    """Excluded rows by identity and reason (the last key): first and last date, rows and portfolios. Null keys are a group."""
+    kept = rows.where(F.col(keys[-1]).isNotNull())
+    return kept.groupBy(*keys).agg(F.min(date).alias("first_dt"), F.max(date).alias("last_dt"), F.count("*").alias("records"), F.count_distinct(portfolio).alias("portfolios"))

@@ -90,6 +90,14 @@ VIEWS = {
               FROM {fx_events} e JOIN {fx_exposure} x ON e.portfolio = x.portfolio AND e.report_dt = x.report_dt
                    LEFT JOIN {fx_outcome} o ON e.portfolio = o.portfolio AND e.report_dt = o.report_dt LEFT JOIN {fx_market} k ON e.month_idx = k.month_idx) AS s
         WINDOW w AS (PARTITION BY s.portfolio ORDER BY s.report_dt)""",
+    "fx_hits": """
+        SELECT manager, year(report_dt) AS yr, count(*) AS n, sum(CASE WHEN excess > 0 THEN 1 ELSE 0 END) AS pos, round(sum(excess), 9) AS total
+        FROM {fx_actions} WHERE excess IS NOT NULL GROUP BY manager, year(report_dt)""",
+    "fx_fold_scores": " UNION ALL ".join(f"""
+        SELECT a.portfolio, a.report_dt, year(a.report_dt) AS fold, {w} AS window_years, a.excess, CASE WHEN a.excess > 0 THEN 1 ELSE 0 END AS y,
+               round(CAST(sum(h.pos) + 1 AS DOUBLE) / (sum(h.n) + 2), 9) AS p, round(sum(h.total) / sum(h.n), 9) AS expected, coalesce(a.market, 0) AS market
+        FROM {{fx_actions}} a JOIN {{fx_hits}} h ON a.manager = h.manager AND h.yr <= year(a.report_dt) - 2 {f"AND h.yr >= year(a.report_dt) - {1 + w}" if w else ""}
+        WHERE a.excess IS NOT NULL GROUP BY a.portfolio, a.report_dt, a.excess, a.market""" for w in (0, 1, 2)),
     "fx_scores": """
         SELECT l.doc_id, l.quality AS y, CAST((l.doc_id * 7919 + 13) % 1000 + 0.5 AS DOUBLE) / 1000 AS p, d.lang, d.source
         FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
@@ -111,7 +119,7 @@ def spark_sql(spark: SparkSession, sf_dir: str, sql: str, **own: DataFrame) -> D
 
 
 #: Panels that most queries read: far smaller than the lines they sum up, and kept by Spark once read in a session.
-PANELS = ("fx_fund_month", "fx_port_month", "fx_events", "fx_actions", "fx_holdings")
+PANELS = ("fx_fund_month", "fx_port_month", "fx_events", "fx_actions", "fx_fold_scores", "fx_holdings")
 _kept: dict[tuple[str, str, str], DataFrame] = {}
 
 

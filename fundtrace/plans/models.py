@@ -64,19 +64,6 @@ def permutation_importance(v: Views):
     return ev.roc_auc(parts, "y", "p", ["feature"])
 
 
-@query("m17_window_stability", """
-SELECT source AS fold, round(avg(p), 6) AS mean, round(coalesce(stddev_samp(p), 0), 6) AS spread, round(avg(p) - 0.5 * coalesce(stddev_samp(p), 0), 6) AS stability, CASE WHEN count(*) < 20 THEN 'few_rows' ELSE 'eligible' END AS status FROM {fx_scores} GROUP BY 1""")
-def window_stability(v: Views):
-    s = v.fx_scores.groupBy(F.col("source").alias("fold")).agg(F.avg("p").alias("mean"), F.coalesce(F.stddev_samp("p"), F.lit(0.0)).alias("spread"), F.count("*").alias("n"))
-    return s.select("fold", "mean", "spread", (F.col("mean") - 0.5 * F.col("spread")).alias("stability"), F.when(F.col("n") < 20, "few_rows").otherwise("eligible").alias("status"))
-
-
-@query("m20_drift_reference", "SELECT 'bond' AS feature, round(min(bond), 6) AS low, round(max(bond), 6) AS high, round(quantile_cont(bond, 0.01), 6) AS p01, round(quantile_cont(bond, 0.99), 6) AS p99 FROM {fx_events} UNION ALL SELECT 'turn_ratio', round(min(turn_ratio), 6), round(max(turn_ratio), 6), round(quantile_cont(turn_ratio, 0.01), 6), round(quantile_cont(turn_ratio, 0.99), 6) FROM {fx_events}")
-def drift_reference(v: Views):
-    long = v.fx_events.select("portfolio", "bond", "turn_ratio").unpivot(["portfolio"], ["bond", "turn_ratio"], "feature", "x")
-    return long.groupBy("feature").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.percentile("x", F.lit(0.01)).alias("p01"), F.percentile("x", F.lit(0.99)).alias("p99"))
-
-
 WEIGHTS, MEANS = {"bond": 2.0, "mret": -3.0}, {"bond": 0.33, "mret": 0.0}
 
 
