@@ -273,10 +273,12 @@ def near_duplicates(
     leaders = leaders.select("bucket", F.negative("top.id").alias("leader"), F.col("top.key").alias("leader_key"))
     members = materialise(crowded_by.join(leaders, "bucket").select("key", "id", "leader", "leader_key").distinct(), "members")
     involved = members.select("key").distinct()
-    signs = reps.select("key", "id", "mark", "signature").join(involved, "key", "left_semi")
-    # a text for each class: rows that repeat it are one
-    texts = _marked(df, id_col, text_col).join(signs, ["id", "mark"]).groupBy("key", "id", "signature").agg(F.min("text").alias("text"))
-    texts = materialise(texts.withColumn("bytes", F.octet_length("text")), "texts")
+    signs = materialise(reps.select("key", "id", "mark", "signature").join(involved, "key", "left_semi"), "signs")
+    # a text for each class: rows that repeat it are one; only texts with a candidate are shuffled with their signatures
+    texts = _marked(df, id_col, text_col).join(signs.select("id", "mark"), ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.min("text").alias("text"))
+    texts = texts.join(signs, ["id", "mark"]).select("key", "id", "signature", "text", F.octet_length("text").alias("bytes"))
+    texts = materialise(texts, "texts")
+    release(signs)
 
     def confirm(candidates: DataFrame) -> DataFrame:
         def ends(pairs: DataFrame, *columns: str) -> DataFrame:
