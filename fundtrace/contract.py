@@ -38,3 +38,12 @@ def split_roles(df: DataFrame, event_id: str) -> tuple[DataFrame, DataFrame, Dat
     """Features, identity and outcomes, each with the event id."""
     pick = lambda role: df.select(event_id, *[c for c in ROLES[role] if c in df.columns and c != event_id])
     return pick("feature"), pick("identity"), pick("target")
+
+
+def dictionary(df: DataFrame) -> DataFrame:
+    """A row for each column: name, role (``other`` if the contract has none), whether a feature list may not have it, known values."""
+    role = {c: r for r, cs in ROLES.items() for c in cs}
+    bad = set(forbidden(df.columns))
+    one = df.agg(*[F.count(c).alias(c) for c in df.columns])
+    rows = [F.struct(F.lit(c).alias("name"), F.lit(role.get(c, "other")).alias("role"), F.lit(c in bad).alias("forbidden"), F.col(c).alias("known")) for c in df.columns]
+    return one.select(F.explode(F.array(*rows)).alias("c")).select("c.*")

@@ -29,26 +29,42 @@ def preprocessing(columns: list[str]) -> list:
     return [Imputer(strategy="median", inputCols=columns, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw", handleInvalid="skip"), StandardScaler(withMean=True, inputCol="raw", outputCol="features")]
 
 
-def direction_candidates(seed: int = 7) -> dict[str, object]:
-    """Small set of candidate classifiers on features, y and weight."""
+#: Parameter sets of the boosted trees: depth, step, least rows of a leaf, share of rows, share of columns.
+BOOSTED = [(2, 0.02, 20, 0.8, 0.75), (2, 0.03, 10, 0.9, 0.9), (2, 0.05, 30, 0.7, 0.6), (3, 0.02, 30, 0.9, 0.75), (3, 0.03, 20, 0.8, 0.9), (3, 0.05, 10, 0.7, 0.6)]
+
+
+def direction_candidates(seed: int = 7, trees: int = 10) -> dict[str, object]:
+    """Candidate classifiers on features, y and weight: a plain one, a forest, and boosted trees by six parameter sets.
+
+    ``trees`` is the number of boosting rounds and half that of the forest's trees; penalties on leaf weights have no
+    counterpart in these classes and are left out.
+    """
     common = {"featuresCol": "features", "labelCol": "y", "weightCol": "weight"}
-    return {
+    out: dict[str, object] = {
         "logistic": LogisticRegression(regParam=0.01, **common),
-        "forest": RandomForestClassifier(numTrees=20, maxDepth=4, seed=seed, **common),
-        "boosted": GBTClassifier(maxIter=10, maxDepth=3, seed=seed, **common),
+        "forest": RandomForestClassifier(numTrees=2 * trees, maxDepth=9, minInstancesPerNode=12, seed=seed, **common),
     }
+    for i, (depth, step, leaf, share, columns) in enumerate(BOOSTED):
+        out[f"boosted_{i + 1}"] = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=step, minInstancesPerNode=leaf, subsamplingRate=share, featureSubsetStrategy=str(columns), seed=seed + i, **common)
+    return out
+
 
+def fit_direction(rows: DataFrame, columns: list[str], split: str = "split", names: tuple[str, ...] | None = None) -> DataFrame:
+    """Scores of all rows by each candidate (or those named), weighted and not: candidate, event_id, split, y, p.
 
-def fit_direction(rows: DataFrame, columns: list[str], split: str = "split") -> DataFrame:
-    """Scores of all rows by each candidate, weighted and not: candidate, event_id, split, y, p."""
+    The weight of the positive rows is negative / positive of the training rows, from 1 to 10; 10 if none is positive.
+    """
     base = rows.where(F.col(split) == "base")
     prepared = Pipeline(stages=preprocessing(columns)).fit(base).transform(rows).cache()
-    share = F.avg(F.col("y").cast("double")).over(W.partitionBy(split))
+    n, positive = base.agg(F.count("*"), F.coalesce(F.sum(F.col("y").cast("long")), F.lit(0))).first()
+    raw = (n - positive) / positive if positive else 10.0
+    scale = min(10.0, max(1.0, raw))
     out = None
     for weighted in (False, True):
-        w = F.when(F.col("y") == 1, 0.5 / F.greatest(share, F.lit(1e-6))).otherwise(0.5 / F.greatest(1 - share, F.lit(1e-6))) if weighted else F.lit(1.0)
-        data = prepared.withColumn("weight", w)
+        data = prepared.withColumn("weight", F.when(F.col("y") == 1, scale).otherwise(1.0) if weighted else F.lit(1.0))
         for name, candidate in direction_candidates().items():
+            if names and name not in names:
+                continue
             model = candidate.fit(data.where(F.col(split) == "base"))
             scored = model.transform(data).select(F.lit(f"{name}{'_weighted' * weighted}").alias("candidate"), "event_id", split, "y", vector_to_array("probability")[1].alias("p"))
             out = scored if out is None else out.union(scored)

@@ -169,3 +169,27 @@ def cohort_distance(df: DataFrame, group: str, values: list[str]) -> DataFrame:
     means = df.groupBy(group).agg(*[F.avg(v).alias(v) for v in values])
     z = [((F.col(v) - F.col(f"_m_{v}")) / F.coalesce(F.nullif(F.col(f"_s_{v}"), F.lit(0.0)), F.lit(1.0))).alias(v) for v in values]
     return means.join(F.broadcast(stats), F.lit(True)).select(group, *z)
+
+
+#: Weights of the seven parts of the signal.
+SIGNAL = {"trailing_return": 0.34, "trailing_excess": 0.24, "drawdown": -0.16, "flow": 0.12, "turnover": 0.10, "portfolio_change": 0.16, "expense": -0.08}
+
+
+def weighted_signal(rows: DataFrame, future: str, weights: dict[str, float] = SIGNAL) -> DataFrame:
+    """Add ``signal``, the weighted sum of z-scores over all rows (0 where a value is missing or all are equal), and whether
+    the future return is positive, and positive and in the top quarter. ``drawdown`` counts by its size.
+
+    The bar of the quarter interpolates between two numbered rows, so no task holds all values.
+    """
+    x = {c: F.abs(c) if c == "drawdown" else F.col(c) for c in weights}
+    known = rows.where(F.col(future).isNotNull())
+    stats = known.agg(*[f(x[c]).alias(f"_{n}_{c}") for c in weights for n, f in (("m", F.avg), ("s", F.stddev_samp))])
+    ranked = number_rows(known.select(future), [F.col(future)], "_nth")
+    at = known.agg((0.75 * (F.count("*") - 1)).alias("_at"))
+    near = ranked.join(F.broadcast(at), F.col("_nth").between(F.floor("_at"), F.ceil("_at")))
+    share = F.col("_at") - F.floor("_at")
+    bar = near.agg(F.sum(F.when(F.floor("_at") == F.ceil("_at"), F.col(future)).when(F.col("_nth") == F.floor("_at"), F.col(future) * (1 - share)).otherwise(F.col(future) * share)).alias("_bar"))
+    z = lambda c: F.coalesce((x[c] - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")), F.lit(0.0))
+    df = known.join(F.broadcast(stats), F.lit(True)).join(F.broadcast(bar), F.lit(True)).withColumn("signal", sum((w * z(c) for c, w in weights.items()), F.lit(0.0)))
+    high = (F.col(future) > 0) & (F.col(future) >= F.col("_bar"))
+    return df.select(*rows.columns, "signal", (F.col(future) > 0).alias("future_positive"), high.alias("future_high_positive"))

@@ -80,10 +80,13 @@ def fingerprint(v: Views):
     return st.fingerprint(v.fx_scores)
 
 
-@query("s12_contract_roles", "SELECT 'forbidden' AS role, 3 AS n UNION ALL SELECT 'feature', 9 UNION ALL SELECT 'identity', 4 UNION ALL SELECT 'target', 4")
+ROLE_OF = {c: role for role, cs in contract.ROLES.items() for c in cs}
+EVENT_COLUMNS = "portfolio report_dt manager family stock bond cash mret exp_ratio turn_ratio flow month_idx d_stock d_bond d_cash".split()
+
+
+@query("s12_contract_roles", " UNION ALL ".join(f"SELECT '{c}' AS name, '{ROLE_OF.get(c, 'other')}' AS role, false AS forbidden, count({c}) AS known FROM {{fx_events}}" for c in EVENT_COLUMNS))
 def contract_roles(v: Views):
-    rows = [(role, c) for role, cs in contract.ROLES.items() for c in cs]
-    return v.spark.createDataFrame(rows, "role string, name string").groupBy("role").agg(F.count("*").cast("int").alias("n"))
+    return contract.dictionary(v.fx_events.select(*EVENT_COLUMNS))
 
 
 @query("p27_conform", "SELECT portfolio, report_dt, coalesce(manager, 'Unknown') AS manager, NULL::DOUBLE AS ret_3m FROM {fx_events}")
@@ -91,25 +94,74 @@ def conform(v: Views):
     return contract.conform(v.fx_events, {"portfolio": "bigint", "report_dt": "date", "manager": "string", "ret_3m": "double"})
 
 
-RULES = [(1, "ringed", "ring"), (2, "bolted", "bolt"), (3, "small_item", "^small")]
+def _has(names: list[str], text: str = "t") -> str:
+    return f"regexp_matches({text}, '{cl.any_of(names)}')"
+
+
+def _in(tickers: list[str]) -> str:
+    return "k IN (" + ", ".join(f"'{x}'" for x in tickers) + ")"
+
+
+REASON = (
+    "CASE WHEN k IN ('NA', 'NULL', 'NONE') OR NOT regexp_matches(k, '" + cl.TICKER + "') THEN 'invalid_or_missing_ticker' WHEN n = '' THEN 'missing_security_name' "
+    "WHEN length(k) = 5 AND right(k, 1) = 'X' THEN 'likely_mutual_fund_ticker_5_letters_ending_x' WHEN contains(n, 'TRUST') AND NOT " + _has(cl.TRUST_NAMES, "n")
+    + " THEN 'excluded_trust_not_likely_company_equity' " + " ".join(f"WHEN {_has([x], 'n')} THEN 'excluded_name_pattern:\\b{x}\\b'" for x in cl.EXCLUDED_NAMES) + " END"
+)
+SECS = "s AS (SELECT *, " + REASON + " AS reason FROM (SELECT *, upper(trim(coalesce(name, ''))) AS n, replace(upper(coalesce(ticker, '')), ' ', '') AS k FROM {fx_secs}) AS u)"
+GROUPS = (
+    "WITH " + SECS + f""",
+     x AS (SELECT * EXCLUDE (k), replace(upper(trim(coalesce(ticker, ''))), '.', '-') AS k, ' ' || replace(upper(trim(coalesce(ticker, ''))), '.', '-') || ' ' || n || ' ' || upper(coalesce(reason, '')) || ' ' AS t FROM s),
+     y AS (SELECT *, {_has(cl.FUND_LIKE)} AS fund, {_in(cl.BOND_TICKERS)} OR {_has(cl.BOND_MONEY)} AS bond, {_has(cl.BOND_MONEY)} AS money, {_has(cl.INCOME_LIKE)} AS income,
+           {_in(cl.EQUITY_TICKERS)} OR ({_has(cl.FUND_LIKE)} AND {_has(cl.EQUITY_FUND)}) AS equity FROM x),
+     z AS (SELECT *, CASE WHEN bond THEN '{cl.BOND}' WHEN equity OR fund AND NOT income THEN '{cl.EQUITY}' ELSE '{cl.BOND}' END AS category,
+           CASE WHEN bond OR equity THEN 'high' ELSE 'review' END AS confidence FROM y) """
+)
+
+
+def _secs(v: Views):
+    return v.fx_secs.withColumn("reason", cl.exclusion_reason("name", "ticker"))
+
 
+def _grouped(v: Views):
+    return cl.two_groups(_secs(v).withColumn("company", F.col("reason").isNull()), "name", "ticker", "reason", "company")
 
-@query("l01_exclusion_reason", "SELECT security, CASE WHEN ticker = 'Brand#2' THEN 'no_ticker' WHEN regexp_matches(lower(name), 'ring') THEN 'ringed' WHEN regexp_matches(lower(name), 'bolt') THEN 'bolted' WHEN regexp_matches(lower(name), '^small') THEN 'small_item' END AS reason FROM {fx_items}")
+
+@query("l01_exclusion_reason", "WITH " + SECS + " SELECT security, reason FROM s")
 def exclusion_reason(v: Views):
-    return v.fx_items.withColumn("ticker", F.when(F.col("ticker") != "Brand#2", F.col("ticker"))).select("security", cl.exclusion_reason("name", "ticker", RULES).alias("reason"))
+    return _secs(v).select("security", "reason")
 
 
-@query("l02_two_groups", """
-WITH h AS (SELECT security, regexp_matches(lower(name), 'ring')::INT + regexp_matches(lower(name), 'bolt')::INT + regexp_matches(lower(name), '^small')::INT AS k, CASE WHEN regexp_matches(lower(name), 'ring') THEN 'ringed' WHEN regexp_matches(lower(name), 'bolt') THEN 'bolted' WHEN regexp_matches(lower(name), '^small') THEN 'small_item' END AS sub FROM {fx_items})
-SELECT security, sub AS subcategory, CASE WHEN sub IS NULL THEN 'unclassified' WHEN sub = 'ringed' THEN 'equity_proxy' ELSE 'rate_sensitive' END AS category, CASE k WHEN 0 THEN 'low' WHEN 1 THEN 'high' ELSE 'medium' END AS confidence, k > 1 AS overlap FROM h""")
+@query("l02_two_groups", GROUPS + f"""
+SELECT security, category, confidence, CASE WHEN bond THEN 'Fixed income / credit / liquidity / interest-rate exposure' WHEN equity THEN 'Indirect equity / passive stock index exposure'
+       WHEN fund AND income THEN 'Possible income or liquidity allocation' WHEN fund THEN 'Possible indirect fund exposure' ELSE 'Other money-related / manual review' END AS exposure,
+       CASE WHEN category = '{cl.BOND}' THEN CASE WHEN {_has(cl.CASH_PART)} THEN 'Cash / money market / liquidity' WHEN {_has(cl.GOVERNMENT_PART)} THEN 'Government / agency / Treasury / MBS'
+            WHEN {_in(cl.BOND_TICKERS)} OR {_has(cl.BOND_INDEX_PART)} THEN 'Bond ETF / bond index product' WHEN {_has(cl.CREDIT_PART)} THEN 'Corporate credit / fixed income'
+            WHEN {_has(cl.DERIVATIVE_PART)} THEN 'Derivative / structured financial exposure' ELSE 'Other money-related / fixed-income-like' END
+       WHEN {_in(cl.EQUITY_TICKERS)} OR {_has(cl.PASSIVE_PART)} THEN 'Equity ETF / passive index product' WHEN {_has(cl.STOCK_FUND_PART)} THEN 'Stock fund / equity index fund'
+       ELSE 'Other equity fund-like holding' END AS subcategory, reason IS NULL AND k <> '' AND NOT money AND NOT fund AS stock_like FROM z""")
 def two_groups(v: Views):
-    return cl.two_groups(v.fx_items, "name", RULES, ["ringed"]).select("security", "subcategory", "category", "confidence", "overlap")
+    return _grouped(v).select("security", "category", "confidence", "exposure", "subcategory", "stock_like")
 
 
-@query("a10_group_summary", """
-WITH h AS (SELECT records, portfolios, CASE WHEN regexp_matches(lower(name), 'ring') THEN 'equity_proxy' WHEN regexp_matches(lower(name), 'bolt|^small') THEN 'rate_sensitive' ELSE 'unclassified' END AS category FROM {fx_items}) SELECT category, count(*) AS items, sum(records)::BIGINT AS records, max(portfolios) AS most FROM h GROUP BY 1""")
+@query("a10_group_summary", GROUPS + """
+SELECT category, count(*) AS items, sum(records)::BIGINT AS records, max(portfolios) AS most, count(*) FILTER (confidence = 'high') AS high_confidence_items,
+       count(*) FILTER (confidence = 'review') AS review_items, min(first_dt) AS first_dt, max(last_dt) AS last_dt FROM z GROUP BY 1""")
 def group_summary(v: Views):
-    return cl.two_groups(v.fx_items, "name", RULES, ["ringed"]).groupBy("category").agg(F.count("*").alias("items"), F.sum("records").alias("records"), F.max("portfolios").alias("most"))
+    sure = [F.count_if(F.col("confidence") == c).alias(n) for c, n in (("high", "high_confidence_items"), ("review", "review_items"))]
+    return _grouped(v).groupBy("category").agg(F.count("*").alias("items"), F.sum("records").alias("records"), F.max("portfolios").alias("most"), *sure, F.min("first_dt").alias("first_dt"), F.max("last_dt").alias("last_dt"))
+
+
+@query("s07_classified_items", GROUPS + """
+SELECT security, CASE WHEN trim(coalesce(ticker, '')) <> '' THEN trim(ticker) || ' | ' || trim(name) ELSE trim(name) END AS item_label FROM z WHERE reason IS NOT NULL""")
+def classified_items(v: Views):
+    raw = _grouped(v).withColumn("category", F.when(F.col("reason").isNotNull(), F.col("category")))
+    return cl.classified_items(raw, "category", "name", "ticker").select("security", "item_label")
+
+
+@query("s08_event_table", "SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM {orders} WHERE o_orderdate IS NOT NULL")
+def event_table(v: Views):
+    files = [f"{v.sf_dir}/orders_multi_horizon.parquet", f"{v.sf_dir}/orders.parquet"]
+    return st.event_table(v.spark, files, ["o_orderkey", "o_custkey"], "o_orderdate").select("o_orderkey", "o_custkey", "o_orderdate")
 
 
 @query("l11_sector_names", "SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 'Technology' ELSE p_type END AS sector FROM {part}")
@@ -254,12 +306,20 @@ def overlap(v: Views):
     return rt.overlap_score(v.documents, "text", ASK).select("doc_id", "overlap")
 
 
-@query("x04_found_dates", """
-SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN DATE '2001-02-03' WHEN 1 THEN DATE '1999-12-01' END AS found_date FROM {documents}""")
+FULL_DATE, MONTH_DATE = r"((?:19|20)\d{2}[-_/.]?\d{2}[-_/.]?\d{2})", r"((?:19|20)\d{2}[-_/.]\d{2})"
+
+
+def _found(c: str) -> str:
+    day = lambda p, rest: f"try_strptime(regexp_replace(nullif(regexp_extract({c}, '{p}', 1), ''), '[-_/.]', '', 'g') || '{rest}', '%Y%m%d')::DATE"
+    return f"coalesce({day(FULL_DATE, '')}, {day(MONTH_DATE, '01')})".replace(r"\d{2}", r"\d\d")  # braces name views here
+
+
+@query("x04_found_dates", f"""
+WITH n AS (SELECT doc_id, text, source || CASE WHEN lang = 'en' THEN '_' || strftime(doc_date, '%Y-%m-%d') WHEN lang = 'de' THEN '_' || strftime(doc_date, '%Y/%m') ELSE '' END AS name FROM {{fx_docs}})
+SELECT doc_id, coalesce({_found("name")}, {_found("left(text, 300)")}) AS found_date FROM n""")
 def found_dates(v: Views):
-    m = F.col("doc_id") % 3
-    named = v.documents.select("doc_id", F.when(m == 0, "report_2001-02-03.txt").when(m == 1, "note.1999-12.md").otherwise("memo.txt").alias("name"), F.lit("no date here").alias("t"))
-    return rt.dated(named, "name", "t").select("doc_id", "found_date")
+    dated = F.when(F.col("lang") == "en", F.concat(F.lit("_"), F.date_format("doc_date", "yyyy-MM-dd"))).when(F.col("lang") == "de", F.concat(F.lit("_"), F.date_format("doc_date", "yyyy/MM"))).otherwise("")
+    return rt.dated(v.fx_docs.withColumn("name", F.concat("source", dated)), "name", "text").select("doc_id", "found_date")
 
 
 @query("x05_evidence_ids", "SELECT doc_id, printf('E%03d', row_number() OVER (ORDER BY doc_date DESC, doc_id)) AS evidence_id FROM (SELECT * FROM {fx_docs} WHERE doc_date IS NOT NULL ORDER BY doc_date DESC, doc_id LIMIT 50)")

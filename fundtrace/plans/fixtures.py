@@ -62,6 +62,11 @@ VIEWS = {
         SELECT l_partkey AS security, p_brand AS ticker, p_name AS name, p_type AS kind, CAST(min(l_shipdate) AS DATE) AS first_dt,
                CAST(max(l_shipdate) AS DATE) AS last_dt, count(*) AS records, count(DISTINCT portfolio) AS portfolios
         FROM {fx_line} JOIN {part} ON l_partkey = p_partkey GROUP BY 1, 2, 3, 4""",
+    "fx_secs": """
+        SELECT security, records, portfolios, first_dt, last_dt, replace(replace(replace(replace(replace(replace(name, 'widget', 'Treasury note'), 'rod', 'Realty trust'), 'anvil', 'growth fund'),
+               'ring', 'income portfolio'), 'gizmo', 'senior debt due'), 'plate', 'Holdings Inc') AS name,
+               CASE CAST(security % 11 AS INT) WHEN 0 THEN 'AGG' WHEN 1 THEN 'SPY' WHEN 2 THEN ticker WHEN 3 THEN 'ABCDX' WHEN 4 THEN NULL WHEN 5 THEN 'brk.b' ELSE substr(kind, 1, 3) END AS ticker
+        FROM {fx_items}""",
     "fx_events": """
         SELECT e.*, e.stock - lag(stock) OVER w AS d_stock, e.bond - lag(bond) OVER w AS d_bond, e.cash - lag(cash) OVER w AS d_cash
         FROM (SELECT a.portfolio, a.report_dt, m.manager, m.family, a.stock, a.bond, a.cash, m.mret, m.exp_ratio, m.turn_ratio, m.flow, m.month_idx

@@ -32,7 +32,7 @@ def direction_models(v: Views):
 
 @query("m07_calibration")
 def calibration(v: Views):
-    scores = md.fit_direction(_rows(v), FEATURES).where("candidate = 'logistic'").cache()
+    scores = md.fit_direction(_rows(v), FEATURES, names=("logistic",)).where("candidate = 'logistic'").cache()
     return md.choose(md.calibrate(scores), "method")
 
 
@@ -49,7 +49,7 @@ def baselines(v: Views):
     held = rows.where("split = 'validation'").select("event_id", "y")
     constant = held.join(F.broadcast(share), F.lit(True)).withColumn("layer", F.lit("constant")).select("layer", "event_id", "y", "p")
     for name, columns in {"market_only": ["mret"], "action_only": ["bond"], "all": FEATURES}.items():
-        s = md.fit_direction(rows, columns).where("candidate = 'logistic' and split = 'validation'")
+        s = md.fit_direction(rows, columns, names=("logistic",)).where("candidate = 'logistic' and split = 'validation'")
         constant = constant.union(s.select(F.lit(name).alias("layer"), "event_id", "y", "p"))
     return ev.direction_metrics(constant, "y", "p", ["layer"], 0.5)
 

@@ -66,16 +66,16 @@ def expert_weights(v: Views):
     return sc.expert_weights(votes, "report_dt", "family", "s").select("report_dt", "manager", "relative", "weight")
 
 
-@query("w20_weighted_signal", """
-WITH z AS (SELECT portfolio, report_dt, (bond - avg(bond) OVER ()) / nullif(stddev_samp(bond) OVER (), 0) AS zb, (turn_ratio - avg(turn_ratio) OVER ()) / nullif(stddev_samp(turn_ratio) OVER (), 0) AS zt FROM {fx_events}),
-     s AS (SELECT *, 0.6 * zb - 0.4 * zt AS signal FROM z)
-SELECT portfolio, report_dt, round(signal, 6) AS signal, signal >= (SELECT quantile_cont(signal, 0.75) FROM s) AS high FROM s""")
+SIGNAL_PARTS = {"trailing_return": "mret", "trailing_excess": "mret - market / 12", "drawdown": "drawdown", "flow": "flow", "turnover": "turn_ratio", "portfolio_change": "abs(d_stock)", "expense": "exp_ratio"}
+PART = lambda c: f"abs({c})" if c == "drawdown" else c
+
+
+@query("w20_weighted_signal", "WITH r AS (SELECT portfolio, report_dt, excess, " + ", ".join(f"{e} AS {c}" for c, e in SIGNAL_PARTS.items()) + " FROM {fx_actions} WHERE excess IS NOT NULL), "
+    "z AS (SELECT portfolio, report_dt, excess, " + " + ".join(f"{w} * coalesce(({PART(c)} - avg({PART(c)}) OVER ()) / nullif(stddev_samp({PART(c)}) OVER (), 0), 0)" for c, w in sc.SIGNAL.items())
+    + " AS signal FROM r) SELECT portfolio, report_dt, round(signal, 6) AS signal, excess > 0 AS future_positive, excess > 0 AND excess >= (SELECT quantile_cont(excess, 0.75) FROM z) AS future_high_positive FROM z")
 def weighted_signal(v: Views):
-    e = v.fx_events
-    stats = F.broadcast(e.agg(*[f(c).alias(f"{n}_{c}") for c in ("bond", "turn_ratio") for n, f in (("m", F.avg), ("s", F.stddev_samp))]))
-    z = lambda c: (F.col(c) - F.col(f"m_{c}")) / F.nullif(F.col(f"s_{c}"), F.lit(0.0))
-    s = e.join(stats, F.lit(True)).select("portfolio", "report_dt", (0.6 * z("bond") - 0.4 * z("turn_ratio")).alias("signal"))
-    return s.join(F.broadcast(s.agg(F.percentile("signal", F.lit(0.75)).alias("bar"))), F.lit(True)).select("portfolio", "report_dt", "signal", (F.col("signal") >= F.col("bar")).alias("high"))
+    rows = v.fx_actions.select("portfolio", "report_dt", "excess", *[F.expr(e).alias(c) for c, e in SIGNAL_PARTS.items()])
+    return sc.weighted_signal(rows, "excess").select("portfolio", "report_dt", "signal", "future_positive", "future_high_positive")
 
 
 @query("w21_portfolio_change", """

@@ -14,7 +14,7 @@ from fundtrace.functions.labels import label_window
 from fundtrace.operators import classify as cl
 from fundtrace.operators import evaluation as ev
 from fundtrace.operators import selection as sl
-from fundtrace.plans.evaluation import DRIFT_COLS, FOLDS, RULES
+from fundtrace.plans.evaluation import DRIFT_COLS, FOLDS, SECS
 from fundtrace.plans.registry import Views, query
 
 BY, OUTER = ["window_years", "fold"], 2000
@@ -183,9 +183,9 @@ def calendar_parts(v: Views):
     return v.fx_fund_month.join(o, "fund").select("fund", "caldt", *ingest.calendar_parts("caldt", "first_dt"))
 
 
-@query("a09_excluded_audit", """
-WITH x AS (SELECT nullif(ticker, 'Brand#2') AS ticker, name, portfolio, report_dt, CASE WHEN ticker = 'Brand#2' THEN 'no_ticker' WHEN regexp_matches(lower(name), 'ring') THEN 'ringed' WHEN regexp_matches(lower(name), 'bolt') THEN 'bolted' WHEN regexp_matches(lower(name), '^small') THEN 'small_item' END AS reason FROM {fx_holdings})
-SELECT ticker, name, reason, min(report_dt) AS first_dt, max(report_dt) AS last_dt, count(*) AS records, count(DISTINCT portfolio) AS portfolios FROM x WHERE reason IS NOT NULL GROUP BY 1, 2, 3""")
+@query("a09_excluded_audit", "WITH " + SECS + """
+SELECT s.ticker, s.name, reason, min(report_dt) AS first_dt, max(report_dt) AS last_dt, count(*) AS records, count(DISTINCT portfolio) AS portfolios
+FROM {fx_holdings} h JOIN s ON h.security = s.security WHERE reason IS NOT NULL GROUP BY 1, 2, 3""")
 def excluded_audit(v: Views):
-    items = v.fx_holdings.withColumn("ticker", F.when(F.col("ticker") != "Brand#2", F.col("ticker")))
-    return cl.excluded_audit(items.withColumn("reason", cl.exclusion_reason("name", "ticker", RULES)), ["ticker", "name", "reason"], "report_dt", "portfolio")
+    secs = v.fx_secs.select("security", "name", "ticker", cl.exclusion_reason("name", "ticker").alias("reason"))
+    return cl.excluded_audit(v.fx_holdings.select("security", "report_dt", "portfolio").join(secs, "security"), ["ticker", "name", "reason"], "report_dt", "portfolio")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fundtrace.functions.ingest import identifier
+
 
 def period_union(parts: dict[str, DataFrame], keep: list[str]) -> DataFrame:
     """Union of period tables with the wanted columns, absent ones null, tagged by ``source_key``."""
@@ -63,6 +65,22 @@ def knowledge_documents(spark: SparkSession, text_path: str | None = None, json_
     return reduce(lambda a, b: a.union(b), parts)
 
 
+def event_table(spark: SparkSession, files: list[str], ids: list[str], date: str, window: str = "training_window_years", years: int = 3) -> DataFrame:
+    """Events of the first of the Parquet ``files`` (newest first) that is there: ids as text without a decimal part, the
+    date as yyyy-mm-dd, rows without a date left out, and of several training windows the one of ``years`` (missing counts as it).
+    """
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [(f, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)) for f in files]
+    found = next((f for f, p in paths if p.getFileSystem(conf).exists(p)), None)
+    if found is None:
+        raise FileNotFoundError(", ".join(files))
+    df = spark.read.parquet(found)
+    if window in df.columns:
+        df = df.where(F.coalesce(F.col(window).cast("int"), F.lit(years)) == years)
+    df = df.withColumns({c: identifier(F.col(c).cast("string")) for c in ids if c in df.columns})
+    return df.withColumn(date, F.date_format(F.to_date(date), "yyyy-MM-dd")).where(F.col(date).isNotNull())
+
+
 def write_dataset(df: DataFrame, path: str, year_of: str) -> None:
     """Parquet by year of a date column; one shuffle by year keeps the files few."""
     df.withColumn("year", F.year(year_of)).repartition("year").write.mode("overwrite").partitionBy("year").parquet(path)
