@@ -100,3 +100,19 @@ def yearly_beta(returns: DataFrame, market: DataFrame, key: str, ret: str, marke
         F.expm1(F.sum(F.log1p(market_ret))).alias("market_total"),
     )
     return out.where(F.col("n") >= F.ceil(F.col("years") * 12 * need)).withColumn("annual", F.expm1(F.log1p("total") * 12 / F.col("n")))
+
+
+def active_rows(rows: DataFrame, fund: str, company: str, month: str, ret: str, market: str, factors: list[str], chosen: list[str] | None = None, months: int = 36, least: int = 25) -> DataFrame:
+    """Rows of the chosen companies (all if none is) with their current and trailing columns, where both trailing returns are known.
+
+    The market's trailing return is worked out anew from the months that the chosen rows have. Trailing frames are those
+    of :func:`trailing`; factors are averages over ``least`` known values or more.
+    """
+    base = rows.where(F.col(company).isin(chosen)) if chosen else rows
+    # a row for each month, so one task holds them
+    roll = base.groupBy(month).agg(F.avg(market).alias("_market")).select(month, compounded("_market", trailing([], month, months), least, annual=True).alias("trailing_market"))
+    w = trailing([fund], month, months)
+    mean = {f"trailing_{c}": guarded(F.avg(c).over(w), F.count(c).over(w), least) for c in factors}
+    out = base.withColumns({"current_excess": F.col(ret) - F.col(market), "trailing_return": compounded(ret, w, least, annual=True), "window_count": F.count(ret).over(w), **mean})
+    out = out.join(F.broadcast(roll), month).where("trailing_return IS NOT NULL AND trailing_market IS NOT NULL")
+    return out.withColumn("trailing_excess", F.col("trailing_return") - F.col("trailing_market"))

@@ -155,3 +155,17 @@ def yearly_beta(v: Views):
 SELECT portfolio, caldt, round(max(flow) OVER (PARTITION BY portfolio ORDER BY month_idx RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING), 2) AS flow_before FROM {fx_port_month}""")
 def calendar_lag(v: Views):
     return v.fx_port_month.select("portfolio", "caldt", F.round(ts.calendar_lag("flow", ["portfolio"], "month_idx"), 2).alias("flow_before"))
+
+
+@query("p03_active_rows", """
+WITH b AS (SELECT f.*, bret FROM {fx_fund_month} f JOIN {fx_benchmark} USING (month_idx, caldt) WHERE family IN ('ASIA', 'EUROPE', 'AMERICA')),
+     r AS (SELECT month_idx, CASE WHEN count(m) OVER w >= 25 THEN exp(sum(ln(1 + m)) OVER w * 12 / count(m) OVER w) - 1 END AS market
+           FROM (SELECT month_idx, avg(bret) AS m FROM b GROUP BY 1) AS g WINDOW w AS (ORDER BY month_idx RANGE BETWEEN 36 PRECEDING AND 1 PRECEDING)),
+     t AS (SELECT fund, caldt, month_idx, mret, bret, count(mret) OVER w AS n, CASE WHEN count(mret) OVER w >= 25 THEN exp(sum(ln(1 + mret)) OVER w * 12 / count(mret) OVER w) - 1 END AS y,
+           CASE WHEN count(exp_ratio) OVER w >= 25 THEN avg(exp_ratio) OVER w END AS fee FROM b WINDOW w AS (PARTITION BY fund ORDER BY month_idx RANGE BETWEEN 36 PRECEDING AND 1 PRECEDING))
+SELECT fund, caldt, round(mret, 6) AS mret, round(mret - bret, 6) AS current_excess, round(y, 6) AS trailing_return, round(market, 6) AS trailing_market, round(y - market, 6) AS trailing_excess,
+       round(fee, 6) AS trailing_exp_ratio, n AS window_count FROM t JOIN r USING (month_idx) WHERE y IS NOT NULL AND market IS NOT NULL""")
+def active_rows(v: Views):
+    rows = v.fx_fund_month.join(F.broadcast(v.fx_benchmark), ["month_idx", "caldt"])
+    out = ts.active_rows(rows, "fund", "family", "month_idx", "mret", "bret", ["exp_ratio"], ["ASIA", "EUROPE", "AMERICA"])
+    return out.select("fund", "caldt", "mret", "current_excess", "trailing_return", "trailing_market", "trailing_excess", "trailing_exp_ratio", "window_count")

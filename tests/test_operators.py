@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fundtrace import contract
 from fundtrace.functions import ingest, labels
-from fundtrace.operators import holdings, joins, scores, timeseries
+from fundtrace.operators import classify, holdings, joins, models, scores, timeseries
 from fundtrace.sources import tables
 
 
@@ -137,3 +137,64 @@ def test_write_dataset(spark, tmp_path):
     df = spark.createDataFrame([(dt.date(2000, 1, 1), 1), (dt.date(2001, 1, 1), 2)], "d date, x int")
     tables.write_dataset(df, str(tmp_path / "out"), "d")
     assert spark.read.parquet(str(tmp_path / "out")).where("year = 2001").count() == 1
+
+
+def test_exclusion_reasons(spark):
+    cases = [
+        ("Apple Inc", "AAPL", None), ("Berkshire Hathaway", " brk.b ", None), ("Some Corp", "912828", "invalid_or_missing_ticker"), ("Some Corp", None, "invalid_or_missing_ticker"),
+        ("Some Corp", "NA", "invalid_or_missing_ticker"), (None, "ABC", "missing_security_name"), ("Some Co", "ABCDX", "likely_mutual_fund_ticker_5_letters_ending_x"),
+        ("Vornado Realty Trust", "VNO", None), ("Gold Trust", "GLD", "excluded_trust_not_likely_company_equity"), ("Growth Fund", "GF", r"excluded_name_pattern:\bFUND\b"),
+        ("Senior debt due 2030", "SD", r"excluded_name_pattern:\bSENIOR\b.*\bDUE\b"), ("Index Fund of Notes", "IX", r"excluded_name_pattern:\bFUND\b"), ("Refunding Co", "RF", None),
+    ]
+    df = spark.createDataFrame([(n, t, i) for i, (n, t, _) in enumerate(cases)], "name string, ticker string, i int")
+    assert one(df.orderBy("i").select(classify.exclusion_reason("name", "ticker").alias("r")), "r") == [r for *_, r in cases]
+
+
+def test_two_groups(spark):
+    cases = [
+        ("AGG", "iShares", "", False, classify.BOND, "high", "Bond ETF / bond index product", False),
+        ("SPY", "SPDR 500", "", False, classify.EQUITY, "high", "Equity ETF / passive index product", False),
+        ("X", "Total stock market fund", "", False, classify.EQUITY, "high", "Stock fund / equity index fund", False),
+        ("X", "Short term fund", "", False, classify.BOND, "review", "Other money-related / fixed-income-like", False),
+        ("X", "Plain fund", "", False, classify.EQUITY, "review", "Other equity fund-like holding", False),
+        ("X", "Treasury deposit", "", True, classify.BOND, "high", "Cash / money market / liquidity", False),
+        ("BRK.B", "Apple", None, True, classify.BOND, "review", "Other money-related / fixed-income-like", True),
+        (None, None, None, None, classify.BOND, "review", "Other money-related / fixed-income-like", False),
+    ]
+    df = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "i int, ticker string, name string, reason string, company boolean")
+    got = classify.two_groups(df, "name", "ticker", "reason", "company").orderBy("i").select("category", "confidence", "subcategory", "stock_like").collect()
+    assert [tuple(r) for r in got] == [c[4:] for c in cases]
+
+
+def test_classified_items(spark):
+    df = spark.createDataFrame([(" Bond ", " Note ", " N "), ("Bond", "Note", None), ("Bond", "", "N"), ("Bond", " ", ""), ("", "Note", "N"), (None, "Note", "N")], "category string, name string, ticker string")
+    assert sorted(one(classify.classified_items(df, "category", "name", "ticker"), "item_label")) == ["N | N", "N | Note", "Note"]
+
+
+def test_event_table(spark, tmp_path):
+    rows = [("7.0", "2020-01-05", 3), ("8", "2020-01-06", 5), ("9", None, None), ("10.0", "2020-02-01", None)]
+    spark.createDataFrame(rows, "id string, day string, training_window_years int").write.parquet(str(tmp_path / "old"))
+    got = tables.event_table(spark, [str(tmp_path / "new"), str(tmp_path / "old")], ["id"], "day")
+    assert sorted((r["id"], r["day"]) for r in got.collect()) == [("10", "2020-02-01"), ("7", "2020-01-05")]
+    with pytest.raises(FileNotFoundError):
+        tables.event_table(spark, [str(tmp_path / "new")], ["id"], "day")
+
+
+def test_weighted_signal(spark):
+    names = list(scores.SIGNAL)
+    df = spark.createDataFrame([(0.1, *[1.0] * 7), (0.3, *[2.0] * 7), (-0.2, *[3.0] * 7), (None, *[99.0] * 7)], ", ".join(f"{c} double" for c in ["future", *names]))
+    got = {r["future"]: r for r in scores.weighted_signal(df, "future").collect()}
+    total = sum(scores.SIGNAL.values())
+    assert set(got) == {0.1, 0.3, -0.2} and got[0.3]["signal"] == pytest.approx(0) and got[-0.2]["signal"] == pytest.approx(total)
+    assert [got[k]["future_high_positive"] for k in (0.1, 0.3, -0.2)] == [False, True, False] and got[0.1]["future_positive"]
+    flat = scores.weighted_signal(df.withColumn("flow", F.lit(None).cast("double")), "future").collect()
+    assert {round(r["signal"], 9) for r in flat} == {0.0, round(total - 0.12, 9), round(0.12 - total, 9)}
+
+
+def test_direction_candidates():
+    assert [c for c in models.direction_candidates() if c.startswith("boosted")] == [f"boosted_{i}" for i in range(1, 7)]
+
+
+def test_dictionary(spark):
+    got = {r["name"]: tuple(r)[1:] for r in contract.dictionary(spark.createDataFrame([(1, None, 2.0, 3)], "portfolio int, bond double, ret_3m double, z int")).collect()}
+    assert got == {"portfolio": ("identity", False, 1), "bond": ("feature", False, 0), "ret_3m": ("target", True, 1), "z": ("other", False, 1)}
