@@ -155,6 +155,8 @@ def group_summary(v: Views):
 SELECT security, CASE WHEN trim(coalesce(ticker, '')) <> '' THEN trim(ticker) || ' | ' || trim(name) ELSE trim(name) END AS item_label FROM z WHERE reason IS NOT NULL""")
 def classified_items(v: Views):
     raw = _grouped(v).withColumn("category", F.when(F.col("reason").isNotNull(), F.col("category")))
+    # a row is one value here, so that the filter on the category isn't pushed into the rules, which would be worked out anew for it
+    raw = raw.select("security", F.explode(F.array(F.struct("category", "name", "ticker"))).alias("item")).select("security", "item.*")
     return cl.classified_items(raw, "category", "name", "ticker").select("security", "item_label")
 
 
