@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from fundtrace.llm import bpe, decontaminate, html, licenses, minhash, ngrams, pii, quality, topk, toxicity
+from fundtrace.llm import bpe, centroids, decontaminate, fingerprint, html, infill, licenses, minhash, ngrams, pii, quality, topk, toxicity
 from fundtrace.llm.graph import connected_components
 from fundtrace.llm.registry import ORACLE_SQL, QUERIES
 from tests.oracle import assert_same, duck
@@ -670,6 +671,152 @@ def test_toxicity_odd_rows(spark):
 
 # pipeline -----------------------------------------------------------------------------------------------------------
 
+# 11 -----------------------------------------------------------------------------------------------------------------
+
+VECTORS = "vec_id long, embedding array<float>, label int, v int, id int, cluster int"
+
+
+def plain_clusters(rows, k, rounds, dim, scale):
+    kept = [(i, [math.floor(scale * float(x)) for x in v]) for i, v in rows if v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v)]
+    c = [v for _, v in sorted((hashlib.sha256(f"1:{'' if i is None else i}".encode()).hexdigest(), v) for i, v in kept)[:k]]
+    near = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, x, strict=True)), j) for j, x in enumerate(c))
+    for _ in range(rounds):
+        of = [[v for _, v in kept if near(v)[1] == j] for j in range(len(c))]
+        c = [[sum(col) // len(vs) for col in zip(*vs, strict=True)] if vs else old for vs, old in zip(of, c, strict=True)]
+    at = [(i, *near(v)[::-1]) for i, v in kept]
+    return [(i, j, d, sum(x[2] for x in at if x[1] == j), sum(x[2] for x in at), c[j]) for i, j, d in at]
+
+
+def test_centroids_odd_rows(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(i), [float(x) for x in rng.normal(size=3)]) for i in range(60)]
+    rows += [(3, rows[3][1]), (7, rows[9][1]), (None, [0.5, -0.5, 0.25]), (70, None), (71, [1.0, None, 2.0]), (72, [1.0, float("nan"), 0.0]), (73, [1.0, float("inf"), 0.0]), (74, [1.0]), (75, [])]
+    rows += [(80 + i, [0.1, 0.1, 0.1]) for i in range(20)]
+    given = spark.createDataFrame([(i, v, 1, 2, 3, 4) for i, v in rows], VECTORS)
+    as_float = [(i, v and [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
+    for k, rounds in ((4, 3), (1, 0), (200, 2)):
+        got = [tuple(r) for r in centroids.cluster(given, k=k, rounds=rounds, dim=3).collect()]
+        none_first = lambda r: (r[0] is not None, *((0, *r[1:]) if r[0] is None else r))
+        assert sorted(got, key=none_first) == sorted(plain_clusters(as_float, k, rounds, 3, 64), key=none_first)
+    empty = centroids.cluster(given.where("false"), dim=3)
+    assert empty.count() == 0 and empty.columns == centroids.cluster(given, dim=3).columns
+
+
+# 12 -----------------------------------------------------------------------------------------------------------------
+
+
+def paragraphs(text):
+    return set(re.findall(fingerprint.PARAGRAPH, text))
+
+
+def edited(text, following):
+    half = len(text) // 2
+    return text[: len(text) - half] + following[:half]
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_fingerprints_against_plain_sets(spark):
+    rng = random.Random(12)
+    line = lambda: " ".join(rng.choice(["one", "Two.", "drei!", "é", "\U0001f600x"]) for _ in range(rng.randint(1, 30)))
+    lines = [line() for _ in range(40)]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.choice([0, 1, 2, 5, 20, 200]))) for _ in range(60)] + [None, "", "x", LONG, "a\n\n\nb. c", *["copy.\nof it"] * 3]
+    rows = [(i * 7 % 101, t) for i, t in enumerate(texts)] + [(None, "no id"), (None, "no id"), (5, "second text of an id"), (7, texts[1]), (7, texts[1])]
+    given = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).withColumn("k", F.lit(1)).withColumn("own", F.lit(2)).withColumn("part", F.lit(3))
+    got = fingerprint.fingerprints(given).collect()
+    assert len(got) == len(rows)
+    place = {(i, t or ""): None for i, t in rows}
+    mark = {k: fingerprint._row_key("doc_id", F.lit(k[1])) for k in place}
+    marks = {k: spark.range(1).select(F.lit(k[0]).cast("long").alias("doc_id")).select(m.alias("k")).first()[0] for k, m in mark.items() if sum(x[0] == k[0] for x in place) > 1}
+    ordered = sorted(place, key=lambda k: (k[0] is not None, k[0] or 0, marks.get(k, "")))
+    want = {}
+    for k, after in zip(ordered, [*ordered[1:], ordered[0]], strict=True):
+        e = edited(k[1], after[1])
+        own = paragraphs(k[1])
+        want[k] = (k[0], len(k[1]), hashlib.sha256(e.encode()).hexdigest(), round(alike(own, paragraphs(e)), 9), round(alike(own, paragraphs(after[1])), 9), len(own - paragraphs(e)), len(paragraphs(after[1]) - own))
+    have = sorted((str(r.doc_id), r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9), len(r.edited_lost), len(r.next_new)) for r in got)
+    assert have == sorted((str(w[0]), *w[1:]) for w in (want[i, t or ""] for i, t in rows))
+    prints = {}
+    for r in got:
+        prints.setdefault(r.fingerprint, set()).add(r.n_chars)
+    copies = [r.fingerprint for r in got if r.n_chars == len("copy.\nof it")]
+    assert len(copies) == 3 and len(set(copies)) == 1 and len(prints) == len({frozenset(paragraphs(k[1])) for k in place})
+    assert fingerprint.fingerprints(given.where("false")).count() == 0
+    one = fingerprint.fingerprints(given.where("doc_id = 14")).first()
+    assert one.near_next == 1.0
+
+
+def test_fingerprints_peel_and_retry(spark, monkeypatch):
+    rng = random.Random(1)
+    keys = lambda n: [rng.getrandbits(63) for _ in range(n)]
+    shared = keys(50)
+    cases = [(str(n), shared + keys(n), shared + keys(m)) for n in (0, 1, 3, 40, 300) for m in (0, 2, 30)] + [("none", [], [])]
+    given = spark.createDataFrame(cases, "k string, a array<long>, b array<long>").withColumn("k", F.concat("k", F.size("b").cast("string")))
+    for bucket, load in ((16, 2), (2, 6)):  # the second fails often
+        monkeypatch.setattr(fingerprint, "BUCKET", bucket)
+        monkeypatch.setattr(fingerprint, "LOAD", load)
+        out = fingerprint.differences(given, "k", {"ab": ("a", "b")}, ["a", "b"]).collect()
+        assert len(out) == len(cases)
+        for r in out:
+            assert r.ab_lost == sorted(set(r.a) - set(r.b)) and r.ab_new == sorted(set(r.b) - set(r.a))
+
+
+def test_fingerprints_subtract_by_text(spark):
+    """Fingerprints alone give the changed paragraphs away, if few are changed."""
+    a, b = [11, 22, 33, 44], [11, 22, 55]
+    row = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")
+    cells = fingerprint.subtract(fingerprint.sketch(F.col("a"), 4), fingerprint.sketch(F.col("b"), 4))
+    got = row.select(fingerprint.peel(cells, 4).alias("d"), fingerprint.as_text(fingerprint.sketch(F.col("a"), 4)).alias("t")).first()
+    assert sorted(map(tuple, got.d)) == [(-1, 55), (1, 33), (1, 44)] and len(got.t) == 12 * 28
+
+
+# 13 -----------------------------------------------------------------------------------------------------------------
+
+
+def plain_infill(i, text):
+    units = re.findall(r"[A-Za-z]+|[^A-Za-z]", text, re.DOTALL)
+    h = hashlib.sha256(f"1:{'' if i is None else i}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[j : j + 8], 16) for j in (0, 8, 16, 24))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return len(units), "plain", None, None, text
+    a, b = sorted((h1 % (len(units) + 1), h2 % (len(units) + 1)))
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    return len(units), *(("spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}") if h4 % 100 < 20 else ("psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"))
+
+
+def test_infill_against_plain_units(spark):
+    rng = random.Random(13)
+    passage = "".join(rng.choice("abcXYZ  .\n12é\U0001f600<>PSM") for _ in range(3000)).replace("<P>", "").replace("<S>", "").replace("<M>", "")
+    text = lambda n: "".join(rng.choice("abcdeABC  ,.é\U00010348\x00<>") for _ in range(n))
+    texts = [text(rng.choice([0, 1, 2, 60, 300, 4000])) + (passage if rng.random() < 0.5 else "") + text(rng.randint(0, 90)) for _ in range(150)]
+    texts += [None, "", "a", "a <P> b", "<S", "<M>", "x" * 50_000, LONG, "é" * 9000, "word " * 2000 + "y" * 9000, passage, passage]
+    rows = [*enumerate(texts), (None, passage), (None, None), (3, texts[3])]
+    given = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).withColumn("n", F.lit(9)).withColumn("form", F.lit("clash")).withColumn("h", F.lit(1))
+    out = infill.fill_in_middle(given)
+    got = [tuple(r) for r in out.withColumn("again", infill.restored("output", "form")).collect()]
+    assert sorted(got, key=str) == sorted([(i, *plain_infill(i, t or ""), t or "") for i, t in rows], key=str)
+    assert {r[2] for r in got} == {"plain", "psm", "spm"}
+    assert infill.fill_in_middle(given.where("false")).count() == 0
+
+
+def test_infill_chunks():
+    rng = random.Random(2)
+    shared = "".join(rng.choice("abc de.") for _ in range(8000))
+    cache = infill.ChunkCache()
+    for head in ("", "some other start ", "x" * 70):
+        ends = infill.boundaries(head + shared)
+        assert ends == sorted(set(ends)) and ends[-1] == len(head + shared) and max(b - a for a, b in zip([0, *ends], ends, strict=False)) <= infill.MOST
+        units = infill.Units(head + shared, cache)
+        plain = [m.start() for m in infill.UNIT.finditer(head + shared)] + [len(head + shared)]
+        assert units.n == len(plain) - 1 and [units.cut(i) for i in range(len(plain))] == plain
+    assert cache.hits > 30
+    small = infill.ChunkCache(limit=500)
+    assert infill.Units(shared, small).n == infill.Units(shared, cache).n and small.chars <= 2500
+    assert infill.Units("", cache).n == 0 and infill.Units("", cache).cut(0) == 0
+
+
 
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
