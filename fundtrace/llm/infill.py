@@ -90,7 +90,7 @@ class Units:
     def __init__(self, text: str, cache: ChunkCache):
         self.text = text
         self.ends = boundaries(text)
-        self.starts = [0, *self.ends[:-1]]
+        self.starts = [0, *self.ends][:-1]
         summaries = [cache.summary(text[a:b]) for a, b in zip(self.starts, self.ends, strict=True)]
         #: Whether the first unit of a chunk began before it.
         self.goes_on = [i > 0 and summaries[i - 1][2] and s[1] for i, s in enumerate(summaries)]
