@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -53,9 +53,26 @@ def materialise(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
     files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    for tables in _open:
+        tables.append(out)
     return out
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch_released() -> Iterator[list[DataFrame]]:
+    """Release, at the end of the block, what is materialised in it; take a table out of the list to keep it."""
+    tables: list[DataFrame] = []
+    _open.append(tables)
+    try:
+        yield tables
+    finally:
+        _open.remove(tables)
+        release(*tables)
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete tables that :func:`materialise` wrote and that nothing reads any more."""
     for t in tables:
@@ -80,6 +97,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def row_key(id_col: str, text: Column, hashed: bool = False) -> Column:
+    """Text that is the same for rows alike in id and text and for no others; null ids are alike. ``hashed``: text is its xxhash64."""
+    i = F.col(id_col)
+    return F.concat(F.when(i.isNull(), "-").otherwise(F.concat(F.lit("+"), i.cast("string"))), F.lit(":"), F.hex(text if hashed else F.xxhash64(text)))
+
+
 def crc_of(column: str):
     """crc32 of a column as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

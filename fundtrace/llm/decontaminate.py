@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundtrace.llm.common import documents
+from fundtrace.llm.common import documents, row_key
 
 #: What separates words once A-Z are lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -78,8 +78,9 @@ def benchmark_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """What each document shares with the benchmark.
 
     Returns ``id_col``, n_words, spans (sorted array of word ranges, end exclusive; they may overlap), n_hit (words in
-    their union) and items (sorted array of the item ids as text). A document with null or empty text has no words; an
-    empty benchmark or item hits nothing. Rows alike in id and text are one document. Repeated items count once.
+    their union), items (sorted array of the item ids as text) and text_hash (xxhash64 of the text). A document with null
+    or empty text has no words; an empty benchmark or item hits nothing. Rows alike in id and text are one document, null
+    ids included; an id with several texts has a row for each. Repeated items count once.
     """
     items = _hashes(benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(item_text).alias("words")).where(F.size("words") > 0))
     short = sorted(r[0] for r in items.where(F.size("words") < WINDOW).select(F.size("words")).distinct().collect())
@@ -88,12 +89,13 @@ def benchmark_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     entries = entries.select("item", *[F.col(f"e.{c}").alias(f"item_{c}") for c in ("length", "h", "gram", "before", "after")]).distinct()
     few = entries.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
     whole = _hashes(df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("of_text"), words_of(text_col).alias("words")))
+    row = row_key("id", F.col("of_text"), hashed=True)
     if few:
         entries, rows = F.broadcast(entries), whole
     else:  # shuffle bare hashes first, then the words of those documents alone that share one
         bare = whole.select("id", "of_text", F.explode(fingerprints(whole, short)).alias("e")).select("id", "of_text", "e.h", "e.length").distinct()
         known = entries.select(F.col("item_h").alias("h"), F.col("item_length").alias("length")).distinct()
-        rows = whole.join(bare.join(known, ["h", "length"], "left_semi").select("id", "of_text").distinct(), ["id", "of_text"], "left_semi")
+        rows = whole.withColumn("row", row).join(bare.join(known, ["h", "length"], "left_semi").select(row.alias("row")).distinct(), "row", "left_semi").drop("row")
     each = rows.select("id", "of_text", F.size("words").alias("n_words"), F.posexplode_outer(fingerprints(rows, short)).alias("nth", "e"))
     each = each.select("id", "of_text", "n_words", "nth", "e.*")
     joined = each.join(entries, (F.col("h") == F.col("item_h")) & (F.col("length") == F.col("item_length")) & (F.col("gram") == F.col("item_gram")), "left")
@@ -105,7 +107,7 @@ def benchmark_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = marked.groupBy("id", "of_text", "n_words").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     if not few:
         every = whole.select("id", "of_text", F.size("words").alias("n_words")).distinct()
-        out = every.join(out.drop("n_words"), ["id", "of_text"], "left")
+        out = every.withColumn("row", row).join(out.select(row.alias("row"), "spans", "items"), "row", "left").drop("row")
         none = {c: F.array().cast(out.schema[c].dataType) for c in ("spans", "items")}
         out = out.withColumns({c: F.coalesce(c, none[c]) for c in none})
     union = F.aggregate(
@@ -117,7 +119,7 @@ def benchmark_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         ),
         lambda acc: acc["n"],
     )
-    return out.select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), "spans", union.alias("n_hit"), "items")
+    return out.select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), "spans", union.alias("n_hit"), "items", F.col("of_text").alias("text_hash"))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

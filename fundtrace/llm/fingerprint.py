@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fundtrace.llm.common import documents, materialise
+from fundtrace.llm.common import documents, materialise, row_key
 
 #: A paragraph: 96 code points of a line, then up to 64 more to the end of a sentence, and the marks and breaks there.
 PARAGRAPH = r"[^\n]{1,96}[^\n.!?]{0,64}[.!?\n]*|\n+"
@@ -181,12 +181,6 @@ def likeness(size_a: str, size_b: str, lost: str) -> Column:
     return F.when(F.col(size_a) + F.col(size_b) == 0, 1.0).otherwise(both / (F.col(size_a) + F.col(size_b) - both))
 
 
-def _row_key(id_col: str, text: Column) -> Column:
-    """Text that is the same for rows alike in id and text, and for no others."""
-    i = F.col(id_col)
-    return F.concat(F.when(i.isNull(), "-").otherwise(F.concat(F.lit("+"), i.cast("string"))), F.lit(":"), F.hex(F.xxhash64(text)))
-
-
 def _following(keys: DataFrame) -> DataFrame:
     """k and next_k: the row after each in order of id (null first), then k; after the last comes the first.
 
@@ -215,7 +209,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     one; other columns play no part, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    given = df.select(F.col(id_col).alias("id"), text.alias("text"), _row_key(id_col, text).alias("k"))
+    given = df.select(F.col(id_col).alias("id"), text.alias("text"), row_key(id_col, text).alias("k"))
     keys = given.select("id", "k", F.char_length("text").alias("n_chars")).distinct()
     links = materialise(_following(keys), "links")
     own = given.groupBy("k").agg(F.first("id").alias("id"), F.first("text").alias("text"))

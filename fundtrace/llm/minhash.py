@@ -117,8 +117,17 @@ def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
     return _marked(df, id_col, text_col).mapInPandas(run, "id long, mark long, key binary, n_shingles long, signature binary, bands array<long>")
 
 
+#: Rows without an id are nodes from here on, by the hash of their text; ids are below.
+NO_ID = 1 << 62
+
+
+def node(i: Column, text: Column) -> Column:
+    """The number of a row among the links: its id, or one from ``NO_ID`` on made of its text."""
+    return F.coalesce(i.cast("long"), F.xxhash64(text).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
+
+
 def _marked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    return df.select(node(F.col(id_col), F.col(text_col)).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
 
 
 def fewest_matches(n: int, threshold: float, miss: float) -> int:
@@ -249,12 +258,13 @@ def near_duplicates(
     rows: int = ROWS,
     miss: float = MISS,
 ) -> DataFrame:
-    """Groups of near-duplicate documents: id, n_shingles, component (smallest id reachable by links).
+    """Groups of near-duplicate documents: id, n_shingles, component (smallest id reachable by links), node, kept.
 
     Two documents are linked if their sets of distinct ``shingle``-word shingles have a Jaccard similarity of at least
-    ``percent`` / 100. Ids are integers and name a document: rows that repeat an id with other words are one node
-    that has the links of all of them; the rows stay. Null or blank text has an empty set and no links. An empty
-    table gives an empty one. With the default 32 bands of 5, a pair right at 0.8 escapes all bands with a
+    ``percent`` / 100. Ids are integers below 2^62 and name a document: rows that repeat an id with other words are one
+    node that has the links of all of them; the rows stay. Rows without an id are one node for each text, after all ids:
+    their component is the smallest id that they reach, null if there is none. ``kept`` tells whether a row's node is the
+    first of its component. Null or blank text has an empty set and no links. An empty table gives an empty one. With the default 32 bands of 5, a pair right at 0.8 escapes all bands with a
     probability of 3e-6.
     """
     base = materialise(signatures(df, id_col, text_col, shingle, bands, rows), "signatures")
@@ -262,6 +272,7 @@ def near_duplicates(
     classes = materialise(full.groupBy("key").agg(F.min(F.struct("id", "mark")).alias("rep")).select("key", "rep.id", "rep.mark"), "classes")
     # an id with several texts ties its classes together
     ties = full.select("key", F.col("id").alias("a")).join(classes.select("key", F.col("id").alias("b")), "key").where("a != b").select("a", "b").distinct()
+    ties = materialise(ties, "ties")
     reps = full.join(classes, ["key", "id", "mark"], "left_semi").dropDuplicates(["key"]).select("key", "id", "mark", "signature", "bands")
     banded = reps.select("key", "id", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -278,7 +289,9 @@ def near_duplicates(
     texts = _marked(df, id_col, text_col).join(signs.select("id", "mark"), ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.min("text").alias("text"))
     texts = texts.join(signs, ["id", "mark"]).select("key", "id", "signature", "text", F.octet_length("text").alias("bytes"))
     texts = materialise(texts, "texts")
-    release(signs)
+    # from here on of each row only what it returns
+    whole, base = base, materialise(base.select("id", "key", "n_shingles"), "rows")
+    release(signs, whole)
 
     def confirm(candidates: DataFrame) -> DataFrame:
         def ends(pairs: DataFrame, *columns: str) -> DataFrame:
@@ -297,21 +310,22 @@ def near_duplicates(
     if not more.isEmpty():
         merged = components.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
         components = materialise(connected_components(merged), "components")
-    release(crowded, members, texts, links, more)
+    release(crowded, members, texts, links, more, ties)
 
     named = (
         classes.join(components, "id", "left")
         .select("key", F.coalesce("component", "id").alias("component"))
     )
-    out = base.select("id", "key", "n_shingles").join(named, "key", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component"))
+    out = base.join(named, "key", "left").withColumn("component", F.coalesce("component", "id"))
+    named_by = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return out.select(named_by("id").alias(id_col), "n_shingles", named_by("component").alias("component"), F.col("id").alias("node"), (F.col("id") == F.col("component")).alias("kept"))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document by two-word shingles."""
     found = near_duplicates(documents(spark, sf_dir), shingle=2)
     return found.select(
-        "doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept")
+        "doc_id", "n_shingles", F.col("component").alias("component_id"), "kept"
     )
 
 

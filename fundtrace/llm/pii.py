@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundtrace.llm.common import BATCH_ROWS, documents, materialise
+from fundtrace.llm.common import BATCH_ROWS, documents, materialise, row_key
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -162,7 +162,7 @@ MENTION = "struct<kind: string, start: int, end: int, instance: string, seed: bo
 
 
 def find_mentions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, base (array of kind, start, end by kind, then start) and mentions of each row."""
+    """id, text_hash, base (array of kind, start, end by kind, then start) and mentions of each row."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,10 +172,10 @@ def find_mentions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 spans = base_spans(text or "")
                 base.append([{"kind": k, "start": s, "end": e} for k in KINDS for s, e in spans[k]])
                 found.append(mentions(text or "", spans))
-            yield pd.DataFrame({"id": b["id"], "base": base, "mentions": found})
+            yield pd.DataFrame({"id": b["id"], "text_hash": b["text_hash"], "base": base, "mentions": found})
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, base array<struct<kind: string, start: int, end: int>>, mentions array<{MENTION}>")
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, f"id {kind}, text_hash long, base array<struct<kind: string, start: int, end: int>>, mentions array<{MENTION}>")
 
 
 def discover(found: DataFrame) -> DataFrame:
@@ -205,30 +205,33 @@ def discover(found: DataFrame) -> DataFrame:
 
 
 def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Personal data of every row: ``id_col``, base and spans (arrays of kind, start, end in code points, end exclusive).
+    """Personal data of every row: ``id_col``, base and spans (arrays of kind, start, end in code points, end exclusive), text_hash.
 
-    Both are sorted by kind (email, ip, card, phone), then start. ``spans`` holds the base and what patterns add. Null
+    Base and spans are sorted by kind (email, ip, card, phone), then start. ``spans`` holds the base and what patterns add. Null
     text is taken as empty and has none. Repeated rows stay and are handled alike. Texts are taken whole, in time about
     linear in their length; other columns play no part, whatever their names.
     """
     found = materialise(find_mentions(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "mentions")
     added = discover(found.where(F.size("mentions") > 0)).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
-    out = found.select("row", "id", "base").join(added, "row", "left")
+    out = found.select("row", "id", "text_hash", "base").join(added, "row", "left")
     order = F.array(*map(F.lit, KINDS))
     spans = F.transform(
         F.array_sort(F.transform(F.concat("base", F.coalesce("added", F.array())), lambda s: F.struct(F.array_position(order, s["kind"]).alias("nth"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
         lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
     )
-    return out.select(F.col("id").alias(id_col), "base", F.array_distinct(spans).alias("spans"))
+    return out.select(F.col("id").alias(id_col), "base", F.array_distinct(spans).alias("spans"), "text_hash")
 
 
 def mask(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Replace the spans of each document by [KIND]; spans that overlap become one. ``spans``: ``id_col``, spans.
+    """Replace the spans of each document by [KIND]; spans that overlap become one. ``spans``: what :func:`personal_data` gave for ``df``.
 
-    Null texts stay null. Rows that repeat an id are masked by the spans of all of them. Other columns pass through as Arrow.
+    Null texts stay null. A row is masked by the spans found in its own text: rows are met by id (null ids are alike) and
+    text, so rows that repeat an id with other words keep theirs apart. Other columns pass through as Arrow.
     """
-    some = spans.where(F.size("spans") > 0).groupBy(id_col).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans_of_row"))
-    rows = df.join(some, id_col, "left")
+    key = "row key of mask"
+    some = spans.where(F.size("spans") > 0).select(row_key(id_col, F.col("text_hash"), hashed=True).alias(key), "spans")
+    some = some.groupBy(key).agg(F.first("spans").alias("spans_of_row"))  # rows alike have the same spans
+    rows = df.withColumn(key, row_key(id_col, F.col(text_col))).join(some, key, "left")
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

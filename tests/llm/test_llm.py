@@ -3,8 +3,10 @@
 import hashlib
 import json
 import math
+import os
 import random
 import re
+import time
 import zlib
 from html import unescape
 
@@ -15,6 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fundtrace.llm import bpe, centroids, decontaminate, fingerprint, html, infill, licenses, minhash, ngrams, pii, quality, topk, toxicity
+from fundtrace.llm.common import row_key, scratch_dir
 from fundtrace.llm.graph import connected_components
 from fundtrace.llm.registry import ORACLE_SQL, QUERIES
 from tests.oracle import assert_same, duck
@@ -728,7 +731,7 @@ def test_fingerprints_against_plain_sets(spark):
     got = fingerprint.fingerprints(given).collect()
     assert len(got) == len(rows)
     place = {(i, t or ""): None for i, t in rows}
-    mark = {k: fingerprint._row_key("doc_id", F.lit(k[1])) for k in place}
+    mark = {k: row_key("doc_id", F.lit(k[1])) for k in place}
     marks = {k: spark.range(1).select(F.lit(k[0]).cast("long").alias("doc_id")).select(m.alias("k")).first()[0] for k, m in mark.items() if sum(x[0] == k[0] for x in place) > 1}
     ordered = sorted(place, key=lambda k: (k[0] is not None, k[0] or 0, marks.get(k, "")))
     want = {}
@@ -821,6 +824,7 @@ def test_infill_chunks():
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
+    began = time.time()
     filler = [" ".join(f"t{i}x{j}" for j in range(30)) for i in range(6)]
     item = " ".join(f"bench{i}" for i in range(14))
     texts = [*filler, filler[0], filler[1] + " tail", "before " + item + " after", "write to a.b@c.example.com soon", None, ""]
@@ -831,4 +835,54 @@ def test_pipeline(spark, tmp_path):
     assert sorted(out.index) == [0, 1, 2, 3, 4, 5, 9, 10, 11] and out.round_trip.all()
     made = bpe.compile_automaton(VOCABULARY)
     assert made.decode(out.ids[9]) == "write to [EMAIL] soon" and made.decode(out.ids[3]) == texts[3]
+    assert not [p for p in os.listdir(scratch_dir(spark)) if p.startswith("stage-") and "personal_data" not in p and os.path.getmtime(f"{scratch_dir(spark)}/{p}") > began]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "bpe"]
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Rows without an id, ids with several texts, repeated rows, long texts, clashing columns, a toxic row; then no rows at all."""
+    import corpus_pipeline
+
+    words = lambda tag, n=30: " ".join(f"{tag}{j}" for j in range(n))
+    item, bad = words("bench", 14), "vile nasty slur hate " * 6
+    rows = [
+        (1, "mail me at x.y@example.org now"), (2, "no mail at all in this row of words"), (2, "mail p.q@example.org"), (None, "mail n.n@example.org please"),
+        (3, words("a")), (None, words("a") + " b"), (None, words("c")), (None, words("c")), (4, words("c")), (None, words("d")), (None, words("d") + " e"),
+        (None, "then " + item), (5, "then " + item), (5, words("clean")), (6, bad + "one"), (None, bad + "two"), (7, None), (7, ""), (8, LONG), (8, LONG), (None, None),
+    ]
+    rows += [(100 + i, f"{bad} {i}") for i in range(12)] + [(200 + i, words(f"w{i}x")) for i in range(40)]
+    given = spark.createDataFrame([(i, t, "en", "s", 3) for i, t in rows], DOCS).withColumns({c: F.lit(5) for c in ("id", "words", "node", "component", "key", "spans", "text_hash", "of_text")})
+    given.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, 1, int(100 <= i < 200)) for i in range(100, 240)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    at, columns = given, given.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == columns
+        at.write.parquet(str(tmp_path / name))
+        at = spark.read.parquet(str(tmp_path / name))
+        have = [(r.doc_id, r.text) for r in at.collect()]
+        if name == "toxicity":
+            assert not any(t and "vile" in t for _, t in have) and sum(i is not None and 200 <= i for i, _ in have) == 40 and (8, LONG) in have
+        if name == "near_duplicates":
+            assert (3, words("a")) in have and (None, words("a") + " b") not in have and (None, words("c")) not in have and have.count((8, LONG)) == 2
+            assert sum(t in (words("d"), words("d") + " e") for _, t in have) == 1 and (7, None) in have and (7, "") in have and (None, None) in have
+        if name == "decontamination":
+            assert not any(t and "bench3" in t for _, t in have) and (5, words("clean")) in have
+        if name == "personal_data":
+            assert (1, "mail me at [EMAIL] now") in have and (2, "no mail at all in this row of words") in have and (2, "mail [EMAIL]") in have and (None, "mail [EMAIL] please") in have
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == at.count() and out.where("NOT round_trip").count() == 0
+    nothing = given.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        nothing = stage(spark, nothing, str(tmp_path))
+    assert nothing.count() == 0
+
+
+@pytest.mark.parametrize("grams", [100_000, 0])
+def test_decontaminate_rows_without_ids(spark, monkeypatch, grams):
+    monkeypatch.setattr(decontaminate, "BROADCAST_GRAMS", grams)
+    item = " ".join(f"bench{i}" for i in range(14))
+    given = spark.createDataFrame([(None, f"x {item} y"), (None, "clean"), (None, f"x {item} y"), (1, item), (1, "other"), (None, None)], "doc_id long, text string")
+    hits = decontaminate.benchmark_hits(given, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted((str(r.doc_id), r.n_hit) for r in hits.collect()) == [("1", 0), ("1", 14), ("None", 0), ("None", 0), ("None", 14)]
