@@ -97,11 +97,12 @@ def class_metrics(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def regression_metrics(rows: DataFrame, actual: str, predicted: str, by: list[str]) -> DataFrame:
-    """MAE, RMSE, rank correlation (average ranks) and share of right signs."""
+    """MAE, RMSE, rank correlation (average ranks; null if one side is constant) and share of right signs."""
     both = rows.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
     ranked = both.withColumn("_a", pct_rank_avg(actual, by)).withColumn("_b", pct_rank_avg(predicted, by))
     e = F.col(predicted) - F.col(actual)
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.corr("_a", "_b").alias("spearman"), F.avg((F.signum(actual) == F.signum(predicted)).cast("double")).alias("hit_rate"))
+    varied = (F.min("_a") < F.max("_a")) & (F.min("_b") < F.max("_b"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(varied, F.corr("_a", "_b")).alias("spearman"), F.avg((F.signum(actual) == F.signum(predicted)).cast("double")).alias("hit_rate"))
 
 
 def bootstrap(values: DataFrame, key: str, value: str, by: list[str], replicates: int = 200) -> DataFrame:

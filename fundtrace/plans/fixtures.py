@@ -86,6 +86,11 @@ VIEWS = {
         FROM {fx_allocation} a JOIN {fx_port_month} m ON a.portfolio = m.portfolio AND m.month_idx > year(a.report_dt) * 12 + month(a.report_dt)
              AND m.month_idx <= year(a.report_dt) * 12 + month(a.report_dt) + 12 JOIN {fx_benchmark} b ON b.month_idx = m.month_idx
         GROUP BY a.portfolio, a.report_dt HAVING count(*) >= 9""",
+    "fx_excess3": """
+        SELECT a.portfolio, a.report_dt, round(exp(sum(ln(1 + m.mret))) - exp(sum(ln(1 + b.bret))), 9) AS excess3
+        FROM {fx_allocation} a JOIN {fx_port_month} m ON a.portfolio = m.portfolio AND m.month_idx > year(a.report_dt) * 12 + month(a.report_dt)
+             AND m.month_idx <= year(a.report_dt) * 12 + month(a.report_dt) + 3 JOIN {fx_benchmark} b ON b.month_idx = m.month_idx
+        GROUP BY a.portfolio, a.report_dt HAVING count(*) = 3""",
     "fx_actions": """
         SELECT s.*, round(s.stock - lag(s.stock) OVER w, 9) AS d_stock, round(beta - lag(beta) OVER w, 9) AS d_beta, round(tech - lag(tech) OVER w, 9) AS d_tech,
                round(bond_money - lag(bond_money) OVER w, 9) AS d_bond_money, round(indirect - lag(indirect) OVER w, 9) AS d_indirect

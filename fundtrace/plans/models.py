@@ -30,40 +30,6 @@ def direction_models(v: Views):
     return md.choose(md.fit_direction(_rows(v), FEATURES), "candidate")
 
 
-@query("m07_calibration")
-def calibration(v: Views):
-    scores = md.fit_direction(_rows(v), FEATURES, names=("logistic",)).where("candidate = 'logistic'").cache()
-    return md.choose(md.calibrate(scores), "method")
-
-
-@query("m12_magnitude_models")
-def magnitude_models(v: Views):
-    rows = _rows(v).where("y = 1").withColumn("size", F.abs("d_bond")).withColumnRenamed("size", "excess")
-    return ev.regression_metrics(md.fit_magnitude(rows, FEATURES, "excess").where("split = 'validation'"), "actual", "predicted", ["candidate"])
-
-
-@query("m14_baselines")
-def baselines(v: Views):
-    rows = _rows(v)
-    share = rows.where("split = 'base'").agg(F.avg("y").alias("p"))
-    held = rows.where("split = 'validation'").select("event_id", "y")
-    constant = held.join(F.broadcast(share), F.lit(True)).withColumn("layer", F.lit("constant")).select("layer", "event_id", "y", "p")
-    for name, columns in {"market_only": ["mret"], "action_only": ["bond"], "all": FEATURES}.items():
-        s = md.fit_direction(rows, columns, names=("logistic",)).where("candidate = 'logistic' and split = 'validation'")
-        constant = constant.union(s.select(F.lit(name).alias("layer"), "event_id", "y", "p"))
-    return ev.direction_metrics(constant, "y", "p", ["layer"], 0.5)
-
-
-@query("m15_permutation_importance")
-def permutation_importance(v: Views):
-    held = _rows(v).where("split = 'validation'").select("event_id", "y", *FEATURES)
-    score = 1 / (1 + F.exp(-(4 * (0.33 - F.col("bond")) + F.col("mret"))))
-    parts = held.select(F.lit("none").alias("feature"), "y", score.alias("p"))
-    for i, f in enumerate(("bond", "mret")):
-        parts = parts.union(md.shuffled(held, "event_id", f, i).select(F.lit(f).alias("feature"), "y", score.alias("p")))
-    return ev.roc_auc(parts, "y", "p", ["feature"])
-
-
 WEIGHTS, MEANS = {"bond": 2.0, "mret": -3.0}, {"bond": 0.33, "mret": 0.0}
 
 
