@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,16 +104,22 @@ def regression_metrics(rows: DataFrame, actual: str, predicted: str, by: list[st
     both = rows.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
     ranked = both.withColumn("_a", pct_rank_avg(actual, by)).withColumn("_b", pct_rank_avg(predicted, by))
     e = F.col(predicted) - F.col(actual)
-    varied = (F.min("_a") < F.max("_a")) & (F.min("_b") < F.max("_b"))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(varied, F.corr("_a", "_b")).alias("spearman"), F.avg((F.signum(actual) == F.signum(predicted)).cast("double")).alias("hit_rate"))
+    spearman = F.when(F.count("*") > 1, F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b")))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), spearman.alias("spearman"), F.avg((F.signum(actual) == F.signum(predicted)).cast("double")).alias("hit_rate"))
 
 
 def bootstrap(values: DataFrame, key: str, value: str, by: list[str], replicates: int = 200) -> DataFrame:
-    """Mean with a 95 % interval of resampled means; draws come from hashes, so every run agrees."""
-    rows = values.withColumn("_i", F.row_number().over(W.partitionBy(*by).orderBy(key)) - 1).withColumn("_n", F.count("*").over(W.partitionBy(*by)))
-    draws = rows.select(*by, "_n", F.col("_i").alias("_slot"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_r"))
-    draws = draws.withColumn("_i", F.pmod(F.xxhash64("_r", "_slot"), F.col("_n")))
-    means = draws.join(rows.select(*by, "_i", value), [*by, "_i"]).groupBy(*by, "_r").agg(F.avg(value).alias("_m"))
+    """Mean with a 95 % interval of resampled means: by, mean, low, high.
+
+    How often a row is drawn for a replicate is a Poisson number with mean 1, made from a hash of its key, which must be
+    unique; so every run agrees, no row is numbered, and what is shuffled is a sum for each group, replicate and task.
+    """
+    u = F.pmod(F.xxhash64("_r", key), F.lit(1 << 53)) / float(1 << 53)
+    steps = accumulate(math.exp(-1) / math.factorial(i) for i in range(18))
+    times = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
+    rows = values.where(F.col(value).isNotNull()).select(*by, key, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_r")).withColumn("_t", times)
+    sums = rows.groupBy(*by, "_r").agg(F.sum(F.col("_t") * F.col(value)).alias("_s"), F.sum("_t").alias("_n"))
+    means = sums.withColumn("_m", F.try_divide("_s", "_n"))
     bounds = means.groupBy(*by).agg(F.percentile("_m", F.lit(0.025)).alias("low"), F.percentile("_m", F.lit(0.975)).alias("high"))
     return values.groupBy(*by).agg(F.avg(value).alias("mean")).join(bounds, by)
 

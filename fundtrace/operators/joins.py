@@ -66,18 +66,62 @@ def spine_state(events: DataFrame, entity: str, date: str, value: str) -> DataFr
         entity, F.col(date).alias("_from"), F.lead(date).over(w).alias("_to"), F.count("v").over(upto).alias("n"),
         F.avg("v").over(upto).alias("mean"), F.stddev_samp("v").over(upto).alias("std"), F.min("v").over(upto).alias("least"),
     )
-    dates = events.select(date).distinct()
-    return prefix.join(dates, (F.col("_from") < F.col(date)) & (F.col("_to").isNull() | (F.col("_to") >= F.col(date)))).drop("_from", "_to")
+    return at_dates(prefix, events.select(date).distinct(), "_from", "_to", date)
+
+
+def at_dates(intervals: DataFrame, dates: DataFrame, begin: str, end: str, date: str) -> DataFrame:
+    """Each interval with the dates after its begin and up to its end, an open end included; begin and end go.
+
+    An equi join by month: an interval stands under each month that it touches, up to the last date of all, and a date
+    under its own.
+    """
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    last = dates.agg(F.max(date).alias("_last"))
+    spans = intervals.join(F.broadcast(last), F.lit(True)).where(F.col(begin) < F.col("_last"))  # one row
+    spans = spans.withColumn("_month", F.explode(F.sequence(month(begin), month(F.least(F.coalesce(end, "_last"), "_last")))))
+    met = spans.join(dates.withColumn("_month", month(date)), "_month")
+    return met.where((F.col(begin) < F.col(date)) & (F.col(end).isNull() | (F.col(end) >= F.col(date)))).drop("_month", "_last", begin, end)
+
+
+#: Letters of a gram of the name index.
+GRAM = 4
+
+
+def _within(short: DataFrame, long: DataFrame) -> DataFrame:
+    """Pairs of names (_k as _s and _l) of which the first is in the second, by an index of grams.
+
+    A name of at least ``GRAM`` letters is looked up under one gram of its own, the one that fewest long names have: a name that holds
+    it holds all its grams. Shorter names are looked up whole among the grams of their length. Candidates are then
+    checked letter by letter. Grams of long names that no short name asks for are left out before the join.
+    """
+    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, F.lit(n) if isinstance(n, int) else n)))
+    own = short.select(F.col("_k").alias("_s"), F.length("_k").alias("_n"))
+    asked = own.select("_s", F.when(F.col("_n") >= GRAM, F.lit(GRAM)).otherwise(F.col("_n")).alias("_size"))
+    asked = asked.select("_s", F.explode(grams(F.col("_s"), F.col("_size"))).alias("_g"))
+    sizes = F.filter(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: n <= F.length("_k"))
+    held = long.select(F.col("_k").alias("_l"), F.explode(F.flatten(F.transform(sizes, lambda n: grams(F.col("_k"), n)))).alias("_g"))
+    common = held.groupBy("_g").agg(F.count("*").alias("_c"))
+    # a gram that no long name has ends the search for its name: the count is 0
+    rarest = asked.join(common, "_g", "left").groupBy("_s").agg(F.min_by(F.struct(F.coalesce("_c", F.lit(0)).alias("c"), F.col("_g").alias("g")), F.struct(F.coalesce("_c", F.lit(0)), "_g")).alias("_r"))
+    keys = rarest.where("_r.c > 0").select("_s", F.col("_r.g").alias("_g"))
+    return keys.join(held, "_g").where(F.col("_l").contains(F.col("_s"))).select("_s", "_l")
 
 
 def containment(names: DataFrame, entries: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs of distinct names: equal when normalised; only names without an equal one by containment either way."""
+    """Pairs of distinct names: equal when normalised; only names without an equal one by containment either way.
+
+    Containment is found by grams of the distinct normalised names, so no name meets all others. Names that are
+    empty when normalised match nothing loosely; null names match nothing.
+    """
     key = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
     left = names.select(a).distinct().withColumn("_ka", key(a))
     right = entries.select(b).distinct().withColumn("_kb", key(b))
     exact = left.join(right, F.col("_ka") == F.col("_kb"))
     rest = left.join(exact.select(a).distinct(), a, "left_anti").where("_ka != ''")
-    loose = rest.join(right.where("_kb != ''"), F.col("_kb").contains(F.col("_ka")) | F.col("_ka").contains(F.col("_kb")))
+    mine, theirs = rest.select(F.col("_ka").alias("_k")).distinct(), right.where("_kb != ''").select(F.col("_kb").alias("_k")).distinct()
+    inside, outside = _within(mine, theirs), _within(theirs, mine)
+    pairs = inside.select(F.col("_s").alias("_ka"), F.col("_l").alias("_kb")).union(outside.select(F.col("_l").alias("_ka"), F.col("_s").alias("_kb"))).distinct()
+    loose = rest.join(pairs, "_ka").join(right, "_kb")
     return exact.select(a, b, F.lit("exact").alias("how")).union(loose.select(a, b, F.lit("contains").alias("how")))
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fundtrace.sources.scratch import written
+
 
 def chunks(docs: DataFrame, doc: str, text: str, size: int = 1800, overlap: int = 220) -> DataFrame:
     """Pieces of the text, blanks as one: doc, chunk (from 0), text. The piece that reaches the end is the last."""
@@ -24,25 +28,81 @@ def grams(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return both.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
-def retrieve(pieces: DataFrame, keys: list[str], text: str, query: str, limit: int, max_terms: int = 16_000) -> DataFrame:
-    """The pieces nearest to a query under TF-IDF with words and pairs; ties by key.
+#: What evidence of one scope mentions.
+SCOPES = {
+    "macro_only": ("macro", "fomc", "rate", "inflation", "gdp", "yield", "recession", "market"),
+    "micro_only": ("ticker", "company", "stock", "holding", "industry", "earnings", "fund", "manager"),
+}
+
+
+def in_scope(docs: DataFrame, scope: str, *columns: str) -> DataFrame:
+    """Documents that mention a term of the scope in one of the columns; any other scope keeps all."""
+    if scope not in SCOPES:
+        return docs
+    text = F.lower(F.concat_ws(" ", *columns))
+    return docs.where(reduce(lambda a, b: a | b, [text.contains(t) for t in SCOPES[scope]]))
+
+
+def distinct_evidence(docs: DataFrame, doc: str, *same: str) -> DataFrame:
+    """One document, the one with the smallest ``doc``, for each title, date and text (``same``; nulls are alike)."""
+    rest = [c for c in docs.columns if c not in (doc, *same)]
+    first = docs.groupBy(*same).agg(F.min_by(F.struct(doc, *rest), F.struct(doc, *rest)).alias("_f"))
+    return first.select("_f.*", *same).select(docs.columns)
 
-    The query counts as a document; the ``max_terms`` terms of highest total count make the vocabulary (ties by name).
-    Score: dot product of L2-normalised tf * (ln((1 + n) / (1 + df)) + 1).
+
+def retrieve_many(pieces: DataFrame, keys: list[str], text: str, questions: DataFrame, event: str, question: str, limit: int, date: str | None = None, cutoff: str | None = None, max_terms: int = 16_000) -> DataFrame:
+    """The pieces nearest to the question of every event under TF-IDF with words and pairs: event, place (from 1), keys, score.
+
+    A piece can answer an event if its ``date`` is at most the event's ``cutoff`` (both given or neither); pieces without a
+    date and events without a cutoff take no part then. Each question counts as a document among the pieces that any event can
+    use: weights are tf * (ln((1 + n) / (1 + df)) + 1) with n and df of those and the question; the score is the dot product of
+    L2-normalised weights. The vocabulary is the ``max_terms`` terms of highest count (ties by name); a question's own terms
+    belong to its vocabulary too if their count with the question reaches that. Ties of the score (9 digits) go by keys.
+
+    The pieces are shuffled once, by keys, and counted where they are; the index of terms with dates is joined to the
+    terms of all questions. What a question changes in the norm of a piece is added to it by the terms they share.
     """
-    spark = pieces.sparkSession
-    own = grams(spark.createDataFrame([(query,)], "q string"), [], "q").select("term", F.col("tf").alias("qtf"))  # one short text
-    each = grams(pieces, keys, text)
+    dates = [date] if date else []
+    if date:
+        questions = questions.where(F.col(cutoff).isNotNull())
+        last = questions.agg(F.max(cutoff).alias("_last"))
+        pieces = pieces.join(F.broadcast(last), F.col(date) <= F.col("_last")).drop("_last")  # one row
+    pieces = pieces.select(*keys, *dates, text).repartition(*keys)
+    each = grams(pieces, [*keys, *dates], text)
+    size = pieces.agg((F.count("*") + 1).alias("_n"))
     stats = each.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    stats = stats.join(F.broadcast(own), "term", "full").select("term", F.coalesce("total", F.lit(0)) + F.coalesce("qtf", F.lit(0)), F.coalesce("df", F.lit(0)) + F.col("qtf").isNotNull().cast("int"), "qtf").toDF("term", "total", "df", "qtf")
-    vocabulary = stats.orderBy(F.desc("total"), "term").limit(max_terms)
-    n = pieces.agg((F.count("*") + 1).alias("n"))
-    weighed = vocabulary.join(F.broadcast(n), F.lit(True)).withColumn("idf", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    weighed = weighed.withColumn("qw", F.coalesce("qtf", F.lit(0)) * F.col("idf"))
-    weighed = weighed.withColumn("qw", F.col("qw") / F.nullif(F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(W.partitionBy())), F.lit(0.0)))  # max_terms rows
-    w = each.join(F.broadcast(weighed.select("term", "idf", "qw")), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    scored = w.groupBy(*keys).agg((F.sum(F.col("w") * F.col("qw")) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("score"))
-    return scored.where("score > 0").orderBy(F.round("score", 9).desc(), *keys).limit(limit)
+    asked = grams(questions.select(event, *([cutoff] if date else []), question), [event, *([cutoff] if date else [])], question).withColumnRenamed("tf", "qtf")
+    known = asked.select("term").distinct()
+    top = stats.orderBy(F.desc("total"), "term").limit(max_terms)
+    idf = lambda df: F.log((1 + F.col("_n")) / (1 + df)) + 1
+    vocabulary = written(top.join(F.broadcast(size), F.lit(True)).withColumn("idf", idf(F.col("df"))), "vocabulary")  # max_terms rows
+    edge = vocabulary.agg(F.count("*").alias("_c"), F.min(F.struct("total", F.lit(0).alias("z"))).alias("_e"), F.max_by("term", F.struct(F.negative("total"), "term")).alias("_t"))
+    own = asked.join(stats.join(known, "term", "left_semi").select("term", "total", "df"), "term", "left").join(F.broadcast(edge), F.lit(True)).join(F.broadcast(size), F.lit(True))
+    count = F.coalesce("total", F.lit(0)) + F.col("qtf")
+    inside = (F.col("_c") < max_terms) | (count > F.col("_e.total")) | ((count == F.col("_e.total")) & (F.col("term") <= F.col("_t")))
+    own = own.where(inside).withColumn("q_idf", idf(F.coalesce("df", F.lit(0)) + 1)).withColumn("_w", F.col("qtf") * F.col("q_idf"))
+    length = own.groupBy(event).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_l"))
+    own = own.join(length, event).join(F.broadcast(vocabulary.select("term", "idf")), "term", "left")
+    own = own.select(event, *([cutoff] if date else []), "term", (F.col("_w") / F.col("_l")).alias("qw"), "q_idf", F.coalesce("idf", F.lit(0.0)).alias("idf"))
+    norms = each.join(F.broadcast(vocabulary.select("term", "idf")), "term").groupBy(*keys).agg(F.sum((F.col("tf") * F.col("idf")) ** 2).alias("_base"))
+    index = each.join(known, "term", "left_semi")
+    met = index.join(own, (index["term"] == own["term"]) & ((F.col(date) <= F.col(cutoff)) if date else F.lit(True)))
+    parts = met.groupBy(event, *keys).agg(F.sum(F.col("tf") * F.col("q_idf") * F.col("qw")).alias("_dot"), F.sum(F.col("tf") ** 2 * (F.col("q_idf") ** 2 - F.col("idf") ** 2)).alias("_more"))
+    scored = parts.join(norms, keys, "left").withColumn("score", F.col("_dot") / F.sqrt(F.coalesce("_base", F.lit(0.0)) + F.col("_more"))).where("score > 0")
+    order = [F.round("score", 9).desc(), *keys]
+    part = F.pmod(F.xxhash64(*keys), F.lit(TOP_PARTS)).alias("_part")
+    first = scored.select(event, *keys, "score", part).withColumn("place", F.row_number().over(W.partitionBy(event, "_part").orderBy(*order))).where(F.col("place") <= limit)
+    return first.withColumn("place", F.row_number().over(W.partitionBy(event).orderBy(*order))).where(F.col("place") <= limit).select(event, "place", *keys, "score")
+
+
+#: Parts in which the best of an event are found before they are merged.
+TOP_PARTS = 16
+
+
+def retrieve(pieces: DataFrame, keys: list[str], text: str, query: str, limit: int, max_terms: int = 16_000) -> DataFrame:
+    """The pieces nearest to one query, by :func:`retrieve_many`: keys, score."""
+    asked = pieces.sparkSession.range(1).select(F.lit(query).alias("_q"), F.lit(0).alias("_event"))
+    return retrieve_many(pieces, keys, text, asked, "_event", "_q", limit, max_terms=max_terms).select(*keys, "score")
 
 
 def overlap_score(df: DataFrame, text: str, query: str):

@@ -104,6 +104,47 @@ def expanding_scores(events: DataFrame, entity: str, date: str, value: str, leas
     return s.withColumn("score", pct_rank_avg("ratio", [date]))
 
 
+#: Yearly rate without risk, least earlier dates, and the ranks that each score is the mean of (True: higher is better).
+RISK_FREE, LEAST_HISTORY = 0.01, 3
+PTI_SCORES = {
+    "defensive": {"max_drawdown": True, "annual_volatility": False, "avg_fee": False},
+    "flow": {"avg_flow": True, "avg_mtna": True},
+    "growth_tilt": {"annual_return": True, "avg_excess": True, "sharpe": True},
+}
+_MEANS = ("annual_return", "avg_excess", "avg_fee", "avg_flow", "avg_mtna")
+
+
+def point_in_time_scores(events: DataFrame, entity: str, date: str, columns: dict[str, str], risk_free: float = RISK_FREE, least: int = LEAST_HISTORY) -> DataFrame:
+    """Scores of every entity at every event date from its dates strictly before it.
+
+    ``columns``: where annual_return, avg_excess, max_drawdown, avg_fee, avg_flow and avg_mtna are found. Returns entity, date,
+    history_count, history_months, window_start, window_end, history_available, reliability and the means of the cross-sectional
+    ranks ``defensive``, ``flow`` and ``growth_tilt``. Ranks are over all entities with a history; scores are null with fewer
+    than ``least`` earlier dates. Missing ranks are left out of a mean.
+    """
+    from fundtrace.operators.joins import at_dates
+
+    daily = events.where(F.col(entity).isNotNull() & F.col(date).isNotNull()).groupBy(entity, date).agg(*[F.avg(c).alias(n) for n, c in columns.items()])
+    w = W.partitionBy(entity).orderBy(date)
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    month = F.year(date) * 12 + F.month(date)
+    marked = daily.withColumn("_new", F.when(F.coalesce(F.lag(month).over(w), F.lit(-1)) != month, 1).otherwise(0))
+    prefix = marked.select(
+        entity, F.col(date).alias("_from"), F.lead(date).over(w).alias("_to"), F.count("*").over(upto).alias("history_count"), F.sum("_new").over(upto).alias("history_months"),
+        F.min(date).over(upto).alias("window_start"), F.max(date).over(upto).alias("window_end"),
+        *[F.avg(c).over(upto).alias(c) for c in _MEANS], F.stddev_samp("annual_return").over(upto).alias("annual_volatility"), F.min("max_drawdown").over(upto).alias("max_drawdown"),
+    )
+    s = at_dates(prefix, events.select(date).distinct().where(F.col(date).isNotNull()), "_from", "_to", date)
+    s = s.withColumn("sharpe", F.when(F.col("annual_volatility") > 0, (F.col("annual_return") - risk_free) / F.col("annual_volatility")))
+    known = F.col("history_count") >= least
+    ranked = {f for fs in PTI_SCORES.values() for f in fs}
+    s = s.withColumns({f: F.round(f, 12) for f in ranked})  # ties of sums in another order
+    s = s.withColumns({f"_{f}": pct_rank_avg(f, [date]) for f in ranked}).withColumn("_most", F.max("history_count").over(W.partitionBy(date)))
+    score = lambda fs: weighted_mean([(F.col(f"_{f}") if up else 1 - F.col(f"_{f}"), 1.0) for f, up in fs.items()])
+    out = s.withColumn("reliability", F.log1p("history_count") / F.log1p("_most")).withColumns({n: score(fs) for n, fs in PTI_SCORES.items()})
+    return out.select(entity, date, "history_count", "history_months", "window_start", "window_end", known.alias("history_available"), *[F.when(known, F.col(c)).alias(c) for c in ("reliability", *PTI_SCORES)])
+
+
 def trailing_deviation(events: DataFrame, entity: str, date: str, values: list[str], months: int = 36, least: int = 2) -> DataFrame:
     """Mean absolute z-score of an entity's values against its own dates in [date - months, date).
 

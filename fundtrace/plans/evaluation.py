@@ -332,8 +332,13 @@ def evidence_ids(v: Views):
 
 @query("x06_point_in_time_retrieval")
 def point_in_time_retrieval(v: Views):
-    open_ = v.fx_docs.where("doc_date <= '1999-06-30'").dropDuplicates(["text"])
-    return rt.retrieve(rt.chunks(open_, "doc_id", "text"), ["doc_id", "chunk"], "text", ASK, 20)
+    """For each manager and report date the ten pieces of evidence dated by then, of documents told apart by source, date and text."""
+    docs = rt.distinct_evidence(rt.in_scope(v.fx_docs, "macro_and_micro", "source", "text").where("doc_date is not null"), "doc_id", "source", "doc_date", "text")
+    pieces = rt.chunks(docs, "doc_id", "text").join(docs.select("doc_id", "doc_date"), "doc_id")
+    events = v.fx_events.select("manager", "family", "report_dt").distinct().withColumn("event_id", F.concat_ws("_", "manager", "report_dt"))
+    asked = events.select("event_id", "report_dt", F.concat_ws(" ", "manager", "family", "report_dt", F.lit(ASK)).alias("question"))
+    found = rt.retrieve_many(pieces, ["doc_id", "chunk"], "text", asked, "event_id", "question", 10, "doc_date", "report_dt")
+    return found.withColumn("evidence_id", F.format_string("E%03d", "place"))
 
 
 @query("u05_distinct_evidence", "SELECT count(*) AS n FROM (SELECT DISTINCT text, lang FROM {documents})")

@@ -19,6 +19,28 @@ def expanding_scores(v: Views):
     return sc.expanding_scores(v.fx_events, "manager", "report_dt", "mret").select("manager", "report_dt", "n", F.round("ratio", 5).alias("ratio"), "reliability", "score")
 
 
+PTI = {"annual_return": "mret", "avg_excess": "deviation", "max_drawdown": "d_stock", "avg_fee": "exp_ratio", "avg_flow": "flow", "avg_mtna": "turn_ratio"}
+PTI_RANKS = {"defensive": ("max_drawdown", "-annual_volatility", "-avg_fee"), "flow": ("avg_flow", "avg_mtna"), "growth_tilt": ("annual_return", "avg_excess", "sharpe")}
+
+
+def _mean_rank(fields) -> str:
+    """SQL: mean of the known ranks, those of fields with a minus turned round."""
+    one = lambda f: ("1 - " if f[0] == "-" else "") + f"CASE WHEN {f.strip('-')} IS NOT NULL THEN (rank() OVER (PARTITION BY report_dt ORDER BY {f.strip('-')} NULLS LAST) + (count(*) OVER (PARTITION BY report_dt, {f.strip('-')}) - 1) / 2.0) / count({f.strip('-')}) OVER (PARTITION BY report_dt) END"
+    return f"list_avg([{', '.join(one(f) for f in fields)}])"
+
+
+@query("w08_manager_scores", f"""
+WITH p AS (SELECT manager, report_dt, {', '.join(f'avg({c}) AS {n}' for n, c in PTI.items())} FROM {{fx_actions}} GROUP BY 1, 2), s AS (SELECT DISTINCT report_dt FROM {{fx_actions}}),
+h AS (SELECT manager, s.report_dt, count(*) AS n, count(DISTINCT date_trunc('month', p.report_dt)) AS months, min(p.report_dt) AS lo, max(p.report_dt) AS hi, stddev_samp(annual_return) AS annual_volatility,
+  min(max_drawdown) AS max_drawdown, {', '.join(f'avg({c}) AS {c}' for c in ('annual_return', 'avg_excess', 'avg_fee', 'avg_flow', 'avg_mtna'))} FROM s JOIN p ON p.report_dt < s.report_dt GROUP BY 1, 2),
+g AS (SELECT manager, report_dt, n, months, lo, hi, {', '.join(f'round({c}, 12) AS {c}' for c in ('annual_return', 'avg_excess', 'avg_fee', 'avg_flow', 'avg_mtna', 'max_drawdown', 'annual_volatility'))},
+  round(CASE WHEN annual_volatility > 0 THEN (annual_return - 0.01) / annual_volatility END, 12) AS sharpe FROM h),
+k AS (SELECT *, ln(1 + n) / ln(1 + max(n) OVER (PARTITION BY report_dt)) AS reliability, {', '.join(f'{_mean_rank(fs)} AS {n}' for n, fs in PTI_RANKS.items())} FROM g)
+SELECT manager, report_dt, n AS history_count, months AS history_months, lo AS window_start, hi AS window_end, n >= 3 AS history_available, {', '.join(f'round(CASE WHEN n >= 3 THEN {c} END, 6) AS {c}' for c in ('reliability', *PTI_RANKS))} FROM k""")
+def manager_scores(v: Views):
+    return sc.point_in_time_scores(v.fx_actions, "manager", "report_dt", PTI)
+
+
 @query("w09_trailing_deviation", """
 WITH d AS (SELECT manager, report_dt, avg(bond) AS bond, avg(turn_ratio) AS turn_ratio FROM {fx_events} GROUP BY 1, 2),
      h AS (SELECT a.manager, a.report_dt, any_value(a.bond) AS xb, any_value(a.turn_ratio) AS xt, count(b.manager) AS n, avg(b.bond) AS mb, stddev_samp(b.bond) AS sb, avg(b.turn_ratio) AS mt, stddev_samp(b.turn_ratio) AS st
