@@ -125,6 +125,27 @@ def containment(names: DataFrame, entries: DataFrame, a: str, b: str) -> DataFra
     return exact.select(a, b, F.lit("exact").alias("how")).union(loose.select(a, b, F.lit("contains").alias("how")))
 
 
+def event_evidence(events: DataFrame, event: str, sources: dict[str, tuple[DataFrame, list[str], Column, Column]]) -> DataFrame:
+    """What several sources say about each event: event, for each source its ordered records (JSON) and their names, and evidence (JSON of all).
+
+    A source is a table, the columns by which it belongs to an event, a number that orders its records and the text that
+    names one. Each is brought to one keyed shape by an equi join, all are put together, and one shuffle gathers the
+    records of an event, in order of number (nulls first), then name, then record. Events without records have empty lists.
+    """
+    shape = events.select(event, F.lit("").alias("source"), F.lit(None).cast("double").alias("rank"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("record"))
+    for source, (rows, keys, rank, name) in sources.items():
+        own = rows.select(*keys, rank.cast("double").alias("rank"), name.cast("string").alias("name"), F.to_json(F.struct(*[c for c in rows.columns])).alias("record"))
+        shape = shape.unionByName(events.select(event, *keys).join(own, keys).select(event, F.lit(source).alias("source"), "rank", "name", "record"))
+    all_ = shape.groupBy(event).agg(F.array_sort(F.collect_list(F.struct("source", "rank", "name", "record"))).alias("_all"))
+
+    def of(source: str, field: str) -> Column:
+        return F.transform(F.filter("_all", lambda x: x["source"] == source), lambda x: x[field])
+
+    lists = [c for s in sources for c in (of(s, "record").alias(s), of(s, "name").alias(f"{s}_names"))]
+    out = all_.select(event, *lists)
+    return out.withColumn("evidence", F.to_json(F.struct(*sources)))
+
+
 def membership(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys of two sets, with the group A, B or A&B."""
     x, y = (d.select(key).distinct().withColumn(f"_{n}", F.lit(True)) for d, n in ((a, "a"), (b, "b")))

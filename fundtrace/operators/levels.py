@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -28,6 +29,63 @@ def fund_measures(rows: DataFrame, key: str, ret: str, market: str) -> DataFrame
     )
 
 
+#: Fixed value: yearly rate without risk in ratios of the fund table.
+RISK_FREE = 0.01
+#: Lowest return that has a logarithm here.
+LEAST_RETURN = -0.999999
+
+
+def _annual(mean: Column) -> Column:
+    """Yearly return of a monthly mean; null at a total loss."""
+    return F.when(mean > LEAST_RETURN, F.expm1(12 * F.log1p(mean)))
+
+
+def path_drawdown(rows: DataFrame, key: str, month: str, ret: str, block: int = 12) -> DataFrame:
+    """Deepest fall of each key's wealth below its peak so far (at most 0), the start counted as a peak: key, max_drawdown.
+
+    Months are summed up in blocks: total, highest and lowest point and deepest fall of the logarithm of wealth. Blocks are
+    then put in order, each with the wealth and the peak before it, so no key's path is gathered into one row. There
+    is one row for each month; returns at or below ``LEAST_RETURN`` and missing ones are left out.
+    """
+    x = rows.where(F.col(ret) > LEAST_RETURN).select(key, F.col(month).alias("_m"), F.floor(F.col(month) / block).alias("_b"), F.log1p(ret).alias("_x"))
+    run = W.partitionBy(key, "_b").orderBy("_m").rowsBetween(W.unboundedPreceding, 0)
+    x = x.withColumn("_c", F.sum("_x").over(run)).withColumn("_fall", F.col("_c") - F.greatest(F.lit(0.0), F.max("_c").over(run)))
+    blocks = x.groupBy(key, "_b").agg(F.sum("_x").alias("_t"), F.max("_c").alias("_high"), F.min("_c").alias("_low"), F.min("_fall").alias("_fall"))
+    before = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_at", F.coalesce(F.sum("_t").over(before), F.lit(0.0)))
+    blocks = blocks.withColumn("_peak", F.greatest(F.lit(0.0), F.coalesce(F.max(F.col("_at") + F.col("_high")).over(before), F.lit(0.0))))
+    fall = F.least(F.lit(0.0), F.col("_fall"), F.col("_at") + F.col("_low") - F.col("_peak"))
+    return blocks.groupBy(key).agg(F.expm1(F.greatest(F.lit(-700.0), F.min(fall))).alias("max_drawdown"))
+
+
+def fund_table(rows: DataFrame, key: str, month: str, ret: str, market: str, mtna: str, flow: str, exp_ratio: str, tenure: str, turnover: str) -> DataFrame:
+    """The 28 measures of each key over all its months; what has no base or too few months is null. Keys without a return are left out."""
+    r, m = F.col(ret), F.col(market)
+    both = r.isNotNull() & m.isNotNull()
+    a, b = F.when(both, r), F.when(both, m)
+    ex = a - b
+    safe = lambda x, y: x / F.nullif(y, F.lit(0.0))
+    year = 12**0.5
+    vol, down, track = F.stddev_samp(r) * year, F.stddev_samp(F.when(r < 0, r)) * year, F.stddev_samp(ex) * year
+    beta = F.when(F.count(ex) > 1, safe(F.covar_pop(a, b), F.var_pop(b)))
+    beaten = _annual(F.avg(ex))
+    log = F.sum(F.when(r > LEAST_RETURN, F.log1p(r)))
+    capture = lambda when: safe(F.avg(F.when(when, a)), F.avg(F.when(when, b)))
+    correlation = F.when(F.count(ex) > 1, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
+    spread = F.var_pop(r) > 0
+    out = rows.where(r.isNotNull()).groupBy(key).agg(
+        F.count(r).alias("obs"), F.avg(r).alias("mean_return"), _annual(F.avg(r)).alias("annual_return"), F.when(log <= 700, F.expm1(F.greatest(log, F.lit(-700.0)))).alias("cumulative_return"),
+        vol.alias("annual_volatility"), safe(_annual(F.avg(r)) - RISK_FREE, vol).alias("sharpe"), safe(_annual(F.avg(r)) - RISK_FREE, down).alias("sortino"),
+        F.avg((r > 0).cast("double")).alias("win_rate"), F.avg((ex > 0).cast("double")).alias("beat_rate"), beaten.alias("annual_excess"), track.alias("tracking_error"),
+        safe(beaten, track).alias("information_ratio"), beta.alias("beta"), _annual(F.avg(a) - beta * F.avg(b)).alias("alpha"),
+        capture(b > 0).alias("up_capture"), capture(b < 0).alias("down_capture"), correlation.alias("correlation"),
+        F.when(F.count(r) >= 2, F.percentile(r, F.lit(0.05))).alias("var_5"),
+        F.when((F.count(r) >= 3) & spread, F.skewness(r)).alias("skewness"), F.when((F.count(r) >= 4) & spread, F.kurtosis(r)).alias("kurtosis"),
+        F.avg(mtna).alias("avg_mtna"), F.avg(flow).alias("avg_net_flow"), F.sum(flow).alias("sum_net_flow"), F.avg(exp_ratio).alias("avg_exp_ratio"), F.avg(tenure).alias("avg_tenure"), F.avg(turnover).alias("avg_turnover"),
+    )
+    return out.join(path_drawdown(rows, key, month, ret), key, "left").join(tail_mean(rows, key, ret).withColumnRenamed("cvar", "_cvar"), key, "left").withColumn("cvar_5", F.when(F.col("var_5").isNotNull(), F.col("_cvar"))).drop("_cvar")
+
+
 def tail_mean(rows: DataFrame, key: str, ret: str, q: float = 0.05) -> DataFrame:
     """Mean of returns at or below each key's q quantile."""
     cut = rows.groupBy(key).agg(F.percentile(ret, F.lit(q)).alias("_cut"))

@@ -85,7 +85,9 @@ def retrieve_many(pieces: DataFrame, keys: list[str], text: str, questions: Data
     own = own.join(length, event).join(F.broadcast(vocabulary.select("term", "idf")), "term", "left")
     own = own.select(event, *([cutoff] if date else []), "term", (F.col("_w") / F.col("_l")).alias("qw"), "q_idf", F.coalesce("idf", F.lit(0.0)).alias("idf"))
     norms = each.join(F.broadcast(vocabulary.select("term", "idf")), "term").groupBy(*keys).agg(F.sum((F.col("tf") * F.col("idf")) ** 2).alias("_base"))
-    index = each.join(known, "term", "left_semi")
+    own = written(own, "questions")
+    few = own.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    index, own = (each, F.broadcast(own)) if few else (each.join(known, "term", "left_semi"), own)
     met = index.join(own, (index["term"] == own["term"]) & ((F.col(date) <= F.col(cutoff)) if date else F.lit(True)))
     parts = met.groupBy(event, *keys).agg(F.sum(F.col("tf") * F.col("q_idf") * F.col("qw")).alias("_dot"), F.sum(F.col("tf") ** 2 * (F.col("q_idf") ** 2 - F.col("idf") ** 2)).alias("_more"))
     scored = parts.join(norms, keys, "left").withColumn("score", F.col("_dot") / F.sqrt(F.coalesce("_base", F.lit(0.0)) + F.col("_more"))).where("score > 0")
@@ -95,6 +97,8 @@ def retrieve_many(pieces: DataFrame, keys: list[str], text: str, questions: Data
     return first.withColumn("place", F.row_number().over(W.partitionBy(event).orderBy(*order))).where(F.col("place") <= limit).select(event, "place", *keys, "score")
 
 
+#: Up to so many terms of questions are sent to the pieces, whose scores are then added up where they are; more are shuffled by term.
+BROADCAST_TERMS = 500_000
 #: Parts in which the best of an event are found before they are merged.
 TOP_PARTS = 16
 

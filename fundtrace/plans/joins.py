@@ -192,6 +192,33 @@ def event_evidence(v: Views):
     return v.fx_events.select("portfolio", "report_dt", "manager").join(v.fx_holdings, ["portfolio", "report_dt"], "left").groupBy("portfolio", "report_dt").agg(F.count("security").alias("n_holdings"), F.array_join(F.transform(top, lambda x: x["ticker"]), ",").alias("top"), F.min("manager").alias("manager"))
 
 
+@query("j23_evidence_by_source", """
+WITH e AS (SELECT portfolio, report_dt, manager, concat_ws('_', portfolio, report_dt) AS event_id FROM {fx_events}),
+p AS (SELECT portfolio, report_dt, ticker AS identity, sum(pct) / 100 AS w FROM {fx_holdings} GROUP BY 1, 2, 3),
+r AS (SELECT *, lag(report_dt) OVER (PARTITION BY portfolio ORDER BY report_dt) AS before_dt FROM (SELECT DISTINCT portfolio, report_dt FROM p)),
+n AS (SELECT r.portfolio, r.report_dt, identity, w FROM r JOIN p USING (portfolio, report_dt) WHERE before_dt IS NOT NULL), o AS (SELECT r.portfolio, r.report_dt, identity, w FROM r JOIN p ON p.portfolio = r.portfolio AND p.report_dt = r.before_dt),
+d AS (SELECT portfolio, report_dt, identity, coalesce(n.w, 0) - coalesce(o.w, 0) AS change FROM n FULL JOIN o USING (portfolio, report_dt, identity)),
+a AS (SELECT event_id, count(*) AS n, string_agg(identity, ',' ORDER BY round(-abs(change), 9), identity) AS names FROM e JOIN d USING (portfolio, report_dt) WHERE abs(change) >= 0.002 GROUP BY 1),
+m AS (SELECT event_id, count(*) AS n, string_agg(pf::VARCHAR, ',' ORDER BY pf, pf::VARCHAR) AS names FROM e JOIN (SELECT DISTINCT manager, portfolio AS pf FROM {fx_port_month}) USING (manager) GROUP BY 1),
+y AS (SELECT event_id, count(*) AS n, string_agg(yr::VARCHAR, ',' ORDER BY yr) AS names FROM e JOIN (SELECT DISTINCT manager, year(caldt) AS yr FROM {fx_port_month}) USING (manager) GROUP BY 1),
+h AS (SELECT event_id, count(*) AS n, string_agg(security::VARCHAR, ',' ORDER BY security_rank) AS names FROM e JOIN {fx_holdings} USING (portfolio, report_dt) WHERE security_rank <= 5 GROUP BY 1)
+SELECT event_id, coalesce(a.n, 0) AS n_actions, coalesce(a.names, '') AS actions, m.n AS n_managers, m.names AS managers, y.n AS n_drift, y.names AS drift, coalesce(h.n, 0) AS n_reports, coalesce(h.names, '') AS reports
+FROM e LEFT JOIN a USING (event_id) LEFT JOIN m USING (event_id) LEFT JOIN y USING (event_id) LEFT JOIN h USING (event_id)""")
+def evidence_by_source(v: Views):
+    events = v.fx_events.select(F.concat_ws("_", "portfolio", "report_dt").alias("event_id"), "portfolio", "report_dt", "manager")
+    held = v.fx_holdings.groupBy("portfolio", "report_dt", F.col("ticker").alias("identity")).agg(F.sum("pct").alias("pct"))
+    records = v.fx_port_month.groupBy("manager", F.col("portfolio").alias("fund_portfolio")).agg(F.avg("mret").alias("mean_return"), F.avg("exp_ratio").alias("fee"))
+    drift = v.fx_port_month.groupBy("manager", F.year("caldt").alias("yr")).agg(F.avg("mret").alias("mean_return"), F.stddev_samp("mret").alias("volatility"))
+    found = j.event_evidence(events, "event_id", {
+        "actions": (h.snapshot_diff(held, split_exit=True), ["portfolio", "report_dt"], F.round(F.negative(F.abs("change")), 9), F.col("identity")),
+        "managers": (records, ["manager"], F.col("fund_portfolio"), F.col("fund_portfolio")),
+        "drift": (drift, ["manager"], F.col("yr"), F.col("yr")),
+        "reports": (v.fx_holdings.where("security_rank <= 5"), ["portfolio", "report_dt"], F.col("security_rank"), F.col("security")),
+    })
+    columns = [c for s in ("actions", "managers", "drift", "reports") for c in (F.size(s).cast("long").alias(f"n_{s}"), F.array_join(f"{s}_names", ",").alias(s))]
+    return found.select("event_id", *columns)
+
+
 @query("j24_manager_names", "SELECT portfolio, caldt, string_agg(DISTINCT manager, ', ' ORDER BY manager) AS managers FROM {fx_fund_month} GROUP BY 1, 2")
 def manager_names(v: Views):
     return v.fx_fund_month.groupBy("portfolio", "caldt").agg(F.array_join(F.array_sort(F.collect_set("manager")), ", ").alias("managers"))

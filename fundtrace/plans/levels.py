@@ -53,6 +53,28 @@ def fund_measures(v: Views):
     return m.select("fund", "n", "win_rate", "beat_rate", "var_5", "worst", "best", F.round("skew", 3).alias("skew"), *[F.round(c, 5).alias(c) for c in five], *[F.round(c, 4).alias(c) for c in four])
 
 
+FUND_ROWS = "f AS (SELECT fund, month_idx, mret, bret, mtna, new_sls - redemp AS net_flow, exp_ratio, (month_idx - 23904) / 12.0 AS tenure, turn_ratio FROM {fx_fund_month} LEFT JOIN {fx_benchmark} USING (month_idx))"
+FUND_DIGITS = {4: "sharpe sortino information_ratio beta alpha up_capture down_capture correlation kurtosis skewness annual_return cumulative_return annual_excess".split(), 2: "avg_mtna avg_net_flow sum_net_flow".split()}
+
+
+@query("a04_fund_table", f"WITH {FUND_ROWS}" + """,
+c AS (SELECT *, sum(ln(1 + mret)) OVER (PARTITION BY fund ORDER BY month_idx) AS c, avg(mret) OVER (PARTITION BY fund) AS mu FROM f), p AS (SELECT *, c - greatest(0, max(c) OVER (PARTITION BY fund ORDER BY month_idx)) AS fall FROM c),
+q AS (SELECT fund, quantile_cont(mret, 0.05) AS q FROM f GROUP BY 1), v AS (SELECT fund, avg(mret) AS cvar FROM f JOIN q USING (fund) WHERE mret <= q GROUP BY 1),
+m AS (SELECT fund, count(*) AS obs, avg(mret) AS mean_return, (1 + avg(mret)) ** 12 - 1 AS annual_return, exp(sum(ln(1 + mret))) - 1 AS cumulative_return, stddev_samp(mret) * sqrt(12) AS annual_volatility,
+  stddev_samp(CASE WHEN mret < 0 THEN mret END) * sqrt(12) AS down, exp(min(fall)) - 1 AS max_drawdown, avg((mret > 0)::INT) AS win_rate, avg((mret > bret)::INT) AS beat_rate, (1 + avg(mret - bret)) ** 12 - 1 AS annual_excess,
+  stddev_samp(mret - bret) * sqrt(12) AS tracking_error, CASE WHEN count(*) > 1 THEN covar_pop(mret, bret) / nullif(var_pop(bret), 0) END AS beta, avg(bret) AS mb,
+  avg(CASE WHEN bret > 0 THEN mret END) / nullif(avg(CASE WHEN bret > 0 THEN bret END), 0) AS up_capture, avg(CASE WHEN bret < 0 THEN mret END) / nullif(avg(CASE WHEN bret < 0 THEN bret END), 0) AS down_capture,
+  CASE WHEN count(*) > 1 AND var_pop(mret) > 0 AND var_pop(bret) > 0 THEN covar_pop(mret, bret) / (stddev_pop(mret) * stddev_pop(bret)) END AS correlation,
+  CASE WHEN count(*) >= 2 THEN quantile_cont(mret, 0.05) END AS var_5, CASE WHEN count(*) >= 3 AND var_pop(mret) > 0 THEN avg((mret - mu) ** 3) / var_pop(mret) ** 1.5 END AS skewness, CASE WHEN count(*) >= 4 AND var_pop(mret) > 0 THEN avg((mret - mu) ** 4) / var_pop(mret) ** 2 - 3 END AS kurtosis,
+  avg(mtna) AS avg_mtna, avg(net_flow) AS avg_net_flow, sum(net_flow) AS sum_net_flow, avg(exp_ratio) AS avg_exp_ratio, avg(tenure) AS avg_tenure, avg(turn_ratio) AS avg_turnover FROM p GROUP BY 1),
+k AS (SELECT *, (annual_return - 0.01) / nullif(annual_volatility, 0) AS sharpe, (annual_return - 0.01) / nullif(down, 0) AS sortino, annual_excess / nullif(tracking_error, 0) AS information_ratio, (1 + mean_return - beta * mb) ** 12 - 1 AS alpha, CASE WHEN obs >= 2 THEN cvar END AS cvar_5 FROM m LEFT JOIN v USING (fund))
+SELECT fund, obs, """ + ", ".join(f"round({c}, {d}) AS {c}" for d, cs in (FUND_DIGITS | {6: "mean_return annual_volatility max_drawdown win_rate beat_rate tracking_error var_5 cvar_5 avg_exp_ratio avg_tenure avg_turnover".split()}).items() for c in cs) + " FROM k")
+def fund_table(v: Views):
+    rows = v.fx_fund_month.join(v.fx_benchmark.drop("caldt"), "month_idx", "left").withColumns({"net_flow": F.col("new_sls") - F.col("redemp"), "tenure": (F.col("month_idx") - 23904) / 12})
+    t = lv.fund_table(rows, "fund", "month_idx", "mret", "bret", "mtna", "net_flow", "exp_ratio", "tenure", "turn_ratio")
+    return t.withColumns({c: F.round(c, d) for d, cs in FUND_DIGITS.items() for c in cs})
+
+
 @query("a04_tail_mean", "SELECT fund, round(avg(mret), 6) AS cvar FROM {fx_fund_month} JOIN (SELECT fund, quantile_cont(mret, 0.05) AS q FROM {fx_fund_month} GROUP BY 1) USING (fund) WHERE mret <= q GROUP BY 1")
 def tail_mean(v: Views):
     return lv.tail_mean(v.fx_fund_month, "fund", "mret")

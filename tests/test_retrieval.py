@@ -7,6 +7,8 @@ import re
 from collections import Counter
 
 
+import pytest
+
 from fundtrace.operators import evaluation as ev
 from fundtrace.operators import joins as jn
 from fundtrace.operators import retrieval as rt
@@ -42,7 +44,9 @@ def plain_search(pieces, question, limit, cutoff, last, max_terms):
     return [(k, -s) for s, k in sorted(out)[:limit]]
 
 
-def test_retrieval_for_many_events(spark):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_retrieval_for_many_events(spark, monkeypatch, few):
+    monkeypatch.setattr(rt, "BROADCAST_TERMS", few)
     rng = random.Random(4)
     words = ["fund", "rate", "Market", "yield", "é", "über", "stock", "xx", "report", "a", "bond"] + [f"w{i}" for i in range(30)]
     text = lambda n: " ".join(rng.choices(words, weights=[9] * 11 + [1] * 30, k=n))
