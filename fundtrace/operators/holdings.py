@@ -27,6 +27,31 @@ def report_rollup(holdings: DataFrame, top: int = 10) -> DataFrame:
     )
 
 
+#: Categories of holdings that are no company, and what a technology sector's name holds.
+BOND_MONEY, INDIRECT, TECHNOLOGY = "Bond / Credit / Money-related", "Equity Fund / Stock-fund-like", "technology"
+
+
+def report_exposures(holdings: DataFrame, top: int = 10) -> DataFrame:
+    """Exposures of each report over all its holdings, each once: beta, technology, largest holdings, companies, bonds and money, indirect equity.
+
+    ``holdings`` has pct, security_rank, beta (null if unknown), sector and category (null or empty for companies). A weight without
+    such holdings is 0; portfolio_beta is over matched holdings and 0 without any; main_sector is the most frequent, the smallest on a tie.
+    """
+    w = F.col("pct") / 100
+    weight = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0.0))
+    matched = F.col("beta").isNotNull()
+    return holdings.groupBy(*REPORT).agg(
+        F.coalesce(F.sum(w * F.col("beta")), F.lit(0.0)).alias("portfolio_beta"),
+        weight(F.lower("sector").contains(TECHNOLOGY)).alias("technology"),
+        weight(F.col("security_rank").between(1, top)).alias("top_holdings"),
+        weight(matched).alias("company_equity"),
+        weight(F.col("category") == BOND_MONEY).alias("bond_money"),
+        weight(F.col("category") == INDIRECT).alias("indirect_equity"),
+        F.count("*").alias("holdings"), F.count_if(matched).alias("beta_matched"), F.count_if(F.length("category") > 0).alias("category_matched"),
+        F.mode("sector", deterministic=True).alias("main_sector"),
+    )
+
+
 def beta_shares(holdings: DataFrame) -> DataFrame:
     """Each holding's part of the report's weighted beta."""
     part = F.col("pct") / 100 * F.col("beta")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fundtrace.operators.scores import pct_rank_avg
+
 
 def fund_measures(rows: DataFrame, key: str, ret: str, market: str) -> DataFrame:
     """Return and risk measures of each key over all its months; ratios without a base are null."""
@@ -40,15 +42,16 @@ def _annual(mean: Column) -> Column:
     return F.when(mean > LEAST_RETURN, F.expm1(12 * F.log1p(mean)))
 
 
-def path_drawdown(rows: DataFrame, key: str, month: str, ret: str, block: int = 12) -> DataFrame:
+def path_drawdown(rows: DataFrame, key: str, month: str, ret: str, block: int = 12, within: list[str] | None = None) -> DataFrame:
     """Deepest fall of each key's wealth below its peak so far (at most 0), the start counted as a peak: key, max_drawdown.
 
     Months are summed up in blocks: total, highest and lowest point and deepest fall of the logarithm of wealth. Blocks are
-    then put in order, each with the wealth and the peak before it, so no key's path is gathered into one row. There
-    is one row for each month; returns at or below ``LEAST_RETURN`` and missing ones are left out.
+    then put in order, each with the wealth and the peak before it, so no key's path is gathered into one row. Rows of
+    one month are in order of the columns ``within``; returns at or below ``LEAST_RETURN`` and missing ones are left out.
     """
-    x = rows.where(F.col(ret) > LEAST_RETURN).select(key, F.col(month).alias("_m"), F.floor(F.col(month) / block).alias("_b"), F.log1p(ret).alias("_x"))
-    run = W.partitionBy(key, "_b").orderBy("_m").rowsBetween(W.unboundedPreceding, 0)
+    within = within or []
+    x = rows.where(F.col(ret) > LEAST_RETURN).select(key, *within, F.col(month).alias("_m"), F.floor(F.col(month) / block).alias("_b"), F.log1p(ret).alias("_x"))
+    run = W.partitionBy(key, "_b").orderBy("_m", *within).rowsBetween(W.unboundedPreceding, 0)
     x = x.withColumn("_c", F.sum("_x").over(run)).withColumn("_fall", F.col("_c") - F.greatest(F.lit(0.0), F.max("_c").over(run)))
     blocks = x.groupBy(key, "_b").agg(F.sum("_x").alias("_t"), F.max("_c").alias("_high"), F.min("_c").alias("_low"), F.min("_fall").alias("_fall"))
     before = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -58,6 +61,34 @@ def path_drawdown(rows: DataFrame, key: str, month: str, ret: str, block: int =
     return blocks.groupBy(key).agg(F.expm1(F.greatest(F.lit(-700.0), F.min(fall))).alias("max_drawdown"))
 
 
+#: Measures of a manager that are scored, and whether more is better.
+INDICATORS = {
+    "annual_return": True, "avg_excess": True, "sharpe": True, "beat_rate": True, "max_drawdown": True,
+    "annual_volatility": False, "avg_fee": False, "avg_flow": True, "avg_tenure": True, "avg_mtna": True,
+}
+
+
+def manager_indicators(rows: DataFrame, manager: str, fund: str, family: str, month: str, ret: str, market: str, mtna: str, flow: str, exp_ratio: str, tenure: str, turnover: str) -> DataFrame:
+    """Measures of each manager over all rows of its funds, and for ten of them a score from 0 to 1 among all managers.
+
+    A score is the average rank by the number of known values, turned round where less is better, and a half where the
+    measure is missing. A manager's returns are one path by month, then fund.
+    """
+    named = rows.where(F.col(ret).isNotNull()).withColumn(manager, F.coalesce(F.nullif(F.trim(manager), F.lit("")), F.lit("Unknown Manager")))
+    r, m = F.col(ret), F.col(market)
+    vol = F.stddev_samp(r) * 12**0.5
+    base = named.groupBy(manager).agg(
+        F.count("*").alias("obs"), F.count_distinct(fund).alias("funds"), F.count_distinct(family).alias("families"), F.avg(r).alias("mean_return"), _annual(F.avg(r)).alias("annual_return"),
+        F.avg(r - m).alias("avg_excess"), F.avg((r > m).cast("double")).alias("beat_rate"), vol.alias("annual_volatility"), ((_annual(F.avg(r)) - RISK_FREE) / F.nullif(vol, F.lit(0.0))).alias("sharpe"),
+        F.avg(exp_ratio).alias("avg_fee"), F.avg(flow).alias("avg_flow"), F.avg(mtna).alias("avg_mtna"), F.avg(tenure).alias("avg_tenure"), F.avg(turnover).alias("avg_turnover"),
+    )
+    base = base.join(path_drawdown(named, manager, month, ret, within=[fund]), manager, "left")
+    base = base.withColumns({f"_{c}": F.round(c, 9) for c in INDICATORS})
+    ranks = {c: pct_rank_avg(f"_{c}", []) for c in INDICATORS}  # a row for each manager
+    scores = {f"score_{c}": F.coalesce(ranks[c] if up else 1 - ranks[c], F.lit(0.5)) for c, up in INDICATORS.items()}
+    return base.withColumns(scores).drop(*[f"_{c}" for c in INDICATORS])
+
+
 def fund_table(rows: DataFrame, key: str, month: str, ret: str, market: str, mtna: str, flow: str, exp_ratio: str, tenure: str, turnover: str) -> DataFrame:
     """The 28 measures of each key over all its months; what has no base or too few months is null. Keys without a return are left out."""
     r, m = F.col(ret), F.col(market)

@@ -97,6 +97,12 @@ def unusual_score(v: Views):
     return unusual(v).select("portfolio", "report_dt", F.col("unusual").alias("score"), "reason")
 
 
+@query("k02_unusual_events", UNUSUAL + " SELECT manager, portfolio, report_dt, round(unusual, 6) AS score, reason FROM u ORDER BY round(unusual, 9) DESC NULLS LAST, portfolio, report_dt LIMIT 200")
+def unusual_events(v: Views):
+    top = unusual(v).orderBy(F.desc_nulls_last(F.round("unusual", 9)), "portfolio", "report_dt").limit(200)
+    return top.select("manager", "portfolio", "report_dt", F.col("unusual").alias("score"), "reason")
+
+
 @query("k02_top_per_manager", UNUSUAL + " SELECT manager, portfolio, report_dt, place FROM (SELECT *, row_number() OVER (PARTITION BY manager ORDER BY round(unusual, 9) DESC, report_dt, portfolio) AS place FROM u) WHERE place <= 10")
 def top_per_manager(v: Views):
     from pyspark.sql import Window as W

@@ -11,6 +11,7 @@ from fundtrace.operators import evaluation as ev
 from fundtrace.operators import retrieval as rt
 from fundtrace.plans.registry import Views, query
 from fundtrace.sources import tables as st
+from fundtrace.sources.scratch import scratch_path
 
 
 @query("t01_typed_ingest", """
@@ -70,6 +71,23 @@ def first_known(v: Views):
     return st.first_known(rows, "p_brand", "p_type", [F.col("p_partkey")])
 
 
+def _count_rows(table: str, source: str, where: str = "TRUE") -> str:
+    return f"SELECT '{table}' AS \"table\", 'rows' AS metric, '' AS value, count(*)::DOUBLE AS figure FROM {source} WHERE {where}"
+
+
+@query("s10_published_dataset", " UNION ALL ".join([
+    _count_rows("events", "{fx_actions}"), *[_count_rows(f"window_{y}", "{fx_fold_scores}", f"window_years = {y}") for y in (0, 1, 2)], _count_rows("model_table", "{fx_actions}", "excess IS NOT NULL AND (d_stock IS NOT NULL OR d_bond_money IS NOT NULL)"),
+    *[f"SELECT 'events', 'count of family', '{n}', count(*) FILTER (family = '{n}')::DOUBLE FROM {{fx_actions}}" for n in ("AFRICA", "AMERICA", "ASIA", "EUROPE")], "SELECT 'events', 'count of family', '(missing)', count(*) FILTER (family IS NULL)::DOUBLE FROM {fx_actions}", "SELECT 'events', 'count of family', '(other)', count(*) FILTER (family NOT IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE'))::DOUBLE FROM {fx_actions}",
+    *[f"SELECT 'model_table', 'excess', '{n}', round({a}, 6) FROM {{fx_actions}} WHERE excess IS NOT NULL AND (d_stock IS NOT NULL OR d_bond_money IS NOT NULL)" for n, a in (("count", "count(excess)::DOUBLE"), ("mean", "avg(excess)"), ("std", "stddev_samp(excess)"), ("min", "min(excess)"), ("max", "max(excess)"))],
+]))
+def published_dataset(v: Views):
+    """Event table, a view for each training window and the model table, published as one run; what its manifest holds."""
+    tables = {"events": v.fx_actions, **{f"window_{y}": v.fx_fold_scores.where(F.col("window_years") == y) for y in (0, 1, 2)}}
+    tables["model_table"] = v.fx_actions.where("excess is not null and coalesce(d_stock, d_bond_money) is not null")
+    audits = {"events": st.Audit(labels={"family": ["AFRICA", "AMERICA", "ASIA", "EUROPE"]}), "model_table": st.Audit(described=("excess",))}
+    return st.publish(tables, scratch_path(v.spark, "dataset"), "run", audits).drop("run")
+
+
 @query("s11_audit", "SELECT 'lang' AS metric, lang AS value, count(*) AS n FROM {documents} GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM {documents} GROUP BY 2")
 def audit(v: Views):
     return st.audit(v.documents, ["lang", "source"])

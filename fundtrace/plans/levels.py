@@ -30,6 +30,18 @@ def report_rollup(v: Views):
     return h.report_rollup(with_beta(v)).drop("main_sector").withColumn("value", F.round("value", 2))
 
 
+@query("a02_report_exposures", "WITH b AS (" + BETAS + """),
+h AS (SELECT *, CASE WHEN sector = 'LARGE' THEN 'Information Technology' ELSE sector END AS sec, CASE sector WHEN 'STANDARD' THEN 'Bond / Credit / Money-related' WHEN 'PROMO' THEN 'Equity Fund / Stock-fund-like' ELSE '' END AS cat FROM {fx_holdings} LEFT JOIN b USING (ticker)),
+s AS (SELECT portfolio, report_dt, sec AS main_sector, row_number() OVER (PARTITION BY portfolio, report_dt ORDER BY count(*) DESC, sec) AS k FROM h GROUP BY 1, 2, 3)
+SELECT portfolio, report_dt, round(coalesce(sum(pct / 100 * beta), 0), 6) AS portfolio_beta, round(coalesce(sum(CASE WHEN sec LIKE '%Technology%' THEN pct / 100 END), 0), 6) AS technology, round(coalesce(sum(CASE WHEN security_rank <= 10 THEN pct / 100 END), 0), 6) AS top_holdings,
+  round(coalesce(sum(CASE WHEN beta IS NOT NULL THEN pct / 100 END), 0), 6) AS company_equity, round(coalesce(sum(CASE WHEN cat LIKE 'Bond%' THEN pct / 100 END), 0), 6) AS bond_money, round(coalesce(sum(CASE WHEN cat LIKE 'Equity%' THEN pct / 100 END), 0), 6) AS indirect_equity,
+  count(*) AS holdings, count(beta) AS beta_matched, count(*) FILTER (cat <> '') AS category_matched, any_value(main_sector) AS main_sector FROM h JOIN s USING (portfolio, report_dt) WHERE k = 1 GROUP BY 1, 2""")
+def report_exposures(v: Views):
+    sector, category = F.col("sector"), F.when(F.col("sector") == "STANDARD", h.BOND_MONEY).when(F.col("sector") == "PROMO", h.INDIRECT).otherwise("")
+    rows = with_beta(v).withColumn("category", category).withColumn("sector", F.when(sector == "LARGE", "Information Technology").otherwise(sector))
+    return h.report_exposures(rows)
+
+
 @query("a03_beta_shares", "WITH b AS (" + BETAS + """)
 SELECT portfolio, report_dt, security, round(sum(pct / 100 * beta) OVER w, 6) AS report_beta, round(pct / 100 * beta / nullif(sum(pct / 100 * beta) OVER w, 0), 5) AS beta_share FROM {fx_holdings} LEFT JOIN b USING (ticker) WINDOW w AS (PARTITION BY portfolio, report_dt)""")
 def beta_shares(v: Views):
@@ -88,6 +100,25 @@ def family_averages(v: Views):
     return f.join(a, "family").select("fund", "family", "n_funds", (F.col("own") - F.col("fee")).alias("fee_gap"))
 
 
+def _indicator_score(c: str, up: bool) -> str:
+    rank = f"(rank() OVER (ORDER BY round({c}, 9) NULLS LAST) + (count(*) OVER (PARTITION BY round({c}, 9)) - 1) / 2.0) / count({c}) OVER ()"
+    return f"round(CASE WHEN {c} IS NULL THEN 0.5 ELSE {'' if up else '1 - '}{rank} END, 6) AS score_{c}"
+
+
+INDICATOR_DIGITS = {4: ("sharpe",), 2: ("avg_mtna", "avg_flow"), 6: ("mean_return", "annual_return", "avg_excess", "beat_rate", "annual_volatility", "max_drawdown", "avg_fee", "avg_tenure", "avg_turnover")}
+
+
+@query("a06_manager_indicators", """WITH f AS (SELECT *, new_sls - redemp AS net_flow, (month_idx - 23904) / 12.0 AS tenure FROM {fx_fund_month} LEFT JOIN (SELECT month_idx, bret FROM {fx_benchmark}) USING (month_idx)),
+c AS (SELECT *, sum(ln(1 + mret)) OVER (PARTITION BY manager ORDER BY month_idx, fund) AS c FROM f), p AS (SELECT *, c - greatest(0, max(c) OVER (PARTITION BY manager ORDER BY month_idx, fund)) AS fall FROM c),
+m AS (SELECT manager, count(*) AS obs, count(DISTINCT fund) AS funds, count(DISTINCT family) AS families, avg(mret) AS mean_return, (1 + avg(mret)) ** 12 - 1 AS annual_return, avg(mret - bret) AS avg_excess, avg((mret > bret)::INT) AS beat_rate, stddev_samp(mret) * sqrt(12) AS annual_volatility,
+  ((1 + avg(mret)) ** 12 - 1 - 0.01) / nullif(stddev_samp(mret) * sqrt(12), 0) AS sharpe, exp(min(fall)) - 1 AS max_drawdown, avg(exp_ratio) AS avg_fee, avg(net_flow) AS avg_flow, avg(mtna) AS avg_mtna, avg(tenure) AS avg_tenure, avg(turn_ratio) AS avg_turnover FROM p GROUP BY 1)
+SELECT manager, obs, funds, families, """ + ", ".join(f"round({c}, {d}) AS {c}" for d, cs in INDICATOR_DIGITS.items() for c in cs) + ", " + ", ".join(_indicator_score(c, up) for c, up in lv.INDICATORS.items()) + " FROM m")
+def manager_indicators(v: Views):
+    rows = v.fx_fund_month.join(v.fx_benchmark.drop("caldt"), "month_idx", "left").withColumns({"net_flow": F.col("new_sls") - F.col("redemp"), "tenure": (F.col("month_idx") - 23904) / 12})
+    t = lv.manager_indicators(rows, "manager", "fund", "family", "month_idx", "mret", "bret", "mtna", "net_flow", "exp_ratio", "tenure", "turn_ratio")
+    return t.withColumns({c: F.round(c, d) for d, cs in INDICATOR_DIGITS.items() for c in cs})
+
+
 @query("a06_manager_base", "SELECT manager, count(DISTINCT portfolio) AS portfolios, round(avg(mret) * 12, 6) AS mean_return, round(stddev_samp(mret) * sqrt(12), 6) AS volatility, round(avg(turn_ratio), 6) AS turnover FROM {fx_port_month} GROUP BY 1")
 def manager_base(v: Views):
     return v.fx_port_month.groupBy("manager").agg(F.countDistinct("portfolio").alias("portfolios"), (F.avg("mret") * 12).alias("mean_return"), (F.stddev_samp("mret") * 12**0.5).alias("volatility"), F.avg("turn_ratio").alias("turnover"))

@@ -159,11 +159,6 @@ def newest_rows(v: Views):
     return v.fx_docs.where("doc_date is not null").orderBy(F.desc("doc_date"), "doc_id").limit(50).select("doc_id", "doc_date")
 
 
-@query("k02_unusual_events", "SELECT portfolio, report_dt, round(d_bond, 6) AS d_bond FROM {fx_events} WHERE d_bond IS NOT NULL ORDER BY round(abs(d_bond), 9) DESC, portfolio, report_dt LIMIT 200")
-def unusual_events(v: Views):
-    return v.fx_events.where("d_bond is not null").orderBy(F.round(F.abs("d_bond"), 9).desc(), "portfolio", "report_dt").limit(200).select("portfolio", "report_dt", "d_bond")
-
-
 @query("l18_capability_status", "SELECT lang, count(*) AS n, CASE WHEN count(*) < 40 THEN 'not_eligible' WHEN abs(avg(p) - avg(y)) > 0.2 THEN 'calibration_warning' ELSE 'ok' END AS status FROM {fx_scores} GROUP BY 1")
 def capability_status(v: Views):
     s = v.fx_scores.groupBy("lang").agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.avg("y").alias("y"))

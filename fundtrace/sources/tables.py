@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,6 +87,55 @@ def write_dataset(df: DataFrame, path: str, year_of: str) -> None:
     df.withColumn("year", F.year(year_of)).repartition("year").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
+@dataclass(frozen=True)
+class Audit:
+    """Figures taken while a table is written: counts of the named values of columns, and describe blocks of numeric columns."""
+
+    labels: dict[str, list] = field(default_factory=dict)
+    described: tuple[str, ...] = ()
+
+    def figures(self) -> list[tuple[str, str, Column]]:
+        """Metric, value and aggregate."""
+        out = [("rows", "", F.count(F.lit(1)).cast("double"))]
+        for c, values in self.labels.items():
+            known = [F.coalesce(F.col(c).cast("string") == str(x), F.lit(False)) for x in values]
+            out += [(f"count of {c}", str(x), F.count_if(k).cast("double")) for x, k in zip(values, known, strict=True)]
+            out += [(f"count of {c}", "(missing)", F.count_if(F.col(c).isNull()).cast("double")), (f"count of {c}", "(other)", F.count_if(F.col(c).isNotNull() & ~reduce(lambda a, b: a | b, known, F.lit(False))).cast("double"))]
+        for c in self.described:
+            x = F.col(c).cast("double")
+            out += [(c, n, a) for n, a in (("count", F.count(x).cast("double")), ("mean", F.avg(x)), ("std", F.stddev_samp(x)), ("min", F.min(x)), ("max", F.max(x)))]
+        return out
+
+
+def publish(tables: dict[str, DataFrame], path: str, run: str, audits: dict[str, Audit] | None = None) -> DataFrame:
+    """Write the tables of one run and then the manifest that publishes them together: table, metric, value, figure.
+
+    Each table goes to ``path/run/table`` and its audit is observed during that write, without another pass. The manifest
+    comes last and is committed as a whole: a run that fails before it leaves nothing for :func:`published` to see.
+    """
+    spark, rows = next(iter(tables.values())).sparkSession, []
+    for name, df in tables.items():
+        figures = (audits or {}).get(name, Audit()).figures()
+        seen = Observation()
+        df.observe(seen, *[a.alias(f"f{i}") for i, (_, _, a) in enumerate(figures)]).write.parquet(f"{path}/{run}/{name}")
+        rows += [(run, name, metric, value, seen.get[f"f{i}"]) for i, (metric, value, _) in enumerate(figures)]
+    manifest = spark.createDataFrame(rows, "run string, table string, metric string, value string, figure double")
+    manifest.coalesce(1).write.parquet(f"{path}/_manifests/{run}")
+    return spark.read.parquet(f"{path}/_manifests/{run}")
+
+
+def published(spark: SparkSession, path: str) -> tuple[str | None, dict[str, DataFrame]]:
+    """The last published run by name and its tables; none if there is none."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifests")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifests/*/_SUCCESS")) or []
+    runs = sorted(f.getPath().getParent().getName() for f in found)
+    if not runs:
+        return None, {}
+    names = [r["table"] for r in spark.read.parquet(f"{path}/_manifests/{runs[-1]}").select("table").distinct().collect()]  # a row for each table
+    return runs[-1], {n: spark.read.parquet(f"{path}/{runs[-1]}/{n}") for n in names}
+
+
 def audit(df: DataFrame, columns: list[str]) -> DataFrame:
     """Value counts of the columns as metric, value, n, with the number of rows."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.coalesce(F.col(c).cast("string"), F.lit("(missing)")).alias("value")) for c in columns])).alias("x")).select("x.*")
