@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fundtrace.operators.scores import pct_rank_avg
+from fundtrace.operators.scores import pct_rank_avg, percentiles_all, percentiles_by
 
 
 def walk_forward(rows: DataFrame, date: str, label_end: str, folds: int = 3, share: float = 0.4, embargo_months: int = 1) -> DataFrame:
@@ -129,8 +129,8 @@ def drift(reference: DataFrame, current: DataFrame, columns: list[str], bins: in
     long = lambda d, n: d.select(F.lit(n).alias("_of"), *columns).unpivot(["_of"], columns, "feature", "x")
     ref, cur = long(reference, "reference"), long(current, "current")
     qs = [i / bins for i in range(1, bins)]
-    at = F.percentile("x", F.array(*[F.lit(q) for q in (0.01, 0.25, 0.5, 0.75, 0.99, *qs)]))
-    stats = ref.groupBy("feature").agg(at.alias("_q"), F.avg(F.col("x").isNull().cast("double")).alias("_miss"))
+    at = percentiles_by(ref, ["feature"], "x", [0.01, 0.25, 0.5, 0.75, 0.99, *qs], "_q")
+    stats = ref.groupBy("feature").agg(F.avg(F.col("x").isNull().cast("double")).alias("_miss")).join(at, "feature", "left")
     both = ref.union(cur).join(F.broadcast(stats), "feature")  # a row for each column
     edges = F.slice("_q", 6, bins - 1)
     binned = both.where("x is not null").withColumn("_b", F.size(F.filter(edges, lambda e: e < F.col("x"))))
@@ -138,9 +138,10 @@ def drift(reference: DataFrame, current: DataFrame, columns: list[str], bins: in
     total = W.partitionBy("feature")
     share = lambda c: F.greatest(F.col(c) / F.sum(c).over(total), F.lit(1e-6))
     psi = counts.withColumn("_p", (share("c") - share("r")) * F.log(share("c") / share("r"))).groupBy("feature").agg(F.sum("_p").alias("psi"))
-    now = cur.join(F.broadcast(stats), "feature").groupBy("feature").agg(
+    median = percentiles_by(cur, ["feature"], "x", [0.5], "_m")
+    now = cur.join(F.broadcast(stats.join(median, "feature", "left")), "feature").groupBy("feature").agg(
         F.avg(F.when(F.col("x").isNotNull(), ((F.col("x") < F.col("_q")[0]) | (F.col("x") > F.col("_q")[4])).cast("double"))).alias("outside"),
-        ((F.percentile("x", F.lit(0.5)) - F.max(F.col("_q")[2])) / F.nullif(F.max(F.col("_q")[3] - F.col("_q")[1]), F.lit(0.0))).alias("median_shift"),
+        ((F.max(F.col("_m")[0]) - F.max(F.col("_q")[2])) / F.nullif(F.max(F.col("_q")[3] - F.col("_q")[1]), F.lit(0.0))).alias("median_shift"),
         (F.avg(F.col("x").isNull().cast("double")) - F.max("_miss")).alias("missing_shift"),
     )
     return psi.join(now, "feature").withColumn("severity", F.when(F.col("psi") >= 0.25, "high").when(F.col("psi") >= 0.1, "medium").otherwise("low"))
@@ -154,6 +155,6 @@ def expected_excess(p: Column, up: Column, down: Column) -> Column:
 
 def calibration_curve(scores: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
     """Mean score and share of ones in bins between quantiles of the score."""
-    edges = scores.agg(F.array_distinct(F.percentile(p, F.array(*[F.lit(i / bins) for i in range(1, bins)]))).alias("_e"))
-    at = F.size(F.filter("_e", lambda e: e < F.col(p))).alias("bin")
-    return scores.join(F.broadcast(edges), F.lit(True)).groupBy(at).agg(F.count("*").alias("n"), F.avg(p).alias("mean_score"), F.avg(y).alias("share"))
+    edges = sorted({e for e in percentiles_all(scores, p, [i / bins for i in range(1, bins)]) if e is not None})
+    at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(p))) if edges else F.lit(0)
+    return scores.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_score"), F.avg(y).alias("share"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fundtrace.operators.scores import pct_rank_avg
+from fundtrace.operators.scores import pct_rank_avg, percentiles_all
 
 
 def fund_measures(rows: DataFrame, key: str, ret: str, market: str) -> DataFrame:
@@ -142,6 +142,9 @@ def by_regions(rows: DataFrame, regions: list[tuple[DataFrame, str, Column]], ev
 
 def shared_histogram(df: DataFrame, group: str, value: str, bins: int = 30, cut: float = 0.005) -> DataFrame:
     """Counts per group in bins between the same two percentiles of all groups; what lies outside is in the end bins."""
-    edges = F.broadcast(df.agg(F.percentile(value, F.lit(cut)).alias("_lo"), F.percentile(value, F.lit(1 - cut)).alias("_hi")))
-    at = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins)))
-    return df.where(F.col(value).isNotNull()).join(edges, F.lit(True)).groupBy(group, F.coalesce(at, F.lit(0)).cast("int").alias("bin")).count()
+    low, high = percentiles_all(df, value, [cut, 1 - cut])
+    known = df.where(F.col(value).isNotNull())
+    if low is None or low == high:
+        return known.groupBy(group, F.lit(0).alias("bin")).count()
+    at = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col(value) - low) / (high - low) * bins)))
+    return known.groupBy(group, at.cast("int").alias("bin")).count()

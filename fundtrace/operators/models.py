@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fundtrace.operators.evaluation import direction_metrics, roc_auc
-from fundtrace.operators.scores import number_rows
+from fundtrace.operators.scores import number_rows, percentiles_by
 
 
 def infer_features(df: DataFrame, columns: list[str], least: int = 20) -> DataFrame:
@@ -122,9 +122,11 @@ def linear_contributions(rows: DataFrame, weights: dict[str, float], means: dict
 
 def deviation_contributions(rows: DataFrame, importance: dict[str, float], key: str, score: str) -> DataFrame:
     """(x - median) * importance of each feature, and as base what is left of the score."""
-    medians = rows.agg(*[F.percentile(f, F.lit(0.5)).alias(f"_m_{f}") for f in importance])
-    df = rows.join(F.broadcast(medians), F.lit(True))
-    parts = {f: F.coalesce((F.col(f) - F.col(f"_m_{f}")) * w, F.lit(0.0)) for f, w in importance.items()}
+    features = list(importance)
+    long = rows.select(*[F.col(f).cast("double").alias(f) for f in features]).withColumn("_", F.lit(1)).unpivot(["_"], features, "feature", "x")
+    middle = {r["feature"]: r["q"][0] for r in percentiles_by(long, ["feature"], "x", [0.5]).collect()}  # a row for each feature
+    df = rows
+    parts = {f: F.coalesce((F.col(f) - F.lit(middle.get(f)).cast("double")) * w, F.lit(0.0)) for f, w in importance.items()}
     base = F.col(score) - sum(parts.values(), F.lit(0.0))
     return df.select(key, base.alias("base"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), c.alias("contribution")) for f, c in parts.items()])).alias("c")).select(key, "base", "c.*")
 

@@ -90,6 +90,32 @@ def percentiles_all(df: DataFrame, value: str, shares: list[float]) -> list[floa
     return [float(got[int(x)]) + (float(got[min(n - 1, int(x) + 1)]) - float(got[int(x)])) * (x - int(x)) for x in at]
 
 
+def percentiles_by(df: DataFrame, by: list[str], value: str, shares: list[float], name: str = "q") -> DataFrame:
+    """Exact, linearly interpolated percentiles of the known values of each group: by and an array of them in order of ``shares``.
+
+    Values are counted first, then dealt within their group into buckets in order whose bounds are near its quantiles. The
+    buckets that hold a wanted rank are looked through; the bounds don't change the result. No group's values meet in
+    one task. Groups without a known value, or with a null key, are left out.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    counts = known.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+    bounds = known.groupBy(*by).agg(F.percentile_approx("_v", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("_bounds"))
+    s = counts.join(bounds, by).withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).drop("_bounds")
+    w = W.partitionBy(*by)  # a row for each bucket of a group
+    buckets = s.groupBy(*by, "_b").agg(F.sum("_c").alias("_n")).withColumn("_all", F.sum("_n").over(w)).withColumn("_before", F.sum("_n").over(w.orderBy("_b")) - F.col("_n"))
+    at = lambda q: F.lit(float(q)) * (F.col("_all") - 1)
+    low = lambda q: F.floor(at(q)).cast("long")
+    high = lambda q: F.least(low(q) + 1, F.col("_all") - 1)
+    wanted = F.array_distinct(F.array(*[f(q) for q in shares for f in (low, high)]))
+    hits = buckets.withColumn("_k", F.filter(wanted, lambda k: (k >= F.col("_before")) & (k < F.col("_before") + F.col("_n")))).where(F.size("_k") > 0)
+    upto = F.col("_before") + F.sum("_c").over(W.partitionBy(*by, "_b").orderBy("_v"))
+    inside = s.join(hits, [*by, "_b"]).withColumn("_upto", upto)
+    inside = inside.withColumn("_k", F.explode(F.filter("_k", lambda k: (k < F.col("_upto")) & (k >= F.col("_upto") - F.col("_c")))))
+    got = inside.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_got"), F.max("_all").alias("_all"))
+    one = lambda q: F.col("_got")[low(q)] + (F.col("_got")[high(q)] - F.col("_got")[low(q)]) * (at(q) - low(q))
+    return got.select(*by, F.array(*[one(q) for q in shares]).alias(name))
+
+
 def expanding_scores(events: DataFrame, entity: str, date: str, value: str, least: int = 3) -> DataFrame:
     """Point-in-time score of each entity at each event date: history before it, Sharpe-like ratio, reliability, rank.
 

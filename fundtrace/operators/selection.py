@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fundtrace.operators.scores import percentiles_all
+from fundtrace.operators.scores import percentiles_all, percentiles_by
 
 #: Fixed values of the safety rules: thresholds in hundredths, predicted rates, gap of rates, weight of the gap.
 SAFE_THRESHOLDS, SAFE_RATES, MOST_GAP, GAP_WEIGHT = (20, 80), (0.02, 0.98), 0.2, 0.25
@@ -153,9 +153,11 @@ def fold_diagnostics(rows: DataFrame, fold: list[str], role: str, date: str, val
     figures = []
     for r in ("train", "test"):
         mine = lambda c, r=r: F.when(F.col(role) == r, c)
-        at = F.percentile(mine(F.col(market)), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-        figures += [F.min(mine(F.col(date))).alias(f"{r}_start"), F.max(mine(F.col(date))).alias(f"{r}_end"), F.count_if(F.col(role) == r).alias(f"{r}_n"), F.avg(mine(clear)).alias(f"{r}_rate"), at.alias(f"{r}_market")]
+        figures += [F.min(mine(F.col(date))).alias(f"{r}_start"), F.max(mine(F.col(date))).alias(f"{r}_end"), F.count_if(F.col(role) == r).alias(f"{r}_n"), F.avg(mine(clear)).alias(f"{r}_rate")]
     per = rows.groupBy(*fold).agg(*figures)
+    at = percentiles_by(rows, [*fold, role], market, [0.1, 0.5, 0.9])
+    for r in ("train", "test"):
+        per = per.join(at.where(F.col(role) == r).select(*fold, F.col("q").alias(f"{r}_market")), fold, "left")
     q = lambda r, i, n: F.get(f"{r}_market", F.lit(i)).alias(f"{r}_market_{n}")
     return per.select(*fold, "train_start", "train_end", "test_start", "test_end", "train_n", "test_n", "train_rate", "test_rate", F.abs(F.col("test_rate") - F.col("train_rate")).alias("prevalence_shift"), q("train", 0, "p10"), q("train", 1, "p50"), q("train", 2, "p90"), q("test", 1, "p50"))
 

@@ -9,6 +9,7 @@ from fundtrace.functions import ingest as ig
 from fundtrace.operators import classify as cl
 from fundtrace.operators import evaluation as ev
 from fundtrace.operators import retrieval as rt
+from fundtrace.operators.scores import percentiles_all
 from fundtrace.plans.registry import Views, query
 from fundtrace.sources import tables as st
 from fundtrace.sources.scratch import scratch_path
@@ -299,8 +300,8 @@ def drift(v: Views):
 WITH m AS (SELECT median(n_chars) AS m FROM {documents}), r AS (SELECT s.*, CASE WHEN n_chars > m THEN 'long' ELSE 'short' END AS regime FROM {fx_scores} s JOIN {documents} d USING (doc_id), m)
 SELECT regime, count(*) AS n, round(avg((p - y) ** 2), 6) AS brier, count(*) >= 50 AS supported FROM r GROUP BY 1""")
 def regime_metrics(v: Views):
-    m = v.documents.agg(F.percentile("n_chars", F.lit(0.5)).alias("m"))
-    r = v.fx_scores.join(v.documents.select("doc_id", "n_chars"), "doc_id").join(F.broadcast(m), F.lit(True)).withColumn("regime", F.when(F.col("n_chars") > F.col("m"), "long").otherwise("short"))
+    middle = percentiles_all(v.documents, "n_chars", [0.5])[0]
+    r = v.fx_scores.join(v.documents.select("doc_id", "n_chars"), "doc_id").withColumn("regime", F.when(F.col("n_chars") > F.lit(middle), "long").otherwise("short"))
     return ev.direction_metrics(r, "y", "p", ["regime"], 0.5).select("regime", "n", "brier", (F.col("n") >= 50).alias("supported"))
 
 

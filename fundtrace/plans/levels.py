@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fundtrace.operators import holdings as h
 from fundtrace.operators import levels as lv
+from fundtrace.operators.scores import percentiles_all
 from fundtrace.plans.registry import Views, query
 
 
@@ -226,9 +227,9 @@ def qc_summary(v: Views):
 WITH q AS (SELECT list_sort(list_distinct(quantile_cont(turn_ratio, [0.2, 0.4, 0.6, 0.8]))) AS e FROM {fx_events})
 SELECT (1 + len(list_filter(e, lambda x: x < turn_ratio)))::INTEGER AS bucket, count(*) AS n, round(avg(mret), 6) AS mret FROM {fx_events}, q GROUP BY 1""")
 def value_quintiles(v: Views):
-    edges = F.broadcast(v.fx_events.agg(F.array_sort(F.array_distinct(F.percentile("turn_ratio", F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))))).alias("e")))
-    at = (F.size(F.filter("e", lambda x: x < F.col("turn_ratio"))) + 1).alias("bucket")
-    return v.fx_events.join(edges, F.lit(True)).groupBy(at).agg(F.count("*").alias("n"), F.avg("mret").alias("mret"))
+    edges = sorted({e for e in percentiles_all(v.fx_events, "turn_ratio", [0.2, 0.4, 0.6, 0.8]) if e is not None})
+    at = (F.size(F.filter(F.array(*map(F.lit, edges)), lambda x: x < F.col("turn_ratio"))) + 1).alias("bucket")
+    return v.fx_events.groupBy(at).agg(F.count("*").alias("n"), F.avg("mret").alias("mret"))
 
 
 @query("a31_yearly_trend", "SELECT year(report_dt)::INTEGER AS year, count(*) AS n, round(avg(d_bond), 6) AS mean, round(avg(CASE WHEN d_bond > 0 THEN 1.0 WHEN d_bond IS NOT NULL THEN 0 END), 6) AS positive FROM {fx_events} GROUP BY 1")

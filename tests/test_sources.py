@@ -41,3 +41,22 @@ def test_drawdown_by_blocks_is_that_of_the_path(spark):
             peak = max(peak, wealth)
             deep = min(deep, wealth - peak)
         assert (k in got) == some and (not some or abs(got[k] - math.expm1(deep)) < 1e-9)
+
+
+def test_percentiles_of_groups_are_exact(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from fundtrace.operators import scores as sc
+
+    rng = random.Random(4)
+    groups = {"few": [1.5], "two": [3.0, 1.0], "same": [2.0] * 30, "many": [rng.gauss(0, 9) for _ in range(500)], "ties": [rng.randint(0, 5) + 0.0 for _ in range(200)]}
+    rows = [(g, x) for g, xs in groups.items() for x in [*xs, None]] + [("none", None)]
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    for buckets in (64, 2):
+        monkeypatch.setattr(sc, "BUCKETS", buckets)
+        got = {r.g: r.q for r in sc.percentiles_by(spark.createDataFrame(rows, "g string, x double").repartition(5), ["g"], "x", shares).collect()}
+        assert set(got) == set(groups)
+        for g, xs in groups.items():
+            assert np.allclose(got[g], np.quantile(xs, shares))
