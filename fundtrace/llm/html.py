@@ -26,10 +26,12 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-DROPPED = RAW | {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "svg", "math", "canvas", "object", "dialog", "menu", "audio", "video", "map", "label", "fieldset"}
+DROPPED = RAW | {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "svg", "math", "canvas", "object", "dialog", "menu", "audio", "video", "map"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: Tags that end an open paragraph when they start.
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
+#: Tags beyond which an open paragraph is not ended.
+AROUND_P = {"article", "main", "div", "td", "th", "li", "section", "blockquote", "table"}
 #: Tags that end an open element of the second set, looked for no further up than one of the third.
 SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -56,6 +58,8 @@ KEPT = {"html", "body", "article", "main"}
 #: Siblings of the best container that are kept whatever they score; and the share of links up to which an ancestor is taken.
 BESIDE = INLINE | {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "p", "ul", "ol", "dl", "table", "blockquote", "pre", "figure", "details", "address"}
 FEW_LINKS = 0.1
+#: A doubtful part of an article goes if it has fewer characters or a larger share of links.
+SHORT, SOME_LINKS = 80, 0.25
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -69,9 +73,35 @@ class Node:
         self.depth = parent.depth + 1 if parent else 0
 
 
-def _unlikely(tag: str, attributes: str, at: Node) -> str:
-    """Whether an element is no part of the article: "yes", "maybe" or empty. ``at``: the element around it."""
-    if tag in DROPPED and not (tag == "header" and any(n.tag == "article" for n in _up(at))):
+class Path:
+    """The open elements from the root to the innermost, and where each tag is among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def last(self, tags: set[str]) -> int:
+        """Place of the innermost open element of one of the tags; 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def open(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, place: int) -> None:
+        """Close the element at a place and all inside it; each element is closed once, so this is linear in all."""
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
+
+    def end(self, tags: set[str], limits: set[str]) -> None:
+        """Close the innermost open element of one of ``tags``, if none of the limits is open inside it."""
+        place = self.last(tags)
+        if place > self.last(limits):
+            self.close(place)
+
+
+def _unlikely(tag: str, attributes: str, path: Path) -> str:
+    """Whether an element is no part of the article: "yes", "maybe" or empty. ``path``: the elements around it."""
+    if tag in DROPPED and not (tag == "header" and path.last({"article"})):
         return "yes"
     if not attributes or tag in KEPT:
         return ""
@@ -92,15 +122,17 @@ def _unlikely(tag: str, attributes: str, at: Node) -> str:
 
 def parse(html: str) -> Node:
     """The tree of a page without what is never part of an article. Works for unclosed and cut pages alike."""
-    root = at = Node("html", None)
+    root = Node("html", None)
+    path = Path(root)
     skipped: list[str] = []  # open elements from the one that is left out
+    counts: dict[str, int] = {}  # of their tags
     position = 0
     find, size = TOKEN.search, len(html)
     while position < size:
         m = find(html, position)
         end = m.start() if m else size
         if end > position and not skipped:
-            at.parts.append(html[position:end])
+            path.nodes[-1].parts.append(html[position:end])
         if not m:
             break
         position = m.end()
@@ -110,33 +142,33 @@ def parse(html: str) -> Node:
         tag = tag.lower()
         if skipped:
             if close:
-                if tag in skipped:
-                    while skipped.pop() != tag:
-                        pass
+                if counts.get(tag):
+                    while (left := skipped.pop()) != tag:
+                        counts[left] -= 1
+                    counts[tag] -= 1
             elif tag in RAW:
                 position = _after_raw(html, tag, position)
             elif tag not in VOID and not attributes.endswith("/"):
                 skipped.append(tag)
+                counts[tag] = counts.get(tag, 0) + 1
             if not close or skipped or tag not in ("article", "main", "body", "html"):
                 continue
         if close:
-            up = at
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                at = up.parent
+            if place := path.last({tag}):
+                path.close(place)
             continue
         if tag in ("html", "body"):
             continue
         if tag in CLOSES_P:
-            at = _close(at, {"p"}, {"article", "main", "div", "td", "th", "li", "section", "blockquote", "table"})
+            path.end({"p"}, AROUND_P)
         if tag in SIBLINGS:
-            at = _close(at, *SIBLINGS[tag])
+            path.end(*SIBLINGS[tag])
+        at = path.nodes[-1]
         if tag in VOID:
             if tag in ("br", "hr"):
                 at.parts.append(" ")
             continue
-        unlikely = _unlikely(tag, attributes, at)
+        unlikely = _unlikely(tag, attributes, path)
         if unlikely == "yes":
             if tag not in INLINE:
                 at.parts.append(" ")
@@ -144,30 +176,42 @@ def parse(html: str) -> Node:
                 position = _after_raw(html, tag, position)
             else:
                 skipped.append(tag)
+                counts = {tag: 1}
             continue
         node = Node(tag, at, unlikely == "maybe")
         at.parts.append(node)
-        at = node
+        path.open(node)
     return _without_doubtful(root)
 
 
 def _without_doubtful(root: Node) -> Node:
-    """The tree without its doubtful parts, but for those with most of its text and no article or main beside them."""
+    """The tree without its doubtful parts, but for those with most of its text and no article or main beside them.
+
+    In an article or main, words of a class are not enough: a part goes if it is short or a good part of it stands in links.
+    """
     nodes = _walk(root)
     if not any(n.doubtful for n in nodes):
         return root
     size = {n: sum(len(x.strip()) for x in n.parts if type(x) is str) for n in nodes}
     bodies = {n: int(n.tag in ("article", "main")) for n in nodes}
+    links = dict.fromkeys(nodes, 0)
     for n in reversed(nodes):
+        if n.tag == "a":
+            links[n] = size[n]
         if n.parent is not None:
             size[n.parent] += size[n]
+            links[n.parent] += links[n]
             bodies[n.parent] += bodies[n]
-    todo = [root]
+    todo, inside = [root], set()  # inside: what stands in an article or main
     while todo:
         n = todo.pop()
         for i, x in enumerate(n.parts):
             if type(x) is Node:
-                if x.doubtful and (2 * size[x] <= size[root] or bodies[x] < bodies[root]):
+                within = n in inside or n.tag in ("article", "main")
+                if within:
+                    inside.add(x)
+                outside = 2 * size[x] <= size[root] or bodies[x] < bodies[root]
+                if x.doubtful and (size[x] < SHORT or links[x] > SOME_LINKS * size[x] if within else outside):
                     n.parts[i] = "" if x.tag in INLINE else " "
                 else:
                     todo.append(x)
@@ -179,18 +223,6 @@ def _after_raw(html: str, tag: str, position: int) -> int:
     return m.end() if m else len(html)
 
 
-def _close(at: Node, tags: set[str], limits: set[str]) -> Node:
-    """Close the open element of one of ``tags``, if there is one inside the limits."""
-    up = at
-    while up.parent is not None and up.tag not in limits:
-        if up.tag in tags:
-            return up.parent
-        up = up.parent
-    if up.parent is not None and up.tag in tags:
-        return up.parent
-    return at
-
-
 def _walk(root: Node) -> list[Node]:
     found, todo = [], [root]
     while todo:

@@ -292,6 +292,27 @@ def test_html_scores_by_plain_sums():
             assert all(t in html.extract(page) for t in parts[best])
 
 
+def test_html_keeps_article_parts_whatever_their_class():
+    """Words of a class alone take nothing out of an article; short parts and lists of links go."""
+    for tag in ("article", "main"):
+        page = f"<{tag}><h1>T</h1><div class='share-prices'><p>{P}</p></div><section class=related-work><h2>Related</h2><p>{P}</p><p>{P}</p></section>" + f"<div class=related><a href=a>one more story of the same kind, and</a> <a href=b>another one of that kind to be read</a></div><div class=share>Share this</div><p>{P} a <label>word</label> here</p></{tag}><div class=promo><p>{P}</p></div>"
+        assert html.extract(page) == f"T {P} Related {P} {P} {P} a word here"
+    plain = f"<div><p>{P}</p><p>{P}</p><p>{P}</p></div><div class=promotion><p>{P}</p></div>"
+    assert html.extract(plain) == f"{P} {P} {P}"
+
+
+@pytest.mark.parametrize("shape", ["<div></i></b></span>", "<b><p>word ", "<article><header>h</header><i>", "<aside></i><b></x>", "<li><b><td></p>"])
+def test_html_takes_time_in_proportion(shape):
+    def took(n):
+        began = time.process_time()
+        html.extract(shape * n)
+        return time.process_time() - began
+
+    took(500)
+    small, large = min(took(4_000) for _ in range(3)), min(took(16_000) for _ in range(3))
+    assert large < 10 * small + 0.2  # four times the page; the square would be sixteen
+
+
 def test_html_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "clash"), (1, "u", "<p>a", "clash"), (1, "u", "<p>a", "clash")], "page_id long, url string, html string, text string")
     assert sorted(r["text"] for r in html.main_text(pages).collect()) == ["", "a", "a"]
