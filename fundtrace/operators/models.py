@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -14,6 +19,7 @@ from pyspark.sql import functions as F
 
 from fundtrace.operators.evaluation import direction_metrics, roc_auc
 from fundtrace.operators.scores import number_rows, percentiles_by
+from fundtrace.sources.scratch import written
 
 
 def infer_features(df: DataFrame, columns: list[str], least: int = 20) -> DataFrame:
@@ -147,28 +153,83 @@ def clusters(vectors: DataFrame, key: str, vector: str, seed: int = 1) -> DataFr
     return axes.select(key, F.col("prediction").alias("cluster"), vector_to_array("axes")[0].alias("x"), vector_to_array("axes")[1].alias("y"))
 
 
+#: Pivots of the similarity join, and rows of a block.
+PIVOTS, BLOCK = 32, 512
+
+
+def near_pairs(vectors: DataFrame, key: str, vector: str, bar: float) -> DataFrame:
+    """All pairs of rows whose vectors have a cosine of at least ``bar``: i, j (j before i by key).
+
+    Exact, by the triangle inequality of angles: each vector lives in the cell of its nearest pivot, and visits each cell to
+    whose pivot its angle is at most that to its own plus twice the angle of the bar; no pair above the bar escapes. Cells
+    are dealt in blocks of residents and visitors, which meet as matrix products. Pivots are a few rows by hash of key; they
+    decide how much is left out, not what is found. Keys are unique; vectors are not null, of one length and not zero.
+    """
+    limit = math.acos(bar)
+    first = vectors.select(vector, F.xxhash64(key, F.lit(28)).alias("_h")).orderBy("_h", vector).limit(PIVOTS).collect()  # a few rows
+    kind = vectors.schema[key].dataType.simpleString()
+    if not first:
+        return vectors.sparkSession.createDataFrame([], f"i {kind}, j {kind}")
+    pivots = np.array([r[0] for r in first], dtype=np.float64)
+    pivots /= np.linalg.norm(pivots, axis=1)[:, None]
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.stack([np.asarray(v, dtype=np.float64) for v in b["v"]]) if len(b) else np.zeros((0, pivots.shape[1]))
+            x = x / np.linalg.norm(x, axis=1)[:, None]
+            angle = np.arccos(np.clip(x @ pivots.T, -1, 1))
+            home = angle.argmin(axis=1) if len(x) else np.zeros(0, int)
+            visits = angle <= angle.min(axis=1)[:, None] + 2 * limit + 1e-9 if len(x) else angle > 9
+            yield pd.DataFrame({"k": b["k"], "v": list(x), "home": home.astype(np.int32), "cells": [np.flatnonzero(v).astype(np.int32) for v in visits]})
+
+    placed = written(vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(place, f"k {kind}, v array<double>, home int, cells array<int>"), "placed")
+    sizes = placed.select("home", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count_if(F.col("home") == F.col("cell")).alias("homes"), F.count("*").alias("visits"))
+    sizes = sizes.select("cell", *[F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int").alias(c) for c in ("homes", "visits")])  # a row for each pivot
+    part = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    residents = placed.select("k", "v", F.col("home").alias("cell")).join(F.broadcast(sizes), "cell").select("cell", part("homes").alias("a"), others("visits").alias("b"), F.lit(True).alias("lives"), "k", "v")
+    visitors = placed.select("k", "v", F.explode("cells").alias("cell")).join(F.broadcast(sizes), "cell").select("cell", others("homes").alias("a"), part("visits").alias("b"), F.lit(False).alias("lives"), "k", "v")
+
+    def meet(t: pd.DataFrame) -> pd.DataFrame:
+        lives = t["lives"].to_numpy(bool)
+        here, there = t[lives], t[~lives]
+        if here.empty or there.empty:
+            return pd.DataFrame({"i": there["k"].iloc[:0], "j": here["k"].iloc[:0]})
+        dots = np.stack(there["v"].to_list()) @ np.stack(here["v"].to_list()).T
+        i, j = np.nonzero(dots >= bar - 1e-12)
+        out = pd.DataFrame({"i": there["k"].to_numpy()[i], "j": here["k"].to_numpy()[j]})
+        return out[out["j"] < out["i"]]
+
+    return residents.union(visitors).groupBy("cell", "a", "b").applyInPandas(meet, f"i {kind}, j {kind}")
+
+
 def greedy_groups(vectors: DataFrame, key: str, vector: str, bar: float = 0.92) -> DataFrame:
     """Leader rule: in order of key, a row that no earlier leader reaches by cosine is a leader; others join the first that
-    reaches them. Returns key, leader. The order makes it sequential; the pairs above the bar are found by Spark, and the
-    leaders are then settled in rounds over that table: a row is settled once all its earlier neighbours are.
+    reaches them. Returns key, leader.
+
+    Rows of one vector share their leader, so each vector is settled once, by its first row. Pairs above the bar are found by
+    :func:`near_pairs`; leaders are settled in rounds over that table, each written out: a vector is settled once its earlier
+    neighbours are. Rows whose vector is null, zero or has a null or non-finite component lead themselves.
     """
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    v = vectors.select(key, F.transform(vector, lambda x: x.cast("double")).alias("v")).withColumn("v", F.transform("v", lambda x: x / F.nullif(norm, F.lit(0.0))))
-    a, b = v.select(F.col(key).alias("i"), F.col("v").alias("vi")), v.select(F.col(key).alias("j"), F.col("v").alias("vj"))
-    dot = F.aggregate(F.zip_with("vi", "vj", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    near = a.join(b, F.col("j") < F.col("i")).where(dot >= bar).select("i", "j").persist()
-    state = v.select(F.col(key).alias("i"), F.lit(None).cast("boolean").alias("leads"))
-    while True:
+    v = vectors.select(key, F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
+    v = v.withColumn("_ok", F.coalesce(sound, F.lit(False)))
+    first = v.where("_ok").groupBy("v").agg(F.min(key).alias("i"))
+    classes = written(first, "vectors")
+    near = written(near_pairs(classes, "i", "v", bar), "near")
+    state = written(classes.select("i", F.lit(None).cast("boolean").alias("leads")), "leaders")
+    while True:  # at least the first open vector is settled in each round
         known = near.join(state.select(F.col("i").alias("j"), F.col("leads").alias("before")), "j")
         said = known.groupBy("i").agg(F.bool_or(F.coalesce("before", F.lit(False))).alias("reached"), F.bool_or(F.col("before").isNull()).alias("open"))
-        fresh = state.join(said, "i", "left").select("i", F.when(F.coalesce("reached", F.lit(False)), False).when(F.coalesce("open", F.lit(False)), None).otherwise(True).alias("leads")).persist()
-        left = fresh.where("leads is null").count()
-        state = fresh
-        if not left:
+        state = state.join(said, "i", "left").select("i", F.when(F.coalesce("reached", F.lit(False)), False).when(F.coalesce("open", F.lit(False)), None).otherwise(True).alias("leads"))
+        state = written(state, "leaders")
+        if state.where("leads is null").isEmpty():
             break
     leaders = state.where("leads").select(F.col("i").alias("j"))
-    first = near.join(leaders, "j").groupBy("i").agg(F.min("j").alias("leader"))
-    return state.join(first, "i", "left").select(F.col("i").alias(key), F.when(F.col("leads"), F.col("i")).otherwise(F.col("leader")).alias("leader"))
+    joined = near.join(leaders, "j").groupBy("i").agg(F.min("j").alias("_l"))
+    of = state.join(joined, "i", "left").select("i", F.when(F.col("leads"), F.col("i")).otherwise(F.col("_l")).alias("leader"))
+    settled_ = v.where("_ok").join(classes, "v").join(of, "i").select(key, "leader")
+    return settled_.union(v.where("NOT _ok").select(key, F.col(key).alias("leader")))
 
 
 def cosine(a: Column, b: Column) -> Column:

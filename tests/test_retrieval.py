@@ -118,3 +118,27 @@ def test_bootstrap_interval_is_that_of_resampling(spark):
     assert out["c"].low == out["c"].high == 1.5
     again = ev.bootstrap(spark.createDataFrame(rows[::-1], "k int, g string, x double").repartition(3), "k", "x", ["g"], 400)
     assert all(abs(r.low - out[r.g].low) < 1e-9 for r in again.collect())
+
+
+def test_greedy_groups_against_the_plain_rule(spark, monkeypatch):
+    import numpy as np
+
+    from fundtrace.operators import models as md
+
+    monkeypatch.setattr(md, "BLOCK", 16)
+    rng = np.random.default_rng(28)
+    for dim, spread in ((3, 1.0), (16, 0.15)):
+        centres = rng.normal(size=(6, dim))
+        vs = [list(map(float, centres[rng.integers(6)] + spread * rng.normal(size=dim) / dim**0.5)) for _ in range(150)]
+        vs += [vs[3], vs[3], [2 * x for x in vs[5]], [0.0] * dim, None, [None] * dim, [float("nan")] * dim]
+        rows = [(int(k), v) for k, v in zip(rng.permutation(len(vs)), vs, strict=True)]
+        leaders, want = [], {}
+        for k, v in sorted(rows):
+            ok = v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)
+            near = [q for q, w in leaders if ok and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.92 - 1e-12]
+            want[k] = near[0] if near else k
+            if not near and ok:
+                leaders.append((k, v))
+        out = md.greedy_groups(spark.createDataFrame(rows, "k int, v array<double>"), "k", "v")
+        assert {r.k: r.leader for r in out.collect()} == want and len(leaders) > 3
+    assert md.greedy_groups(spark.createDataFrame([], "k int, v array<double>"), "k", "v").count() == 0
