@@ -19,11 +19,12 @@ CLUSTERS, ROUNDS, DIM, SCALE = 16, 3, 64, 64
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, dim: int, scale: int) -> DataFrame:
-    """id and v: floor(scale * x) of each component, of vectors with ``dim`` components, all finite."""
+    """id, v (floor(scale * x) of each component) and square (its inner product with itself) of vectors with ``dim`` components, all finite."""
     v = F.transform(vector_col, lambda x: x.cast("double"))
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = df.where(F.size(vector_col) == dim).select(F.col(id_col).alias("id"), v.alias("v")).where(ok)
-    return rows.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    rows = rows.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    return rows.withColumn("square", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x))
 
 
 def _longs(values: list[int]) -> Column:
@@ -34,8 +35,8 @@ def nearest(centroids: list[list[int]]) -> Column:
     """Struct of distance (squared) and cluster of the nearest of ``centroids``; ties go to the smaller number."""
 
     def squared(c: list[int]) -> Column:
-        steps = F.zip_with("v", _longs(c), lambda x, y: (x - y) * (x - y))
-        return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
+        product = F.aggregate(F.zip_with("v", _longs(c), lambda x, y: x * y), F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.col("square") - 2 * product + F.lit(sum(x * x for x in c)).cast("long")
 
     return F.array_min(F.array(*[F.struct(squared(c).alias("distance"), F.lit(i).alias("cluster")) for i, c in enumerate(centroids)]))
 
