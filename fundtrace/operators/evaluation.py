@@ -99,6 +99,41 @@ def class_metrics(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
     return m.withColumns({"precision": F.col("tp") / F.nullif("said", F.lit(0)), "recall": F.col("tp") / F.nullif("support", F.lit(0)), "f1": 2 * F.col("tp") / (F.col("said") + F.col("support"))})
 
 
+#: The five classes in order, the extreme ones, least macro F1 and number of predicted classes, least support of a class.
+FIVE, EXTREME, LEAST_MACRO, LEAST_SAID, SUPPORT = ("large_loss", "small_loss", "neutral", "small_win", "large_win"), ("large_loss", "large_win"), 0.3, 3, 50
+
+
+def confusion(rows: DataFrame, actual: str, predicted: str, by: list[str]) -> DataFrame:
+    """How often each of the five classes was said for each, 0 included: by, actual, predicted, n."""
+    counts = rows.groupBy(*by, F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+    names = F.array(*map(F.lit, FIVE))
+    grid = rows.select(*by).distinct().select(*by, F.explode(names).alias("actual")).select(*by, "actual", F.explode(names).alias("predicted"))
+    return grid.join(counts, [*by, "actual", "predicted"], "left").na.fill(0, ["n"])
+
+
+def five_class_report(rows: DataFrame, actual: str, predicted: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Figures of each class (by, class, support, said, precision, recall, f1, status) and of all: by, macro_f1, weighted_f1, warnings, status.
+
+    Ratios without a base are 0. Warnings: low_macro_f1, zero_recall_for_extreme_classes, prediction_class_collapse; without any the
+    status is production_ready, else experimental. A class with fewer than 50 rows has insufficient_support.
+    """
+    cells = confusion(rows, actual, predicted, by)
+    sides = [cells.select(*by, F.col(c).alias("class"), *[(F.when(F.lit(c == k), F.col("n")).otherwise(0)).alias(v) for k, v in (("actual", "support"), ("predicted", "said"))], F.when((F.lit(c) == "actual") & (F.col("actual") == F.col("predicted")), F.col("n")).otherwise(0).alias("tp")) for c in ("actual", "predicted")]
+    per = sides[0].union(sides[1]).groupBy(*by, "class").agg(*[F.sum(c).alias(c) for c in ("support", "said", "tp")])
+    ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+    per = per.withColumns({"precision": ratio(F.col("tp"), F.col("said")), "recall": ratio(F.col("tp"), F.col("support")), "f1": ratio(2 * F.col("tp"), F.col("said") + F.col("support"))})
+    per = per.withColumn("status", F.when(F.col("support") >= SUPPORT, "ok").otherwise("insufficient_support"))
+    macro = F.avg("f1")
+    all_ = per.groupBy(*by).agg(
+        macro.alias("macro_f1"), ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"), F.sum("support").alias("n"),
+        F.array_compact(F.array(
+            F.when(macro < LEAST_MACRO, F.lit("low_macro_f1")), F.when(F.min(F.when(F.col("class").isin(*EXTREME), F.col("recall"))) <= 0, F.lit("zero_recall_for_extreme_classes")),
+            F.when(F.count_if(F.col("said") > 0) < LEAST_SAID, F.lit("prediction_class_collapse")),
+        )).alias("warnings"),
+    )
+    return per.drop("tp"), all_.withColumn("status", F.when(F.size("warnings") == 0, "production_ready").otherwise("experimental"))
+
+
 def regression_metrics(rows: DataFrame, actual: str, predicted: str, by: list[str]) -> DataFrame:
     """MAE, RMSE, rank correlation (average ranks; null if one side is constant) and share of right signs."""
     both = rows.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())

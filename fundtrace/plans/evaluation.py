@@ -259,6 +259,39 @@ def calibration_curve(v: Views):
     return ev.calibration_curve(v.fx_scores, "y", "p")
 
 
+def _five(c: str) -> str:
+    return f"CASE WHEN {c} >= 0.03 THEN 'large_win' WHEN {c} >= 0.005 THEN 'small_win' WHEN {c} <= -0.03 THEN 'large_loss' WHEN {c} <= -0.005 THEN 'small_loss' ELSE 'neutral' END"
+
+
+FIVE_ROWS = f"""WITH r AS (SELECT window_years, {_five("excess")} AS a, {_five("expected")} AS b FROM {{fx_fold_scores}}), k AS (SELECT unnest(['large_loss', 'small_loss', 'neutral', 'small_win', 'large_win']) AS class),
+g AS (SELECT DISTINCT window_years FROM r), c AS (SELECT g.window_years, class, (SELECT count(*) FROM r WHERE r.window_years = g.window_years AND a = class) AS support, (SELECT count(*) FROM r WHERE r.window_years = g.window_years AND b = class) AS said,
+  (SELECT count(*) FROM r WHERE r.window_years = g.window_years AND a = class AND b = class) AS tp FROM g, k),
+p AS (SELECT *, coalesce(tp / nullif(said, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall, coalesce(2 * tp / nullif(said + support, 0), 0) AS f1 FROM c)
+"""
+
+
+def _five_rows(v: Views):
+    label = lambda c: F.when(F.col(c) >= 0.03, "large_win").when(F.col(c) >= 0.005, "small_win").when(F.col(c) <= -0.03, "large_loss").when(F.col(c) <= -0.005, "small_loss").otherwise("neutral")
+    return v.fx_fold_scores.select("window_years", label("excess").alias("a"), label("expected").alias("b"))
+
+
+@query("m10_five_class_report", FIVE_ROWS + "SELECT window_years, class, support, said, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CASE WHEN support >= 50 THEN 'ok' ELSE 'insufficient_support' END AS status FROM p")
+def five_class_report(v: Views):
+    return ev.five_class_report(_five_rows(v), "a", "b", ["window_years"])[0]
+
+
+@query("m10_five_class_summary", FIVE_ROWS + """, s AS (SELECT window_years, avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1, sum(support)::BIGINT AS n,
+  concat_ws(',', CASE WHEN avg(f1) < 0.3 THEN 'low_macro_f1' END, CASE WHEN min(recall) FILTER (class LIKE 'large%') <= 0 THEN 'zero_recall_for_extreme_classes' END, CASE WHEN count(*) FILTER (said > 0) < 3 THEN 'prediction_class_collapse' END) AS warnings FROM p GROUP BY 1)
+SELECT window_years, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1, n, warnings, CASE WHEN warnings = '' THEN 'production_ready' ELSE 'experimental' END AS status FROM s""")
+def five_class_summary(v: Views):
+    return ev.five_class_report(_five_rows(v), "a", "b", ["window_years"])[1].withColumn("warnings", F.array_join("warnings", ","))
+
+
+@query("m10_confusion", FIVE_ROWS + "SELECT g.window_years, x.class AS actual, y.class AS predicted, (SELECT count(*) FROM r WHERE r.window_years = g.window_years AND a = x.class AND b = y.class) AS n FROM g, k x, k y")
+def confusion(v: Views):
+    return ev.confusion(_five_rows(v), "a", "b", ["window_years"])
+
+
 @query("m10_class_metrics", """
 WITH r AS (SELECT source AS a, CASE WHEN p > 0.5 THEN source ELSE 'src1' END AS b FROM {fx_scores}), c AS (SELECT c AS class, (SELECT count(*) FROM r WHERE a = c) AS support, (SELECT count(*) FROM r WHERE b = c) AS said, (SELECT count(*) FROM r WHERE a = c AND b = c) AS tp FROM (SELECT a AS c FROM r UNION SELECT b FROM r))
 SELECT class, support, said, tp, round(tp / nullif(said, 0), 6) AS precision, round(tp / nullif(support, 0), 6) AS recall, round(2 * tp / (said + support), 6) AS f1 FROM c""")

@@ -122,33 +122,20 @@ def _names(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
 
-def spark_sql(spark: SparkSession, sf_dir: str, sql: str, **own: DataFrame) -> DataFrame:
-    """Run SQL over ``{tables}``, views and frames of one's own."""
-    given = {n: own[n] if n in own else view(spark, sf_dir, n) for n in _names(sql)}
-    return spark.sql(sql, **given)
+#: Panels that a query may read more than once: far smaller than the lines they sum up, and kept while that query runs.
+PANELS = ("fx_fund_month", "fx_port_month", "fx_events", "fx_actions", "fx_fold_scores")
 
 
-#: Panels that most queries read: far smaller than the lines they sum up, and kept by Spark once read in a session.
-PANELS = ("fx_fund_month", "fx_port_month", "fx_events", "fx_actions", "fx_fold_scores", "fx_holdings")
-_kept: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table or view as a DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, kept: dict[str, DataFrame]) -> DataFrame:
+    """A table or view as a DataFrame. ``kept``: the panels of the query that asks, which gets new ones added."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name not in PANELS:
-        return spark_sql(spark, sf_dir, VIEWS[name])
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _kept:
-        _kept[key] = spark_sql(spark, sf_dir, VIEWS[name]).persist()
-    return _kept[key]
-
-
-def release_panels() -> None:
-    """Free the panels that are kept."""
-    while _kept:
-        _kept.popitem()[1].unpersist()
+    if name not in kept:
+        made = spark.sql(VIEWS[name], **{n: view(spark, sf_dir, n, kept) for n in _names(VIEWS[name])})
+        if name not in PANELS:
+            return made
+        kept[name] = made.persist()
+    return kept[name]
 
 
 def duck_sql(sql: str) -> str:

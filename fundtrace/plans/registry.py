@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,17 +19,30 @@ class Views:
     """Tables and views of one folder, by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.kept = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, name)
+        return view(self.spark, self.sf_dir, name, self.kept)
+
+
+def _answer(f: Callable[[Views], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of a query. The panels that it keeps are its own and are freed with the result."""
+    v = Views(spark, sf_dir)
+    out = rounded(f(v))
+    weakref.finalize(out, _free, v.kept).atexit = False
+    return out
+
+
+def _free(kept: dict[str, DataFrame]) -> None:
+    while kept:
+        kept.popitem()[1].unpersist()
 
 
 def query(name: str, sql: str | None = None):
     """Register a function of Views as a query; doubles of its result are rounded to 6 digits, as the SQL must do."""
 
     def register(f: Callable[[Views], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(Views(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: _answer(f, spark, sf_dir)
         if sql:
             SQL[name] = duck_sql(sql)
         return f
