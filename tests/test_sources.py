@@ -60,3 +60,23 @@ def test_percentiles_of_groups_are_exact(spark, monkeypatch):
         assert set(got) == set(groups)
         for g, xs in groups.items():
             assert np.allclose(got[g], np.quantile(xs, shares))
+
+
+def test_queries_read_what_is_there_now(spark, tmp_path):
+    import gc
+    from pathlib import Path
+
+    import pandas as pd
+
+    from fundtrace import plans
+
+    for p in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        (tmp_path / p.name).symlink_to(p)
+    query, path = plans.queries()["a01_portfolio_month"], str(tmp_path)
+    before = query(spark, path).count()
+    gc.collect()
+    lines = pd.read_parquet("/root/testdata/sf0.001/lineitem.parquet")
+    (tmp_path / "lineitem.parquet").unlink()
+    lines[lines.l_suppkey < lines.l_suppkey.median()].to_parquet(tmp_path / "lineitem.parquet", index=False)
+    assert 0 < query(spark, path).count() < before
+    gc.collect()
