@@ -122,20 +122,11 @@ def _names(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
 
-#: Panels that a query may read more than once: far smaller than the lines they sum up, and kept while that query runs.
-PANELS = ("fx_fund_month", "fx_port_month", "fx_events", "fx_actions", "fx_fold_scores")
-
-
-def view(spark: SparkSession, sf_dir: str, name: str, kept: dict[str, DataFrame]) -> DataFrame:
-    """A table or view as a DataFrame. ``kept``: the panels of the query that asks, which gets new ones added."""
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table or view as a DataFrame. Nothing is cached."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name not in kept:
-        made = spark.sql(VIEWS[name], **{n: view(spark, sf_dir, n, kept) for n in _names(VIEWS[name])})
-        if name not in PANELS:
-            return made
-        kept[name] = made.persist()
-    return kept[name]
+    return spark.sql(VIEWS[name], **{n: view(spark, sf_dir, n) for n in _names(VIEWS[name])})
 
 
 def duck_sql(sql: str) -> str:

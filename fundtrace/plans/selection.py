@@ -16,6 +16,7 @@ from fundtrace.operators import evaluation as ev
 from fundtrace.operators import selection as sl
 from fundtrace.plans.evaluation import DRIFT_COLS, FOLDS, SECS
 from fundtrace.plans.registry import Views, query
+from fundtrace.sources.scratch import written
 
 BY, OUTER = ["window_years", "fold"], 2000
 SAFE = """SELECT *, CASE WHEN t NOT BETWEEN 20 AND 80 OR predicted_rate < 0.02 OR predicted_rate > 0.98 OR gap > 0.2 THEN 0 ELSE 1 END AS safe, balanced - 0.25 * gap AS score FROM
@@ -49,7 +50,7 @@ END = "z AS (SELECT 1) "
 
 def fold_metrics(v: Views):
     """A row for each window and fold, as the window rules want it."""
-    s = v.fx_fold_scores
+    s = written(v.fx_fold_scores, "fold-scores")  # read by each part below
     area, precision = ev.roc_auc(s, "y", "p", BY), ev.average_precision(s, "y", "p", BY)
     market = ev.roc_auc(s, "y", "market", BY).withColumnRenamed("auc", "market_auc")
     sizes = ev.regression_metrics(s, "excess", "expected", BY).select(*BY, "spearman")
