@@ -115,3 +115,47 @@ def cluster_name(top_features: Column) -> Column:
 def readiness(warnings: Column, hard: list[str]) -> Column:
     """blocked if a hard warning is there, review if any, else ready."""
     return F.when(F.arrays_overlap(warnings, F.array(*map(F.lit, hard))), "blocked").when(F.size(warnings) > 0, "review").otherwise("ready")
+
+
+#: Warnings that reject a case, and its three states of readiness.
+HARD_WARNINGS = ("missing_event_id", "missing_report_date", "feature_available_after_event_anchor", "style_window_not_strictly_ex_ante", "dataset_availability_check_failed")
+CASE_READINESS = ("reject_until_temporal_or_identity_issue_is_fixed", "ready_for_critic_with_explicit_data_warnings", "ready_for_reliability_aware_critic")
+
+
+def case_warnings(event_id: Column, report: Column, available: Column, style_end: Column, check: Column, history: Column, observations: Column) -> Column:
+    """What speaks against the dates and the history of a case, in order. ``check`` and ``history`` are booleans, ``observations`` text or a number."""
+    seen = observations.cast("string")
+    n = F.when(seen.isNull() | (seen == ""), 0.0).otherwise(seen.try_cast("double"))
+    return F.array_compact(F.array(
+        F.when(F.coalesce(event_id.cast("string"), F.lit("")) == "", F.lit("missing_event_id")),
+        F.when(report.isNull(), F.lit("missing_report_date")),
+        F.when(available.isNull(), F.lit("missing_feature_available_at")).when(available > report, F.lit("feature_available_after_event_anchor")),
+        F.when(style_end.isNull(), F.lit("missing_style_window_end")).when(style_end >= report, F.lit("style_window_not_strictly_ex_ante")),
+        F.when(check.isNull(), F.lit("dataset_availability_check_unverified")).when(~check, F.lit("dataset_availability_check_failed")),
+        F.when(~F.coalesce(history, F.lit(False)), F.lit("manager_history_unavailable_or_unverified")),
+        F.when(n.isNull(), F.lit("style_observation_count_invalid")).when(n <= 0, F.lit("style_baseline_has_no_observations")),
+    ))
+
+
+def temporal_status(warnings: Column) -> Column:
+    """failed with a hard warning, unverified if a warning speaks of something missing or unverified, else passed."""
+    open_ = F.exists(warnings, lambda w: w.contains("unverified") | w.contains("missing"))
+    return F.when(F.arrays_overlap(warnings, F.array(*map(F.lit, HARD_WARNINGS))), "failed").when(open_, "unverified").otherwise("passed")
+
+
+def case_readiness(warnings: Column) -> Column:
+    """What a reader may do with a case that has these warnings."""
+    hard = F.arrays_overlap(warnings, F.array(*map(F.lit, HARD_WARNINGS)))
+    return F.when(hard, CASE_READINESS[0]).when(F.size(warnings) > 0, CASE_READINESS[1]).otherwise(CASE_READINESS[2])
+
+
+def outcome_bucket(future: Column) -> Column:
+    """good above 0, bad otherwise, unknown if missing or not finite."""
+    finite = future.isNotNull() & ~F.isnan(future) & (F.abs(future) < float("inf"))
+    return F.when(~finite, "unknown").when(future > 0, "good").otherwise("bad")
+
+
+def outcome_text(future: Column) -> Column:
+    """The outcome of twelve months in words."""
+    words = {"good": "Good: future 12M positive excess", "bad": "Bad: future 12M negative excess", "unknown": "Outcome unknown"}
+    return F.coalesce(*[F.when(outcome_bucket(future) == k, F.lit(w)) for k, w in words.items()])

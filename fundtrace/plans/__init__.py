@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("timeseries", "joins", "scores", "levels", "evaluation", "models", "actions", "selection", "training")
+FAMILIES = ("timeseries", "joins", "scores", "levels", "evaluation", "models", "actions", "selection", "training", "filters")
 
 
 def _registry():

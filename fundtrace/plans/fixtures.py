@@ -111,6 +111,24 @@ VIEWS = {
     "fx_scores": """
         SELECT l.doc_id, l.quality AS y, CAST((l.doc_id * 7919 + 13) % 1000 + 0.5 AS DOUBLE) / 1000 AS p, d.lang, d.source
         FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
+    "fx_regime": """
+        SELECT b.caldt, round(lag(rate, 1) OVER o, 9) AS rate_level, round(lag(rate, 1) OVER o - lag(rate, 4) OVER o, 9) AS rate_change,
+               round(CASE WHEN count(bret) OVER w >= 9 THEN stddev_samp(bret) OVER w * sqrt(12) END, 9) AS market_vol, round(avg(bret) OVER w * 12, 9) AS market_return,
+               round(min(bret) OVER w * 3, 9) AS market_drawdown
+        FROM {fx_benchmark} b LEFT JOIN {fx_rate} r ON b.month_idx = r.month_idx
+        WINDOW o AS (ORDER BY b.month_idx), w AS (ORDER BY b.month_idx RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING)""",
+    "fx_detail": """
+        SELECT h.portfolio, h.report_dt, h.security, h.name, h.ticker, h.sector, h.security_rank, m.manager, concat('F', CAST(h.portfolio AS STRING), 'X') AS fund_ticker, concat(m.manager, ' Fund') AS fund_name,
+               m.family AS objective, CASE WHEN h.security % 3 = 0 THEN NULL ELSE concat('Industry ', CAST(h.security % 7 AS STRING)) END AS industry,
+               CASE WHEN h.report_dt < DATE '1996-01-01' THEN 'early' ELSE 'late' END AS period_key
+        FROM {fx_holdings} h JOIN {fx_port_month} m ON h.portfolio = m.portfolio AND h.report_dt = m.caldt""",
+    "fx_case": """
+        SELECT CASE WHEN k % 17 = 0 THEN NULL ELSE concat(CAST(portfolio AS STRING), '_', CAST(report_dt AS STRING)) END AS event_id, portfolio, report_dt, manager,
+               CASE WHEN k % 13 = 0 THEN NULL WHEN k % 11 = 0 THEN next_dt ELSE last_dt END AS available_dt, CASE WHEN k % 7 = 0 THEN report_dt ELSE last_dt END AS style_end_dt,
+               CASE WHEN k % 5 = 0 THEN NULL ELSE last_dt END AS score_end_dt, CASE WHEN k % 19 = 0 THEN NULL ELSE k % 23 <> 0 END AS passed, k % 4 > 0 AS has_history,
+               CASE WHEN k % 9 = 0 THEN 'n/a' WHEN k % 8 = 0 THEN '0' ELSE CAST(k AS STRING) END AS style_obs
+        FROM (SELECT portfolio, report_dt, manager, portfolio * 3 + year(report_dt) * 4 + quarter(report_dt) AS k, lag(report_dt) OVER w AS last_dt, lead(report_dt) OVER w AS next_dt
+              FROM {fx_events} WINDOW w AS (PARTITION BY portfolio ORDER BY report_dt)) AS e""",
     "fx_docs": """
         SELECT doc_id, text, source, lang,
                CASE WHEN doc_id % 17 = 0 THEN NULL ELSE date_add(DATE '1995-01-01', CAST(doc_id % 2500 AS INT)) END AS doc_date

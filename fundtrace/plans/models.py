@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fundtrace import contract
 from fundtrace.operators import evaluation as ev
 from fundtrace.operators import models as md
 from fundtrace.operators.joins import first_by
@@ -113,17 +112,6 @@ def report_filter(v: Views):
     return v.fx_events.where(F.col("report_dt").between("1996-01-01", "1998-12-31")).join(m, "manager", "left_semi").select("portfolio", "report_dt").orderBy("report_dt", "portfolio")
 
 
-@query("p09_thematic_filter", "SELECT p_partkey FROM {part} WHERE starts_with(p_type, 'S') OR regexp_matches(lower(p_name), 'bolt|ring')")
-def thematic_filter(v: Views):
-    return v.part.where(F.col("p_type").startswith("S") | F.col("p_name").rlike("(?i)bolt|ring")).select("p_partkey")
-
-
-@query("p10_model_eligibility", "SELECT portfolio, report_dt FROM {fx_events} WHERE coalesce(d_stock, d_bond, d_cash) IS NOT NULL AND coalesce(stock, bond) IS NOT NULL")
-def model_eligibility(v: Views):
-    contract.check_features(["stock", "bond", "d_stock", "d_bond", "d_cash"])
-    return v.fx_events.where(F.coalesce("d_stock", "d_bond", "d_cash").isNotNull() & F.coalesce("stock", "bond").isNotNull()).select("portfolio", "report_dt")
-
-
 @query("p12_horizon_slice", "SELECT portfolio, report_dt FROM {fx_events} WHERE d_bond IS NOT NULL AND CAST(date_trunc('month', report_dt) + INTERVAL 7 MONTH - INTERVAL 1 DAY AS DATE) <= DATE '2000-12-31'")
 def horizon_slice(v: Views):
     from fundtrace.streaming.monthly import mature_labels
@@ -149,11 +137,6 @@ def case_flags(v: Views):
     return v.fx_events.select("portfolio", "report_dt", (F.col("stock").isNotNull() & F.col("cash").isNotNull()).alias("clean"), clear.alias("clear_action"), F.col("d_bond").isNotNull().alias("has_outcome"), (F.coalesce("stock", F.lit(0.0)) * F.col("mret")).alias("stock_x_market"), non_stock.alias("non_stock"))
 
 
-@query("p16_scope_filter", "SELECT doc_id FROM {documents} WHERE regexp_matches(lower(text), 'license|trash')")
-def scope_filter(v: Views):
-    return v.documents.where(F.lower("text").rlike("license|trash")).select("doc_id")
-
-
 @query("k03_newest_rows", "SELECT doc_id, doc_date FROM {fx_docs} WHERE doc_date IS NOT NULL ORDER BY doc_date DESC, doc_id LIMIT 50")
 def newest_rows(v: Views):
     return v.fx_docs.where("doc_date is not null").orderBy(F.desc("doc_date"), "doc_id").limit(50).select("doc_id", "doc_date")
