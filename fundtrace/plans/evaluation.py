@@ -12,6 +12,7 @@ from fundtrace.operators import retrieval as rt
 from fundtrace.operators.scores import percentiles_all
 from fundtrace.plans.registry import Views, query
 from fundtrace.sources import tables as st
+from fundtrace.sources.knowledge import BLANKS, knowledge_folder
 from fundtrace.sources.scratch import scratch_path
 
 
@@ -396,3 +397,33 @@ def point_in_time_retrieval(v: Views):
 @query("u05_distinct_evidence", "SELECT count(*) AS n FROM (SELECT DISTINCT text, lang FROM {documents})")
 def distinct_evidence(v: Views):
     return v.documents.dropDuplicates(["text", "lang"]).agg(F.count("*").alias("n"))
+
+
+BLANK_SQL = " || ".join(f"chr({ord(c)})" for c in BLANKS)
+KEPT = "CASE WHEN doc_id % 10 = 0 THEN NULL ELSE text END"
+
+
+def _knowledge(v: Views):
+    """Documents as JSON (even ids) and CSV files (odd ids) of bounded length, and the benchmark as text files, read back as a folder of knowledge."""
+    at = scratch_path(v.spark, "knowledge")
+    d = v.fx_docs.withColumns({"text": F.expr(KEPT), "title": F.concat(F.lit("doc "), F.col("doc_id").cast("string")), "date": F.coalesce("doc_date", F.to_date(F.lit("1995-01-01"))).cast("string")})
+    even, odd = d.where("doc_id % 2 = 0"), d.where("doc_id % 2 <> 0")
+    lists = even.groupBy(F.floor(F.col("doc_id") / 200).alias("part")).agg(F.collect_list(F.struct("title", "date", F.col("text").alias("content"), F.col("source").alias("type"))).alias("documents"))
+    lists.select("documents").write.option("maxRecordsPerFile", 1).json(f"{at}/json")
+    csv = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "maxRecordsPerFile": 500}
+    odd.select("title", "date", "text", F.col("lang").alias("evidence_type")).write.options(**csv).csv(f"{at}/csv")
+    v.benchmark.select("text").write.option("maxRecordsPerFile", 1).text(f"{at}/txt")
+    return knowledge_folder(v.spark, at)
+
+
+@query("s09_knowledge_documents", f"""
+SELECT 'doc ' || doc_id AS title, strftime(coalesce(doc_date, DATE '1995-01-01'), '%Y-%m-%d') AS doc_date, coalesce(CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END, 'local_document') AS type, md5(trim({KEPT}, {BLANK_SQL})) AS digest FROM {{fx_docs}} WHERE trim({KEPT}, {BLANK_SQL}) <> ''
+UNION ALL SELECT NULL, NULL, 'local_document', md5(trim(text, {BLANK_SQL})) FROM {{benchmark}} WHERE trim(text, {BLANK_SQL}) <> ''""")
+def knowledge_documents(v: Views):
+    named = F.col("title").startswith("doc ")  # text files are named by the writer
+    return _knowledge(v)[0].select(F.when(named, F.col("title")).alias("title"), F.when(named, F.col("doc_date")).alias("doc_date"), "type", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("s09_knowledge_rejects", f"SELECT 'no text' AS reason, count(*) AS n FROM (SELECT {KEPT} AS t FROM {{fx_docs}} UNION ALL SELECT text FROM {{benchmark}}) WHERE coalesce(trim(t, {BLANK_SQL}), '') = '' HAVING count(*) > 0")
+def knowledge_rejects(v: Views):
+    return _knowledge(v)[1].groupBy("reason").agg(F.count("*").alias("n"))

@@ -9,6 +9,7 @@ from fundtrace.operators import filters as fl
 from fundtrace.operators import retrieval as rt
 from fundtrace.plans import evaluation as pe
 from fundtrace.plans.registry import SQL, Views, query
+from fundtrace.sources.scratch import written
 from fundtrace.streaming.monthly import mature_labels
 
 
@@ -45,7 +46,7 @@ def _theme(name: str) -> str:
 @query("p09_thematic_filter", "WITH g AS (SELECT s.security, s.records, s.ticker, s.name, l.category, l.subcategory FROM {fx_secs} s JOIN (" + SQL["l02_two_groups"] + ") l ON l.security = s.security) "
     + " UNION ALL ".join(f"SELECT '{t}' AS theme, security, records FROM g WHERE {_theme(t)}" for t in fl.THEMES))
 def themes(v: Views):
-    g = pe._grouped(v)
+    g = written(pe._grouped(v).select("security", "records", "ticker", "name", "category", "subcategory"), "grouped")  # the rules are worked out once, not in each filter
     one = lambda t: fl.thematic(g, t, "category", ["ticker", "name", "subcategory"], "records").select(F.lit(t).alias("theme"), "security", "records")
     return one("rate").union(one("equity"))
 

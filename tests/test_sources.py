@@ -80,3 +80,48 @@ def test_queries_read_what_is_there_now(spark, tmp_path):
     lines[lines.l_suppkey < lines.l_suppkey.median()].to_parquet(tmp_path / "lineitem.parquet", index=False)
     assert 0 < query(spark, path).count() < before
     gc.collect()
+
+
+def test_knowledge_folder_reads_mixed_files_and_counts_rejects(spark, tmp_path):
+    import json
+
+    from fundtrace.sources.knowledge import knowledge_folder
+
+    root = tmp_path / "kb"
+    (root / "sub dir").mkdir(parents=True)
+    put = lambda name, text: (root / name).write_text(text, encoding="utf-8")
+    put("README.md", "not this one")
+    put("other.pdf", "nor this")
+    put("fomc_2001-05-15.txt", "  rates were cut\n\n")
+    put("sub dir/notes+a.md", "seen on 1999/03 in the first lines")
+    put("blank.txt", " \n\t\n")
+    put("list.json", json.dumps([{"title": "T", "date": "2000-01-02", "text": "", "content": "from content", "type": "macro"}, 7, {"body": " from body ", "evidence_type": "micro", "type": "x", "url": "u"}, {"title": "no text"}]))
+    put("docs.json", json.dumps({"documents": [{"text": "inside", "source": "S"}, {"text": 12}]}))
+    put("one.JSON", json.dumps({"text": "single"}))
+    put("number.json", "5")
+    put("broken.json", '[{"text": "a"')
+    put("rows.csv", '\ufefftitle,text\nA,"two\nlines"\nB,\n,"says ""so"""\n')
+    put("short.csv", "title,text\nonly title\n")
+    put("long.csv", "title,text\na,b,c\n")
+    put("open.csv", 'title,text\na,"b\n')
+    (root / "latin.txt").write_bytes(b"caf\xe9")
+    docs, rejects = knowledge_folder(spark, str(root))
+    got = {(r.file, r.item): (r.title, r.source, r.doc_date, r.type, r.url, r.text) for r in docs.collect()}
+    assert got == {
+        ("fomc_2001-05-15.txt", 1): ("fomc_2001-05-15 #1", "fomc_2001-05-15.txt", "2001-05-15", "local_document", None, "rates were cut"),
+        ("sub dir/notes+a.md", 1): ("notes+a #1", "sub dir/notes+a.md", "1999-03-01", "local_document", None, "seen on 1999/03 in the first lines"),
+        ("list.json", 1): ("T", "list.json", "2000-01-02", "macro", None, "from content"),
+        ("list.json", 3): ("list #3", "list.json", None, "micro", "u", "from body"),
+        ("docs.json", 1): ("docs #1", "S", None, "local_document", None, "inside"),
+        ("docs.json", 2): ("docs #2", "docs.json", None, "local_document", None, "12"),
+        ("one.JSON", 1): ("one #1", "one.JSON", None, "local_document", None, "single"),
+        ("rows.csv", 1): ("A", "rows.csv", None, "local_document", None, "two\nlines"),
+        ("rows.csv", 3): ("rows #3", "rows.csv", None, "local_document", None, 'says "so"'),
+    }
+    assert {(r.file, r.item, r.reason) for r in rejects.collect()} == {
+        ("blank.txt", 1, "no text"), ("list.json", 4, "no text"), ("broken.json", None, "malformed json"), ("rows.csv", 2, "no text"), ("short.csv", 1, "no text"),
+        ("long.csv", None, "malformed csv"), ("open.csv", None, "malformed csv"), ("latin.txt", None, "not utf-8"),
+    }
+    (tmp_path / "empty").mkdir()
+    docs, rejects = knowledge_folder(spark, str(tmp_path / "empty"))
+    assert docs.count() == 0 and rejects.count() == 0
