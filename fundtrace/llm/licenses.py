@@ -1,10 +1,10 @@
 """Operator 5: licence scan by sparse TF-IDF cosine to templates, with inheritance from the nearest directory above.
 
-Each line of a file and its whole text are compared with the templates. The document frequency of every term is counted
+Each line of a file, each run of 2, 4 and 8 lines (headers are wrapped) and its whole text are compared with the templates. The document frequency of every term is counted
 over all files. A unit vector that has none of the words which carry more than 1 - bar^2 of a template's square sum can't
 reach the bar, so a line or text without any such word is not compared. Words that no template has only lengthen a vector, so
 lines that miss the bar even where these have the least weight are left out too; the rest are joined with the frequencies of
-their terms. Files without a licence of their own take
+their terms. A licence with versions is reported by its family unless just one of the numbers is there. Files without a licence of their own take
 that of the nearest directory above them that holds a licence file. Directories are joined by path, once each.
 """
 
@@ -14,7 +14,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,21 +50,52 @@ EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIR
 DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
 INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
 OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: Fixed value: the header that the GNU licences give, for a name and a version.
+GNU_HEADER = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the
+Free Software Foundation, either version {} of the License, or (at your option) any later version."""
+GNU_REST = """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {} for more details. You should have received a copy of the GNU {}
+along with this program. If not, see <https://www.gnu.org/licenses/>."""
+GPL, LGPL, AGPL = "General Public License", "Lesser General Public License", "Affero General Public License"
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"""
+APACHE_REST = """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+permissions and limitations under the License."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+MPL_REST = "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+
+
+def gnu(name: str, version: str) -> list[str]:
+    """Title, header, and header with its disclaimer."""
+    header = GNU_HEADER.format(name, version)
+    return [f"GNU {name}, version {version}.", header, f"{header} {GNU_REST.format(name, name)}"]
+
+
 #: Short texts by which licences are named in headers, and whole ones.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
+    "AGPL-3.0": gnu(AGPL, "3"),
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        APACHE, f"{APACHE} {APACHE_REST}", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    ],
     "BSD-2-Clause": [f"{BSD_TERMS} {BSD_DISCLAIMER}"],
     "BSD-3-Clause": [f"{BSD_TERMS} {BSD_ENDORSE} {BSD_DISCLAIMER}", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "Licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
-    "GPL-2.0": ["GNU General Public License, version 2."],
-    "GPL-3.0": ["GNU General Public License, version 3.", "This program is free software: you can redistribute it under the terms of the GNU General Public License, version 3."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "GPL-2.0": gnu(GPL, "2"),
+    "GPL-3.0": [*gnu(GPL, "3"), "This program is free software: you can redistribute it under the terms of the GNU General Public License, version 3."],
     "ISC": [ISC],
-    "LGPL-3.0": ["GNU Lesser General Public License, version 3."],
+    "LGPL-2.1": gnu(LGPL, "2.1"),
+    "LGPL-3.0": gnu(LGPL, "3"),
     "MIT": [MIT, "Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "MPL-2.0": [MPL, f"{MPL} {MPL_REST}"],
 }
+#: Licences whose versions have the same words: family and how the version is written.
+VERSIONS = {"GPL-2.0": ("GPL", ("2", "2.0", "v2")), "GPL-3.0": ("GPL", ("3", "3.0", "v3")), "LGPL-2.1": ("LGPL", ("2.1", "v2.1")), "LGPL-3.0": ("LGPL", ("3", "3.0", "v3"))}
+#: Lengths of the runs of lines.
+RUNS = (1, 2, 4, 8)
 TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 PIECES = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 THRESHOLD = 0.7
@@ -106,29 +139,47 @@ class Templates:
                 self.of.setdefault(t, []).append((i, x * x))
         self.least = (threshold - 1e-9) ** 2
 
-    def possible(self, terms: dict[str, int]) -> bool:
-        """Whether a unit vector of these terms can reach the bar: it is at most the root of a template's squares at them."""
+    def squares(self, terms: dict[str, int]) -> list[float]:
+        """Sum of each template's squares at these terms. The cosine of a unit vector of them is at most its root."""
         shared = [0.0] * len(self.vectors)
         for t in terms:
             for i, x in self.of.get(t, ()):
                 shared[i] += x
-        return max(shared) >= self.least
+        return shared
+
+    def runs(self, lines: list[Counter]) -> Iterator[tuple[int, int, Counter]]:
+        """First line (from 0), length and terms of the runs of lines that can reach the bar: squares of lines add up to no less than the run's."""
+        total = np.zeros((len(lines) + 1, len(self.vectors)))
+        for i, terms in enumerate(lines):
+            total[i + 1] = total[i] + self.squares(terms)
+        for size in RUNS:
+            if size > len(lines):
+                break
+            sums = total[size:] - total[:-size]
+            for i in np.flatnonzero(sums.max(axis=1) >= self.least - 1e-9):
+                yield int(i), size, sum(lines[i + 1 : i + size], lines[i].copy())
 
     def weight(self, df: int) -> float:
         return math.log((1 + self.files) / (1 + df)) + 1
 
     def best(self, terms: dict[str, int], df: dict[str, int] | None = None) -> tuple[float, str | None]:
-        """Highest cosine and its licence; the earlier name on a tie. ``df``: files of each word that no template has.
+        """Highest cosine and its licence, the earlier name on a tie. Of a family's versions it is the one whose number is there; the family without one or with several.
 
+        ``df``: files of each word that no template has.
         Without ``df`` these words weigh what a word of every file does, the least there is: no cosine is higher than that.
         """
-        if not self.possible(terms):
+        if max(self.squares(terms)) < self.least:
             return 0.0, None
         w = {t: (1 + math.log(n)) * (self.idf[t] if t in self.idf else 1.0 if df is None else self.weight(df[t])) for t, n in terms.items()}
         size = math.sqrt(math.fsum(x * x for x in w.values()))
         found = [(math.fsum(x * w.get(t, 0.0) for t, x in v.items()) / size, name) for name, v in self.vectors]
         cosine = max(c for c, _ in found)
-        return cosine, next(name for c, name in found if c >= cosine - 1e-12)
+        name = next(name for c, name in found if c >= cosine - 1e-12)
+        if name not in VERSIONS:
+            return cosine, name
+        family = VERSIONS[name][0]
+        said = [n for n, (f, written) in VERSIONS.items() if f == family and any(v in terms for v in written)]
+        return cosine, said[0] if len(said) == 1 else family
 
 
 def vocabulary() -> list[str]:
@@ -160,9 +211,9 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Licence of each file's own text: path, license (null: none), cosine, line (from 1; 0: whole text) and n_words.
+    """Licence of each file's own text: path, license (null: none), cosine, line (from 1; 0: whole text), lines (how many) and n_words.
 
-    The best line or the whole text counts, the earlier one on a tie. Null or empty text has no licence. Repeated rows stay
+    The best run of lines or the whole text counts, on a tie a run before the whole, the shorter and then the earlier one. Null or empty text has no licence. Repeated rows stay
     and are handled alike; long texts are taken whole; other columns play no part, whatever their names.
     """
     rows = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
@@ -179,18 +230,16 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
                 found, text = [], text or ""
                 low = text.lower()
                 if not templates.pieces.isdisjoint(pieces_of(low)):
-                    lines = low.split("\n")
-                    for i, line in [*enumerate(lines, 1), *([(0, low)] if len(lines) > 1 else [])]:
-                        if templates.pieces.isdisjoint(pieces_of(line)):
-                            continue
-                        terms = terms_of(line)
+                    lines = [terms_of(x) for x in low.split("\n")]
+                    whole = [(-1, len(lines), terms_of(low))] if len(lines) > 1 else []
+                    for i, size, terms in chain(templates.runs(lines), whole):
                         if templates.best(terms)[0] >= threshold - 1e-9:
-                            found.append({"line": i, "bag": " ".join(f"{t}:{n}" for t, n in sorted(terms.items()))})
+                            found.append({"line": i + 1, "lines": size, "bag": " ".join(f"{t}:{n}" for t, n in sorted(terms.items()))})
                 out.append((path, found, len(text.split())))
             yield pd.DataFrame(out, columns=["path", "found", "n_words"])
 
     # lines and texts that reach the bar if every other word has the least weight; equal ones are compared once
-    given = rows.mapInPandas(find, "path string, found array<struct<line: int, bag: string>>, n_words long")
+    given = rows.mapInPandas(find, "path string, found array<struct<line: int, lines: int, bag: string>>, n_words long")
     given = materialise(given.withColumn("row", F.monotonically_increasing_id()), "lines")
     each = given.select("row", F.explode("found").alias("c")).select("row", "c.*")
     terms = each.select("bag").distinct().select("bag", F.explode(F.split("bag", " ")).alias("t")).select("bag", F.split("t", ":")[0].alias("term"))
@@ -203,9 +252,9 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
             yield pd.DataFrame({"bag": b["bag"], "cosine": [g[0] for g in got], "license": [g[1] for g in got]})
 
     hits = known.mapInPandas(match, "bag string, cosine double, license string").where(F.col("cosine") >= threshold)
-    first = F.struct(F.negative("cosine"), F.col("line") == 0, "line")
-    best = each.join(hits, "bag").groupBy("row").agg(F.min_by(F.struct("license", "cosine", "line"), first).alias("best"))
-    return materialise(given.join(best, "row", "left").select("path", "best.license", "best.cosine", "best.line", "n_words"), "scanned")
+    first = F.struct(F.negative("cosine"), F.col("line") == 0, "lines", "line")
+    best = each.join(hits, "bag").groupBy("row").agg(F.min_by(F.struct("license", "cosine", "line", "lines"), first).alias("best"))
+    return materialise(given.join(best, "row", "left").select("path", "best.license", "best.cosine", "best.line", "best.lines", "n_words"), "scanned")
 
 
 def inherit(scanned: DataFrame, is_license_file: Column) -> DataFrame:

@@ -376,17 +376,34 @@ def test_licenses_against_plain_cosines(spark):
     templates = [(name, unit(terms(t))) for name, ts in sorted(licenses.TEMPLATES.items()) for t in ts]
     for i, text in enumerate(texts):
         lines = (text or "").split("\n")
-        cosines = [max((sum(x * own.get(t, 0) for t, x in v.items()), name) for name, v in templates) for part in [*lines, *([text] if len(lines) > 1 else [])] for own in [unit(terms(part))]]
+        runs = ["\n".join(lines[i : i + n]) for n in (1, 2, 4, 8) for i in range(len(lines) - n + 1)]
+        cosines = [max((sum(x * own.get(t, 0) for t, x in v.items()), name) for name, v in templates) for part in [*runs, text] for own in [unit(terms(part))]]
         best = max(c for c, _ in cosines)
         r = got.loc[str(i)]
         if best >= licenses.THRESHOLD + 1e-9:
-            assert abs(r.cosine - best) < 1e-9 and r.license in licenses.TEMPLATES
+            assert abs(r.cosine - best) < 1e-9 and r.license in {*licenses.TEMPLATES, "GPL", "LGPL"}
         else:
             assert r.license is None or best > licenses.THRESHOLD - 1e-9
     assert got.license.notna().sum() > 30 and got.license["152"] == "MPL-2.0"
     assert licenses.scan(spark.createDataFrame([("a/LICENSE", f"The MIT License\n\nCopyright (c) 2020 X\n\n{licenses.MIT}"), ("b", "x")], "path string, text string")).where("license = 'MIT'").count() == 1
 
 
+def test_licenses_of_wrapped_headers_and_versions(spark):
+    header = lambda name, v: f"# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU {name} as published by\n# the Free Software Foundation; either version {v} of the License, or\n# (at your option) any later version."
+    code = "\n".join(f"x{i} = compute(y{i}, {i})" for i in range(60))
+    texts = {
+        "GPL-2.0": f"# file a\n{header('General Public License', 2)}\n{code}", "GPL-3.0": f"{code}\n{header('General Public License', 3)}\n{code}",
+        "LGPL-2.1": f"{header('Lesser General Public License', '2.1')}\n{code}", "LGPL-3.0": f"{header('Lesser General Public License', 3)}\n{code}", "AGPL-3.0": f"GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3\n{code}",
+        "Apache-2.0": f"Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n{code}", "GPL": f"{header('General Public License', 'x').replace('version x of', 'any version of')}\n{code}",
+        "MPL-2.0": f"/* This Source Code Form is subject to the terms of the Mozilla\n * Public License, v. 2.0. If a copy of the MPL was not distributed with\n * this file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n{code}", "none": code,
+    }
+    rows = [*texts.items(), *((f"other{i}", f"{code} and words of no licence {i}") for i in range(300))]
+    got = {r.path: (r.license, r.line, r.lines) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {k: v[0] for k, v in got.items() if not k.startswith("other")} == {k: None if k == "none" else k for k in texts}
+    assert got["GPL-2.0"][1:] == (2, 4) and got["GPL-3.0"][1:] == (61, 4) and got["AGPL-3.0"][1:] == (1, 2)
+    assert all(v[0] is None for k, v in got.items() if k.startswith("other"))
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------
 
 
