@@ -12,6 +12,7 @@ from fundtrace.functions.labels import outcome_bucket, outcome_text
 from fundtrace.operators.evaluation import average_precision, direction_metrics, regression_metrics, roc_auc
 from fundtrace.operators.joins import first_by
 from fundtrace.operators.scores import percentiles_by
+from fundtrace.sources.scratch import written
 
 #: First word of the category and the words that mark items of a theme.
 THEMES = {
@@ -181,6 +182,7 @@ def regime_metrics(train: DataFrame, test: DataFrame, direction: str, p: str, ta
     inside = F.array_compact(F.array(*[F.when(holds(*rule), F.lit(name)) for name, rule in used.items()]))
     rows = test.select(F.explode(inside).alias("regime"), F.col(direction).alias("_dir"), F.col(p).alias("_p_"), F.col(target).alias("_t"), F.col(expected).alias("_e"))
     rows = rows.where(F.col("_dir").isin(-1, 1)).select("regime", (F.col("_dir") == 1).cast("int").alias("y"), F.col("_p_").alias("p"), F.col("_t").alias("actual"), F.col("_e").alias("expected"))
+    rows = written(rows, "regimes")  # read by four jobs
     names = test.sparkSession.createDataFrame([(n,) for n in used], "regime string")
     by = ["regime"]
     d = direction_metrics(rows, "y", "p", by, threshold)

@@ -38,6 +38,30 @@ def validity(left: DataFrame, right: DataFrame, key: str, date: str, begin: str,
     return left.join(r, (F.col(key) == F.col(f"_{key}")) & (F.col(date) >= F.col(begin)) & (F.col(end).isNull() | (F.col(date) <= F.col(end))), "left").drop(f"_{key}")
 
 
+def fund_panel(tables: dict[str, DataFrame], years: tuple[int | None, int | None] = (None, None), objective: tuple[str, str] = ("B", "Balanced")) -> DataFrame:
+    """A row for each monthly return with what is known of its fund then, for funds of an objective (code or name, trimmed) and a span of years.
+
+    ``tables``: returns (fund, caldt, ...), nav and tna (fund, caldt, ...), header (fund, portfolio, ...), fees and style (fund, begdt, enddt,
+    ...; valid from begdt to enddt, which may be open), flows (portfolio, trans_dt, ...; of the same month) and dividends (fund, caldt, ...).
+    Each may be missing for a row, but for the style that is asked for. Several dividends, flows or validities give several rows.
+    """
+    valid = lambda t: F.col("caldt").between(F.col(f"{t}.begdt"), F.coalesce(f"{t}.enddt", F.lit("9999-12-31").cast("date")))
+    low, high = years
+    out = tables["returns"]
+    if low is not None:
+        out = out.where(F.year("caldt") >= low)
+    if high is not None:
+        out = out.where(F.year("caldt") <= high)
+    for t in ("nav", "tna", "dividends"):
+        out = out.join(tables[t], ["fund", "caldt"], "left")
+    out = out.join(tables["header"], "fund", "left").withColumn("_month", F.year("caldt") * 12 + F.month("caldt"))
+    style = tables["style"].where((F.trim("objective_code") == objective[0]) | (F.trim("objective_name") == objective[1]))
+    for t, df, how in (("fees", tables["fees"], "left"), ("style", style, "inner")):
+        out = out.alias("r").join(df.alias(t), (F.col("r.fund") == F.col(f"{t}.fund")) & valid(t), how).select("r.*", *[F.col(f"{t}.{c}") for c in df.columns if c not in ("fund", "begdt", "enddt")])
+    flows = tables["flows"].withColumn("_month", F.year("trans_dt") * 12 + F.month("trans_dt"))
+    return out.join(flows, ["portfolio", "_month"], "left").drop("_month")
+
+
 def overlapping(intervals: DataFrame, key: str, begin: str, end: str) -> DataFrame:
     """Intervals that begin before an earlier one of the same key has ended; empty in sound data."""
     before = F.max(F.coalesce(F.col(end), F.to_date(F.lit("9999-12-31")))).over(W.partitionBy(key).orderBy(begin, end).rowsBetween(W.unboundedPreceding, -1))

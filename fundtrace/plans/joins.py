@@ -19,6 +19,30 @@ def fund_panel(v: Views):
     return f.join(v.fx_port_month.select("portfolio", "month_idx", "flow"), ["portfolio", "month_idx"], "left").select("fund", "caldt", "mret", "bret", "s_name", "r_name", F.round("flow", 2).alias("flow"))
 
 
+PANEL_TABLES = {
+    "returns": "SELECT fund, caldt, mret FROM {fx_fund_month}",
+    "nav": "SELECT fund, caldt, round(mtna / 1000, 6) AS mnav FROM {fx_fund_month} WHERE month_idx % 5 > 0",
+    "tna": "SELECT fund, caldt, mtna FROM {fx_fund_month} WHERE month_idx % 7 > 0",
+    "header": "SELECT s_suppkey AS fund, CAST(floor(s_suppkey / 2) AS BIGINT) AS portfolio, s_name AS fund_name, make_date(CAST(1985 + s_suppkey % 8 AS INT), CAST(1 + s_suppkey % 12 AS INT), 15) AS first_offer_dt FROM {supplier}",
+    "fees": "SELECT fund, begdt, enddt, payload AS exp_ratio FROM {fx_validity} WHERE year(begdt) <> 1997",
+    "style": "SELECT fund, begdt, enddt, CASE WHEN fund % 3 = 0 THEN ' B ' ELSE 'X' END AS objective_code, CASE WHEN fund % 3 = 1 THEN 'Balanced' ELSE 'Other' END AS objective_name FROM {fx_validity}",
+    "flows": "SELECT portfolio, make_date(year(caldt), month(caldt), 9) AS trans_dt, flow FROM {fx_port_month}",
+    "dividends": "SELECT fund, caldt, 'CD' AS kind, exp_ratio AS dis_amt FROM {fx_fund_month} WHERE (fund + month_idx) % 3 = 0 UNION ALL SELECT fund, caldt, 'CS', exp_ratio FROM {fx_fund_month} WHERE (fund + month_idx) % 6 = 0",
+}
+
+
+@query("j01_balanced_panel", "WITH " + ", ".join(f"pt_{n} AS ({q})" for n, q in PANEL_TABLES.items()) + """
+SELECT r.fund, r.caldt, round(mret, 6) AS mret, round(mnav, 5) AS mnav, round(mtna, 2) AS mtna, fund_name, h.portfolio, round((r.caldt - first_offer_dt) / 365.25, 6) AS age, round(exp_ratio, 6) AS exp_ratio, objective_code, objective_name, trans_dt, round(flow, 2) AS flow, kind, round(dis_amt, 6) AS dis_amt
+FROM pt_returns r LEFT JOIN pt_nav n ON r.fund = n.fund AND r.caldt = n.caldt LEFT JOIN pt_tna t ON r.fund = t.fund AND r.caldt = t.caldt LEFT JOIN pt_header h ON r.fund = h.fund
+LEFT JOIN pt_fees f ON r.fund = f.fund AND r.caldt >= f.begdt AND (r.caldt <= f.enddt OR f.enddt IS NULL) LEFT JOIN pt_style s ON r.fund = s.fund AND r.caldt >= s.begdt AND (r.caldt <= s.enddt OR s.enddt IS NULL)
+LEFT JOIN pt_flows w ON h.portfolio = w.portfolio AND year(r.caldt) = year(trans_dt) AND month(r.caldt) = month(trans_dt) LEFT JOIN pt_dividends d ON r.fund = d.fund AND r.caldt = d.caldt
+WHERE (trim(objective_code) = 'B' OR trim(objective_name) = 'Balanced') AND year(r.caldt) >= 1994""")
+def balanced_panel(v: Views):
+    tables = {n: v.sql(q) for n, q in PANEL_TABLES.items()}
+    p = j.fund_panel(tables, (1994, None)).withColumn("age", F.datediff("caldt", "first_offer_dt") / 365.25)
+    return p.select("fund", "caldt", "mret", F.round("mnav", 5).alias("mnav"), F.round("mtna", 2).alias("mtna"), "fund_name", "portfolio", "age", "exp_ratio", "objective_code", "objective_name", "trans_dt", F.round("flow", 2).alias("flow"), "kind", "dis_amt")
+
+
 @query("j02_validity_join", """
 SELECT f.fund, f.caldt, round(payload, 6) AS payload, begdt, enddt FROM {fx_fund_month} f LEFT JOIN {fx_validity} v ON f.fund = v.fund AND caldt >= begdt AND (enddt IS NULL OR caldt <= enddt)""")
 def validity_join(v: Views):

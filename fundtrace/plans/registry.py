@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,10 @@ class Views:
     def __getattr__(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, name)
 
+    def sql(self, text: str) -> DataFrame:
+        """A query over tables and views, named as ``{name}``."""
+        return self.spark.sql(text, **{n: getattr(self, n) for n in re.findall(r"\{(\w+)\}", text)})
+
 
 def query(name: str, sql: str | None = None):
     """Register a function of Views as a query; doubles of its result are rounded to 6 digits, as the SQL must do."""

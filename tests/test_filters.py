@@ -113,3 +113,22 @@ def test_regimes_take_bars_from_training_rows(spark):
     assert got["bear_trend"].n == 68 and got["bull_trend"].n == 133
     few = {r.regime: r for r in fl.regime_metrics(train, test.where("dir >= 0"), "dir", "p", "excess", "expected", 0.5).collect()}
     assert few["high_rate"].status == "insufficient_support" and few["high_rate"].positive_rate == 1.0 and few["high_rate"].auc is None
+
+
+def test_fund_panel_keeps_months_of_the_objective(spark):
+    from fundtrace.operators import joins as j
+
+    d = lambda y, m: DAY(y, m, 28)
+    make = spark.createDataFrame
+    tables = {
+        "returns": make([(1, d(2000, 1), 0.1), (1, d(2000, 2), 0.2), (1, d(1999, 1), 0.3), (2, d(2000, 1), 0.4), (3, d(2000, 1), 0.5), (4, d(2000, 1), 0.6)], "fund int, caldt date, mret double"),
+        "nav": make([(1, d(2000, 1), 10.0)], "fund int, caldt date, mnav double"),
+        "tna": make([(1, d(2000, 2), 99.0)], "fund int, caldt date, mtna double"),
+        "header": make([(1, 7), (2, 8)], "fund int, portfolio int"),
+        "fees": make([(1, d(1998, 1), d(2000, 1), 0.01), (1, DAY(2000, 1, 29), None, 0.02)], "fund int, begdt date, enddt date, fee double"),
+        "style": make([(1, d(1990, 1), None, "B ", None), (2, d(1990, 1), DAY(2000, 1, 27), "B", "Balanced"), (3, d(1990, 1), None, None, " Balanced "), (4, d(1990, 1), None, "G", "Growth")], "fund int, begdt date, enddt date, objective_code string, objective_name string"),
+        "flows": make([(7, DAY(2000, 1, 3), 5.0), (7, DAY(1999, 12, 31), 6.0)], "portfolio int, trans_dt date, flow double"),
+        "dividends": make([(1, d(2000, 2), 1.0), (1, d(2000, 2), 2.0)], "fund int, caldt date, paid double"),
+    }
+    got = sorted((r.fund, r.caldt.month, r.mnav, r.mtna, r.portfolio, r.fee, r.flow, r.paid) for r in j.fund_panel(tables, (2000, 2001)).collect())
+    assert got == [(1, 1, 10.0, None, 7, 0.01, 5.0, None), (1, 2, None, 99.0, 7, 0.02, None, 1.0), (1, 2, None, 99.0, 7, 0.02, None, 2.0), (3, 1, None, None, None, None, None, None)]
