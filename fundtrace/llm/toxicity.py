@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundtrace.llm.common import crc_of, documents, fit_logistic, materialise, release
@@ -213,17 +213,23 @@ class Classifier:
         return out
 
 
+def _drawn(key: str, n: int) -> Column:
+    """Whether a row is in a sample of about ``MAX_EXAMPLES`` of ``n``, by hash, on a grid of 1e12."""
+    coarse, fine = (F.pmod(h, F.lit(1_000_000)) for h in (F.xxhash64(key), F.xxhash64(key, F.lit(1))))
+    return coarse * 1_000_000 + fine < 10**12 * MAX_EXAMPLES // n
+
+
 def choose_examples(df: DataFrame, labels: DataFrame, label_col: str, teach: str, id_col: str, text_col: str) -> tuple[dict[bytes, int], list[Example]]:
     """The words of the labelled rows, numbered, and these rows, a bounded sample by hash."""
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(F.expr(teach)).distinct()
     n = y.count()
     if n > MAX_EXAMPLES:
-        y = y.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * MAX_EXAMPLES / n))
+        y = y.where(_drawn("id", n))
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(y), "id")  # about MAX_EXAMPLES labels at most
     alike = materialise(rows.groupBy("text").agg(F.count("*").alias("n"), F.sum("y").alias("toxic"), F.min("id").alias("one")), "examples")
     n = alike.count()
     if n > 2 * MAX_EXAMPLES:  # ids that stand for many texts
-        alike = alike.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * MAX_EXAMPLES / n))
+        alike = alike.where(_drawn("text", n))
     place: dict[bytes, int] = {}
     found: dict[bytes, list] = {}
     for r in alike.orderBy("one", "text").toLocalIterator():
