@@ -69,13 +69,10 @@ def overlapping(intervals: DataFrame, key: str, begin: str, end: str) -> DataFra
 
 
 def fallback(left: DataFrame, right: DataFrame, key: str, year: str, values: list[str], offsets: tuple[int, ...] = (0, -1, 1)) -> DataFrame:
-    """Add values of the first of year + offset that the right table has, and ``offset``."""
-    tries = left.withColumn("_row", F.monotonically_increasing_id())
-    each = tries.select("_row", key, year, F.posexplode(F.array(*map(F.lit, offsets))).alias("_nth", "offset")).withColumn("_y", F.col(year) + F.col("offset"))
-    r = right.select(F.col(key).alias("_k"), F.col(year).alias("_ry"), *values)
-    found = each.join(r, (F.col(key) == F.col("_k")) & (F.col("_y") == F.col("_ry")))
-    best = found.groupBy("_row").agg(F.min_by(F.struct("offset", *values), "_nth").alias("_v"))
-    return tries.join(best, "_row", "left").select(*left.columns, "_v.*")
+    """Add values of the first of year + offset that the right table has, and ``offset``. What answers a year is looked up by key and year."""
+    each = right.select(F.col(key).alias("_k"), F.col(year).alias("_ry"), *values, F.posexplode(F.array(*map(F.lit, offsets))).alias("_nth", "offset"))
+    answers = each.groupBy("_k", (F.col("_ry") - F.col("offset")).alias("_y")).agg(F.min_by(F.struct("offset", *values), "_nth").alias("_v"))
+    return left.join(answers, (F.col(key) == F.col("_k")) & (F.col(year) == F.col("_y")), "left").select(*left.columns, "_v.*")
 
 
 def spine_state(events: DataFrame, entity: str, date: str, value: str) -> DataFrame:

@@ -65,6 +65,32 @@ def test_fallback(spark):
     assert {r["y"]: r["beta"] for r in joins.fallback(left, b, "t", "y", ["beta"]).collect()} == {2000: 1.0, 2005: None}
 
 
+def test_fallback_of_rows_that_come_in_another_order_each_time(spark):
+    import numpy as np
+
+    left = spark.range(4000).select(F.concat(F.lit("k"), F.col("id") % 40).alias("t"), (F.col("id") / 40).cast("int").alias("y"))
+    mixed = left.repartition(3).mapInPandas(lambda bs: (b.sample(frac=1, random_state=np.random.default_rng()) for b in bs), left.schema)
+    b = left.where("y % 4 = 0").select("t", "y", (F.col("y") * 100 + F.substring("t", 2, 3).cast("int")).cast("double").alias("beta"))
+    got = {(r["t"], r["y"]): (r["offset"], r["beta"]) for r in joins.fallback(mixed, b, "t", "y", ["beta"]).collect()}
+    offset = {0: 0, 1: -1, 2: None, 3: 1}
+    want = {(f"k{k}", y): (o, None if o is None else 100.0 * (y + o) + k) if (o := offset[y % 4]) is None or y + o < 100 else (None, None) for k in range(40) for y in range(100)}
+    assert got == want
+
+
+def test_evidence_shared_by_events_is_gathered_once(spark):
+    events = spark.createDataFrame([("e1", 1, "m"), ("e2", 2, "m"), ("e3", 3, "n"), ("e4", 4, None)], "id string, p int, manager string")
+    funds = spark.createDataFrame([("m", 7), ("m", 5), ("n", 9), (None, 1)], "manager string, fund int")
+    held = spark.createDataFrame([(1, "m", "b", 2), (1, "m", "a", 2), (2, "x", "c", 1)], "p int, manager string, name string, nth int")
+    sources = {"funds": (funds, ["manager"], F.col("fund"), F.col("fund")), "held": (held, ["p", "manager"], F.col("nth"), F.col("name"))}
+    out = joins.event_evidence(events, "id", sources)
+    got = {r["id"]: (r["funds_names"], r["held_names"], len(r["funds"])) for r in out.collect()}
+    assert got == {"e1": (["5", "7"], ["a", "b"], 2), "e2": (["5", "7"], [], 2), "e3": (["9"], [], 1), "e4": ([], [], 0)}
+    assert out.where("id = 'e1'").first()["held"][0] == '{"p":1,"manager":"m","name":"a","nth":2}'
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # lists are joined whole; nothing is gathered after the join
+    assert joins.event_evidence(events, "id", sources, records=False).columns == ["id", "funds_names", "held_names"]
+
+
 def test_ranks(spark):
     df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 2.0, 3.0, None)], "x double")
     got = df.select("x", scores.pct_rank_avg("x", []).alias("a"), scores.share_at_or_below("x", []).alias("b")).orderBy(F.asc_nulls_last("x")).collect()
