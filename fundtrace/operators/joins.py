@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fundtrace.sources.scratch import written
+
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_date: str, right_date: str, values: list[str], max_days: int | None = None, lag_days: int = 0, forward: bool = False) -> DataFrame:
     """Add ``matched`` and ``values`` of the latest right row at or before each left date, or the first after it.
@@ -146,25 +148,27 @@ def containment(names: DataFrame, entries: DataFrame, a: str, b: str) -> DataFra
     return exact.select(a, b, F.lit("exact").alias("how")).union(loose.select(a, b, F.lit("contains").alias("how")))
 
 
-def event_evidence(events: DataFrame, event: str, sources: dict[str, tuple[DataFrame, list[str], Column, Column]]) -> DataFrame:
+def event_evidence(events: DataFrame, event: str, sources: dict[str, tuple[DataFrame, list[str], Column, Column]], records: bool = True) -> DataFrame:
     """What several sources say about each event: event, for each source its ordered records (JSON) and their names, and evidence (JSON of all).
 
     A source is a table, the columns by which it belongs to an event, a number that orders its records and the text that
-    names one. Each is brought to one keyed shape by an equi join, all are put together, and one shuffle gathers the
-    records of an event, in order of number (nulls first), then name, then record. Events without records have empty lists.
+    names one. The records of a source are gathered once for each of its keys, in order of number (nulls first), then name, then
+    record, and the lists are joined to the events, of which each has one row: what many events share is not spread out before. Sources
+    with fewer key columns than others are written and joined last, so that their lists are not shuffled with the events.
+    Events without records have empty lists. Without ``records`` there are only names.
     """
-    shape = events.select(event, F.lit("").alias("source"), F.lit(None).cast("double").alias("rank"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("record"))
-    for source, (rows, keys, rank, name) in sources.items():
-        own = rows.select(*keys, rank.cast("double").alias("rank"), name.cast("string").alias("name"), F.to_json(F.struct(*[c for c in rows.columns])).alias("record"))
-        shape = shape.unionByName(events.select(event, *keys).join(own, keys).select(event, F.lit(source).alias("source"), "rank", "name", "record"))
-    all_ = shape.groupBy(event).agg(F.array_sort(F.collect_list(F.struct("source", "rank", "name", "record"))).alias("_all"))
+    finest = max(len(keys) for _, keys, _, _ in sources.values())
+    out = events.select(event, *dict.fromkeys(k for _, keys, _, _ in sources.values() for k in keys if k != event))
+    for source, (rows, keys, rank, name) in sorted(sources.items(), key=lambda s: -len(s[1][1])):
+        own = rows.select(*keys, rank.cast("double").alias("rank"), name.cast("string").alias("name"), *([F.to_json(F.struct(*rows.columns)).alias("record")] if records else []))
+        lists = own.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*own.columns[len(keys) :]))).alias(f"_{source}"))
+        out = out.join(written(lists, source) if len(keys) < finest else lists, keys, "left")
 
     def of(source: str, field: str) -> Column:
-        return F.transform(F.filter("_all", lambda x: x["source"] == source), lambda x: x[field])
+        return F.coalesce(F.transform(f"_{source}", lambda x: x[field]), F.array().cast("array<string>"))
 
-    lists = [c for s in sources for c in (of(s, "record").alias(s), of(s, "name").alias(f"{s}_names"))]
-    out = all_.select(event, *lists)
-    return out.withColumn("evidence", F.to_json(F.struct(*sources)))
+    out = out.select(event, *[of(s, field).alias(n) for s in sources for field, n in (("record", s), ("name", f"{s}_names")) if records or field == "name"])
+    return out.withColumn("evidence", F.to_json(F.struct(*sources))) if records else out
 
 
 def membership(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
