@@ -4,28 +4,36 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fundtrace.sources.scratch import written
 
 
+def _once(c: Column, name: str) -> Column:
+    """A column that is worked out once, as a generator's output is, however often later columns read it."""
+    return F.explode(F.array(c)).alias(name)
+
+
 def chunks(docs: DataFrame, doc: str, text: str, size: int = 1800, overlap: int = 220) -> DataFrame:
     """Pieces of the text, blanks as one: doc, chunk (from 0), text. The piece that reaches the end is the last."""
-    clean = docs.select(doc, F.trim(F.regexp_replace(text, r"\s+", " ")).alias("t"))
-    n, step = F.char_length("t"), size - overlap
+    clean = docs.select(doc, _once(F.trim(F.regexp_replace(text, r"\s+", " ")), "_t"))
+    n, step = F.char_length("_t"), size - overlap
     last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
-    each = clean.where(n > 0).select(doc, "t", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
-    return each.select(doc, "chunk", F.substring(F.col("t"), F.col("chunk") * step + 1, F.lit(size)).alias("text"))
+    each = clean.where(n > 0).select(doc, "_t", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
+    return each.select(doc, "chunk", F.substring(F.col("_t"), F.col("chunk") * step + 1, F.lit(size)).alias("text"))
 
 
 def grams(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Words of two or more letters or digits and pairs of them, with counts: keys, term, tf."""
-    words = df.select(*keys, F.regexp_extract_all(F.lower(text), F.lit(r"\b[\p{L}\p{N}_]{2,}\b"), F.lit(0)).alias("w"))
-    pairs = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    both = words.select(*keys, F.explode(F.array_compact(F.concat("w", pairs))).alias("term"))
-    return both.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    """Words of two or more letters or digits and pairs of them, with counts: keys, term, tf. Each row is counted where it is, by its sorted terms."""
+    words = df.select(*keys, _once(F.regexp_extract_all(F.lower(text), F.lit(r"\b[\p{L}\p{N}_]{2,}\b"), F.lit(0)), "_w")).where(F.size("_w") > 0)
+    pairs = F.transform(F.slice("_w", F.lit(1), F.size("_w") - 1), lambda x, i: F.concat(x, F.lit(" "), F.get("_w", i + 1)))
+    ordered = words.select(*keys, _once(F.sort_array(F.concat("_w", pairs)), "_s"))
+    firsts = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
+    runs = ordered.select(*keys, "_s", _once(firsts, "_at"))
+    counted = F.transform("_at", lambda i, n: F.struct(F.get("_s", i).alias("term"), (F.coalesce(F.get("_at", n + 1), F.size("_s")) - i).cast("long").alias("tf")))
+    return runs.select(*keys, F.explode(counted).alias("_g")).select(*keys, "_g.term", "_g.tf")
 
 
 #: What evidence of one scope mentions.
@@ -59,25 +67,29 @@ def retrieve_many(pieces: DataFrame, keys: list[str], text: str, questions: Data
     L2-normalised weights. The vocabulary is the ``max_terms`` terms of highest count (ties by name); a question's own terms
     belong to its vocabulary too if their count with the question reaches that. Ties of the score (9 digits) go by keys.
 
-    The pieces are shuffled once, by keys, and counted where they are; the index of terms with dates is joined to the
-    terms of all questions. What a question changes in the norm of a piece is added to it by the terms they share.
+    The keys of pieces are unique. Pieces are cut and dealt once and written, counted where they are, and only
+    counts by term (once, for the vocabulary), norms and scores are shuffled. The index of terms with dates is joined to the terms of all questions. What a question changes in the norm of a piece is added to it by the terms they share.
     """
     dates = [date] if date else []
     if date:
         questions = questions.where(F.col(cutoff).isNotNull())
         last = questions.agg(F.max(cutoff).alias("_last"))
         pieces = pieces.join(F.broadcast(last), F.col(date) <= F.col("_last")).drop("_last")  # one row
-    pieces = pieces.select(*keys, *dates, text).repartition(*keys)
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a set number, so that pieces of few files are spread
+    pieces = written(pieces.select(*keys, *dates, text).repartition(parts, *keys), "pieces")
     each = grams(pieces, [*keys, *dates], text)
     size = pieces.agg((F.count("*") + 1).alias("_n"))
     stats = each.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     asked = grams(questions.select(event, *([cutoff] if date else []), question), [event, *([cutoff] if date else [])], question).withColumnRenamed("tf", "qtf")
-    known = asked.select("term").distinct()
+    known = written(asked.select("term").distinct(), "known")
+    few = known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    known = F.broadcast(known) if few else known
+    asked_for = each.join(known, "term", "left_semi")
     top = stats.orderBy(F.desc("total"), "term").limit(max_terms)
     idf = lambda df: F.log((1 + F.col("_n")) / (1 + df)) + 1
     vocabulary = written(top.join(F.broadcast(size), F.lit(True)).withColumn("idf", idf(F.col("df"))), "vocabulary")  # max_terms rows
     edge = vocabulary.agg(F.count("*").alias("_c"), F.min(F.struct("total", F.lit(0).alias("z"))).alias("_e"), F.max_by("term", F.struct(F.negative("total"), "term")).alias("_t"))
-    own = asked.join(stats.join(known, "term", "left_semi").select("term", "total", "df"), "term", "left").join(F.broadcast(edge), F.lit(True)).join(F.broadcast(size), F.lit(True))
+    own = asked.join(asked_for.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")), "term", "left").join(F.broadcast(edge), F.lit(True)).join(F.broadcast(size), F.lit(True))
     count = F.coalesce("total", F.lit(0)) + F.col("qtf")
     inside = (F.col("_c") < max_terms) | (count > F.col("_e.total")) | ((count == F.col("_e.total")) & (F.col("term") <= F.col("_t")))
     own = own.where(inside).withColumn("q_idf", idf(F.coalesce("df", F.lit(0)) + 1)).withColumn("_w", F.col("qtf") * F.col("q_idf"))
@@ -87,7 +99,7 @@ def retrieve_many(pieces: DataFrame, keys: list[str], text: str, questions: Data
     norms = each.join(F.broadcast(vocabulary.select("term", "idf")), "term").groupBy(*keys).agg(F.sum((F.col("tf") * F.col("idf")) ** 2).alias("_base"))
     own = written(own, "questions")
     few = own.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    index, own = (each, F.broadcast(own)) if few else (each.join(known, "term", "left_semi"), own)
+    index, own = (each, F.broadcast(own)) if few else (asked_for, own)
     met = index.join(own, (index["term"] == own["term"]) & ((F.col(date) <= F.col(cutoff)) if date else F.lit(True)))
     parts = met.groupBy(event, *keys).agg(F.sum(F.col("tf") * F.col("q_idf") * F.col("qw")).alias("_dot"), F.sum(F.col("tf") ** 2 * (F.col("q_idf") ** 2 - F.col("idf") ** 2)).alias("_more"))
     scored = parts.join(norms, keys, "left").withColumn("score", F.col("_dot") / F.sqrt(F.coalesce("_base", F.lit(0.0)) + F.col("_more"))).where("score > 0")

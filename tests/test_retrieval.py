@@ -142,3 +142,15 @@ def test_greedy_groups_against_the_plain_rule(spark, monkeypatch):
         out = md.greedy_groups(spark.createDataFrame(rows, "k int, v array<double>"), "k", "v")
         assert {r.k: r.leader for r in out.collect()} == want and len(leaders) > 3
     assert md.greedy_groups(spark.createDataFrame([], "k int, v array<double>"), "k", "v").count() == 0
+
+
+def test_grams_are_counted_where_the_text_is(spark):
+    texts = {1: "a bb bb  bb cc", 2: "Bb\nCC bb-cc", 3: "", 4: None, 5: "x y", 6: "one"}
+    df = spark.createDataFrame(list(texts.items()), "id int, text string")
+    counted = rt.grams(df, ["id"], "text")
+    got = {}
+    for r in counted.collect():
+        assert (r.id, r.term) not in got
+        got[r.id, r.term] = r.tf
+    assert got == {(k, t): n for k, text in texts.items() for t, n in plain_terms(text or "").items()}
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
