@@ -169,3 +169,23 @@ def test_training_end_to_end(spark):
     assert len(tests) == 2 * len({t.event_id for t in tests}) and all(t.p is not None and t.positive >= 0 and t.negative >= 0 and t.large >= tr.NEUTRAL for t in tests)
     assert all(abs(t.expected - (t.p * t.positive - (1 - t.p) * t.negative)) < 1e-9 for t in tests)
     assert run.scores.where("method = 'isotonic'").count() == 0  # too few rows for it
+
+
+def test_models_work_in_a_session_that_has_observed_something(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import Observation
+
+    from fundtrace.operators import models as md
+
+    seen = Observation()
+    spark.range(5).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 5}
+    rows = VectorAssembler(inputCols=["a"], outputCol="features").transform(spark.createDataFrame([(i % 2, 1.0, float(i % 7)) for i in range(60)], "y int, weight double, a double"))
+    for name in ("logistic", "forest", "boosted_1"):
+        out = md.fitted(md.direction_candidates(trees=2)[name], rows).transform(rows).select("y", tr.vector_to_array("probability")[1].alias("p"))
+        assert out.where("p between 0 and 1").count() == 60 and len(out.collect()) == 60
+    scores = rows.select(F.monotonically_increasing_id().alias("event_id"), F.lit("calibration").alias("split"), "y", (F.col("a") / 7).alias("p"))
+    assert len(md.calibrate(scores).collect()) == 180 and len(tr._methods(scores)[1].collect()) == 60
+    dates = spark.createDataFrame(made(44, 6), ROWS)
+    said = tr.baselines(dates, {"one": ["a"], "two": ["b"]}, {"one_only": ["one"]}, folds=1)
+    assert {r.baseline for r in said.select("baseline").distinct().collect()} == {"majority_class", "constant_probability", "logistic_full", "one_only", "full_minus_one", "full_minus_two"}
