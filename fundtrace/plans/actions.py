@@ -9,6 +9,7 @@ from fundtrace.operators import cases as cs
 from fundtrace.operators import models as md
 from fundtrace.operators.joins import first_by
 from fundtrace.operators.scores import number_rows, percentiles_all
+from fundtrace.plans.fixtures import ACTIONS
 from fundtrace.plans.registry import Views, query
 
 DELTAS = {"d_stock": "large stock change", "d_beta": "large beta change", "d_tech": "large technology change", "d_bond_money": "large bond/money change", "d_indirect": "large indirect equity change"}
@@ -159,12 +160,14 @@ def probability(h: int):
 @query("l12_prediction_class", "WITH " + EXPECTED + """
 SELECT portfolio, report_dt, CASE WHEN 1 / (1 + exp(-expected * 48)) BETWEEN 0.4 AND 0.6 OR abs(expected) < 0.005 THEN 'neutral' ELSE CASE WHEN abs(expected) >= large THEN 'large' ELSE 'small' END || CASE WHEN expected > 0 THEN '_win' ELSE '_loss' END END AS class FROM e, q""")
 def prediction_class(v: Views):
+    v.keep(*ACTIONS)
     return expected(v).select("portfolio", "report_dt", lb.prediction_class(probability(12), F.col("expected"), large_excess(v)).alias("class"))
 
 
 @query("l13_actual_class", "WITH " + EXPECTED + """
 SELECT portfolio, report_dt, CASE WHEN excess IS NULL THEN 'unknown' WHEN abs(excess) < 0.005 THEN 'neutral' ELSE CASE WHEN abs(excess) >= large THEN 'large' ELSE 'small' END || CASE WHEN excess > 0 THEN '_win' ELSE '_loss' END END AS class FROM e, q""")
 def actual_class(v: Views):
+    v.keep(*ACTIONS)
     return v.fx_actions.select("portfolio", "report_dt", lb.actual_class(F.col("excess"), large_excess(v)).alias("class"))
 
 
