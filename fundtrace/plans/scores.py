@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fundtrace.operators import scores as sc
+from fundtrace.plans.fixtures import ACTIONS
 from fundtrace.plans.registry import Views, query
 
 
@@ -96,6 +97,7 @@ PART = lambda c: f"abs({c})" if c == "drawdown" else c
     "z AS (SELECT portfolio, report_dt, excess, " + " + ".join(f"{w} * coalesce(({PART(c)} - avg({PART(c)}) OVER ()) / nullif(stddev_samp({PART(c)}) OVER (), 0), 0)" for c, w in sc.SIGNAL.items())
     + " AS signal FROM r) SELECT portfolio, report_dt, round(signal, 6) AS signal, excess > 0 AS future_positive, excess > 0 AND excess >= (SELECT quantile_cont(excess, 0.75) FROM z) AS future_high_positive FROM z")
 def weighted_signal(v: Views):
+    v.keep(*ACTIONS)
     rows = v.fx_actions.select("portfolio", "report_dt", "excess", *[F.expr(e).alias(c) for c, e in SIGNAL_PARTS.items()])
     return sc.weighted_signal(rows, "excess").select("portfolio", "report_dt", "signal", "future_positive", "future_high_positive")
 
