@@ -8,6 +8,7 @@ from fundtrace.functions import labels as lb
 from fundtrace.operators import filters as fl
 from fundtrace.operators import retrieval as rt
 from fundtrace.plans import evaluation as pe
+from fundtrace.plans.fixtures import ACTIONS
 from fundtrace.plans.registry import SQL, Views, query
 from fundtrace.sources.scratch import written
 from fundtrace.streaming.monthly import mature_labels
@@ -153,5 +154,7 @@ o AS (SELECT *, n >= 50 AND positives > 0 AND positives < n AS ok FROM c LEFT JO
 SELECT regime, CASE WHEN ok THEN 'ok' ELSE 'insufficient_support' END AS status, n, positives, n - positives AS negatives, round(positives / nullif(n, 0), 6) AS positive_rate, """
     + ", ".join(f"CASE WHEN ok THEN round({c}, 6) END AS {n}" for n, c in (("auc", "auc"), ("average_precision", "ap"), ("brier", "brier"), ("balanced_accuracy", "ba"), ("mae", "mae"), ("spearman", "CASE WHEN isfinite(spearman) THEN spearman END"), ("hit_rate", "hit_rate"))) + " FROM o")
 def regimes(v: Views):
+    v.keep(*ACTIONS)
     b = v.fx_fold_scores.where("window_years = 0").join(v.fx_regime.withColumnRenamed("caldt", "report_dt"), "report_dt").withColumn("dir", lb.direction(F.col("excess")))
+    b = written(b, "regime-rows")
     return fl.regime_metrics(b.where("fold < 1997"), b.where("fold >= 1997"), "dir", "p", "excess", "expected", 0.5)
