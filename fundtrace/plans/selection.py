@@ -15,8 +15,8 @@ from fundtrace.operators import classify as cl
 from fundtrace.operators import evaluation as ev
 from fundtrace.operators import selection as sl
 from fundtrace.plans.evaluation import DRIFT_COLS, FOLDS, SECS
+from fundtrace.plans.fixtures import ACTIONS, EVENTS
 from fundtrace.plans.registry import Views, query
-from fundtrace.sources.scratch import written
 
 BY, OUTER = ["window_years", "fold"], 2000
 SAFE = """SELECT *, CASE WHEN t NOT BETWEEN 20 AND 80 OR predicted_rate < 0.02 OR predicted_rate > 0.98 OR gap > 0.2 THEN 0 ELSE 1 END AS safe, balanced - 0.25 * gap AS score FROM
@@ -50,7 +50,7 @@ END = "z AS (SELECT 1) "
 
 def fold_metrics(v: Views):
     """A row for each window and fold, as the window rules want it."""
-    s = written(v.fx_fold_scores, "fold-scores")  # read by each part below
+    s = v.keep(*ACTIONS, "fx_fold_scores").fx_fold_scores  # read by each part below
     area, precision = ev.roc_auc(s, "y", "p", BY), ev.average_precision(s, "y", "p", BY)
     market = ev.roc_auc(s, "y", "market", BY).withColumnRenamed("auc", "market_auc")
     sizes = ev.regression_metrics(s, "excess", "expected", BY).select(*BY, "spearman")
@@ -131,6 +131,7 @@ SELECT '{c}' AS feature, round(low, 6) AS low, round(p01, 6) AS p01, round(p50,
   (SELECT min({c}) AS low, max({c}) AS high, quantile_cont({c}, 0.01) AS p01, quantile_cont({c}, 0.5) AS p50, quantile_cont({c}, 0.99) AS p99, count({c}) AS known, 1 - count({c}) / count(*) AS missing FROM {{fx_events}}),
   (SELECT len(list_filter(e, lambda x: x <= {c})) AS bin, count(*) AS n FROM {{fx_events}}, (SELECT list_distinct(quantile_cont({c}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM {{fx_events}}) WHERE {c} IS NOT NULL GROUP BY 1)""" for c in ("bond", "stock", "turn_ratio")))
 def drift_reference(v: Views):
+    v.keep(*EVENTS)
     r = sl.drift_reference(v.fx_events, ["bond", "stock", "turn_ratio"])
     return r.select("feature", "low", "p01", "p50", "p99", "high", "missing_rate", F.posexplode("shares").alias("bin", "share"))
 
