@@ -24,6 +24,27 @@ def test_query(spark, name):
         assert len(got)
 
 
+@pytest.mark.parametrize("name", ["j17_actions_predictions", "l12_prediction_class", "l13_actual_class", "m20_drift_reference", "w20_weighted_signal"])
+def test_views_that_a_query_reads_several_times_are_written_once(spark, name):
+    read = [f.rsplit("/", 1)[-1] for f in QUERIES[name](spark, SF).inputFiles()]
+    assert "lineitem.parquet" not in read or name == "j17_actions_predictions"  # which reads its holdings once
+    assert "supplier.parquet" not in read and "orders.parquet" not in read
+
+
+def test_kept_views_are_read_through_other_views(spark):
+    from fundtrace.plans.fixtures import ACTIONS
+    from fundtrace.plans.registry import Views
+    from fundtrace.plans.training import training_rows
+
+    plain, v = Views(spark, SF), Views(spark, SF).keep(*ACTIONS)
+    at = {n: df.inputFiles() for n, df in v.kept.items()}
+    assert not any(f.startswith("file:/root/testdata") for f in v.fx_fold_scores.inputFiles())
+    assert sorted(map(repr, v.fx_actions.collect())) == sorted(map(repr, plain.fx_actions.collect()))
+    v.keep(*ACTIONS)
+    assert {n: df.inputFiles() for n, df in v.kept.items()} == at
+    assert not any(f.startswith("file:/root/testdata") for f in training_rows(v).inputFiles()) and training_rows(v) is training_rows(v)
+
+
 def test_entry_has_all():
     import __spark_entry__ as entry
 
