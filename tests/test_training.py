@@ -189,3 +189,14 @@ def test_models_work_in_a_session_that_has_observed_something(spark):
     dates = spark.createDataFrame(made(44, 6), ROWS)
     said = tr.baselines(dates, {"one": ["a"], "two": ["b"]}, {"one_only": ["one"]}, folds=1)
     assert {r.baseline for r in said.select("baseline").distinct().collect()} == {"majority_class", "constant_probability", "logistic_full", "one_only", "full_minus_one", "full_minus_two"}
+
+
+def test_permuted_rows_are_those_of_one_shuffle_for_each_feature(spark, monkeypatch):
+    from fundtrace.operators import models as md
+
+    rng, sorts, number = random.Random(9), [], tr.number_rows
+    rows = spark.createDataFrame([(f"e{i}", i % 2, rng.random(), None if i % 5 == 0 else rng.random()) for i in range(70)], "event_id string, y int, a double, b double")
+    monkeypatch.setattr(tr, "number_rows", lambda *args: sorts.append(args) or number(*args))
+    got = sorted(map(repr, tr.permuted(rows, "event_id", ["a", "b"], 3).collect()))
+    want = [r for f in ("a", "b") for i in range(3) for r in md.shuffled(rows, "event_id", f, i).select(F.lit(f).alias("feature"), F.lit(i).alias("nth"), "y", "a", "b").collect()]
+    assert got == sorted(map(repr, want)) and len(got) == 420 and len(sorts) == 4
