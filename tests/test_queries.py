@@ -31,6 +31,14 @@ def test_views_that_a_query_reads_several_times_are_written_once(spark, name):
     assert "supplier.parquet" not in read and "orders.parquet" not in read
 
 
+def test_models_are_asked_once(spark, monkeypatch):
+    from fundtrace.operators import models as md
+
+    monkeypatch.setattr(md, "BOOSTED", md.BOOSTED[:1])
+    got = QUERIES["m05_direction_models"](spark, SF)
+    assert {f.split("/")[-2].split("-")[0] for f in got.inputFiles()} == {"scores"} and got.count() == 6
+
+
 def test_kept_views_are_read_through_other_views(spark):
     from fundtrace.plans.fixtures import ACTIONS
     from fundtrace.plans.registry import Views
