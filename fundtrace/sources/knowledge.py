@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import csv
-import io
+import re
+import sys
+from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,23 +18,45 @@ FIELDS = ("text", "content", "body", "title", "source", "date", "evidence_type",
 BLANKS = " \t\n\r\x0b\f\x1c\x1d\x1e\x1f\x85\xa0"
 ITEM = "struct<" + ", ".join(f"{f}: string" for f in FIELDS) + ">"
 ROWS = f"file string, item int, fields {ITEM}, reason string"
+ARROW_ROWS = pa.schema({"file": pa.string(), "item": pa.int32(), "fields": pa.struct({f: pa.string() for f in FIELDS}), "reason": pa.string()})
+#: Characters of the rows of CSV files that are handed back together, about.
+PIECE_CHARS = 1_000_000
 
 
-def _csv_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of whole CSV files; one that the reader can't follow gives a row with a reason."""
+def _dicts(text: str) -> Iterator[dict]:
+    """Rows of a CSV text by the names of its header; a row with more fields than names is an error."""
+    lines = (m[0] for m in re.finditer(r"[^\r\n]*(?:\r\n?|\n)|[^\r\n]+", text.removeprefix("\ufeff")))
+    for row in csv.DictReader(lines, strict=True):
+        if None in row:
+            raise csv.Error("more fields than names")
+        yield row
+
+
+def _csv_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole CSV files; one that the reader can't follow gives a row with a reason.
+
+    A file is first read through without keeping anything, then its rows are handed back in pieces of about ``PIECE_CHARS``,
+    so that besides the files that Spark sends, a worker holds one text and one piece.
+    """
+    csv.field_size_limit(sys.maxsize)
+    piece, size = [], 0
     for b in batches:
-        out = []
-        for file, text in zip(b["file"], b["content"], strict=True):
-            got = []
+        for file, content in zip(b.column("file"), b.column("content"), strict=True):
+            file, text = file.as_py(), content.as_py()
             try:
-                for i, row in enumerate(csv.DictReader(io.StringIO(text.removeprefix("\ufeff"), newline=""), strict=True), 1):
-                    if None in row:
-                        raise csv.Error("more fields than names")
-                    got.append((file, i, {f: row.get(f) for f in FIELDS}, None))
+                deque(_dicts(text), maxlen=0)
             except csv.Error:
-                got = [(file, None, None, "malformed csv")]
-            out += got
-        yield pd.DataFrame(out, columns=["file", "item", "fields", "reason"])
+                piece.append({"file": file, "reason": "malformed csv"})
+                continue
+            for i, row in enumerate(_dicts(text), 1):
+                fields = {f: row.get(f) for f in FIELDS}
+                piece.append({"file": file, "item": i, "fields": fields})
+                size += 100 + sum(len(x) for x in fields.values() if x)
+                if size >= PIECE_CHARS:
+                    yield pa.RecordBatch.from_pylist(piece, ARROW_ROWS)
+                    piece, size = [], 0
+    if piece:
+        yield pa.RecordBatch.from_pylist(piece, ARROW_ROWS)
 
 
 def _json_rows(files: DataFrame) -> DataFrame:
@@ -75,7 +99,7 @@ def knowledge_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     known = files.where("content is not null")
     empty = {f: F.lit(None).cast("string") for f in FIELDS}
     whole = known.where(F.col("kind").isin("txt", "md")).select("file", F.lit(1).alias("item"), F.struct(*[(F.col("content") if f == "text" else c).alias(f) for f, c in empty.items()]).alias("fields"), F.lit(None).cast("string").alias("reason"))
-    tables = known.where("kind = 'csv'").select("file", "content").mapInPandas(_csv_rows, ROWS)
+    tables = known.where("kind = 'csv'").select("file", "content").mapInArrow(_csv_rows, ROWS)
     unread = files.where("content is null").select("file", F.lit(None).cast("int").alias("item"), F.lit(None).cast(ITEM).alias("fields"), F.lit("not utf-8").alias("reason"))
     rows = whole.unionByName(_json_rows(known.where("kind = 'json'").select("file", "content"))).unionByName(tables).unionByName(unread)
     rows = rows.withColumn("text", F.btrim(_filled("text", "content", "body"), F.lit(BLANKS)))

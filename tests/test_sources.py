@@ -125,3 +125,22 @@ def test_knowledge_folder_reads_mixed_files_and_counts_rejects(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     docs, rejects = knowledge_folder(spark, str(tmp_path / "empty"))
     assert docs.count() == 0 and rejects.count() == 0
+
+
+def test_csv_files_are_handed_back_in_pieces(spark, tmp_path):
+    import pyarrow as pa
+
+    from fundtrace.sources.knowledge import PIECE_CHARS, _csv_rows, knowledge_folder
+
+    texts = ["title,text\n" + "".join(f'{i},"a ""line"",\r\nand one\rmore {"x" * 20_000}"\r\n' for i in range(150)) for _ in range(3)] + ["title,text\na,b,c\n"]
+    sent = pa.RecordBatch.from_pydict({"file": [f"{k}.csv" for k in range(4)], "content": texts})
+    sizes, rows = [], []
+    for piece in map(lambda b: b.to_pylist(), _csv_rows(iter([sent]))):
+        sizes.append(sum(len(r["fields"]["text"]) for r in piece if r["fields"]))
+        rows += [(r["file"], r["item"], r["reason"]) for r in piece]
+    assert max(sizes) < PIECE_CHARS + 25_000 and len(sizes) > 3
+    assert rows == [(f"{k}.csv", i, None) for k in range(3) for i in range(1, 151)] + [("3.csv", None, "malformed csv")]
+    (tmp_path / "kb").mkdir()
+    (tmp_path / "kb" / "wide.csv").write_bytes(f'text\n"{"long " * 60_000}"\n'.encode())  # above the csv module's usual limit of a field
+    docs, rejects = knowledge_folder(spark, str(tmp_path / "kb"))
+    assert [len(r.text) for r in docs.collect()] == [299_999] and rejects.count() == 0
