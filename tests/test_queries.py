@@ -31,6 +31,18 @@ def test_views_that_a_query_reads_several_times_are_written_once(spark, name):
     assert "supplier.parquet" not in read and "orders.parquet" not in read
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+@pytest.mark.parametrize("name", ["p07_holding_filter"])
+def test_holdings_are_dealt_by_size(spark, monkeypatch, name, broadcast):
+    from fundtrace.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "TASK_LINES", 500, raising=False)
+    monkeypatch.setattr(fixtures, "BROADCAST_PARTS", 250_000 if broadcast else 0, raising=False)
+    got = QUERIES[name](spark, SF)
+    assert_same(got.toPandas(), duck(SQL[name], SF))
+    assert got.rdd.getNumPartitions() == 12  # 6,000 lines, whatever spark.sql.shuffle.partitions is
+
+
 def test_models_are_asked_once(spark, monkeypatch):
     from fundtrace.operators import models as md
 
