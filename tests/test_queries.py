@@ -32,7 +32,7 @@ def test_views_that_a_query_reads_several_times_are_written_once(spark, name):
 
 
 @pytest.mark.parametrize("broadcast", [True, False])
-@pytest.mark.parametrize("name", ["p07_holding_filter"])
+@pytest.mark.parametrize("name", ["p07_holding_filter", "a20_collapsed_identities"])
 def test_holdings_are_dealt_by_size(spark, monkeypatch, name, broadcast):
     from fundtrace.plans import fixtures
 
