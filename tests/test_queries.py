@@ -37,7 +37,7 @@ def test_holdings_are_dealt_by_size(spark, monkeypatch, name, broadcast):
     from fundtrace.plans import fixtures
 
     monkeypatch.setattr(fixtures, "TASK_LINES", 500, raising=False)
-    monkeypatch.setattr(fixtures, "BROADCAST_PARTS", 250_000 if broadcast else 0, raising=False)
+    monkeypatch.setattr(fixtures, "BROADCAST_PARTS", 1_500_000 if broadcast else 0, raising=False)
     got = QUERIES[name](spark, SF)
     assert_same(got.toPandas(), duck(SQL[name], SF))
     assert got.rdd.getNumPartitions() == 12  # 6,000 lines, whatever spark.sql.shuffle.partitions is
