@@ -154,3 +154,36 @@ def test_grams_are_counted_where_the_text_is(spark):
         got[r.id, r.term] = r.tf
     assert got == {(k, t): n for k, text in texts.items() for t, n in plain_terms(text or "").items()}
     assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_terms_of_units_that_leave_out_rare_ones(spark, monkeypatch):
+    """Units that leave out terms still give the exact first terms: those that may lack something, as terms of few units do, are counted again."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(400)], k=60)) for _ in range(300)] + ["once more " * 40] * 3 + ["É x über_1", None, ""]
+    given = spark.createDataFrame([(t,) for t in texts], "t string").repartition(6)
+    total, df = Counter(), Counter()
+    for t in texts:
+        total.update(plain_terms(t or ""))
+        df.update(set(plain_terms(t or "")))
+    for unit, recounted in ((4_000_000, 500_000), (2_000, 500_000), (2_000, 0), (1, 500_000)):
+        monkeypatch.setattr(rt, "UNIT_WORDS", unit)
+        monkeypatch.setattr(rt, "RECOUNTED", recounted)
+        for k in (30, 300, 100_000):
+            want = sorted(total, key=lambda t: (-total[t], t))[:k]
+            assert [tuple(r) for r in rt._top_terms(given, "t", k).collect()] == [(t, total[t], df[t]) for t in want]
+
+
+def test_scores_are_not_joined_for_every_event(spark, monkeypatch):
+    """No step has a row for each piece and event: a task hands on the best of each event only."""
+    days = [dt.date(2000, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+    pieces = spark.createDataFrame([(i, days[i % 40], "rate fund") for i in range(800)], "k int, d date, t string")
+    asked = spark.createDataFrame([(f"e{i}", days[20 + i % 20], "rate fund") for i in range(60)], "e string, at date, q string")
+    monkeypatch.setattr(rt, "TILE", 600)  # several tiles in a task
+    sent = []
+    inner = rt._nearest
+    monkeypatch.setattr(rt, "_nearest", lambda *a: sent.append(inner(*a)) or sent[-1])
+    out = rt.retrieve_many(pieces, ["k"], "t", asked, "e", "q", 3, "d", "at").collect()
+    assert len(out) == 180 and len(sent) == 1
+    assert sent[0].count() <= 60 * 3 * sent[0].rdd.getNumPartitions()
+    assert {(r.e, r.place): r.k for r in out if r.e == "e0"} == {("e0", p): k for p, k in zip((1, 2, 3), (0, 1, 2), strict=True)}
