@@ -86,13 +86,21 @@ def previous_report(reports: DataFrame) -> DataFrame:
 def snapshot_diff(positions: DataFrame, noise: float = 0.002, split_exit: bool = False) -> DataFrame:
     """Positions of each report against the report before: action and weight change.
 
-    ``positions``: portfolio, report_dt, identity, pct. Changes below ``noise`` are left out. A vanished position is a
-    decrease, or an exit with ``split_exit``. The first report of a portfolio has no actions.
+    ``positions``: portfolio, report_dt, identity, pct, one row for each identity of a report; rows without an identity match none. Changes
+    below ``noise`` are left out. A vanished position is a decrease, or an exit with ``split_exit``. The first report of a portfolio has no
+    actions. Reports of a portfolio are numbered and each position looks at its own row before and after, so positions are read once.
     """
-    pairs = previous_report(positions).where("before_dt is not null")
-    now = pairs.join(positions, REPORT).select("portfolio", "report_dt", "identity", (F.col("pct") / 100).alias("now"))
-    old = pairs.join(positions.withColumnRenamed("report_dt", "before_dt"), ["portfolio", "before_dt"]).select("portfolio", "report_dt", "identity", (F.col("pct") / 100).alias("old"))
-    both = now.join(old, ["portfolio", "report_dt", "identity"], "full")
+    reports, own = W.partitionBy("portfolio").orderBy("_n"), W.partitionBy("portfolio", "identity").orderBy("_n")
+    dated = positions.where("portfolio is not null and report_dt is not null").select("portfolio", "report_dt", "identity", (F.col("pct") / 100).alias("now"))
+    numbered = dated.withColumn("_n", F.dense_rank().over(W.partitionBy("portfolio").orderBy("report_dt")))
+    numbered = numbered.withColumn("next_dt", F.min("report_dt").over(reports.rangeBetween(1, 1)))
+    known = F.col("identity").isNotNull()
+    old = F.when(known & (F.lag("_n").over(own) == F.col("_n") - 1), F.lag("now").over(own))
+    stays = F.coalesce(known & (F.lead("_n").over(own) == F.col("_n") + 1), F.lit(False))
+    seen = numbered.withColumns({"old": old, "stays": stays})
+    here = F.when(F.col("_n") > 1, F.struct("report_dt", "now", "old"))
+    gone = F.when(F.col("next_dt").isNotNull() & ~F.col("stays"), F.struct(F.col("next_dt").alias("report_dt"), F.lit(None).cast("double").alias("now"), F.col("now").alias("old")))
+    both = seen.select("portfolio", "identity", F.explode(F.array_compact(F.array(here, gone))).alias("_r")).select("portfolio", "_r.report_dt", "identity", "_r.now", "_r.old")
     change = F.coalesce("now", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))
     action = (
         F.when(F.col("old").isNull(), "new_position")

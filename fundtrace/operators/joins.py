@@ -148,27 +148,48 @@ def containment(names: DataFrame, entries: DataFrame, a: str, b: str) -> DataFra
     return exact.select(a, b, F.lit("exact").alias("how")).union(loose.select(a, b, F.lit("contains").alias("how")))
 
 
-def event_evidence(events: DataFrame, event: str, sources: dict[str, tuple[DataFrame, list[str], Column, Column]], records: bool = True) -> DataFrame:
+def event_evidence(events: DataFrame, event: str, sources: dict[str, tuple[DataFrame, list[str], Column, Column]], records: bool = True, separator: str | None = None) -> DataFrame:
     """What several sources say about each event: event, for each source its ordered records (JSON) and their names, and evidence (JSON of all).
 
     A source is a table, the columns by which it belongs to an event, a number that orders its records and the text that
     names one. The records of a source are gathered once for each of its keys, in order of number (nulls first), then name, then
     record, and the lists are joined to the events, of which each has one row: what many events share is not spread out before. Sources
-    with fewer key columns than others are written and joined last, so that their lists are not shuffled with the events.
-    Events without records have empty lists. Without ``records`` there are only names.
+    with fewer key columns than others are written and joined last, so that their lists are not shuffled with the events; events that share
+    such a list are dealt to the same tasks, so that a file by columns holds it once.
+    Events without records have empty lists. Without ``records`` there are only names; with a ``separator`` they are one text for each source,
+    beside their number (``n_`` and the source), made once for each key.
     """
     finest = max(len(keys) for _, keys, _, _ in sources.values())
     out = events.select(event, *dict.fromkeys(k for _, keys, _, _ in sources.values() for k in keys if k != event))
+    shared: list[str] = []
     for source, (rows, keys, rank, name) in sorted(sources.items(), key=lambda s: -len(s[1][1])):
         own = rows.select(*keys, rank.cast("double").alias("rank"), name.cast("string").alias("name"), *([F.to_json(F.struct(*rows.columns)).alias("record")] if records else []))
-        lists = own.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*own.columns[len(keys) :]))).alias(f"_{source}"))
-        out = out.join(written(lists, source) if len(keys) < finest else lists, keys, "left")
+        lists = own.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*own.columns[len(keys) :]))).alias("_l"))
+        fields = {source: _field("record")} if records else {}
+        fields |= {f"{source}_names": _field("name")} if separator is None else {f"n_{source}": F.size("_l").cast("long"), f"{source}_names": F.array_join(_field("name"), separator)}
+        lists = lists.select(*keys, *[c.alias(n) for n, c in fields.items()])
+        if len(keys) < finest:
+            lists = written(lists, source)
+            if not shared:
+                shared = keys
+                out = _dealt_together(out, keys, event, lists.count())
+        out = out.join(lists, keys, "left")
+    empty = {"array": F.array().cast("array<string>"), "string": F.lit(""), "bigint": F.lit(0).cast("long")}
+    names = [n for s in sources for n in (s, f"n_{s}", f"{s}_names") if n in out.columns and n not in events.columns]
+    kinds = dict(out.select(*names).dtypes)
+    out = out.select(event, *[F.coalesce(n, empty[kinds[n].split("<")[0]]).alias(n) for n in names])
+    return out.withColumn("evidence", F.to_json(F.struct(*sources))) if records else out
 
-    def of(source: str, field: str) -> Column:
-        return F.coalesce(F.transform(f"_{source}", lambda x: x[field]), F.array().cast("array<string>"))
 
-    out = out.select(event, *[of(s, field).alias(n) for s in sources for field, n in (("record", s), ("name", f"{s}_names")) if records or field == "name"])
-    return out.withColumn("evidence", F.to_json(F.struct(*sources))) if records else out
+def _field(name: str) -> Column:
+    return F.transform("_l", lambda x: x[name])
+
+
+def _dealt_together(events: DataFrame, keys: list[str], event: str, n_keys: int) -> DataFrame:
+    """Events dealt by key, the events of one key to as many tasks as it takes to use all."""
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = max(1, n // max(1, n_keys))
+    return events.repartition(n, *keys, F.pmod(F.xxhash64(event), F.lit(each)))
 
 
 def membership(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -224,3 +224,42 @@ def test_direction_candidates():
 def test_dictionary(spark):
     got = {r["name"]: tuple(r)[1:] for r in contract.dictionary(spark.createDataFrame([(1, None, 2.0, 3)], "portfolio int, bond double, ret_3m double, z int")).collect()}
     assert got == {"portfolio": ("identity", False, 1), "bond": ("feature", False, 0), "ret_3m": ("target", True, 1), "z": ("other", False, 1)}
+
+
+def test_snapshot_diff_reads_positions_once(spark):
+    """Against a plain version, with gaps, missing identities, weights, dates and portfolios; and without a join."""
+    import random
+
+    rng = random.Random(5)
+    rows = {(p, d, i): rng.choice([None, 0.0, 10.0, 10.1, 30.0]) for p in (1, 2, None) for d in (None, 3, 5, 9, 12) for i in ("a", "b", "c", "d", None) if rng.random() < 0.6}
+    df = spark.createDataFrame([(p, d, i, w) for (p, d, i), w in rows.items()], "portfolio int, report_dt int, identity string, pct double")
+    want = []
+    for p in (1, 2):
+        dates = sorted({d for q, d, _ in rows if q == p and d is not None})
+        for before, d in zip(dates, dates[1:], strict=False):
+            for i in ("a", "b", "c", "d"):
+                if (p, d, i) in rows or (p, before, i) in rows:
+                    want.append((p, d, i, rows.get((p, d, i)), rows.get((p, before, i))))
+            want += [(p, d, None, rows.get((p, d, None)), None)] * ((p, d, None) in rows) + [(p, d, None, None, rows.get((p, before, None)))] * ((p, before, None) in rows)
+    plain = []
+    for p, d, i, now, old in want:
+        change = (now or 0) / 100 - (old or 0) / 100
+        if abs(change) >= 0.002:
+            plain.append((p, d, i, "new_position" if old is None else "exit" if now is None else "increase" if change > 0 else "decrease", round(change, 9)))
+    out = holdings.snapshot_diff(df, split_exit=True)
+    got = [(r.portfolio, r.report_dt, r.identity, r.action, round(r.change, 9)) for r in out.collect()]
+    assert len(got) > 15 and sorted(got, key=str) == sorted(plain, key=str)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_evidence_as_text_is_made_once_for_each_key(spark):
+    events = spark.createDataFrame([(f"e{i}", i, "mn"[i % 2]) for i in range(200)], "id string, p int, manager string")
+    funds = spark.createDataFrame([("m", 7), ("m", 5), ("n", None)], "manager string, fund int")
+    held = spark.createDataFrame([(1, "x", 2), (1, None, 1), (0, "y", 1)], "p int, name string, nth int")
+    sources = {"funds": (funds, ["manager"], F.col("fund"), F.col("fund")), "held": (held, ["p", "manager"], F.col("nth"), F.col("name"))}
+    sources["held"] = (held.withColumn("manager", F.when(F.col("p") == 1, "n").otherwise("m")), *sources["held"][1:])
+    out = joins.event_evidence(events, "id", sources, records=False, separator=",")
+    got = {r.id: tuple(r)[1:] for r in out.collect()}
+    assert len(got) == 200 and got["e0"] == (2, "5,7", 1, "y") and got["e1"] == (1, "", 2, "x") and got["e2"] == (2, "5,7", 0, "")
+    tasks = out.withColumn("task", F.spark_partition_id()).groupBy("funds_names").agg(F.collect_set("task").alias("t")).collect()
+    assert all(len(r.t) <= 2 for r in tasks) and "transform" not in str(out._jdf.queryExecution().optimizedPlan().toString()).split("Join")[0]
